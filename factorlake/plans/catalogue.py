@@ -1,4 +1,8 @@
 """Queries by name with their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from factorlake.plans import panel_queries
+
+QUERIES: dict = panel_queries.QUERIES
+ORACLES: dict = panel_queries.ORACLES
