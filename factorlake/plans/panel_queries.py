@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factorlake.config import RiskConfig
 from factorlake.functions.scalar import bin_of, dotless, finite, friday, rounded, safe_ln
-from factorlake.functions.timeseries import ewma_weight, forward_fill, over, simple_return, trailing, with_ewma
+from factorlake.functions.timeseries import compounded, ewma_weight, forward_fill, over, simple_return, trailing, with_ewma
 from factorlake.operators import history, industry, pit, transforms, universe
 from factorlake.sources.fixtures import DUCK, filings, panel_q, panel_w, table
 
@@ -290,10 +290,10 @@ def weekly_last(spark, sf_dir):
 
 
 @query("""with d as (select l_suppkey asset, l_shipdate::date as day, avg(l_discount) r from lineitem group by all)
-select asset, day + ((12 - isodow(day)) % 7)::int as week, round(product(1 + r) - 1, 6) + 0.0 r from d group by all""")
+select asset, day + ((12 - isodow(day)) % 7)::int as week, round(ln(product(1 + r)), 6) + 0.0 log_r from d group by all""")
 def weekly_compound(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("asset"), F.col("l_shipdate").cast("date").alias("day")).agg(F.avg("l_discount").alias("r"))
-    return d.groupBy("asset", friday(F.col("day")).alias("week")).agg(rounded(F.product(1 + F.col("r")) - 1).alias("r"))
+    return d.groupBy("asset", friday(F.col("day")).alias("week")).agg(rounded(F.ln(compounded(F.col("r")) + 1)).alias("log_r"))
 
 
 @query("select event_id, (props->>'k')::int k, event_type from events")
