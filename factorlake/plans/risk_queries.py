@@ -396,7 +396,7 @@ _EWMA = """,
 i as (select *, row_number() over (partition by portfolio order by date) i from sc),
 ew as (select *, 0.94::double ** (i - 1) * sum(case when i = 1 then 1 else 0.06::double end * realized_ret ** 2 * 0.94::double ** (-i)) over p v1, 0.94::double ** (i - 1) * sum(case when i = 1 then 1 else 0.06::double end * realized_vol_ann ** 2 / 52 * 0.94::double ** (-i)) over p v2,
  avg(realized_ret ** 2) over q t1 from i window p as (partition by portfolio order by date rows between unbounded preceding and 1 preceding), q as (partition by portfolio order by date rows between 26 preceding and 1 preceding)),
-fc as (select date, portfolio, realized_ret, realized_vol_ann, forecast_vol_ann, case when i > 26 then sqrt(52 * v1) end ewma, case when i > 26 then sqrt(52 * t1) end as trailing, case when i > 26 then sqrt(52 * v2) end realized_ewma from ew)"""
+fc as (select date, portfolio, realized_ret, realized_vol_ann, forecast_vol_ann, case when i > 26 then sqrt(52 * v1) end ewma, case when i > 26 then sqrt(52 * t1) end as "trailing", case when i > 26 then sqrt(52 * v2) end realized_ewma from ew)"""
 
 
 @query(duck("panel_w", body=_SC + _EWMA + "\nselect date, portfolio, round(ewma, 6) ewma, round(realized_ewma, 6) realized_ewma from fc"))
@@ -405,13 +405,13 @@ def baseline_ewma(spark, sf_dir):
     return rows.select("date", "portfolio", rounded(F.col("ewma")).alias("ewma"), rounded(F.col("realized_ewma")).alias("realized_ewma"))
 
 
-@query(duck("panel_w", body=_SC + _EWMA + "\nselect date, portfolio, round(trailing, 6) as trailing from fc"))
+@query(duck("panel_w", body=_SC + _EWMA + '\nselect date, portfolio, round("trailing", 6) as "trailing" from fc'))
 def baseline_trailing(spark, sf_dir):
     return baselines.trailing_volatility(scores(spark, sf_dir), "realized_ret", "trailing", CFG).select("date", "portfolio", rounded(F.col("trailing")).alias("trailing"))
 
 
 @query(duck("panel_w", body=_SC + _EWMA + """,
-u as (select m model, case m when 'forecast_vol_ann' then forecast_vol_ann when 'ewma' then ewma else trailing end fc, realized_ret r, realized_vol_ann rv from fc, (values ('forecast_vol_ann'), ('ewma'), ('trailing')) t(m) where ewma is not null and trailing is not null)
+u as (select m model, case m when 'forecast_vol_ann' then forecast_vol_ann when 'ewma' then ewma else "trailing" end fc, realized_ret r, realized_vol_ann rv from fc, (values ('forecast_vol_ann'), ('ewma'), ('trailing')) t(m) where ewma is not null and "trailing" is not null)
 select model, count(*) n, round(stddev_samp(r / (fc / sqrt(52.0::double))), 6) bias, round(avg((abs(r / (fc / sqrt(52.0::double))) > 1.96)::int), 6) exceed, round(sqrt(avg(rv ** 2) / avg(fc ** 2)), 6) vol_ratio,
  round(regr_slope(rv ** 2, fc ** 2), 5) mz_slope, round(regr_r2(rv ** 2, fc ** 2), 6) mz_r2, round(avg(ln(fc ** 2) + rv ** 2 / fc ** 2), 6) qlike, round(sqrt(avg((fc - rv) ** 2)), 6) rmse from u group by model"""))
 def harness_stats(spark, sf_dir):
