@@ -155,9 +155,15 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+# Top-level domains that make "x at y dot z" an address rather than prose.
+_DOMAINS = frozenset("com org net edu gov mil int info biz io eu de fr es it uk us ca au ch at nl be pl se no dk fi pt mx ar br jp cn ru in example test".split())
+
+
 def _worded(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _WORDED.finditer(text):
+        if m.group(2).rsplit(" ", 1)[-1].lower() not in _DOMAINS:
+            continue
         out.append((m.end(1), m.start(2), "@"))
         out += [(d.start() + m.start(2), d.end() + m.start(2), ".") for d in re.finditer(r" (?:dot|punkt|punto|point) ", m.group(2), re.I)]
     return out
