@@ -4,15 +4,16 @@
 2. A class posts itself under each (coordinate, value) pair of its MinHash signature. Postings that no other
    class shares are dropped. To reach THRESHOLD equal coordinates, two classes must meet under one of the rarest
    m - THRESHOLD + 1 of a class's m shared postings, so only that prefix stays posted.
-3. Classes that meet under a posting are candidates. Their signatures are compared coordinate by coordinate, and
-   pairs with at least THRESHOLD collisions are confirmed on their full shingle sets.
+3. Classes that meet under a posting are candidates if at least THRESHOLD coordinates collide (postings carry a
+   byte of each coordinate, so this is tested as they meet). Of these, pairs whose SKETCH least shingles leave
+   0.75 possible are confirmed on their full shingle sets.
 4. No bucket is expanded into all its pairs. In each round the members of a bucket meet only its most
    central members (those whose postings are the most common), whatever is linked merges into
    components, and only members of different components remain of interest. A bucket shrinks by its pivots
    in each round; when few open pairs are left, all of them are compared.
 
-A link of exactly 0.75 is missed with probability P(Binomial(32, 0.75) < 12) < 1e-5, others with less. No bucket
-is capped: what stays open is compared in later rounds.
+A link of exactly 0.75 is missed with probability P(Binomial(32, 0.75) < 12) < 1e-5, and by the sketch with less
+than 1e-6, others with less. No bucket is capped: what stays open is compared in later rounds.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; fewer words than a
 shingle make one shingle; rows that repeat a doc_id are one node with the links of all its texts; a null doc_id
@@ -26,7 +27,7 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlake.llm.components import connected
@@ -37,6 +38,8 @@ WORDS, COORDINATES, THRESHOLD = 5, 32, 12
 SHARE = 75
 #: All open pairs are compared at once when they are no more than this many, or twice the classes.
 FEW_PAIRS = 100_000
+#: Least shingle hashes kept of each class, and the share of them that must agree: 5 deviations below 0.75.
+SKETCH, SKETCH_SHARE = 128, 0.55
 
 _rng = np.random.default_rng(20_240)
 _MULTIPLY = _rng.integers(1 << 62, size=COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,7 +66,7 @@ def shingles(text: str | None, known: dict | None = None) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if known is None:
         known = _WordHashes()
-    elif len(known) > 500_000:
+    elif len(known) > 200_000:
         known.clear()
     ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = min(WORDS, len(ids))
@@ -90,7 +93,10 @@ def _described() -> Callable:
 
     def each(doc_id: int | None, text: str | None) -> list[tuple]:
         own = shingles(text, known)
-        return [(doc_id, len(own), _class_of(own) if len(own) else None, signature(own).tolist() if len(own) else None)]
+        if not len(own):
+            return [(doc_id, 0, None, None, None)]
+        values = signature(own)
+        return [(doc_id, len(own), _class_of(own), values.tolist(), (values & 255).astype(np.uint8).view(np.int64).tolist())]
 
     return each
 
@@ -98,12 +104,16 @@ def _described() -> Callable:
 def _confirmed() -> Callable:
     """Rows of candidates with both texts to those whose full sets are similar enough, and how similar the others are."""
     known, recent = _WordHashes(), {}
+    kept = 0
 
     def own(key: bytes, text: str) -> np.ndarray:
+        nonlocal kept
         if key not in recent:
-            if sum(map(len, recent.values())) > 2_000_000:
+            if kept > 1_000_000:
                 recent.clear()
+                kept = 0
             recent[key] = shingles(text, known)
+            kept += len(recent[key])
         return recent[key]
 
     def each(a: bytes, b: bytes, text_a: str, text_b: str) -> list[tuple]:
@@ -116,16 +126,16 @@ def _confirmed() -> Callable:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per row: doc_id, n_shingles, key), (per class: key, doc_id, n, signature)."""
+    """(per row: doc_id, n_shingles, key), (per class: key, doc_id, n, signature, codes: a byte of each coordinate)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(map_rows(rows, _described, "doc_id long, n_shingles long, key binary, signature array<long>"), "shingled")
+    rows = written(map_rows(rows, _described, "doc_id long, n_shingles long, key binary, signature array<long>, codes array<long>"), "shingled")
     named = rows.where("key is not null and doc_id is not null")
-    own = named.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("at"))
-    return rows.select("doc_id", "n_shingles", "key"), written(own.select("key", "at.doc_id", F.col("at.n_shingles").alias("n"), "at.signature"), "classes")
+    own = named.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "codes")).alias("at"))
+    return rows.select("doc_id", "n_shingles", "key"), written(own.select("key", "at.doc_id", F.col("at.n_shingles").alias("n"), "at.signature", "at.codes"), "classes")
 
 
 def postings(own: DataFrame) -> DataFrame:
-    """(token, key, n, central): the prefix of each class's shared postings that can still lead to THRESHOLD collisions."""
+    """(token, key, n, central, codes): the prefix of each class's shared postings that can still lead to THRESHOLD collisions."""
     posted = own.select("key", "n", F.posexplode("signature").alias("place", "value"))
     posted = posted.withColumn("token", F.col("value") * COORDINATES + F.col("place")).drop("place", "value")
     shared = posted.withColumn("often", F.count("*").over(Window.partitionBy("token"))).where("often > 1")
@@ -133,18 +143,24 @@ def postings(own: DataFrame) -> DataFrame:
     lists = shared.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"), F.sum("often").alias("central"))
     m = F.size("own")
     prefix = lists.where(m >= THRESHOLD).select("key", "n", "central", F.explode(F.slice("own", 1, m - THRESHOLD + 1)).alias("p"))
-    return prefix.select("p.token", "key", "n", "central")
+    return prefix.select("p.token", "key", "n", "central").join(own.select("key", "codes"), "key")
 
 
-def _candidates(pairs: DataFrame, own: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Distinct pairs (a, b, doc_a, doc_b) with enough equal coordinates that weren't compared before."""
+def _collisions(x: str, y: str) -> Column:
+    """How many of the coordinates' bytes agree: a few more than coordinates do, never fewer."""
+    return sum(((F.shiftrightunsigned(F.col(x)[i].bitwiseXOR(F.col(y)[i]), 8 * j).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(COORDINATES // 8) for j in range(8)), F.lit(0))
+
+
+def _candidates(pairs: DataFrame, sketches: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Distinct pairs (a, b) not compared before whose sketches leave a link possible."""
     pairs = pairs.distinct()
     if tested is not None:
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     for end in ("a", "b"):
-        pairs = pairs.join(own.select(F.col("key").alias(end), F.col("doc_id").alias(f"doc_{end}"), F.col("signature").alias(f"sig_{end}")), end)
-    equal = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda hit: hit))
-    return pairs.where(equal >= THRESHOLD).select("a", "b", "doc_a", "doc_b")
+        pairs = pairs.join(sketches.select(F.col("key").alias(end), F.col("sketch").alias(f"s_{end}")), end)
+    least = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
+    both = F.size(F.array_intersect(F.array_intersect(least, "s_a"), "s_b"))
+    return pairs.where(both >= SKETCH_SHARE * F.size(least)).select("a", "b")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -162,11 +178,16 @@ def links(docs: DataFrame, own: DataFrame) -> DataFrame:
 
     def same() -> Callable:
         hashes = _WordHashes()
-        return lambda key, text: [(key, text)] if _class_of(shingles(text, hashes)) == key else []
 
-    texts = written(map_rows(known.select("key", "text"), same, "key binary, text string"), "texts")
+        def each(key: bytes, text: str | None) -> list[tuple]:
+            own = shingles(text, hashes)
+            return [(key, text, (own[:SKETCH] >> np.uint64(1)).astype(np.int64).tolist())] if len(own) and _class_of(own) == key else []
+
+        return each
+
+    texts = written(map_rows(known.select("key", "text"), same, "key binary, text string, sketch array<long>"), "texts")
     if texts.count() > members.count():
-        texts = texts.groupBy("key").agg(F.min("text").alias("text"))
+        texts = texts.groupBy("key").agg(F.min(F.struct("text", "sketch")).alias("at")).select("key", "at.text", "at.sketch")
     few = max(FEW_PAIRS, 2 * own.count())
     size = lambda x, y: F.col(x) * 100 >= F.col(y) * SHARE
     open_members = posted.withColumn("component", F.col("key"))
@@ -183,10 +204,11 @@ def links(docs: DataFrame, own: DataFrame) -> DataFrame:
         else:
             rank = F.row_number().over(Window.partitionBy("token").orderBy(F.col("central").desc(), "key"))
             chosen = written(here.withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank"), "pivots")
-        other = chosen.select("token", F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"))
-        met = here.join(other, "token").where((F.col("component") != F.col("pivot_component")) & size("n", "pivot_n") & size("pivot_n", "n"))
+        other = chosen.select(F.col("token").alias("at"), F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), F.col("codes").alias("pivot_codes"))
+        alike = size("n", "pivot_n") & size("pivot_n", "n") & (_collisions("codes", "pivot_codes") >= THRESHOLD)
+        met = here.join(other, (F.col("token") == F.col("at")) & (F.col("component") != F.col("pivot_component")) & alike)
         pairs = met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
-        done = written(_compared(written(_candidates(pairs, own, tested), "candidates"), texts), "compared")
+        done = written(_compared(written(_candidates(pairs, texts, tested), "candidates"), texts), "compared")
         tested = done if tested is None else tested.unionByName(done)
         new = done.where("link").select("a", "b")
         edges = new if edges is None else edges.unionByName(new)
@@ -197,7 +219,7 @@ def links(docs: DataFrame, own: DataFrame) -> DataFrame:
             here = here.drop("component").join(of, "key", "left").withColumn("component", F.coalesce("merged", "key")).drop("merged")
         # A pivot has met all of its bucket, so it leaves it.
         open_members = written(here.join(chosen.select("token", "key"), ["token", "key"], "left_anti"), "open")
-        pivots *= 2
+        pivots *= 4
     return own.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0) if edges is None else edges
 
 

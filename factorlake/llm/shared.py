@@ -88,4 +88,6 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
 
+    # Texts can be long: a task holds a thousand at a time, not ten thousand.
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return df.mapInArrow(run, fields)
