@@ -4,15 +4,15 @@
 2. A class posts itself under each (coordinate, value) pair of its MinHash signature. Postings that no other
    class shares are dropped. To reach THRESHOLD equal coordinates, two classes must meet under one of the rarest
    m - THRESHOLD + 1 of a class's m shared postings, so only that prefix stays posted.
-3. Classes that meet under a posting are candidates if at least THRESHOLD coordinates collide (postings carry a
-   byte of each coordinate, so this is tested as they meet). Of these, pairs whose SKETCH least shingles leave
+3. Classes that meet under a posting are candidates if at least THRESHOLD coordinates collide (postings carry
+   7 bits of each coordinate, so this is tested as they meet). Of these, pairs whose SKETCH least shingles leave
    0.75 possible are confirmed on their full shingle sets.
 4. No bucket is expanded into all its pairs. In each round the members of a bucket meet only its most
    central members (those whose postings are the most common), whatever is linked merges into
    components, and only members of different components remain of interest. A bucket shrinks by its pivots
    in each round; when few open pairs are left, all of them are compared.
 
-A link of exactly 0.75 is missed with probability P(Binomial(32, 0.75) < 12) < 1e-5, and by the sketch with less
+A link of exactly 0.75 is missed with probability P(Binomial(64, 0.75) < 32) < 1e-5, and by the sketch with less
 than 1e-6, others with less. No bucket is capped: what stays open is compared in later rounds.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; fewer words than a
@@ -33,17 +33,21 @@ from pyspark.sql import functions as F
 from factorlake.llm.components import connected
 from factorlake.llm.shared import map_rows, written
 
-WORDS, COORDINATES, THRESHOLD = 5, 32, 12
+WORDS, COORDINATES, THRESHOLD = 5, 64, 32
 #: Links have 100 * intersection >= SHARE * union.
 SHARE = 75
-#: All open pairs are compared at once when they are no more than this many, or twice the classes.
-FEW_PAIRS = 100_000
+#: All open pairs are compared at once when they are no more than this many, or this many for each class.
+FEW_PAIRS, FEW_PER_CLASS = 100_000, 8
 #: Least shingle hashes kept of each class, and the share of them that must agree: 5 deviations below 0.75.
 SKETCH, SKETCH_SHARE = 128, 0.55
 
 _rng = np.random.default_rng(20_240)
-_MULTIPLY = _rng.integers(1 << 62, size=COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(1 << 63, size=COORDINATES, dtype=np.uint64)
+_MULTIPLY = _rng.integers(1 << 31, size=(COORDINATES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _rng.integers(1 << 32, size=(COORDINATES, 1), dtype=np.uint32)
+_EACH = np.arange(COORDINATES)
+#: Codes of 7 bits, 7 to a number of 64 bits: the sum of a difference and _CARRY never leaves its byte.
+_CODES = 7
+_CARRY, _HIGH = 0x007F7F7F7F7F7F7F, 0x0080808080808080
 _PLACE = _rng.integers(1 << 62, size=WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -77,11 +81,23 @@ def shingles(text: str | None, known: dict | None = None) -> np.ndarray:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    """Least value of each hash function, its upper 32 bits."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(own), 1 << 14):
-        least = np.minimum(least, (own[a : a + (1 << 14), None] * _MULTIPLY + _ADD).min(axis=0))
-    return (least >> np.uint64(32)).astype(np.int64)
+    """For each hash function 56 bits of the shingle that has its least value."""
+    low, best, at = own.astype(np.uint32), np.full(COORDINATES, np.iinfo(np.uint32).max), np.zeros(COORDINATES, np.int64)
+    for a in range(0, len(own), 1 << 12):
+        values = low[a : a + (1 << 12)] * _MULTIPLY
+        values += _ADD
+        where = values.argmin(axis=1)
+        least = values[_EACH, where]
+        at = np.where(least < best, a + where, at)
+        best = np.minimum(least, best)
+    return (own[at] >> np.uint64(8)).astype(np.int64)
+
+
+def codes_of(values: np.ndarray) -> np.ndarray:
+    """7 bits of each coordinate, packed."""
+    out = np.zeros((-(-COORDINATES // _CODES), 8), np.uint8)
+    out[:, :_CODES].flat[:COORDINATES] = values & 127
+    return out.view("<i8").ravel()
 
 
 def _class_of(own: np.ndarray) -> bytes:
@@ -96,7 +112,7 @@ def _described() -> Callable:
         if not len(own):
             return [(doc_id, 0, None, None, None)]
         values = signature(own)
-        return [(doc_id, len(own), _class_of(own), values.tolist(), (values & 255).astype(np.uint8).view(np.int64).tolist())]
+        return [(doc_id, len(own), _class_of(own), values.tolist(), codes_of(values).tolist())]
 
     return each
 
@@ -106,7 +122,7 @@ def _confirmed() -> Callable:
     known, recent = _WordHashes(), {}
     kept = 0
 
-    def own(key: bytes, text: str) -> np.ndarray:
+    def own(key: int, text: str) -> np.ndarray:
         nonlocal kept
         if key not in recent:
             if kept > 1_000_000:
@@ -116,7 +132,7 @@ def _confirmed() -> Callable:
             kept += len(recent[key])
         return recent[key]
 
-    def each(a: bytes, b: bytes, text_a: str, text_b: str) -> list[tuple]:
+    def each(a: int, b: int, text_a: str, text_b: str) -> list[tuple]:
         x, y = own(a, text_a), own(b, text_b)
         both = len(np.intersect1d(x, y, assume_unique=True))
         either = len(x) + len(y) - both
@@ -126,29 +142,31 @@ def _confirmed() -> Callable:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per row: doc_id, n_shingles, key), (per class: key, doc_id, n, signature, codes: a byte of each coordinate)."""
+    """(per row: doc_id, n_shingles, key), (per class: id, key, doc_id, n, signature, codes)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(map_rows(rows, _described, "doc_id long, n_shingles long, key binary, signature array<long>, codes array<long>"), "shingled")
     named = rows.where("key is not null and doc_id is not null")
     own = named.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "codes")).alias("at"))
-    return rows.select("doc_id", "n_shingles", "key"), written(own.select("key", "at.doc_id", F.col("at.n_shingles").alias("n"), "at.signature", "at.codes"), "classes")
+    return rows.select("doc_id", "n_shingles", "key"), written(own.select(F.monotonically_increasing_id().alias("id"), "key", "at.doc_id", F.col("at.n_shingles").alias("n"), "at.signature", "at.codes"), "classes")
 
 
 def postings(own: DataFrame) -> DataFrame:
-    """(token, key, n, central, codes): the prefix of each class's shared postings that can still lead to THRESHOLD collisions."""
-    posted = own.select("key", "n", F.posexplode("signature").alias("place", "value"))
-    posted = posted.withColumn("token", F.col("value") * COORDINATES + F.col("place")).drop("place", "value")
+    """(token, id, n, central, codes): the prefix of each class's shared postings that can still lead to THRESHOLD collisions."""
+    posted = own.select("id", F.posexplode("signature").alias("place", "value"))
+    posted = posted.select("id", F.shiftleft("value", COORDINATES.bit_length() - 1).bitwiseOR(F.col("place").cast("long")).alias("token"))
     shared = posted.withColumn("often", F.count("*").over(Window.partitionBy("token"))).where("often > 1")
     # At most COORDINATES postings of a class come together.
-    lists = shared.groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"), F.sum("often").alias("central"))
+    lists = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"), F.sum("often").alias("central"))
     m = F.size("own")
-    prefix = lists.where(m >= THRESHOLD).select("key", "n", "central", F.explode(F.slice("own", 1, m - THRESHOLD + 1)).alias("p"))
-    return prefix.select("p.token", "key", "n", "central").join(own.select("key", "codes"), "key")
+    prefix = lists.where(m >= THRESHOLD).select("id", "central", F.slice("own", 1, m - THRESHOLD + 1).alias("own"))
+    prefix = prefix.join(own.select("id", "n", "codes"), "id")
+    return prefix.select(F.explode("own.token").alias("token"), "id", "n", "central", "codes")
 
 
-def _collisions(x: str, y: str) -> Column:
-    """How many of the coordinates' bytes agree: a few more than coordinates do, never fewer."""
-    return sum(((F.shiftrightunsigned(F.col(x)[i].bitwiseXOR(F.col(y)[i]), 8 * j).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(COORDINATES // 8) for j in range(8)), F.lit(0))
+def _different(x: str, y: str) -> Column:
+    """How many of the coordinates' codes differ: a few less than coordinates do, never more."""
+    words = range(-(-COORDINATES // _CODES))
+    return sum((F.bit_count((F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))) + F.lit(_CARRY)).bitwiseAND(F.lit(_HIGH))) for i in words), F.lit(0))
 
 
 def _candidates(pairs: DataFrame, sketches: DataFrame, tested: DataFrame | None) -> DataFrame:
@@ -157,7 +175,7 @@ def _candidates(pairs: DataFrame, sketches: DataFrame, tested: DataFrame | None)
     if tested is not None:
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     for end in ("a", "b"):
-        pairs = pairs.join(sketches.select(F.col("key").alias(end), F.col("sketch").alias(f"s_{end}")), end)
+        pairs = pairs.join(sketches.select(F.col("id").alias(end), F.col("sketch").alias(f"s_{end}")), end)
     least = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
     both = F.size(F.array_intersect(F.array_intersect(least, "s_a"), "s_b"))
     return pairs.where(both >= SKETCH_SHARE * F.size(least)).select("a", "b")
@@ -165,32 +183,32 @@ def _candidates(pairs: DataFrame, sketches: DataFrame, tested: DataFrame | None)
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     for end in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("key").alias(end), F.col("text").alias(f"text_{end}")), end)
-    return map_rows(pairs.select("a", "b", "text_a", "text_b"), _confirmed, "a binary, b binary, link boolean, jaccard double")
+        pairs = pairs.join(texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")), end)
+    return map_rows(pairs.select("a", "b", "text_a", "text_b"), _confirmed, "a long, b long, link boolean, jaccard double")
 
 
 def links(docs: DataFrame, own: DataFrame) -> DataFrame:
     """(a, b): links between classes that connect all that are similar, directly or through others."""
     posted = written(postings(own), "postings")
-    members = posted.select("key").distinct().join(own.select("key", "doc_id"), "key")
+    members = posted.select("id").distinct().join(own.select("id", "key", "doc_id"), "id")
     # The texts of the classes that may have a partner; a doc_id that repeats with another text falls out by its class.
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id")
 
     def same() -> Callable:
         hashes = _WordHashes()
 
-        def each(key: bytes, text: str | None) -> list[tuple]:
+        def each(number: int, key: bytes, text: str | None) -> list[tuple]:
             own = shingles(text, hashes)
-            return [(key, text, (own[:SKETCH] >> np.uint64(1)).astype(np.int64).tolist())] if len(own) and _class_of(own) == key else []
+            return [(number, text, (own[:SKETCH] >> np.uint64(1)).astype(np.int64).tolist())] if len(own) and _class_of(own) == key else []
 
         return each
 
-    texts = written(map_rows(known.select("key", "text"), same, "key binary, text string, sketch array<long>"), "texts")
+    texts = written(map_rows(known.select("id", "key", "text"), same, "id long, text string, sketch array<long>"), "texts")
     if texts.count() > members.count():
-        texts = texts.groupBy("key").agg(F.min(F.struct("text", "sketch")).alias("at")).select("key", "at.text", "at.sketch")
-    few = max(FEW_PAIRS, 2 * own.count())
+        texts = texts.groupBy("id").agg(F.min(F.struct("text", "sketch")).alias("at")).select("id", "at.text", "at.sketch")
+    few = max(FEW_PAIRS, FEW_PER_CLASS * own.count())
     size = lambda x, y: F.col(x) * 100 >= F.col(y) * SHARE
-    open_members = posted.withColumn("component", F.col("key"))
+    open_members = posted.withColumn("component", F.col("id"))
     tested, edges, pivots = None, None, 1
     while True:
         buckets = open_members.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("parts"))
@@ -202,12 +220,12 @@ def links(docs: DataFrame, own: DataFrame) -> DataFrame:
         if left <= few:
             chosen = here
         else:
-            rank = F.row_number().over(Window.partitionBy("token").orderBy(F.col("central").desc(), "key"))
+            rank = F.row_number().over(Window.partitionBy("token").orderBy(F.col("central").desc(), "id"))
             chosen = written(here.withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank"), "pivots")
-        other = chosen.select(F.col("token").alias("at"), F.col("key").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), F.col("codes").alias("pivot_codes"))
-        alike = size("n", "pivot_n") & size("pivot_n", "n") & (_collisions("codes", "pivot_codes") >= THRESHOLD)
+        other = chosen.select(F.col("token").alias("at"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), F.col("codes").alias("pivot_codes"))
+        alike = size("n", "pivot_n") & size("pivot_n", "n") & (_different("codes", "pivot_codes") <= COORDINATES - THRESHOLD)
         met = here.join(other, (F.col("token") == F.col("at")) & (F.col("component") != F.col("pivot_component")) & alike)
-        pairs = met.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
+        pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         done = written(_compared(written(_candidates(pairs, texts, tested), "candidates"), texts), "compared")
         tested = done if tested is None else tested.unionByName(done)
         new = done.where("link").select("a", "b")
@@ -215,19 +233,19 @@ def links(docs: DataFrame, own: DataFrame) -> DataFrame:
         if left <= few:
             break
         if not new.isEmpty():
-            of = connected(edges).select(F.col("node").alias("key"), F.col("component").alias("merged"))
-            here = here.drop("component").join(of, "key", "left").withColumn("component", F.coalesce("merged", "key")).drop("merged")
+            of = connected(edges).select(F.col("node").alias("id"), F.col("component").alias("merged"))
+            here = here.drop("component").join(of, "id", "left").withColumn("component", F.coalesce("merged", "id")).drop("merged")
         # A pivot has met all of its bucket, so it leaves it.
-        open_members = written(here.join(chosen.select("token", "key"), ["token", "key"], "left_anti"), "open")
+        open_members = written(here.join(chosen.select("token", "id"), ["token", "id"], "left_anti"), "open")
         pivots *= 4
-    return own.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0) if edges is None else edges
+    return own.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if edges is None else edges
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
     rows, own = classes(docs)
-    of = connected(links(docs, own)).select(F.col("node").alias("key"), F.col("component").alias("joined"))
-    grouped = own.select("key", "doc_id").join(of, "key", "left").withColumn("joined", F.coalesce("joined", "key"))
+    of = connected(links(docs, own)).select(F.col("node").alias("id"), F.col("component").alias("joined"))
+    grouped = own.select("id", "key", "doc_id").join(of, "id", "left").withColumn("joined", F.coalesce("joined", "id"))
     least = grouped.groupBy("joined").agg(F.min("doc_id").alias("least"))
     by_class = written(grouped.join(least, "joined").select("key", "least"), "class-components")
     out = rows.join(by_class, "key", "left").withColumn("least", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")))
