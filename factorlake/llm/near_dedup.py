@@ -5,15 +5,15 @@
    class shares are dropped. To reach THRESHOLD equal coordinates, two classes must meet under one of the rarest
    m - THRESHOLD + 1 of a class's m shared postings, so only that prefix stays posted.
 3. Classes that meet under a posting are candidates if at least THRESHOLD coordinates collide (postings carry
-   7 bits of each coordinate, so this is tested as they meet). Of these, pairs whose SKETCH least shingles leave
-   0.75 possible are confirmed on their full shingle sets.
+   7 bits of each coordinate, so this is tested as they meet). Of these, pairs whose FINE further coordinates
+   (1 bit of each) leave 0.75 possible are confirmed on their full shingle sets.
 4. No bucket is expanded into all its pairs. In each round the members of a bucket meet only its most
    central members (those whose postings are the most common), whatever is linked merges into
    components, and only members of different components remain of interest. A bucket shrinks by its pivots
    in each round; when few open pairs are left, all of them are compared.
 
-A link of exactly 0.75 is missed with probability P(Binomial(64, 0.75) < 32) < 1e-5, and by the sketch with less
-than 1e-6, others with less. No bucket is capped: what stays open is compared in later rounds.
+A link of exactly 0.75 is missed with probability P(Binomial(64, 0.75) < 32) < 1e-5, and by the fine coordinates
+with P(Binomial(512, 1 / 8) > 102) < 1e-6, others with less. No bucket is capped: what stays open is compared in later rounds.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; fewer words than a
 shingle make one shingle; rows that repeat a doc_id are one node with the links of all its texts; a null doc_id
@@ -37,16 +37,20 @@ WORDS, COORDINATES, THRESHOLD = 5, 64, 32
 #: Links have 100 * intersection >= SHARE * union.
 SHARE = 75
 #: All open pairs are compared at once when they are no more than this many, or this many for each class.
-FEW_PAIRS, FEW_PER_CLASS = 100_000, 8
-#: Least shingle hashes kept of each class, and the share of them that must agree: 5 deviations below 0.75.
-SKETCH, SKETCH_SHARE = 128, 0.55
+#: A pair of a large group counts under each posting that it shares, up to COORDINATES - THRESHOLD + 1 times.
+FEW_PAIRS, FEW_PER_CLASS = 100_000, 400
+#: Further coordinates of each class that has a partner, and how many may differ: 5 deviations above those of 0.75.
+FINE, FINE_DIFFERENT = 512, 102
 
 _rng = np.random.default_rng(20_240)
 _MULTIPLY = _rng.integers(1 << 31, size=(COORDINATES, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(1 << 32, size=(COORDINATES, 1), dtype=np.uint32)
 _EACH = np.arange(COORDINATES)
+_FINE_MULTIPLY = _rng.integers(1 << 31, size=(FINE, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FINE_ADD = _rng.integers(1 << 32, size=(FINE, 1), dtype=np.uint32)
 #: Codes of 7 bits, 7 to a number of 64 bits: the sum of a difference and _CARRY never leaves its byte.
 _CODES = 7
+_CODE_WORDS = -(-COORDINATES // _CODES)
 _CARRY, _HIGH = 0x007F7F7F7F7F7F7F, 0x0080808080808080
 _PLACE = _rng.integers(1 << 62, size=WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -95,11 +99,22 @@ def signature(own: np.ndarray) -> np.ndarray:
 
 def codes_of(values: np.ndarray) -> np.ndarray:
     """7 bits of each coordinate, packed."""
-    out = np.zeros((-(-COORDINATES // _CODES), 8), np.uint8)
+    out = np.zeros((_CODE_WORDS, 8), np.uint8)
     out[:, :_CODES].flat[:COORDINATES] = values & 127
     return out.view("<i8").ravel()
 
 
+def fine_codes(own: np.ndarray) -> np.ndarray:
+    """A bit of the least value of each of FINE hash functions, packed."""
+    low, best = own.astype(np.uint32), np.full(FINE, np.iinfo(np.uint32).max)
+    for a in range(0, len(own), 1 << 10):
+        values = low[a : a + (1 << 10)] * _FINE_MULTIPLY
+        values += _FINE_ADD
+        best = np.minimum(values.min(axis=1), best)
+    # The leading bits of least values are mostly 0, and the last ones nearly follow the shingle: mixed, any will do.
+    return np.packbits((_mixed(best.astype(np.uint64)) & np.uint64(1)).astype(bool)).view("<i8")
+
+
 def _class_of(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
@@ -151,7 +166,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def postings(own: DataFrame) -> DataFrame:
-    """(token, id, n, central, codes): the prefix of each class's shared postings that can still lead to THRESHOLD collisions."""
+    """(token, id, n, central, code0, ...): the prefix of each class's shared postings that can still lead to THRESHOLD collisions."""
     posted = own.select("id", F.posexplode("signature").alias("place", "value"))
     posted = posted.select("id", F.shiftleft("value", COORDINATES.bit_length() - 1).bitwiseOR(F.col("place").cast("long")).alias("token"))
     shared = posted.withColumn("often", F.count("*").over(Window.partitionBy("token"))).where("often > 1")
@@ -159,26 +174,30 @@ def postings(own: DataFrame) -> DataFrame:
     lists = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"), F.sum("often").alias("central"))
     m = F.size("own")
     prefix = lists.where(m >= THRESHOLD).select("id", "central", F.slice("own", 1, m - THRESHOLD + 1).alias("own"))
-    prefix = prefix.join(own.select("id", "n", "codes"), "id")
-    return prefix.select(F.explode("own.token").alias("token"), "id", "n", "central", "codes")
+    # Flat columns keep the test of a meeting so small that the JVM compiles it.
+    codes = [F.get("codes", F.lit(i)).alias(f"code{i}") for i in range(_CODE_WORDS)]
+    prefix = prefix.join(own.select("id", "n", *codes), "id")
+    return prefix.select(F.explode("own.token").alias("token"), *[c for c in prefix.columns if c != "own"])
 
 
 def _different(x: str, y: str) -> Column:
     """How many of the coordinates' codes differ: a few less than coordinates do, never more."""
-    words = range(-(-COORDINATES // _CODES))
-    return sum((F.bit_count((F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))) + F.lit(_CARRY)).bitwiseAND(F.lit(_HIGH))) for i in words), F.lit(0))
+    return sum((F.bit_count((F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}")) + F.lit(_CARRY)).bitwiseAND(F.lit(_HIGH))) for i in range(_CODE_WORDS)), F.lit(0))
+
+
+def _fine_different(x: str, y: str) -> Column:
+    """How many bits of the fine coordinates differ."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(FINE // 64)), F.lit(0))
 
 
-def _candidates(pairs: DataFrame, sketches: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Distinct pairs (a, b) not compared before whose sketches leave a link possible."""
+def _candidates(pairs: DataFrame, fine: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Distinct pairs (a, b) not compared before whose fine coordinates leave a link possible."""
     pairs = pairs.distinct()
     if tested is not None:
         pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
     for end in ("a", "b"):
-        pairs = pairs.join(sketches.select(F.col("id").alias(end), F.col("sketch").alias(f"s_{end}")), end)
-    least = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, SKETCH)
-    both = F.size(F.array_intersect(F.array_intersect(least, "s_a"), "s_b"))
-    return pairs.where(both >= SKETCH_SHARE * F.size(least)).select("a", "b")
+        pairs = pairs.join(fine.select(F.col("id").alias(end), F.col("fine").alias(f"fine_{end}")), end)
+    return pairs.where(_fine_different("fine_a", "fine_b") <= FINE_DIFFERENT).select("a", "b")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -199,31 +218,33 @@ def links(docs: DataFrame, own: DataFrame) -> DataFrame:
 
         def each(number: int, key: bytes, text: str | None) -> list[tuple]:
             own = shingles(text, hashes)
-            return [(number, text, (own[:SKETCH] >> np.uint64(1)).astype(np.int64).tolist())] if len(own) and _class_of(own) == key else []
+            return [(number, text, fine_codes(own).tolist())] if len(own) and _class_of(own) == key else []
 
         return each
 
-    texts = written(map_rows(known.select("id", "key", "text"), same, "id long, text string, sketch array<long>"), "texts")
+    texts = written(map_rows(known.select("id", "key", "text"), same, "id long, text string, fine array<long>"), "texts")
     if texts.count() > members.count():
-        texts = texts.groupBy("id").agg(F.min(F.struct("text", "sketch")).alias("at")).select("id", "at.text", "at.sketch")
+        texts = texts.groupBy("id").agg(F.min(F.struct("text", "fine")).alias("at")).select("id", "at.text", "at.fine")
     few = max(FEW_PAIRS, FEW_PER_CLASS * own.count())
     size = lambda x, y: F.col(x) * 100 >= F.col(y) * SHARE
     open_members = posted.withColumn("component", F.col("id"))
     tested, edges, pivots = None, None, 1
     while True:
-        buckets = open_members.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("parts"))
+        buckets = open_members.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main"))
         buckets = written(buckets.where("parts > 1"), "buckets")
         left = buckets.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
         if not left:
             break
         here = open_members.join(buckets.select("token"), "token", "left_semi")
         if left <= few:
-            chosen = here
+            # All open pairs have an end outside of the bucket's largest component.
+            main = buckets.select("token", F.col("main.component").alias("main"))
+            chosen = here.join(main, "token").where("component <> main").drop("main")
         else:
             rank = F.row_number().over(Window.partitionBy("token").orderBy(F.col("central").desc(), "id"))
             chosen = written(here.withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank"), "pivots")
-        other = chosen.select(F.col("token").alias("at"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), F.col("codes").alias("pivot_codes"))
-        alike = size("n", "pivot_n") & size("pivot_n", "n") & (_different("codes", "pivot_codes") <= COORDINATES - THRESHOLD)
+        other = chosen.select(F.col("token").alias("at"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), *[F.col(f"code{i}").alias(f"pivot_code{i}") for i in range(_CODE_WORDS)])
+        alike = size("n", "pivot_n") & size("pivot_n", "n") & (_different("code", "pivot_code") <= COORDINATES - THRESHOLD)
         met = here.join(other, (F.col("token") == F.col("at")) & (F.col("component") != F.col("pivot_component")) & alike)
         pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         done = written(_compared(written(_candidates(pairs, texts, tested), "candidates"), texts), "compared")
