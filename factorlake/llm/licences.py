@@ -1,9 +1,11 @@
 """Licence scans by sentence rules (DataFrame functions only).
 
-A text is cut into sentences, each is normalised (lower case, runs of other characters than a-z and 0-9 to
-one blank), and known licence sentences become identifiers. The identifiers of a text, in order, are matched
-against ordered rules, longer ones first; what a rule matches is taken out, so that a shorter rule cannot
-count a part of it again. Sentences in between that aren't known do not part a sequence.
+A text is cut into pieces at sentence ends and line ends, each is normalised (lower case, runs of other
+characters than a-z and 0-9 to one blank), and known licence sentences become identifiers. A known sentence
+is a piece, or several in a row where only a single line end, ":" or ";" is in between: notices are wrapped.
+The identifiers of a text, in order, are matched against ordered rules, longer ones first; what a rule matches
+is taken out, so that a shorter rule cannot count a part of it again. Sentences in between that aren't known
+do not part a sequence. n_sentences counts the pieces.
 
 Defined cases: a null or empty text has no sentences and no licence; a rule that occurs again counts
 once; equal texts give equal results; an empty table gives no rows; other columns are left alone.
@@ -44,6 +46,16 @@ SENTENCES = {
     "this work is dedicated to the public domain": "cc0.named",
     "all rights reserved": "rights.reserved",
 }
+# Further sentences as the notices have them in full; several identifiers are joined by commas.
+_GPL = "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+NOTICES = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit.grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit.asis",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0": "apache2.obtain",
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2.obtain",
+    f"{_GPL} either version 3 of the license or at your option any later version": "gpl.grant,gpl3.later",
+    f"{_GPL} either version 2 of the license or at your option any later version": "gpl.grant,gpl2.later",
+}
 #: (licence, identifiers in order); longer sequences come first.
 RULES = [
     ("Apache-2.0", ["apache2.named", "apache2.comply", "apache2.obtain", "apache2.asis", "apache2.limits"]),
@@ -65,17 +77,29 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SENTENCE_END = r"[.!?;:]+([ \t\r\n]|$)"
 
 
-def sentences(text: Column) -> Column:
-    parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, "\n"), "\n")
-    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " "))), lambda s: s != "")
+# An end that no known sentence runs across, and one of ":" or ";", with what is left of its line.
+_HARD_END, _SOFT_END = r"[;:]*[.!?][.!?;:]*([ \t\r\n]|$)", r"[;:]+([ \t\r]*\n|[ \t\r]|$)"
+_KNOWN = SENTENCES | NOTICES
+_SENTENCE = "(?<=[\n|])(" + "|".join(k.replace(" ", "[ \n]") for k in sorted(_KNOWN, key=lambda k: (-len(k), k))) + ")(?=[\n|])"
+
+
+def pieces(text: Column) -> Column:
+    """The normalised pieces in one string: before and after each "|", or a line end where a sentence may go on."""
+    out = F.translate(F.coalesce(text, F.lit("")), _UPPER + "|", _LOWER + "_")
+    out = F.regexp_replace(F.regexp_replace(out, _HARD_END, "|"), _SOFT_END, "\n")
+    out = F.regexp_replace(out, "[^a-z0-9\n|]+", " ")
+    out = F.regexp_replace(out, " ?(?:\n ?\n|\n? ?[|])[ \n|]*", "|")
+    return F.concat(F.lit("|"), F.trim(F.regexp_replace(out, " ?\n ?", "\n")), F.lit("|"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids (comma-joined, in order), licences (comma-joined, sorted)."""
-    known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), sentences(F.col("text")).alias("s"))
-    ids = F.filter(F.transform("s", lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
-    out = out.select("doc_id", F.size("s").cast("long").alias("n_sentences"), ids.alias("ids"))
+    known = F.create_map(*[F.lit(x) for pair in _KNOWN.items() for x in pair])
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), pieces(F.col("text")).alias("p"))
+    found = F.transform(F.regexp_extract_all("p", F.lit(_SENTENCE), F.lit(1)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
+    ids = F.flatten(F.transform(found, lambda x: F.split(x, ",")))
+    out = out.withColumn("s", F.filter(F.split("p", "[\n|]"), lambda s: s != "")).withColumn("found", ids)
+    out = out.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.col("found").alias("ids"))
     out = out.withColumn("left", F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
     found = []
     for k, (licence, rule) in enumerate(RULES):

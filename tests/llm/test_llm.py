@@ -389,6 +389,74 @@ def test_licence_sequences(spark):
     assert got == {1: "MIT", 2: "Apache-2.0", 3: "MIT,Proprietary", 4: ""}
 
 
+_MIT = """Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM.
+"""
+_BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+"""
+_APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+_GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+
+
+def test_wrapped_licence_notices(spark):
+    gpl2 = _GPL.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2")
+    texts = {1: _MIT, 2: _BSD, 3: _APACHE, 4: _GPL, 5: gpl2, 6: _BSD[: _BSD.index("3. Neither")]}
+    want = {1: "MIT", 2: "BSD-3-Clause", 3: "Apache-2.0", 4: "GPL-3.0-or-later", 5: "GPL-2.0-or-later", 6: "BSD-2-Clause"}
+    commented = {i + 10: "/*\r\n" + "".join(f" * {line}\r\n" for line in t.splitlines()) + " */" for i, t in texts.items()}
+    apart = {20: "Released under the\n\nMIT License.", 21: "All rights. Reserved.", 22: "x Released under the MIT\nLicense."}
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(list((texts | commented | apart).items()), "doc_id long, text string")).collect()}
+    assert {i: r["licences"] for i, r in got.items()} == want | {i + 10: w for i, w in want.items()} | dict.fromkeys(apart, "")
+    assert got[3]["sentence_ids"] == got[13]["sentence_ids"] == "apache2.named,apache2.comply,apache2.obtain,apache2.asis,apache2.limits"
+
+
 def test_pipeline_stages_take_effect_and_keep_columns(spark, docs):
     now, labels = docs, table(spark, SF, "labels")
     net = toxicity.fit(toxicity.training_rows(docs, labels))
