@@ -3,7 +3,8 @@
 Base patterns run over the source text. Then transducers rewrite the text: homoglyphs and full-width
 forms to ASCII, runs of spelled digits to digits, at/dot disguises to @ and a point. Each output
 character keeps the source span it came from, so what the same patterns find in the rewritten text is
-mapped back to source offsets. A mapped span is added if it overlaps no base span.
+mapped back to source offsets. A mapped span is added if it overlaps no base span and no added span of its
+own kind: as in the source text, one number can be a card and a phone.
 
 Offsets are code points, end exclusive. Defined cases: a null text is empty and has no spans; equal
 texts give equal spans; a text without any disguise isn't rewritten; an empty table gives no rows;
@@ -113,16 +114,18 @@ _BRACKETED = re.compile(r"[ ]?[\[({<][ ]?(at|@|arroba|dot|\.|punkt|punto|point)[
 _WORDED = re.compile(r"(?<![\w.%+-])([\w.%+-]{1,64}) (?:at|AT|arroba|klammeraffe|arobase) ([\w-]{1,63}(?: (?:dot|DOT|punkt|punto|point) [\w-]{1,63}){1,5})(?![\w-])")
 _SPACED = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]{1,64}) ?@ ?([A-Za-z0-9-]{1,63}(?: ?\. ?[A-Za-z0-9-]{2,63}){1,5})(?![\w-])")
 _BRACKET_START = re.compile(r"[\[({<][ ]?(?:at|@|arroba|dot|\.|punkt|punto|point)[ ]?[\])}>]", re.I)
+#: What a match of _SPACED holds from its @ on, where only a point has a blank beside it.
+_SPACED_POINT = re.compile(r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{2,63}){0,4}(?: \. ?|\. )[A-Za-z0-9-]{2}")
 
 
 def _may_hide(text: str) -> bool:
-    """False if no transducer can change the text; far cheaper than to run them all."""
+    """False only if no transducer can change the text: each of their patterns, or what every match of it holds."""
     if not text.isascii() and _GLYPH.search(text):
         return True
-    low = text.lower()
-    if " @" in low or "@ " in low or any(f" {w} " in low for w in ("dot", "punkt", "punto", "point")):
+    if " @" in text or "@ " in text or "@" in text and _SPACED_POINT.search(text):
         return True
-    return bool(_BRACKET_START.search(low)) or (not _DIGIT_WORDS.keys().isdisjoint(low.replace("-", " ").split()) and bool(_SPELLED.search(text)))
+    low = text.lower()
+    return any(f" {w} " in low for w in ("dot", "punkt", "punto", "point")) or bool(_BRACKET_START.search(text)) or bool(_SPELLED.search(text))
 
 
 class Tape:
@@ -198,15 +201,16 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     tape = deobfuscate(text)
     if tape.text == text:
         return base, []
-    taken = bytearray(len(text) + 1)
+    shut = bytearray(len(text) + 1)
     for _, a, b in base:
-        taken[a:b] = b"\1" * (b - a)
+        shut[a:b] = b"\1" * (b - a)
+    taken = {kind: bytearray(shut) for kind in KINDS}
     added = []
     for kind, a, b in base_spans(tape.text):
         a, b = tape.start[a], tape.end[b - 1]
-        if not any(taken[a:b]):
+        if not any(taken[kind][a:b]):
             added.append((kind, a, b))
-            taken[a:b] = b"\1" * (b - a)
+            taken[kind][a:b] = b"\1" * (b - a)
     return base, sorted(added, key=order)
 
 

@@ -333,6 +333,22 @@ def test_disguises_map_back_to_the_source():
     assert base == [("email", 0, 7)] and len(added) == 1
 
 
+def test_the_filter_hides_no_disguise(monkeypatch):
+    assert pii.find("to john.doe@example . com now")[1] == [("email", 3, 25)]
+    phone = "+four 9 1 7 0 1 2 3 4 five"
+    assert pii.find(f"call {phone}.")[1] == [("phone", 5, 5 + len(phone))]
+    wide = "＋４９１７０１２３４５６７"
+    number = next(n for n in (wide[:-1] + chr(0xFF10 + d) for d in range(10)) if pii._luhn("".join(str(ord(c) - 0xFF10) for c in n[1:])))
+    assert pii.find(f"call {number} now")[1] == [("phone", 5, 18), ("card", 6, 18)]
+    rng = random.Random(23)
+    parts = ["john", "a.b", "@", " @", "@ ", ".", " .", ". ", " . ", "com", "example", " at ", " dot ", "[at]", "(dot)", " ", "-", "+", "four", "five", "FIVE", "4", "9 ", "7-", "one ", "two-", ",", "４", "а", "İ", "ſ", "ı"]
+    made = ["".join(rng.choices(parts, k=rng.randint(2, 14))) for _ in range(20_000)]
+    quick = [pii.find(t) for t in made]
+    assert sum(bool(added) for _, added in quick) > 100
+    monkeypatch.setattr(pii, "_may_hide", lambda text: True)
+    assert quick == [pii.find(t) for t in made]
+
+
 # -- benchmark passages ---------------------------------------------------------------------------------
 
 
