@@ -12,8 +12,9 @@ Only counts are shuffled, never the pages, unless the list of unimportant branch
 
 Defined cases: null or empty html gives empty text; a page without <article> or <main> gives its remaining
 body; a host of fewer than LEAST_PAGES pages has no unimportant branches; the branch with most text of a
-host is never unimportant, and a page that would lose all its text keeps it; a null url counts as a host of
-its own; repeated rows give repeated rows; an empty table gives no rows; other columns are left alone.
+host is never unimportant, and a page that would lose all its text keeps it, but for elements that are never
+article; html, body, main, article and what encloses them are not judged by the words of their classes and
+ids, except for articles inside another one; a null url counts as a host of its own; repeated rows give repeated rows; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -56,45 +57,83 @@ _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
+#: How surely an element is no article: by a word of its class or id, by other markup, by its tag.
+ARTICLE, NAMED, OTHER, NEVER = range(4)
+
+
 @dataclass
 class Node:
     tag: str
     path: str
-    other: bool  # no article, by its own markup or that of an ancestor
+    above: Node | None
+    rank: int  # ARTICLE to NEVER, by its own markup; in the end at least that of its parent
+    held: bool  # in an article element
     inside: bool  # in an article or main element
     children: list[str] = field(default_factory=list)
 
 
 @dataclass
 class Block:
-    path: str
-    other: bool
-    inside: bool
+    node: Node
     text: str
 
+    @property
+    def path(self) -> str:
+        return self.node.path
+
+    @property
+    def rank(self) -> int:
+        return self.node.rank
+
+    @property
+    def inside(self) -> bool:
+        return self.node.inside
+
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
 
 
-def _is_other(tag: str, given: dict[str, str], inside: bool) -> bool:
-    if tag in _NEVER or tag == "header" and not inside:
-        return True
+def _rank(tag: str, given: dict[str, str], inside: bool) -> int:
+    if tag in _NEVER:
+        return NEVER
+    if tag == "header" and not inside:
+        return OTHER
     if not given:
-        return False
+        return ARTICLE
     if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower() or given.get("role", "").lower() in _ROLES_OTHER:
-        return True
+        return OTHER
     for value in [*given.get("class", "").split(), given.get("id", "")]:
         names = {n.lower() for n in _NAME.findall(value)}
         if names & _NAMES_OTHER and not (names & _NAMES_ARTICLE and names & _NAMES_OTHER <= {"header", "banner"}):
-            return True
-    return False
+            return NAMED
+    return ARTICLE
+
+
+def _inherit(nodes: list[Node]) -> None:
+    """Ranks hold for all below, but words of a class or id don't for html, body, main, article and what encloses them.
+
+    Articles in another article (comments, say) keep theirs. Ones that the words speak against don't count as enclosed
+    if the page has a main element or others.
+    """
+    tops = [n for n in nodes if n.tag == "main" or n.tag == "article" and not n.held]
+    enclosed = [n for n in tops if n.tag == "main" or n.rank != NAMED] or tops
+    free = {id(n) for n in nodes if n.tag in ("html", "body")} | {id(n) for n in tops}
+    for node in enclosed:
+        up = node.above
+        while up is not None and not (id(up) in free and up.tag not in ("html", "body", "main", "article")):
+            free.add(id(up))
+            up = up.above
+    for node in nodes[1:]:
+        if node.rank == NAMED and id(node) in free:
+            node.rank = ARTICLE
+        node.rank = max(node.rank, node.above.rank)
 
 
 def blocks_of(page: str | None) -> tuple[list[Block], list[Node]]:
     """The text blocks of a page in order, and all its nodes."""
     page = page or ""
-    stack = [Node("", "", False, False)]
+    stack = [Node("", "", None, ARTICLE, False, False)]
     nodes: list[Node] = [stack[0]]
     blocks: list[Block] = []
     piece: list[str] = []
@@ -104,8 +143,7 @@ def blocks_of(page: str | None) -> tuple[list[Block], list[Node]]:
             text = _SPACE.sub(" ", html.unescape("".join(piece))).strip()
             piece.clear()
             if text:
-                top = stack[-1]
-                blocks.append(Block(top.path, top.other, top.inside, text))
+                blocks.append(Block(stack[-1], text))
 
     at, end = 0, len(page)
     while at < end:
@@ -146,19 +184,19 @@ def blocks_of(page: str | None) -> tuple[list[Block], list[Node]]:
             close = re.compile(rf"</{tag}\s*>?", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        other = top.other or _is_other(tag, given, top.inside)
+        rank = _rank(tag, given, top.inside)
         if tag in _VOID or (m[3] or "").rstrip().endswith("/") and tag not in _BLOCKS:
             continue
-        if tag in _BLOCKS or other and not top.other:
-            if other and not top.other:
-                flush()
+        if tag in _BLOCKS or rank:
+            flush()
             names = given.get("class", "").split()
             name = f"{tag}.{names[0]}" if names else tag
             top.children.append(name)
-            node = Node(tag, f"{top.path}/{name}", other, top.inside or tag in ("article", "main"))
+            node = Node(tag, f"{top.path}/{name}", top, rank, top.held or top.tag == "article", top.inside or tag in ("article", "main"))
             stack.append(node)
             nodes.append(node)
     flush()
+    _inherit(nodes)
     return blocks, nodes
 
 
@@ -232,7 +270,9 @@ def unimportant(pages: DataFrame) -> DataFrame:
 
 
 def main_text(page: str | None, low: set[str] | frozenset[str] = frozenset()) -> str:
-    blocks = [b for b in blocks_of(page)[0] if not b.other]
+    found = blocks_of(page)[0]
+    least = min((b.rank for b in found), default=ARTICLE)
+    blocks = [b for b in found if b.rank == least < NEVER]
     if any(b.inside for b in blocks):
         blocks = [b for b in blocks if b.inside]
     if low:

@@ -121,6 +121,19 @@ def test_html_blocks_and_what_is_left_out():
     assert html_text.main_text(None) == html_text.main_text("") == "" and html_text.main_text("a < b <br> c") == "a < b c"
 
 
+def test_words_of_classes_do_not_hide_the_article():
+    own = "<h1>A</h1><p>own words</p>"
+    ad = "<div class=ad>buy</div>"
+    for page in (
+        f'<body class="has-sidebar">{ad}<article>{own}</article></body>', f'<div class="elementor-widget"><article>{own}{ad}</article></div><p>rest',
+        f'<div id="page" class="with-header"><div class="widgets"><main class="no-sidebar">{own}</main></div></div>{ad}', f'<main><article class="post related-1">{own}</article></main>',
+        f'<html class="cookies"><body id="banner">{own}{ad}</body></html>', f'<div id="page" class="with-header">{own}</div><nav>menu</nav>', f'<div class="login"><article class="alert">{own}</article></div>{ad}<p>rest',
+        f'<article>{own}<div id="comments"><article class="comment">reader</article></div></article>', f'<main>{own}</main><div id="comments"><article class="comment"><p>reader</article></div>',
+    ):
+        assert html_text.main_text(page) == "A\n\nown words", page
+    assert html_text.main_text("<nav>menu</nav><footer>end</footer>") == ""
+
+
 def test_style_tree_removes_what_repeats_on_a_host(spark):
     rows = [(i, "http://h.example/%d" % i, f"<body><div class=x><p>Own words {i} and {i * 7}</p></div><div class=y>Same on all pages</div></body>") for i in range(20)]
     rows += [(100 + i, "http://few.example/", "<body><div class=y>Same on all pages</div></body>") for i in range(3)]
