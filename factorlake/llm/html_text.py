@@ -1,8 +1,8 @@
 """Main text of web pages by a site style tree.
 
 Each page becomes a tree of block elements; the trees of all pages of a host are merged by path (tag and
-first class of each ancestor). For every node of the merged tree Spark counts, over the host's pages, which
-presentations (sequences of child elements) and which contents (texts) occur. The entropy of these counts,
+first class of each ancestor). For every node of the merged tree Spark counts, over the host's distinct pages
+(copies count once), which presentations (sequences of child elements) and which contents (texts) occur. The entropy of these counts,
 to the base of the number of pages, is the node's importance: near 1 where pages differ, near 0 where they
 repeat. A node's composite importance weighs its own against its children's. Branches of low composite
 importance are removed from each page, beside what markup itself names as no article (menus, headers,
@@ -20,7 +20,6 @@ ids, except for articles inside another one; a null url counts as a host of its
 from __future__ import annotations
 
 import html
-import math
 import re
 import zlib
 from collections.abc import Callable
@@ -32,6 +31,8 @@ from pyspark.sql import functions as F
 from factorlake.llm.shared import map_rows, written
 
 LEAST_PAGES, LEAST_IMPORTANCE, GAMMA = 8, 0.2, 0.9
+#: Tasks that the leaves below one node are dealt to.
+SALTS = 64
 
 # Element and class names of HTML pages.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -190,7 +191,7 @@ def blocks_of(page: str | None) -> tuple[list[Block], list[Node]]:
         if tag in _BLOCKS or rank:
             flush()
             names = given.get("class", "").split()
-            name = f"{tag}.{names[0]}" if names else tag
+            name = f"{tag}.{names[0].replace('/', '|')}" if names else tag
             top.children.append(name)
             node = Node(tag, f"{top.path}/{name}", top, rank, top.held or top.tag == "article", top.inside or tag in ("article", "main"))
             stack.append(node)
@@ -214,7 +215,7 @@ def _signed(x: int) -> int:
 
 
 def style_rows(url: str | None, page: str | None) -> list[tuple]:
-    """Of one page: (host, path, presentation, content, chars), one row for each path that it has."""
+    """Of one page: (host, copy, path, presentation, content, chars), one row for each path that it has; pages of the same copy have the same rows."""
     blocks, nodes = blocks_of(page)
     shows: dict[str, list[str]] = {}
     for n in nodes:
@@ -223,34 +224,29 @@ def style_rows(url: str | None, page: str | None) -> list[tuple]:
     for b in blocks:
         texts.setdefault(b.path, []).append(b.text)
     host = host_of(url)
-    return [(host, p, _signed(_number("|".join(s))), _signed(_number("\n".join(texts[p]))) if p in texts else None, sum(map(len, texts.get(p, ())))) for p, s in shows.items()]
-
-
-def _composite(rows: list[dict]) -> list[str]:
-    """The paths of one host whose composite importance is low. rows: path, pages, presentation and content entropies, chars."""
-    of = {r["path"]: r for r in rows}
-    below: dict[str, list[str]] = {}
-    for p in of:
-        if p:
-            below.setdefault(p.rpartition("/")[0], []).append(p)
-    importance: dict[str, float] = {}
-    for p in sorted(of, key=lambda p: -p.count("/")):
-        r, kids = of[p], [importance[k] for k in below.get(p, ())]
-        base = math.log(r["pages"]) if r["pages"] > 1 else 0.0
-        own = [r["shown"] / base if base else 1.0] if kids else []
-        if r["said"] is not None:
-            own.append(r["said"] / base if base else 1.0)
-        node = max(own, default=0.0)
-        part = GAMMA ** len(kids)
-        # An element without text or children says nothing either way: it goes with its siblings.
-        importance[p] = (1 - part) * node + part * max(kids) if kids else node if own else 1.0
-    main = max(of, key=lambda p: (of[p]["chars"], p))
-    return sorted(p for p in of if p and importance[p] < LEAST_IMPORTANCE and of[p]["pages"] >= LEAST_PAGES and not (main + "/").startswith(p + "/"))
+    rows = [(p, _signed(_number("|".join(s))), _signed(_number("\n".join(texts[p]))) if p in texts else None, sum(map(len, texts.get(p, ())))) for p, s in shows.items()]
+    copy = _signed(_number(repr(rows)))
+    return [(host, copy, *r) for r in rows]
+
+
+def _chain(host: str, steps: list[dict]) -> list[tuple]:
+    """The composite importance that one leaf gives each of its ancestors. steps: depth, path, a, b of each, the leaf's own importance as a."""
+    out, value = [], None
+    for s in sorted(steps, key=lambda s: -s["depth"]):
+        value = s["a"] if value is None else s["a"] + s["b"] * value
+        out.append((host, s["path"], value))
+    return out
 
 
 def unimportant(pages: DataFrame) -> DataFrame:
-    """(host, paths): for each host that has any, the paths of its branches of low importance."""
-    rows = map_rows(pages.select("url", "html"), lambda: style_rows, "host string, path string, presentation long, content long, chars long")
+    """(host, paths): for each host that has any, the paths of its branches of low importance.
+
+    The composite importance of a node with k children is (1 - GAMMA^k) of its own plus GAMMA^k of its children's largest.
+    As that grows with each child's, it is the largest over the leaves below of the same sum along one chain. So no
+    step gathers a host: a leaf's chain is as long as it is deep, and all else are sums and maxima.
+    """
+    rows = map_rows(pages.select("url", "html"), lambda: style_rows, "host string, copy long, path string, presentation long, content long, chars long")
+    rows = written(rows.distinct().drop("copy"), "style-rows")
 
     def entropy(value: str) -> DataFrame:
         n = rows.where(f"{value} is not null").groupBy("host", "path", value).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
@@ -259,14 +255,28 @@ def unimportant(pages: DataFrame) -> DataFrame:
 
     shown = entropy("presentation").select("host", "path", "pages", F.col("h").alias("shown"), "chars")
     said = entropy("content").select("host", "path", F.col("h").alias("said"))
+    parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    kids = shown.where("path <> ''").groupBy("host", parent.alias("path")).agg(F.count("*").alias("kids"))
     # One row for each path of the merged tree, however many pages have it.
-    tree = shown.join(said, ["host", "path"], "left").groupBy("host").agg(F.collect_list(F.struct("path", "pages", "shown", "said", "chars")).alias("nodes"))
-
-    def low(host: str, nodes: list[dict]) -> list[tuple]:
-        found = _composite(nodes)
-        return [(host, found)] if found else []
-
-    return map_rows(tree, lambda: low, "host string, paths array<string>")
+    base = F.when(F.col("pages") > 1, F.log("pages"))
+    node = F.greatest(F.when(F.col("kids").isNotNull(), F.coalesce(F.col("shown") / base, F.lit(1.0))), F.when(F.col("said").isNotNull(), F.coalesce(F.col("said") / base, F.lit(1.0))))
+    part = F.pow(F.lit(GAMMA), F.col("kids"))
+    # An element without text or children says nothing either way: it goes with its siblings.
+    tree = shown.join(said, ["host", "path"], "left").join(kids, ["host", "path"], "left").select(
+        "host", "path", "pages", "chars", "kids", F.when(F.col("kids").isNull(), F.coalesce(node, F.lit(1.0))).otherwise((1 - part) * node).alias("a"), F.coalesce(part, F.lit(0.0)).alias("b"))
+    tree = written(tree, "style-nodes")
+
+    # Each leaf with all its ancestors, which share the tree's upper paths: those are met by (path, salt).
+    steps = F.split("leaf", "/")
+    above = tree.where("kids is null").select("host", F.col("path").alias("leaf")).withColumn("salt", F.pmod(F.xxhash64("leaf"), F.lit(SALTS)))
+    above = above.select("host", "leaf", "salt", F.explode(F.sequence(F.lit(1), F.size(steps))).alias("depth")).withColumn("path", F.array_join(F.slice(steps, 1, F.col("depth")), "/"))
+    salted = above.select("host", "path", "salt").distinct().join(tree.select("host", "path", "a", "b"), ["host", "path"])
+    chains = above.join(salted, ["host", "path", "salt"]).groupBy("host", "leaf").agg(F.collect_list(F.struct("depth", "path", "a", "b")).alias("steps"))
+    composite = map_rows(chains.select("host", "steps"), lambda: _chain, "host string, path string, importance double").groupBy("host", "path").agg(F.max("importance").alias("importance"))
+    main = tree.groupBy("host").agg(F.max(F.struct("chars", "path")).alias("main"))
+    low = composite.where(f"path <> '' and importance < {LEAST_IMPORTANCE}").join(tree.where(f"pages >= {LEAST_PAGES}").select("host", "path"), ["host", "path"])
+    low = low.join(main, "host").where(~F.startswith(F.concat("main.path", F.lit("/")), F.concat("path", F.lit("/"))))
+    return low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("paths"))
 
 
 def main_text(page: str | None, low: set[str] | frozenset[str] = frozenset()) -> str:

@@ -142,6 +142,52 @@ def test_style_tree_removes_what_repeats_on_a_host(spark):
     assert out[101]["text"] == "Same on all pages"
 
 
+def test_copies_of_a_page_do_not_make_a_host_unimportant(spark):
+    page = lambda i: f"<body><article><h1>Title {i}</h1><ul><li>item {i * 3}</ul><p>Own words {i} and more and more {i * 7}</p></article><div class=w-1/2><p>Same on all pages</div></body>"
+    rows = [(i, f"http://h.example/{i}", page(max(0, i - 190))) for i in range(210)]
+    out = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {i: "Title {0}\n\nitem {1}\n\nOwn words {0} and more and more {2}".format(n := max(0, i - 190), n * 3, n * 7) for i in range(210)}
+
+
+def _unimportant(pages):
+    """By the definition: each host's distinct pages, recursively."""
+    counts = defaultdict(lambda: defaultdict(lambda: (Counter(), Counter(), [])))
+    for host, _, path, shown, said, chars in {r for p in pages for r in html_text.style_rows(*p)}:
+        node = counts[host][path]
+        node[0][shown] += 1
+        node[1].update([said] if said is not None else [])
+        node[2].append(chars)
+    out = {}
+    for host, of in counts.items():
+        def importance(p, of=of):
+            kids = [q for q in of if q and q.rpartition("/")[0] == p]
+            pages = sum(of[p][0].values())
+            h = lambda c: 1.0 if pages < 2 or not c else (np.log(sum(c.values())) - sum(n * np.log(n) for n in c.values()) / sum(c.values())) / np.log(pages)
+            own = [h(of[p][0])] * bool(kids) + [h(of[p][1])] * bool(of[p][1])
+            return (1 - 0.9 ** len(kids)) * max(own) + 0.9 ** len(kids) * max(map(importance, kids)) if kids else max(own, default=1.0)
+
+        main = max(of, key=lambda p: (sum(of[p][2]), p))
+        low = sorted(p for p in of if p and importance(p) < 0.2 - 1e-12 and sum(of[p][0].values()) >= 8 and not (main + "/").startswith(p + "/"))
+        out |= {host: low} if low else {}
+    return out
+
+
+def test_style_tree_against_brute_force(spark):
+    rng = random.Random(31)
+
+    def element(depth):
+        tag, name = rng.choice(["div", "section", "p", "ul"]), rng.choice(["", " class=a", " class=b/c", f" class=post-{rng.randrange(99)}"])
+        inner = "".join(element(depth + 1) for _ in range(rng.randint(0, 2))) if depth < 4 and tag != "p" else ""
+        return f"<{tag}{name}>{rng.choice(['', 'same', 'same', str(rng.randrange(5))])}{inner}</{tag}>"
+
+    fixed = [element(0) for _ in range(6)]
+    pages = [(f"http://h{rng.randrange(4)}/", "<body>" + "".join(rng.sample(fixed, 3)) + rng.choice(["", element(0), f"<p>own {k}</p>"]) + "</body>") for k in range(300)]
+    pages += rng.choices(pages, k=60)
+    got = {r["host"]: r["paths"] for r in html_text.unimportant(spark.createDataFrame(pages, "url string, html string")).collect()}
+    want = _unimportant(pages)
+    assert got == want and len(want) > 2
+
+
 # -- shards, mix ----------------------------------------------------------------------------------------
 
 
