@@ -455,7 +455,7 @@ def factor_significance(spark, sf_dir):
 @query()
 def rbsa_exposures(spark, sf_dir):
     wide = factor_returns(spark, sf_dir).groupBy("date").pivot("factor", [f"f{i}" for i in range(5)]).agg(F.first("f"))
-    funds = log_returns(spark, sf_dir).where("asset <= 20").select("date", F.col("asset").cast("string").alias("ticker"), "r")
+    funds = log_returns(spark, sf_dir).select("date", F.col("asset").cast("string").alias("ticker"), "r")
     out = baselines.returns_based_exposures(wide, funds, [f"f{i}" for i in range(5)], CFG)
     return out.withColumn("beta", rounded(F.col("beta")))
 

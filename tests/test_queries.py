@@ -23,3 +23,13 @@ def test_equals_sql(spark, con, name):
 def test_runs(spark, name):
     df = catalogue.QUERIES[name](spark, SF)
     assert df.columns and df.count() >= 0
+
+
+def test_returns_based_exposures_of_every_fund(spark):
+    """sf0.01 has 100 suppliers, sf0.001 only 10."""
+    from factorlake.plans import risk_queries
+
+    larger = SF.replace("sf0.001", "sf0.01")
+    funds = {str(r[0]) for r in risk_queries.log_returns(spark, larger).groupBy("asset").count().where(f"count >= {risk_queries.CFG.least_returns}").collect()}
+    got = {r["ticker"] for r in catalogue.QUERIES["rbsa_exposures"](spark, larger).select("ticker").distinct().collect()}
+    assert got == funds and len(funds) > 20
