@@ -1,37 +1,54 @@
 """Bitemporal look-ups: `end` is when a value holds, `filed` when it became known.
 
-Each takes all as-of dates at once. Filings join the dates on filed <= date within an equality on the asset or
-behind a broadcast of the dates (their number is checked); the latest value is one aggregate, no sort.
+Each takes all as-of dates at once. Running windows of each (asset, field) give every value the interval of days in which it is
+the one known; intervals and dates then meet by calendar month, an equality that leaves few dates to compare. So rows come
+to the dates they answer, and not every filing to every later date.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: As-of dates are broadcast up to this many; beyond it, filings are ranked once per (asset, field) interval instead.
-MOST_DATES = 20_000
 
-
-def _known(filings: DataFrame, dates: DataFrame) -> DataFrame:
+def _at_dates(known: DataFrame, dates: DataFrame) -> DataFrame:
+    """known (..., _from, _until) at each as-of date with _from <= as_of < _until (null: no end), as rows (as_of, ...)."""
     days = dates.select(F.col("date").alias("as_of")).distinct()
-    if days.limit(MOST_DATES + 1).count() <= MOST_DATES:
-        days = F.broadcast(days)
-    return filings.join(days, F.col("filed") <= F.col("as_of"))
+    # One row: the first and the last date. Months outside of them are not made.
+    ends = days.agg(F.min("as_of").alias("_first"), F.max("as_of").alias("_last"))
+    rows = known.crossJoin(F.broadcast(ends)).where("_from <= _last and (_until is null or _until > _first)")
+    month = lambda c: F.trunc(c.cast("date"), "month")
+    months = F.sequence(month(F.greatest("_from", "_first")), month(F.coalesce(F.least("_until", "_last"), F.col("_last"))), F.expr("interval 1 month"))
+    rows = rows.withColumn("_month", F.explode(months)).drop("_first", "_last")
+    days = days.withColumn("_month", month(F.col("as_of")))
+    met = rows.join(days, "_month").where("_from <= as_of and (_until is null or as_of < _until)")
+    return met.select("as_of", *[c for c in known.columns if c not in ("_from", "_until")])
+
+
+def _next(c: Column | str, *by: str) -> Column:
+    return F.lead(c).over(Window.partitionBy(*by).orderBy("filed"))
 
 
 def latest(filings: DataFrame, dates: DataFrame) -> DataFrame:
     """(as_of, asset, field, val, end, filed): of what was known, the latest end, then its latest filing."""
-    at = F.max(F.struct("end", "filed", "val")).alias("at")
-    return _known(filings, dates).groupBy("as_of", "asset", "field").agg(at).select("as_of", "asset", "field", "at.val", "at.end", "at.filed")
+    each = filings.where("filed is not null").groupBy("asset", "field", "filed").agg(F.max(F.struct("end", "filed", "val")).alias("at"))
+    run = Window.partitionBy("asset", "field").orderBy("filed").rowsBetween(Window.unboundedPreceding, 0)
+    known = each.select("asset", "field", F.max("at").over(run).alias("at"), F.col("filed").alias("_from"), _next("filed", "asset", "field").alias("_until"))
+    return _at_dates(known, dates).select("as_of", "asset", "field", "at.val", "at.end", "at.filed")
 
 
 def history(filings: DataFrame, dates: DataFrame, periods: int = 5) -> DataFrame:
     """(as_of, asset, field, end, val, period): the last `periods` ends known, each as last filed; period 0 is the oldest."""
-    once = _known(filings, dates).groupBy("as_of", "asset", "field", "end").agg(F.max(F.struct("filed", "val")).alias("at"))
+    once = filings.where("filed is not null").groupBy("asset", "field", "end", "filed").agg(F.max("val").alias("val"))
+    ends = once.groupBy("asset", "field", "end").agg(F.min("filed").alias("first"))
+    # An end is out when `periods` later ones are known.
+    later = F.collect_list("first").over(Window.partitionBy("asset", "field").orderBy("end").rowsBetween(1, Window.unboundedFollowing))
+    ends = ends.select("asset", "field", "end", F.get(F.sort_array(later), F.lit(periods - 1)).alias("_out"))
+    known = once.withColumn("_next", _next("filed", "asset", "field", "end")).join(ends, ["asset", "field", "end"])
+    known = known.select("asset", "field", "end", "val", F.col("filed").alias("_from"), F.least("_next", "_out").alias("_until")).where("_until is null or _from < _until")
     w = Window.partitionBy("as_of", "asset", "field")
-    recent = once.withColumn("_r", F.row_number().over(w.orderBy(F.col("end").desc()))).where(F.col("_r") <= periods)
-    return recent.select("as_of", "asset", "field", "end", "at.val", (F.count("*").over(w) - F.col("_r")).cast("int").alias("period"))
+    at = _at_dates(known, dates)
+    return at.select("as_of", "asset", "field", "end", "val", (F.row_number().over(w.orderBy("end")) - 1).cast("int").alias("period"))
 
 
 def growth(past: DataFrame, least: int = 3) -> DataFrame:
