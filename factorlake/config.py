@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, replace
 
 # The factor vocabularies.
-STYLES = ("size", "momentum", "beta", "volatility", "liquidity", "value", "quality", "growth", "leverage")
+STYLES = ("size", "value", "growth", "momentum", "beta", "volatility", "liquidity", "quality", "leverage")
 FUNDAMENTALS = ("book_equity", "total_assets", "total_liabilities", "net_income", "shares_out", "op_cashflow", "revenues", "gross_profit", "cost_of_revenue", "dividends_paid", "sales_growth")
 
 

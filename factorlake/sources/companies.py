@@ -16,19 +16,48 @@ from pyspark.sql import functions as F
 FACT = "array<struct<end:date, filed:date, val:double, fp:string, start:date>>"
 FACTS = f"struct<cik:long, facts:map<string, map<string, struct<units:map<string, {FACT}>>>>>"
 
-# For each field the taxonomy tags that may hold it, first choice first, and whether it is an annual flow.
-CONCEPTS: dict[str, tuple[list[tuple[str, str]], bool]] = {
-    "book_equity": ([("us-gaap", "StockholdersEquity"), ("us-gaap", "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest")], False),
-    "total_assets": ([("us-gaap", "Assets")], False),
-    "total_liabilities": ([("us-gaap", "Liabilities")], False),
-    "net_income": ([("us-gaap", "NetIncomeLoss"), ("us-gaap", "ProfitLoss")], True),
-    "shares_out": ([("dei", "EntityCommonStockSharesOutstanding"), ("us-gaap", "CommonStockSharesOutstanding")], False),
-    "op_cashflow": ([("us-gaap", "NetCashProvidedByUsedInOperatingActivities")], True),
-    "revenues": ([("us-gaap", "RevenueFromContractWithCustomerExcludingAssessedTax"), ("us-gaap", "Revenues"), ("us-gaap", "SalesRevenueNet")], True),
-    "gross_profit": ([("us-gaap", "GrossProfit")], True),
-    "cost_of_revenue": ([("us-gaap", "CostOfRevenue"), ("us-gaap", "CostOfGoodsAndServicesSold")], True),
-    "dividends_paid": ([("us-gaap", "PaymentsOfDividendsCommonStock"), ("us-gaap", "PaymentsOfDividends")], True),
+# For each field the taxonomy tags that may hold it, first choice first.
+CONCEPTS: dict[str, list[tuple[str, str]]] = {
+    "book_equity": [
+        ("us-gaap", "StockholdersEquity"),
+        ("us-gaap", "StockholdersEquityIncludingPortionAttributableToNoncontrollingInterest"),
+        ("ifrs-full", "Equity"),
+    ],
+    "total_assets": [("us-gaap", "Assets"), ("ifrs-full", "Assets")],
+    "total_liabilities": [("us-gaap", "Liabilities"), ("ifrs-full", "Liabilities")],
+    "net_income": [("us-gaap", "NetIncomeLoss"), ("us-gaap", "ProfitLoss"), ("ifrs-full", "ProfitLoss")],
+    "shares_out": [
+        ("dei", "EntityCommonStockSharesOutstanding"),
+        ("us-gaap", "CommonStockSharesOutstanding"),
+        ("ifrs-full", "NumberOfSharesOutstanding"),
+    ],
+    "op_cashflow": [
+        ("us-gaap", "NetCashProvidedByUsedInOperatingActivities"),
+        ("us-gaap", "NetCashProvidedByUsedInOperatingActivitiesContinuingOperations"),
+        ("ifrs-full", "CashFlowsFromUsedInOperatingActivities"),
+    ],
+    "revenues": [
+        ("us-gaap", "Revenues"),
+        ("us-gaap", "RevenueFromContractWithCustomerExcludingAssessedTax"),
+        ("us-gaap", "RevenueFromContractWithCustomerIncludingAssessedTax"),
+        ("us-gaap", "SalesRevenueNet"),
+        ("ifrs-full", "Revenue"),
+    ],
+    "gross_profit": [("us-gaap", "GrossProfit"), ("ifrs-full", "GrossProfit")],
+    "cost_of_revenue": [
+        ("us-gaap", "CostOfRevenue"),
+        ("us-gaap", "CostOfGoodsAndServicesSold"),
+        ("us-gaap", "CostOfGoodsSold"),
+        ("ifrs-full", "CostOfSales"),
+    ],
+    "dividends_paid": [
+        ("us-gaap", "PaymentsOfDividendsCommonStock"),
+        ("us-gaap", "PaymentsOfDividends"),
+        ("ifrs-full", "DividendsPaidClassifiedAsFinancingActivities"),
+    ],
 }
+# The fields that are flows over a year.
+FLOWS = frozenset({"net_income", "op_cashflow", "revenues", "gross_profit", "cost_of_revenue", "dividends_paid"})
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
@@ -64,7 +93,7 @@ def fundamentals(raw: DataFrame) -> DataFrame:
     from factorlake.operators.pit import first_concept
 
     spark = raw.sparkSession
-    wanted = [(field, taxonomy, tag, p, flow) for field, (tags, flow) in CONCEPTS.items() for p, (taxonomy, tag) in enumerate(tags)]
+    wanted = [(field, taxonomy, tag, p, field in FLOWS) for field, tags in CONCEPTS.items() for p, (taxonomy, tag) in enumerate(tags)]
     # a fixed list of a few dozen tags
     tags = F.broadcast(spark.createDataFrame(wanted, "field string, taxonomy string, tag string, priority int, flow boolean"))
     both = concept_series(raw, False).withColumn("annual", F.lit(False)).unionByName(concept_series(raw, True).withColumn("annual", F.lit(True)))
