@@ -304,11 +304,11 @@ def json_props(spark, sf_dir):
 @query(duck("panel_w", body="""-- more
 r as (select asset, date, least(greatest(close / lag(close) over (partition by asset order by date) - 1, -1), 3) r from panel_w),
 c as (select asset, date, product(1 + r / 10) over (partition by asset order by date) - 1 c from r where r is not null)
-select asset, date, round(c, 4) + 0.0 cumulative from c where abs(c) < 1e4"""))
+select asset, date, round(ln(1 + c), 6) + 0.0 log_growth from c"""))
 def cumulative_returns(spark, sf_dir):
     r = panel_w(spark, sf_dir).withColumn("r", F.least(F.greatest(simple_return(F.col("close"), "asset", "date"), F.lit(-1.0)), F.lit(3.0))).where("r is not null")
     run = over("asset", "date").rowsBetween(Window.unboundedPreceding, 0)
-    return r.withColumn("c", F.product(1 + F.col("r") / 10).over(run) - 1).where("abs(c) < 1e4").select("asset", "date", rounded(F.col("c"), 4).alias("cumulative"))
+    return r.withColumn("c", F.product(1 + F.col("r") / 10).over(run) - 1).select("asset", "date", rounded(F.log1p("c")).alias("log_growth"))
 
 
 @query("select ts::date + ((12 - isodow(ts)) % 7)::int as week, event_type, count(*) n, count(distinct user_id) users, round(sum(value), 4) total from events group by all")
@@ -363,12 +363,11 @@ def set_operations(spark, sf_dir):
 
 
 @query(duck("panel_w", body="""-- more
-n as (select *, row_number() over (partition by asset order by date) i from panel_w where asset <= 10),
+n as (select *, row_number() over (partition by asset order by date) i from panel_w),
 e as (select *, (1 - 0.5::double ** (1 / 26::double)) * 0.5::double ** (i / 26::double) * sum((close / 1e4) ** 2 * 0.5::double ** (-i / 26::double)) over (partition by asset order by date) v from n)
 select asset, date, round(v, 6) v from e"""))
 def state_var_recursive(spark, sf_dir):
-    rows = panel_w(spark, sf_dir).where("asset <= 10")
-    return with_ewma(rows, (F.col("close") / 1e4) ** 2, "v", "asset", "date", 0.5 ** (1 / 26), seeded=False).select("asset", "date", rounded(F.col("v")).alias("v"))
+    return with_ewma(panel_w(spark, sf_dir), (F.col("close") / 1e4) ** 2, "v", "asset", "date", 0.5 ** (1 / 26), seeded=False).select("asset", "date", rounded(F.col("v")).alias("v"))
 
 
 @query(duck("panel_w", body="""-- more

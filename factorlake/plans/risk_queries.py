@@ -60,6 +60,26 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DIMS = [f"x{i}" for i in range(10)]
+
+
+def _ols(source: str, y: str, xs: list[str], by: str, centre: str) -> str:
+    """DuckDB tables o0, o1, ... that regress y on xs with an intercept for each `centre`, one fit for each `by`: ols (by, n, b0, b1, ..., sse).
+
+    Each regressor in turn is taken out of the later ones and of y; back substitution gives the slopes.
+    """
+    k = len(xs)
+    out = [f"o0 as (select *, {y} - avg({y}) over (partition by {centre}) y_0, " + ", ".join(f"{x} - avg({x}) over (partition by {centre}) x{i}_0" for i, x in enumerate(xs)) + f" from {source})"]
+    for j in range(k):
+        over_x = f"over (partition by {by}) / nullif(sum(x{j}_{j} ** 2) over (partition by {by}), 0)"
+        out.append(f"g{j} as (select *, coalesce(sum(x{j}_{j} * y_{j}) {over_x}, 0) c{j}" + "".join(f", coalesce(sum(x{j}_{j} * x{i}_{j}) {over_x}, 0) g{j}_{i}" for i in range(j + 1, k)) + f" from o{j})")
+        out.append(f"o{j + 1} as (select *, y_{j} - c{j} * x{j}_{j} y_{j + 1}" + "".join(f", x{i}_{j} - g{j}_{i} * x{j}_{j} x{i}_{j + 1}" for i in range(j + 1, k)) + f" from g{j})")
+    firsts = "".join(f", any_value(c{j}) c{j}" + "".join(f", any_value(g{j}_{i}) g{j}_{i}" for i in range(j + 1, k)) for j in range(k))
+    out.append(f"oc as (select {by}, count(*) n, sum(y_{k} ** 2) sse{firsts} from o{k} group by {by})")
+    slopes = "".join(f", c{j}" + "".join(f" - g{j}_{i} * b{i}" for i in range(j + 1, k)) + f" b{j}" for j in reversed(range(k)))
+    out.append(f"ols as (select {by}, n, sse{slopes} from oc)")
+    return ",\n".join(out)
+
+
 _XS = """-- more
 xs as (select date, asset, r, ln(volume) x, industry, cap from (select *, ln(close / lag(close) over (partition by asset order by date)) r from panel_q) where r is not null and volume > 0)"""
 _LR = """-- more
@@ -160,7 +180,10 @@ def factor_correlation(spark, sf_dir):
 
 
 def _factors(fr: DataFrame) -> list[str]:
-    return [r[0] for r in fr.select("factor").distinct().orderBy("factor").limit(covariance.MOST_FACTORS).collect()]
+    names = [r[0] for r in fr.select("factor").distinct().orderBy("factor").limit(covariance.MOST_FACTORS + 1).collect()]
+    if len(names) > covariance.MOST_FACTORS:
+        raise ValueError(f"more than {covariance.MOST_FACTORS} factors")
+    return names
 
 
 @query()
@@ -207,7 +230,16 @@ def bayes_shrink(spark, sf_dir):
     return specific.shrink(rows, CFG, by=["date"]).select("asset", "date", rounded(F.col("vol")).alias("vol"))
 
 
-@query()
+@query(duck("panel_w", "vecx", body=_SPECIFIC + """,
+wd as (select v.asset, industry::varchar industry, x0 size, x1 volatility, x2 liquidity, ts_vol, 1 fit from vecx v left join sv using (asset)),
+fit as (select *, ln(ts_vol) y from wd where ts_vol > 0),
+""" + _ols("fit", "y", ["size", "volatility", "liquidity"], "fit", "industry") + """,
+mi as (select industry, avg(y) my, avg(size) m0, avg(volatility) m1, avg(liquidity) m2 from fit group by industry),
+mo as (select avg(y) my, avg(size) m0, avg(volatility) m1, avg(liquidity) m2, count(*) n from fit),
+gs as (select wd.*, exp(coalesce(mi.my, mo.my) + b0 * (size - coalesce(mi.m0, mo.m0)) + b1 * (volatility - coalesce(mi.m1, mo.m1)) + b2 * (liquidity - coalesce(mi.m2, mo.m2))) guess
+  from wd left join mi using (industry) cross join mo cross join ols where mo.n >= 5),
+bd as (select avg(ts_vol / guess) smear, quantile_cont(ts_vol, 0.01) low, quantile_cont(ts_vol, 0.99) high from gs where ts_vol > 0)
+select asset, round(least(greatest(guess * smear, low), 1.5 * high), 6) structural, round(ts_vol, 6) ts_vol from gs, bd"""))
 def structural_prior(spark, sf_dir):
     own = specific.ewma_volatility(residuals(spark, sf_dir), CFG)
     wide = vecx(spark, sf_dir).select("asset", F.col("industry").cast("string").alias("industry"), F.col("x0").alias("size"), F.col("x1").alias("volatility"), F.col("x2").alias("liquidity"))
@@ -452,7 +484,14 @@ def factor_significance(spark, sf_dir):
     return rows.select("factor", "n", rounded(F.col("share")).alias("share"), rounded(F.col("mean_abs_t")).alias("mean_abs_t"))
 
 
-@query()
+_WIDE = ",\nwf as (select date, " + ", ".join(f"max(f) filter (factor = 'f{i}') f{i}" for i in range(5)) + " from fr group by date)"
+
+
+@query(duck("panel_w", body=_FR + _WIDE + f""",
+jt as (select asset::varchar ticker, lr.r, wf.*, row_number() over (partition by asset order by date desc) k from lr join wf using (date) where {" and ".join(f"f{i} is not null" for i in range(5))}),
+rc as (select * from jt where k <= {CFG.returns_window}),
+""" + _ols("rc", "r", [f"f{i}" for i in range(5)], "ticker", "ticker") + f"""
+select ticker, 'f' || i factor, round(case i when 0 then b0 when 1 then b1 when 2 then b2 when 3 then b3 else b4 end, 6) + 0.0 beta, n from ols, range(0, 5) t(i) where n >= {CFG.least_returns}"""))
 def rbsa_exposures(spark, sf_dir):
     wide = factor_returns(spark, sf_dir).groupBy("date").pivot("factor", [f"f{i}" for i in range(5)]).agg(F.first("f"))
     funds = log_returns(spark, sf_dir).select("date", F.col("asset").cast("string").alias("ticker"), "r")
@@ -460,7 +499,14 @@ def rbsa_exposures(spark, sf_dir):
     return out.withColumn("beta", rounded(F.col("beta")))
 
 
-@query()
+@query(duck("panel_w", body=_SC + ",\nfr as (select date, 'f' || (asset % 5) factor, avg(r) f from lr group by all)" + _WIDE + f""",
+jn as (select portfolio, realized_ret, wf.*, row_number() over (partition by portfolio order by date) i from sc join wf using (date) where {" and ".join(f"f{i} is not null" for i in range(5))}),
+cv as (select *, {", ".join(f"sum(f{a} * f{b} * {CFG.riskmetrics_decay}::double ** (-i)) over p / sum({CFG.riskmetrics_decay}::double ** (-i)) over p v{a}{b}" for a in range(5) for b in range(a, 5))}
+  from jn window p as (partition by portfolio order by date rows between unbounded preceding and 1 preceding)),
+wn as (select a.portfolio || '|' || a.i win, b.realized_ret, b.f0, b.f1, b.f2, b.f3, b.f4 from jn a join jn b on a.portfolio = b.portfolio and b.i between a.i - {CFG.french_window} and a.i - 1 where a.i > {CFG.french_window}),
+""" + _ols("wn", "realized_ret", [f"f{i}" for i in range(5)], "win", "win") + f"""
+select portfolio, date, round(sqrt({CFG.weeks_per_year} * greatest({" + ".join(f"{1 if a == b else 2} * b{a} * b{b} * v{a}{b}" for a in range(5) for b in range(a, 5))} + sse / {CFG.french_window - 6}, 0)), 6) ff
+from cv join ols on ols.win = portfolio || '|' || i"""))
 def ff_rolling(spark, sf_dir):
     wide = factor_returns(spark, sf_dir).groupBy("date").pivot("factor", [f"f{i}" for i in range(5)]).agg(F.first("f"))
     return baselines.french_forecasts(scores(spark, sf_dir), wide, CFG).withColumn("ff", rounded(F.col("ff")))
