@@ -1,18 +1,21 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
 A word is the sum of hashed embeddings: of the whole word and of its beginnings, so that unseen forms of
-a known stem still count. Filters of widths 1, 2 and 3 run over the words of the whole text; the
-greatest response of each filter (max pooling) feeds one logistic output. Training is Adagrad on the
-pooled positions only. Out-of-fold scores then calibrate one threshold for each language, which is told from
-the text's own function words; a score is the logistic of the distance to its language's threshold.
+a known stem still count. Every bucket of the hash table has an embedding. Filters of widths 1, 2 and 3 run over the words
+of the whole text; the greatest response of each filter (max pooling) feeds one logistic output. All weights start at
+random and are learned by Adagrad, with words and features dropped at random. In the first WARM epochs responses
+are averaged instead of pooled, so that every word learns which class it leans to; from then on only those at the maxima do.
+Out-of-fold scores calibrate one threshold for each language, which is told from the text's own function words; a score
+is the logistic of the distance to its language's threshold.
 
 The fit sees a bounded sample of labelled documents: those with the least hashes, at most MOST_TOXIC and
-MOST_CLEAN; everything else runs over all documents. Labels, lang, source and doc_id are no inputs of a score.
+MOST_CLEAN, of MOST_CHARS characters at most; it runs in the driver. All else runs over all documents and whole texts.
+Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts score as a text without any known word; equal texts have equal
 scores; labels other than 0 and 1 and null doc_ids are not learned from; a doc_id labelled twice is
-toxic if any of its labels is; with labels of only one class, or none, all scores are the base rate's side
-of 0.5; an empty table gives no rows; other columns are left alone.
+toxic if any of its labels is; of a doc_id with several texts the fit takes the least; with labels of only one class, or
+none, all scores are the base rate's side of 0.5; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -28,13 +31,13 @@ from pyspark.sql import functions as F
 
 from factorlake.llm.shared import map_rows
 
-MOST_TOXIC, MOST_CLEAN = 1500, 3000
-BUCKETS, DIM, FILTERS, WIDTHS = 1 << 20, 8, 4, (1, 2, 3)
+MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3000, 100_000
+BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 4, (1, 2, 3)
 SLOTS = sum(WIDTHS)
 BEGINNINGS = (4, 5, 6)
-LEAST_DOCS, MOST_BUCKETS, EPOCHS, BATCH, RATE, DECAY, FOLDS = 3, 2048, 8, 64, 0.05, 1e-4, 3
-#: Buckets whose shares among toxic and clean documents differ by fewer standard errors have no embedding.
-LEAST_Z = 2.5
+WARM, EPOCHS, BATCH, RATE, DROP, DECAY, FOLDS = 2, 9, 64, 0.05, 0.3, 1e-5, 3
+#: Words of a text that are pooled at once.
+SLICE = 1 << 15
 #: A language with fewer toxic documents in the sample takes the threshold of all.
 LEAST_FOR_LANGUAGE = 12
 
@@ -55,9 +58,9 @@ def words_of(text: str | None) -> list[str]:
 
 
 def features_of(word: str) -> list[int]:
-    """Hash buckets of the word and of its beginnings."""
+    """Hash buckets of the word and of its beginnings; BUCKETS, whose embedding is zero, for those that it is too short for."""
     parts = [f"={word}", *[word[:n] for n in BEGINNINGS if len(word) >= n]]
-    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
+    return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts] + [BUCKETS] * (1 + len(BEGINNINGS) - len(parts))
 
 
 def language_of(words: Iterable[str]) -> int:
@@ -70,55 +73,37 @@ def language_of(words: Iterable[str]) -> int:
 
 @dataclass
 class Network:
-    """kept: the buckets that have an embedding, to their rows; embed has one more row, of zeros."""
-
-    kept: dict[int, int]
-    embed: np.ndarray
-    filters: np.ndarray  # (DIM, SLOTS, FILTERS): the slots of width 1, then 2, then 3
+    embed: np.ndarray  # (BUCKETS + 1, DIM), the last one zero
+    filters: np.ndarray  # (DIM, SLOTS * FILTERS): the slots of width 1, then 2, then 3
     bias: np.ndarray  # (widths, FILTERS)
     out: np.ndarray  # (widths, FILTERS)
     base: float
     thresholds: dict[int, float] = field(default_factory=dict)
 
-    def rows_of(self, word: str) -> list[int]:
-        return [r for b in features_of(word) if (r := self.kept.get(b)) is not None]
+    def slots(self, features: np.ndarray) -> np.ndarray:
+        """Per word, of which (words, features) are given: its part in each position of each filter."""
+        return (self.embed[features].sum(axis=1) @ self.filters).reshape(-1, SLOTS, FILTERS)
+
+    def logit(self, best: np.ndarray) -> np.ndarray:
+        return (np.maximum(best + self.bias, 0) * self.out).sum(axis=(-2, -1)) + self.base
 
 
 _FIRST_SLOT = np.cumsum([0, *WIDTHS[:-1]])
-_WIDTH_OF_SLOT = np.repeat(np.arange(len(WIDTHS)), WIDTHS)
-_OFFSET_OF_SLOT = np.concatenate([np.arange(w) for w in WIDTHS])
-_EACH, _PAD = np.arange(FILTERS), max(WIDTHS) - 1
-
-
-def pooled(slots: np.ndarray, words: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greatest response of each filter and where it begins; slots: by word, (SLOTS, FILTERS)."""
-    best, where = np.empty_like(bias), np.empty(bias.shape, np.int64)
-    z_of = slots[words]
-    for k, width in enumerate(WIDTHS):
-        n, at = len(words) - width + 1, _FIRST_SLOT[k]
-        z = z_of[:n, at]
-        for j in range(1, width):
-            z = z + z_of[j : n + j, at + j]
-        where[k] = z.argmax(axis=0)
-        best[k] = z[where[k], _EACH] + bias[k]
-    return best, where
-
-
-def condensed(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Words with blank ones (0) at both ends and without the middles of long runs of words that have no
-    embedding: every different window remains, so every maximum does."""
-    words = np.concatenate([np.zeros(_PAD, np.int64), words, np.zeros(_PAD + 1, np.int64)])
-    near = counts[words]
-    wide = near.copy()
-    for d in range(1, _PAD + 1):
-        wide[d:] |= near[:-d]
-        wide[:-d] |= near[d:]
-    wide[: _PAD + 1] = True
-    return np.where(near, words, 0)[wide]
+#: Blank words before each text and after the last, so that every window fits.
+_PAD = max(WIDTHS) - 1
+
+
+def responses(z: np.ndarray, k: int) -> np.ndarray:
+    """Of the filters of width k at each word; z: by word, (SLOTS, FILTERS), with _PAD blank words at the end."""
+    n, at = len(z) - _PAD, _FIRST_SLOT[k]
+    out = z[:n, at].copy()
+    for j in range(1, WIDTHS[k]):
+        out += z[j : n + j, at + j]
+    return out
 
 
 class Sample:
-    """Labelled texts as word numbers from 1; buckets: per word its hash buckets."""
+    """Labelled texts as word numbers from 1 (0 is the blank word); features: per word its hash buckets."""
 
     def __init__(self, rows: list[tuple[str | None, int]]) -> None:
         number: dict[str, int] = {}
@@ -127,143 +112,130 @@ class Sample:
             words = words_of(text)
             self.languages.append(language_of(words))
             self.docs.append(np.array([number.setdefault(w, len(number) + 1) for w in words], np.int64))
-        self.distinct = [np.unique(d) for d in self.docs]
-        self.n = len(number)
-        buckets = [features_of(w) for w in number]
-        self.starts = np.concatenate([[0, 0], np.cumsum([len(b) for b in buckets])]).astype(np.int64)
-        flat = np.array([b for bs in buckets for b in bs], np.int64)
-        self.known, self.slot = np.unique(flat, return_inverse=True)
-
-    def slots_of(self, words: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.slot[self.starts[w] : self.starts[w + 1]] for w in words]) if len(words) else np.zeros(0, np.int64)
-
-
-def _telling(sample: Sample, chosen: np.ndarray, toxic: float, clean: float) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets whose share of toxic documents differs most from that of clean ones, and their log odds."""
-    have = np.zeros((2, len(sample.known)))
-    for i in chosen:
-        have[int(sample.labels[i]), np.unique(sample.slots_of(sample.distinct[i]))] += 1
-    share = (have + 0.5) / (np.array([[clean], [toxic]]) + 1)
-    both = (have.sum(axis=0) + 1) / (toxic + clean + 2)
-    z = (share[1] - share[0]) / np.sqrt(both * (1 - both) * (1 / toxic + 1 / clean) + 1e-12)
-    enough = have.sum(axis=0) >= LEAST_DOCS
-    order = np.argsort(-np.abs(z) * enough, kind="stable")[: min(MOST_BUCKETS, int(enough.sum()))]
-    order = np.sort(order[np.abs(z[order]) >= LEAST_Z])
-    return order, np.log(share[1, order]) - np.log(share[0, order])
+        self.features = np.array([[BUCKETS] * (1 + len(BEGINNINGS)), *map(features_of, number)], np.int64)
+
+    def batch(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[slice]]:
+        """(distinct words, each position's place among them, each text's positions with the blanks before it)."""
+        blank, parts, spans, at = np.zeros(_PAD, np.int64), [], [], 0
+        for i in chosen:
+            parts += [blank, self.docs[i]]
+            spans.append(slice(at, at := at + _PAD + len(self.docs[i])))
+        words, places = np.unique(np.concatenate([*parts, blank]), return_inverse=True)
+        return words, places, spans
+
+
+def random_network(labels: np.ndarray, rng: np.random.Generator) -> Network:
+    toxic, clean = max(1.0, labels.sum()), max(1.0, len(labels) - labels.sum())
+    embed = rng.normal(0, 0.01, (BUCKETS + 1, DIM)).astype(np.float32)
+    embed[-1] = 0
+    # The last filter of each width speaks against toxicity.
+    out = rng.uniform(0.3, 0.6, (len(WIDTHS), FILTERS)) * np.where(np.arange(FILTERS) < FILTERS - 1, 1, -1)
+    return Network(embed, rng.normal(0, 0.3, (DIM, SLOTS * FILTERS)).astype(np.float32), np.zeros((len(WIDTHS), FILTERS), np.float32), out.astype(np.float32), float(np.log(toxic / clean)))
 
 
 def train(sample: Sample, chosen: np.ndarray, seed: int = 7) -> Network:
     rng = np.random.default_rng(seed)
     y = sample.labels[chosen]
-    toxic, clean = max(1.0, y.sum()), max(1.0, len(y) - y.sum())
-    telling, odds = _telling(sample, chosen, toxic, clean)
-    n = len(telling)
-    embed = np.concatenate([rng.normal(0, 0.05, (n, DIM)), np.zeros((1, DIM))])
-    embed[:-1, 0] = np.clip(odds, -2, 4) / 4
-    filters = rng.normal(0, 0.1, (DIM, SLOTS, FILTERS))
-    filters[0, :, 0] = 1.0
-    kept = dict(zip(sample.known[telling].tolist(), range(n), strict=True))
-    net = Network(kept, embed, filters, np.zeros((len(WIDTHS), FILTERS)), rng.normal(0, 0.1, (len(WIDTHS), FILTERS)), float(np.log(toxic / clean)))
-    net.out[:, 0] = 1.0
-    if y.min(initial=1) == y.max(initial=0) or not n:
+    net = random_network(y, rng)
+    if not 0 < y.sum() < len(y):
         net.out[:] = 0
         return net
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
+    squares = {k: np.full_like(getattr(net, k), 1e-4) for k in ("embed", "filters", "bias", "out")}
+    base_square = 1e-4
+
+    def step(name: str, grad: np.ndarray, at: slice | np.ndarray = slice(None)) -> None:
+        squares[name][at] += grad**2
+        getattr(net, name)[at] -= RATE * grad / np.sqrt(squares[name][at])
 
-    row_of = np.full(len(sample.known), n)
-    row_of[telling] = np.arange(n)
-    widest = 1 + len(BEGINNINGS)
-    rows = np.full((sample.n + 1, widest), n)
-    lengths = np.diff(sample.starts)
-    for k in range(widest):
-        has = np.flatnonzero(lengths > k)
-        rows[has, k] = row_of[sample.slot[sample.starts[has] + k]]
-    counts = (rows < n).any(axis=1)
-    # words without an embedding are all the blank word
-    number = np.where(counts, np.cumsum(counts), 0)
-    docs = [number[condensed(sample.docs[i], counts)] for i in chosen]
-    rows = np.concatenate([np.full((1, widest), n), rows[counts]])
-    weight = np.where(y > 0, 0.5 / toxic, 0.5 / clean) * len(y)
-    squares = {k: np.full(getattr(net, k).shape, 1e-6) for k in ("embed", "filters", "bias", "out")}
-    base_square = 1e-6
-
-    def step(name: str, grad: np.ndarray) -> None:
-        squares[name] += grad**2
-        value = getattr(net, name)
-        value -= RATE * grad / np.sqrt(squares[name])
-
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(docs))
+    for epoch in range(EPOCHS):
+        order = rng.permutation(len(chosen))
         for a in range(0, len(order), BATCH):
-            batch = order[a : a + BATCH]
-            vectors = net.embed[rows].sum(axis=1)
-            slots = (vectors @ net.filters.reshape(DIM, -1)).reshape(-1, SLOTS, FILTERS)
-            grad = np.zeros_like(slots)
-            g_out, g_bias, g_base = np.zeros_like(net.out), np.zeros_like(net.bias), 0.0
-            for i in batch:
-                best, where = pooled(slots, docs[i], net.bias)
-                active = np.maximum(best, 0)
-                p = 1 / (1 + np.exp(-np.clip((active * net.out).sum() + net.base, -30, 30)))
-                g = weight[i] * (p - y[i]) / len(batch)
-                g_base += g
-                g_out += g * active
-                g_best = g * net.out * (best > 0)
-                g_bias += g_best
-                words = docs[i][where[_WIDTH_OF_SLOT] + _OFFSET_OF_SLOT[:, None]]
-                np.add.at(grad, (words, np.arange(SLOTS)[:, None], _EACH), g_best[_WIDTH_OF_SLOT])
-            g_vectors = (grad.reshape(len(grad), -1) @ net.filters.reshape(DIM, -1).T)
-            g_embed = DECAY * net.embed
-            for k in range(widest):
-                for d in range(DIM):
-                    g_embed[:, d] += np.bincount(rows[:, k], g_vectors[:, d], n + 1)
-            g_embed[-1] = 0
-            step("filters", (vectors.T @ grad.reshape(len(grad), -1)).reshape(net.filters.shape) + DECAY * net.filters)
-            step("embed", g_embed)
-            step("bias", g_bias)
-            step("out", g_out + DECAY * net.out)
-            base_square += g_base**2
-            net.base -= RATE * g_base / np.sqrt(base_square)
+            own = order[a : a + BATCH]
+            words, places, spans = sample.batch(chosen[own])
+            features = sample.features[words]
+            features[rng.random(features.shape) < DROP] = BUCKETS
+            features[rng.random(len(features)) < DROP] = BUCKETS
+            z = net.slots(features)[places]
+            best, where = np.empty((len(own), *net.bias.shape), np.float32), np.empty((len(own), *net.bias.shape), np.int64)
+            for k in range(len(WIDTHS)):
+                at_each = responses(z, k)
+                for d, span in enumerate(spans):
+                    part = at_each[span]
+                    where[d, k] = part.argmax(axis=0)
+                    best[d, k] = part.sum(axis=0) / np.sqrt(len(part)) if epoch < WARM else part[where[d, k], np.arange(FILTERS)]
+            before = best + net.bias
+            active = before if epoch < WARM else np.maximum(before, 0)
+            logit = (active * net.out).sum(axis=(1, 2)) + net.base
+            g = (weight[own] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[own]) / len(own)).astype(np.float32)
+            g_best = g[:, None, None] * net.out * (1 if epoch < WARM else before > 0)
+            g_z = np.zeros_like(z)
+            for d, span in enumerate(spans):
+                for k, width in enumerate(WIDTHS):
+                    for j in range(width):
+                        if epoch < WARM:
+                            g_z[span.start + j : span.stop + j, _FIRST_SLOT[k] + j] += g_best[d, k] / np.sqrt(span.stop - span.start)
+                        else:
+                            g_z[span.start + where[d, k] + j, _FIRST_SLOT[k] + j, np.arange(FILTERS)] += g_best[d, k]
+            touched = np.flatnonzero(g_z.any(axis=(1, 2)))
+            g_slots = np.zeros((len(words), SLOTS * FILTERS), np.float32)
+            np.add.at(g_slots, places[touched], g_z[touched].reshape(len(touched), -1))
+            g_words = np.repeat(g_slots @ net.filters.T, features.shape[1], axis=0)
+            flat = features.ravel()
+            learned = (flat < BUCKETS) & g_words.any(axis=1)
+            rows, of = np.unique(flat[learned], return_inverse=True)
+            g_embed = DECAY * net.embed[rows]
+            np.add.at(g_embed, of, g_words[learned])
+            step("filters", net.embed[features].sum(axis=1).T @ g_slots)
+            step("embed", g_embed, rows)
+            step("bias", g_best.sum(axis=0))
+            step("out", (g[:, None, None] * active).sum(axis=0))
+            base_square += float(g.sum()) ** 2
+            net.base -= RATE * float(g.sum()) / np.sqrt(base_square)
     return net
 
 
 class Scorer:
     """Scores texts; remembers the filter responses of words it has met, until they are `most`."""
 
-    def __init__(self, net: Network, most: int = 300_000) -> None:
+    def __init__(self, net: Network, most: int = 200_000) -> None:
         self.net, self.most = net, most
         self.forget()
 
     def forget(self) -> None:
-        # Word 0 is any without embedding, 1 and on are the function words by language, then those with embeddings.
         self.number: dict[str, int] = {}
-        self.slots = np.zeros((2048, SLOTS, FILTERS))
-        self.languages = np.full(2048, len(LANGUAGES) - 1)
-        self.counts = np.zeros(2048, bool)
-        self.used = 1
-
-    def _learn(self, word: str) -> int:
-        rows = self.net.rows_of(word)
-        if not rows and word not in _LANGUAGE_OF:
-            self.number[word] = 0
-            return 0
-        if self.used == len(self.counts):
-            self.slots = np.concatenate([self.slots, np.zeros_like(self.slots)])
-            self.languages = np.concatenate([self.languages, np.full_like(self.languages, len(LANGUAGES) - 1)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        at = self.number[word] = self.used
-        self.used += 1
-        self.slots[at] = (self.net.embed[rows].sum(axis=0) @ self.net.filters.reshape(DIM, -1)).reshape(SLOTS, FILTERS)
-        self.languages[at], self.counts[at] = _LANGUAGE_OF.get(word, len(LANGUAGES) - 1), bool(rows)
-        return at
+        self.slots = np.zeros((4096, SLOTS, FILTERS), np.float32)
+        self.languages = np.full(4096, len(LANGUAGES) - 1)
+        self.used = 1  # 0 is the blank word
 
-    def logit(self, text: str | None) -> tuple[float, int]:
+    def _ids(self, words: list[str]) -> np.ndarray:
         if len(self.number) > self.most:
             self.forget()
-        known, learn = self.number, self._learn
-        ids = np.array([known[w] if w in known else learn(w) for w in words_of(text)], np.int64)
-        told = np.bincount(self.languages[ids], minlength=len(LANGUAGES))[:-1]
-        language = int(told.argmax()) if told.any() else len(LANGUAGES) - 1
-        best, _ = pooled(self.slots, condensed(ids, self.counts), self.net.bias)
-        return float((np.maximum(best, 0) * self.net.out).sum() + self.net.base), language
+        known = self.number
+        if new := [w for w in dict.fromkeys(words) if w not in known]:
+            while self.used + len(new) > len(self.languages):
+                self.slots = np.concatenate([self.slots, np.zeros_like(self.slots)])
+                self.languages = np.concatenate([self.languages, np.full_like(self.languages, len(LANGUAGES) - 1)])
+            to = self.used + np.arange(len(new))
+            self.slots[to] = self.net.slots(np.array([features_of(w) for w in new], np.int64))
+            self.languages[to] = [_LANGUAGE_OF.get(w, len(LANGUAGES) - 1) for w in new]
+            known.update(zip(new, to.tolist(), strict=True))
+            self.used += len(new)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def logit(self, text: str | None) -> tuple[float, int]:
+        words, told = words_of(text), np.zeros(len(LANGUAGES), np.int64)
+        best = np.full(self.net.bias.shape, -np.inf, np.float32)
+        # Slices overlap by the windows that reach over their ends; blanks are before the first and after the last.
+        for a in range(0, max(1, len(words)), SLICE):
+            ids = self._ids(words[a : a + SLICE + _PAD])
+            told += np.bincount(self.languages[ids[:SLICE]], minlength=len(LANGUAGES))
+            ids = np.concatenate([np.zeros(_PAD * (a == 0), np.int64), ids, np.zeros(min(_PAD, max(0, a + SLICE + _PAD - len(words))), np.int64)])
+            z = self.slots[ids]
+            for k in range(len(WIDTHS)):
+                best[k] = np.maximum(best[k], responses(z, k).max(axis=0, initial=-np.inf))
+        language = int(told[:-1].argmax()) if told[:-1].any() else len(LANGUAGES) - 1
+        return float(self.net.logit(best)), language
 
     def score(self, text: str | None) -> tuple[float, str]:
         value, language = self.logit(text)
@@ -313,12 +285,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOX
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
     some = [known.where(F.col("toxic") == y).orderBy("order", "doc_id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
     chosen = some[0].unionByName(some[1])
-    # At most most_toxic + most_clean rows of two numbers: a proven bound.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    found = texts.select("order", "doc_id", "toxic", "text").limit(2 * (most_toxic + most_clean)).collect()
+    # At most most_toxic + most_clean rows of three numbers: a proven bound. So are as many texts of MOST_CHARS characters.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = texts.where(F.length("text") <= MOST_CHARS).groupBy("order", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     out: dict[str, int] = {}
-    for r in sorted(found, key=lambda r: (r["order"], r["doc_id"], r["text"] or "")):
-        out.setdefault(r["text"] or "", r["toxic"])
+    for r in sorted(found, key=lambda r: (r["order"], r["doc_id"])):
+        out.setdefault(r["text"], r["toxic"])
     return list(out.items())
 
 
