@@ -3,18 +3,18 @@
 Each page becomes a tree of block elements; the trees of all pages of a host are merged by path (tag and
 first class of each ancestor). For every node of the merged tree Spark counts, over the host's distinct pages
 (copies count once), which presentations (sequences of child elements) and which contents (texts) occur. The entropy of these counts,
-to the base of the number of pages, is the node's importance: near 1 where pages differ, near 0 where they
-repeat. A node's composite importance weighs its own against its children's. Branches of low composite
+to the base of the number of pages, drawn towards 1 as by PRIOR more pages, is the node's importance: near 1 where pages differ, near 0 where
+many repeat. A node's composite importance weighs its own against its children's. Branches of low composite
 importance are removed from each page, beside what markup itself names as no article (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, comments).
 
 Only counts are shuffled, never the pages, unless the list of unimportant branches is too long to broadcast.
 
 Defined cases: null or empty html gives empty text; a page without <article> or <main> gives its remaining
-body; a host of fewer than LEAST_PAGES pages has no unimportant branches; the branch with most text of a
+body; the branch with most text of a
 host is never unimportant, and a page that would lose all its text keeps it, but for elements that are never
 article; html, body, main, article and what encloses them are not judged by the words of their classes and
-ids, except for articles inside another one; a null url counts as a host of its own; repeated rows give repeated rows; an empty table gives no rows; other columns are left alone.
+ids, except for articles inside another one; inside an article or main element a class or id must consist of such words only; a null url counts as a host of its own; repeated rows give repeated rows; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 
 from factorlake.llm.shared import map_rows, written
 
-LEAST_PAGES, LEAST_IMPORTANCE, GAMMA = 8, 0.2, 0.9
+LEAST_IMPORTANCE, GAMMA = 0.2, 0.9
+#: Pages without any repetition that each node is thought to have besides its own: what few pages show says little.
+PRIOR = 2
 #: Tasks that the leaves below one node are dealt to.
 SALTS = 64
 
@@ -48,6 +50,8 @@ _NAMES_OTHER = frozenset(
     " aside footer header masthead topbar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup social share sharing"
     " related recommended recommendations widget widgets comment comments commentlist disqus respond replies reply login search searchbox pagination pager toolbar copyright disclaimer".split()
 )
+# Words that add nothing to a class name.
+_NAMES_ANY = frozenset("area bar block bottom box btn button buttons card column container content fixed form group header icon icons inline inner item items left link links list module outer panel posts right row section slot small text title top unit wrap wrapper".split())
 _NAMES_ARTICLE = frozenset("article post entry content main story".split())
 _ROLES_OTHER = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
@@ -70,6 +74,7 @@ class Node:
     rank: int  # ARTICLE to NEVER, by its own markup; in the end at least that of its parent
     held: bool  # in an article element
     inside: bool  # in an article or main element
+    inline: bool = False  # it and what is in it parts no block
     children: list[str] = field(default_factory=list)
 
 
@@ -105,7 +110,9 @@ def _rank(tag: str, given: dict[str, str], inside: bool) -> int:
     if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower() or given.get("role", "").lower() in _ROLES_OTHER:
         return OTHER
     for value in [*given.get("class", "").split(), given.get("id", "")]:
-        names = {n.lower() for n in _NAME.findall(value)}
+        names = {n.lower() for n in _NAME.findall(value) if not n.isdigit()}
+        if inside and names - _NAMES_OTHER - _NAMES_ANY:
+            continue
         if names & _NAMES_OTHER and not (names & _NAMES_ARTICLE and names & _NAMES_OTHER <= {"header", "banner"}):
             return NAMED
     return ARTICLE
@@ -137,40 +144,55 @@ def blocks_of(page: str | None) -> tuple[list[Block], list[Node]]:
     stack = [Node("", "", None, ARTICLE, False, False)]
     nodes: list[Node] = [stack[0]]
     blocks: list[Block] = []
+    # Text of the current block, and of an inline element in it that is no article.
     piece: list[str] = []
+    buried: list[str] = []
+
+    def put(parts: list[str], node: Node) -> None:
+        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
+        parts.clear()
+        if text:
+            blocks.append(Block(node, text))
 
     def flush() -> None:
+        k = len(stack)
+        while stack[k - 1].inline:
+            k -= 1
+        if buried:
+            put(buried, stack[k])
         if piece:
-            text = _SPACE.sub(" ", html.unescape("".join(piece))).strip()
-            piece.clear()
-            if text:
-                blocks.append(Block(stack[-1], text))
+            put(piece, stack[k - 1])
 
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
+        stop = m.start() if m else end
+        if stop > at:
+            (buried if stack[-1].inline else piece).append(page[at:stop])
         if not m:
-            piece.append(page[at:])
             break
-        if m.start() > at:
-            piece.append(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if not tag:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag in _BLOCKS or any(n.tag == tag for n in stack[1:]):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == tag:
+                    if not stack[k].inline:
+                        flush()
+                    elif buried and not stack[k - 1].inline:
+                        put(buried, stack[k])
+                    del stack[k:]
+                    break
+                if tag not in _BLOCKS and not stack[k].inline:
+                    break
+            else:
                 if tag in _BLOCKS:
                     flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        flush()
-                        del stack[k:]
-                        break
             continue
         if tag == "br":
-            piece.append(" ")
+            (buried if stack[-1].inline else piece).append(" ")
             continue
         if tag in _BLOCKS:
             flush()
@@ -188,14 +210,17 @@ def blocks_of(page: str | None) -> tuple[list[Block], list[Node]]:
         rank = _rank(tag, given, top.inside)
         if tag in _VOID or (m[3] or "").rstrip().endswith("/") and tag not in _BLOCKS:
             continue
-        if tag in _BLOCKS or rank:
-            flush()
+        if tag in _BLOCKS:
             names = given.get("class", "").split()
             name = f"{tag}.{names[0].replace('/', '|')}" if names else tag
             top.children.append(name)
             node = Node(tag, f"{top.path}/{name}", top, rank, top.held or top.tag == "article", top.inside or tag in ("article", "main"))
-            stack.append(node)
-            nodes.append(node)
+        elif rank or top.inline:
+            node = Node(tag, top.path, top, rank, top.held, top.inside, True)
+        else:
+            continue
+        stack.append(node)
+        nodes.append(node)
     flush()
     _inherit(nodes)
     return blocks, nodes
@@ -219,10 +244,13 @@ def style_rows(url: str | None, page: str | None) -> list[tuple]:
     blocks, nodes = blocks_of(page)
     shows: dict[str, list[str]] = {}
     for n in nodes:
+        if n.inline:
+            continue
         shows.setdefault(n.path, []).append(",".join(n.children))
     texts: dict[str, list[str]] = {}
     for b in blocks:
-        texts.setdefault(b.path, []).append(b.text)
+        if not b.node.inline:
+            texts.setdefault(b.path, []).append(b.text)
     host = host_of(url)
     rows = [(p, _signed(_number("|".join(s))), _signed(_number("\n".join(texts[p]))) if p in texts else None, sum(map(len, texts.get(p, ())))) for p, s in shows.items()]
     copy = _signed(_number(repr(rows)))
@@ -259,7 +287,8 @@ def unimportant(pages: DataFrame) -> DataFrame:
     kids = shown.where("path <> ''").groupBy("host", parent.alias("path")).agg(F.count("*").alias("kids"))
     # One row for each path of the merged tree, however many pages have it.
     base = F.when(F.col("pages") > 1, F.log("pages"))
-    node = F.greatest(F.when(F.col("kids").isNotNull(), F.coalesce(F.col("shown") / base, F.lit(1.0))), F.when(F.col("said").isNotNull(), F.coalesce(F.col("said") / base, F.lit(1.0))))
+    drawn = lambda h: (F.col("pages") * F.coalesce(h / base, F.lit(1.0)) + PRIOR) / (F.col("pages") + PRIOR)
+    node = F.greatest(F.when(F.col("kids").isNotNull(), drawn(F.col("shown"))), F.when(F.col("said").isNotNull(), drawn(F.col("said"))))
     part = F.pow(F.lit(GAMMA), F.col("kids"))
     # An element without text or children says nothing either way: it goes with its siblings.
     tree = shown.join(said, ["host", "path"], "left").join(kids, ["host", "path"], "left").select(
@@ -274,7 +303,7 @@ def unimportant(pages: DataFrame) -> DataFrame:
     chains = above.join(salted, ["host", "path", "salt"]).groupBy("host", "leaf").agg(F.collect_list(F.struct("depth", "path", "a", "b")).alias("steps"))
     composite = map_rows(chains.select("host", "steps"), lambda: _chain, "host string, path string, importance double").groupBy("host", "path").agg(F.max("importance").alias("importance"))
     main = tree.groupBy("host").agg(F.max(F.struct("chars", "path")).alias("main"))
-    low = composite.where(f"path <> '' and importance < {LEAST_IMPORTANCE}").join(tree.where(f"pages >= {LEAST_PAGES}").select("host", "path"), ["host", "path"])
+    low = composite.where(f"path <> '' and importance < {LEAST_IMPORTANCE}")
     low = low.join(main, "host").where(~F.startswith(F.concat("main.path", F.lit("/")), F.concat("path", F.lit("/"))))
     return low.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("paths"))
 
