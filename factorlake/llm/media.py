@@ -1,11 +1,14 @@
 """Media columns: texts as baseline JPEG images, and what a marker parse and a Huffman decode read back.
 
-The payload is text in UTF-8 plus zero bytes up to a positive multiple of 64. Each 64 bytes are the 64
-quantised coefficients of one 8 x 8 luminance block in zigzag order (all quantisers are 1), so storing is
-lossless. Byte b is coefficient b - 128, or b - 127 from 128 on: never 0, so no run or end-of-block code
-occurs. The Huffman tables give a coefficient of s bits a code of 9 - s bits (10 - s for DC differences):
-codes and their extra bits always fill 9 or 10 bits together. A scan with such tables can be decoded
-by numpy all at once; `decode_scan` decodes any other baseline scan code by code.
+The payload is text in UTF-8 plus zero bytes up to a positive multiple of 64. Each 64 bytes, read as signed numbers, are
+the 64 quantised coefficients of one 8 x 8 luminance block in zigzag order (all quantisers are 1), so storing is
+lossless: DC differences, runs of zeros, end-of-block codes and sizes are coded as in any baseline image, with
+Huffman tables that suit text.
+
+A scan is decoded symbol by symbol in slices: numpy looks up the symbol and the length at every bit position of a slice,
+a loop steps from symbol to symbol by these lengths, and numpy reads the values at the positions met. That takes time in
+proportion to the scan and memory in proportion to a slice; the same decoder reads other baseline scans, with several
+components, subsampling and restart markers.
 
 Thumbnails hold the DC luminance of each block only. Defined cases: a null text is empty and has 64 zero
 bytes; equal texts give equal values; images over 8191 blocks have rows of 8191 blocks and fill the
@@ -15,8 +18,11 @@ last row with zero blocks that the length in the comment marker cuts off again.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import struct
 import zlib
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,63 +30,129 @@ from pyspark.sql import DataFrame
 from factorlake.llm.shared import map_rows
 
 BLOCK, ROW_BLOCKS = 64, 8191
-_AC_BITS, _DC_BITS = 9, 10
-
-
-def _uniform_table(sizes: range, total: int) -> tuple[bytes, dict[int, tuple[int, int]]]:
-    """DHT counts and values for symbols of `sizes` extra bits whose code has total - size bits; symbol to (code, length)."""
-    counts, values, codes, code = [0] * 16, [], {}, 0
-    for length in range(1, 17):
-        code <<= 1
-        if (s := total - length) in sizes:
-            counts[length - 1] = 1
-            values.append(s)
-            codes[s] = (code, length)
-            code += 1
-    return bytes(counts) + bytes(values), codes
+#: Blocks that are encoded, and bytes of a scan that are decoded at once.
+SLICE_BLOCKS, SLICE_BYTES = 1 << 12, 1 << 17
+_ZRL, _END = 0xF0, 0x00
+
+
+def _table(weights: dict[int, float]) -> tuple[list[int], list[int]]:
+    """DHT counts and values of a Huffman code for the weights; no code is all ones, as the format asks."""
+    heap = [(w, i, [s]) for i, (s, w) in enumerate(weights.items())] + [(0.0, len(weights), [-1])]
+    lengths = dict.fromkeys([*weights, -1], 0)
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        (u, i, a), (v, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        for s in a + b:
+            lengths[s] += 1
+        heapq.heappush(heap, (u + v, i, a + b))
+    # The reserved symbol has the longest code and comes last, which is the code of all ones.
+    values = sorted(weights, key=lambda s: (lengths[s], s))
+    counts = [sum(lengths[s] == n for s in values) for n in range(1, 17)]
+    if sum(counts) != len(values):
+        raise ValueError("codes over 16 bits")
+    return counts, values
+
+
+# Letters have 7 bits, blanks and digits 6, bytes of other scripts 6 or 7; zeros only pad, or stand for themselves.
+_OF_SIZE = {1: 1e-4, 2: 1e-4, 3: 1e-4, 4: 2e-3, 5: 5e-3, 6: 0.2, 7: 0.8, 8: 1e-3, 9: 1e-4, 10: 1e-4}
+_DC_TABLE = _table({s: {0: 0.1, 9: 1e-3, 10: 1e-3, 11: 1e-3}.get(s, 2.0**s / 300) for s in range(12)})
+_AC_TABLE = _table({_END: 0.01, _ZRL: 1e-3} | {run << 4 | s: max(w / 200**run if run else w, 1e-4) for run in range(16) for s, w in _OF_SIZE.items()})
 
 
-_DC_DHT, _DC_CODES = _uniform_table(range(10), _DC_BITS)
-_AC_DHT, _AC_CODES = _uniform_table(range(1, 9), _AC_BITS)
+def _segment(marker: int, body: bytes) -> bytes:
+    return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _word(value: int, codes: dict[int, tuple[int, int]]) -> int:
-    s = abs(value).bit_length()
-    extra = value if value > 0 else value + (1 << s) - 1
-    return codes[s][0] << s | extra
+def payload_of(text: str | None) -> tuple[int, bytes]:
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    return len(raw), raw.ljust(max(1, -(-len(raw) // BLOCK)) * BLOCK, b"\0")
 
 
-_OF_BYTE = np.array([b - 128 if b < 128 else b - 127 for b in range(256)], np.int16)
-_AC_WORD = np.array([_word(int(v), _AC_CODES) for v in _OF_BYTE], np.uint16)
-_DC_WORD = np.array([_word(v, _DC_CODES) for v in range(-256, 257)], np.uint16)
-_ac_bits = ((_AC_WORD[:, None] >> np.arange(_AC_BITS - 1, -1, -1)) & 1).astype(np.uint8)
-_dc_bits = ((_DC_WORD[:, None] >> np.arange(_DC_BITS - 1, -1, -1)) & 1).astype(np.uint8)
+def _dht(table: tuple[list[int], list[int]]) -> bytes:
+    return bytes(table[0]) + bytes(table[1])
 
 
-def _segment(marker: int, body: bytes) -> bytes:
-    return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
+def _codes(table: tuple[list[int], list[int]]) -> dict[int, tuple[int, int]]:
+    """Symbol to (code, length), codes in canonical order."""
+    counts, values = table
+    out, code, at = {}, 0, 0
+    for length, n in enumerate(counts, 1):
+        code <<= 1
+        for v in values[at : at + n]:
+            out[v] = code, length
+            code += 1
+        at += n
+    return out
 
 
-def payload_of(text: str | None) -> tuple[int, bytes]:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    return len(raw), raw.ljust(max(1, -(-len(raw) // BLOCK)) * BLOCK, b"\0")
+def _arrays(table: tuple[list[int], list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    code, length = np.zeros(256, np.int64), np.zeros(256, np.int64)
+    for s, (c, n) in _codes(table).items():
+        code[s], length[s] = c, n
+    return code, length
+
+
+_DC_CODE, _DC_LENGTH = _arrays(_DC_TABLE)
+_AC_CODE, _AC_LENGTH = _arrays(_AC_TABLE)
+_SIZE = np.array([v.bit_length() for v in range(1 << 11)])
+
+
+def _bits(values: np.ndarray, before: int) -> np.ndarray:
+    """The bits of a slice of blocks; before: the last DC value of the slice before."""
+    n = len(values)
+    difference = np.diff(values[:, 0], prepend=before)
+    size = _SIZE[np.abs(difference)]
+    extra = np.where(difference < 0, difference + (1 << size) - 1, difference)
+    order, word, length = [np.arange(n) * 256], [_DC_CODE[size] << size | extra], [_DC_LENGTH[size] + size]
+
+    block, place = np.nonzero(values[:, 1:])
+    place += 1
+    value = values[block, place]
+    first = np.diff(block, prepend=-1) > 0
+    run = place - np.where(first, 0, np.roll(place, 1)) - 1
+    size = _SIZE[np.abs(value)]
+    symbol = (run & 15) << 4 | size
+    order.append(block * 256 + place * 2)
+    word.append(_AC_CODE[symbol] << size | np.where(value < 0, value + (1 << size) - 1, value))
+    length.append(_AC_LENGTH[symbol] + size)
+    jumps = np.repeat(order[1], run >> 4) - 1
+    last = np.zeros(n, np.int64)
+    last[block] = place
+    ends = np.flatnonzero(last < BLOCK - 1)
+    for at, symbol in ((jumps, _ZRL), (ends * 256 + 255, _END)):
+        order.append(at)
+        word.append(np.full(len(at), _AC_CODE[symbol]))
+        length.append(np.full(len(at), _AC_LENGTH[symbol]))
+    sort = np.argsort(np.concatenate(order), kind="stable")
+    word, length = np.concatenate(word)[sort], np.concatenate(length)[sort]
+    start = np.cumsum(length) - length
+    out = np.zeros(int(length.sum()), np.uint8)
+    for j in range(int(length.max())):
+        own = np.flatnonzero(length > j)
+        out[start[own] + j] = word[own] >> (length[own] - 1 - j) & 1
+    return out
 
 
 def encode(payload: bytes) -> bytes:
     """A baseline JPEG whose quantised coefficients are the payload."""
     n = len(payload) // BLOCK
     wide, high = min(n, ROW_BLOCKS), -(-n // ROW_BLOCKS)
-    data = np.frombuffer(payload.ljust(wide * high * BLOCK, b"\0"), np.uint8).reshape(-1, BLOCK)
-    bits = np.empty((len(data), _DC_BITS + (BLOCK - 1) * _AC_BITS), np.uint8)
-    bits[:, :_DC_BITS] = _dc_bits[np.diff(_OF_BYTE[data[:, 0]], prepend=0) + 256]
-    bits[:, _DC_BITS:] = _ac_bits[data[:, 1:]].reshape(len(data), -1)
-    flat = bits.ravel()
-    scan = np.packbits(np.concatenate([flat, np.ones(-len(flat) % 8, np.uint8)])).tobytes().replace(b"\xff", b"\xff\0")
     frame = struct.pack(">BHHBBBB", 8, high * 8, wide * 8, 1, 1, 0x11, 0)
-    return b"".join([
+    parts = [
         b"\xff\xd8", _segment(0xFE, b"payload=%d" % len(payload)), _segment(0xDB, b"\0" + b"\1" * 64), _segment(0xC0, frame),
-        _segment(0xC4, b"\0" + _DC_DHT), _segment(0xC4, b"\x10" + _AC_DHT), _segment(0xDA, bytes([1, 1, 0, 0, 63, 0])), scan, b"\xff\xd9",
-    ])
+        _segment(0xC4, b"\0" + _dht(_DC_TABLE)), _segment(0xC4, b"\x10" + _dht(_AC_TABLE)), _segment(0xDA, bytes([1, 1, 0, 0, 63, 0])),
+    ]
+    rest, before = np.zeros(0, np.uint8), 0
+    for a in range(0, wide * high, SLICE_BLOCKS):
+        count = min(SLICE_BLOCKS, wide * high - a)
+        values = np.frombuffer(payload[a * BLOCK : (a + count) * BLOCK].ljust(count * BLOCK, b"\0"), np.int8).reshape(count, BLOCK).astype(np.int64)
+        bits = np.concatenate([rest, _bits(values, before)])
+        before, whole = values[-1, 0], len(bits) // 8 * 8
+        rest = bits[whole:]
+        parts.append(np.packbits(bits[:whole]).tobytes().replace(b"\xff", b"\xff\0"))
+    if len(rest):
+        parts.append(np.packbits(np.concatenate([rest, np.ones(8 - len(rest), np.uint8)])).tobytes().replace(b"\xff", b"\xff\0"))
+    return b"".join([*parts, b"\xff\xd9"])
 
 
 def parse(jpeg: bytes) -> dict:
@@ -127,131 +199,133 @@ def parse(jpeg: bytes) -> dict:
     raise ValueError("no scan")
 
 
-def _codes(table: tuple[list[int], list[int]]) -> dict[tuple[int, int], int]:
-    """(length, code) to symbol, codes in canonical order."""
-    counts, values = table
-    out, code, at = {}, 0, 0
-    for length, n in enumerate(counts, 1):
-        code <<= 1
-        for v in values[at : at + n]:
-            out[length, code] = v
-            code += 1
-        at += n
-    return out
+class _Lookup:
+    """By the next 16 bits: length of the code with its extra bits, of the code alone, size of the extra bits, how far the place moves."""
 
+    def __init__(self, table: tuple[list[int], list[int]], dc: bool) -> None:
+        self.total, self.code, self.size = (np.zeros(1 << 16, np.uint8) for _ in range(3))
+        self.move = np.full(1 << 16, 128, np.uint8)  # no such code
+        for s, (code, length) in _codes(table).items():
+            own = slice(code << (16 - length), (code + 1) << (16 - length))
+            size = s if dc else s & 15
+            self.total[own], self.code[own], self.size[own] = length + size, length, size
+            self.move[own] = 1 if dc else BLOCK if s == _END else (s >> 4) + 1
 
-def _extend(bits: int, size: int) -> int:
-    return bits if not size or bits >> (size - 1) else bits - (1 << size) + 1
 
+@lru_cache(64)
+def _lookup(counts: bytes, values: bytes, dc: bool) -> _Lookup:
+    return _Lookup((list(counts), list(values)), dc)
 
-def _lookup(table: tuple[list[int], list[int]], total: int) -> np.ndarray | None:
-    """Value of each `total`-bit word, if all codes with their extra bits have that length; unused words give the out-of-range 32767."""
-    out = np.full(1 << total, 32767, np.int16)
-    for (length, code), s in _codes(table).items():
-        if length + s != total:
-            return None
-        out[code << s : (code + 1) << s] = [_extend(x, s) for x in range(1 << s)]
-    return out
 
+def _restarts(scan: bytes) -> list[bytes]:
+    parts, at, i = [], 0, scan.find(b"\xff")
+    while 0 <= i < len(scan) - 1:
+        if 0xD0 <= scan[i + 1] <= 0xD7:
+            parts.append(scan[at:i])
+            at = i + 2
+        i = scan.find(b"\xff", i + 2)
+    return [*parts, scan[at:]]
 
-def _at_once(scan: bytes, dc: np.ndarray, ac: np.ndarray, n_blocks: int) -> np.ndarray:
-    per = _DC_BITS + (BLOCK - 1) * _AC_BITS
-    bits = np.unpackbits(np.frombuffer(scan.replace(b"\xff\0", b"\xff"), np.uint8), count=n_blocks * per).reshape(n_blocks, per)
 
-    def words(part: np.ndarray, width: int) -> np.ndarray:
-        part = part.reshape(n_blocks, -1, width)
-        high = np.packbits(part[:, :, : width - 8], axis=2)[:, :, 0] >> (16 - width)
-        return high.astype(np.uint16) << 8 | np.packbits(part[:, :, width - 8 :], axis=2)[:, :, 0]
+def _windows(data: np.ndarray) -> np.ndarray:
+    """The 16 bits from each bit position on."""
+    v = data[:-2].astype(np.uint32) << 16 | data[1:-1].astype(np.uint32) << 8 | data[2:]
+    return ((v[:, None] >> np.arange(8, 0, -1, dtype=np.uint32)) & 0xFFFF).astype(np.uint16).ravel()
 
-    out = np.empty((n_blocks, BLOCK), np.int32)
-    out[:, 0] = np.cumsum(dc[words(bits[:, :_DC_BITS], _DC_BITS)[:, 0]])
-    out[:, 1:] = ac[words(bits[:, _DC_BITS:], _AC_BITS)]
-    return out
 
-
-def _code_by_code(image: dict, mcus: int) -> list[np.ndarray]:
-    """Any baseline scan: per component the coefficients of its blocks in scan order."""
-    tables = {k: _codes(t) for k, t in image["huffman"].items()}
-    single = len(image["components"]) == 1
-    out: list[list[np.ndarray]] = [[] for _ in image["components"]]
-    parts, at = [], 0
-    scan = image["scan"]
-    for i in range(len(scan) - 1):
-        if scan[i] == 0xFF and 0xD0 <= scan[i + 1] <= 0xD7:
-            parts.append(scan[at:i])
-            at = i + 2
-    parts.append(scan[at:])
-    done = 0
-    for part in parts:
-        data = part.replace(b"\xff\0", b"\xff")
-        big, left = int.from_bytes(data, "big"), len(data) * 8
-
-        def take(n: int) -> int:
-            nonlocal left
-            left -= n
-            if left < 0:
+def decode_slices(image: dict) -> Iterator[list[np.ndarray]]:
+    """Per slice of the scan and component: (blocks, 64) quantised coefficients in zigzag order, blocks in scan order."""
+    parts = image["components"]
+    single = len(parts) == 1
+    wide, high = (8, 8) if single else (8 * max(c["h"] for c in parts), 8 * max(c["v"] for c in parts))
+    mcus = -(-image["width"] // wide) * -(-image["height"] // high)
+    lookups = {k: _lookup(bytes(t[0]), bytes(t[1]), k < 16) for k, t in image["huffman"].items()}
+    # Of each block of an MCU: its component and tables.
+    turn = [(k, c["dc"], 16 | c["ac"]) for k, c in enumerate(parts) for _ in range(1 if single else c["h"] * c["v"])]
+    # No MCU needs more bytes than this.
+    most = len(turn) * BLOCK * 27 // 8 + 8
+    left = mcus
+    for piece in _restarts(image["scan"]):
+        data = np.frombuffer(piece.replace(b"\xff\0", b"\xff"), np.uint8)
+        n, at, before = min(image["restart"] or mcus, left), 0, np.zeros(len(parts), np.int64)
+        left -= n
+        while n:
+            window = _windows(np.concatenate([data[at >> 3 : (at >> 3) + SLICE_BYTES + most], np.zeros(most + 8, np.uint8)]))
+            steps = {k: (x.total[window].tobytes(), x.move[window].tobytes()) for k, x in lookups.items()}
+            p, end, met, counts = at & 7, 8 * SLICE_BYTES, [], []
+            meet = met.append
+            while n and p < end:
+                n -= 1
+                for _, dc, ac in turn:
+                    total, move = steps[dc]
+                    begun, place = len(met), move[p]
+                    meet(p)
+                    p += total[p]
+                    total, move = steps[ac]
+                    while place < BLOCK:
+                        meet(p)
+                        place += move[p]
+                        p += total[p]
+                    if place >= 128:
+                        raise ValueError("no such code")
+                    counts.append(len(met) - begun)
+            at = (at >> 3 << 3) + p
+            if at > 8 * len(data):
                 raise ValueError("the scan ends early")
-            return big >> left & ((1 << n) - 1)
-
-        def symbol(codes: dict[tuple[int, int], int]) -> int:
-            code = 0
-            for length in range(1, 17):
-                code = code << 1 | take(1)
-                if (length, code) in codes:
-                    return codes[length, code]
-            raise ValueError("no such code")
-
-        before = [0] * len(out)
-        for _ in range(min(image["restart"] or mcus, mcus - done)):
-            done += 1
-            for k, c in enumerate(image["components"]):
-                for _ in range(1 if single else c["h"] * c["v"]):
-                    block = np.zeros(BLOCK, np.int32)
-                    s = symbol(tables[c["dc"]])
-                    before[k] += _extend(take(s), s)
-                    block[0], i = before[k], 1
-                    while i < BLOCK:
-                        rs = symbol(tables[16 | c["ac"]])
-                        run, s = rs >> 4, rs & 15
-                        if not s and run != 15:
-                            break
-                        i += run
-                        if s:
-                            block[i] = _extend(take(s), s)
-                        i += 1
-                    out[k].append(block)
-    return [np.array(x).reshape(-1, BLOCK) for x in out]
+            yield _coefficients(window, np.array(met, np.int64), np.array(counts), turn, lookups, before)
+
+
+def _coefficients(window: np.ndarray, met: np.ndarray, counts: np.ndarray, turn: list, lookups: dict, before: np.ndarray) -> list[np.ndarray]:
+    """The blocks of a slice, of which symbols begin at met, counts of them in each block. before: the last DC values, which are moved on."""
+    block = np.repeat(np.arange(len(counts)), counts)
+    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    is_dc = np.zeros(len(met), bool)
+    is_dc[first] = True
+    code, size, move = np.zeros(len(met), np.int64), np.zeros(len(met), np.int64), np.zeros(len(met), np.int64)
+    of_turn = block % len(turn)
+    for t, (_, dc, ac) in enumerate(turn):
+        for table, own in ((dc, is_dc & (of_turn == t)), (ac, ~is_dc & (of_turn == t))):
+            w, x = window[met[own]], lookups[table]
+            code[own], size[own], move[own] = x.code[w], x.size[w], x.move[w]
+    bits = window[met + code].astype(np.int64) >> (16 - size)
+    value = np.where((size > 0) & (bits >> np.maximum(size - 1, 0) == 0), bits - (1 << size) + 1, bits)
+    place = np.cumsum(move) - 1
+    place -= np.repeat(place[first], counts)
+    out = np.zeros((len(counts), BLOCK), np.int32)
+    real = (size > 0) & (place < BLOCK)
+    out[block[real], place[real]] = value[real]
+    found = []
+    for k in range(len(before)):
+        own = out[np.isin(np.arange(len(counts)) % len(turn), [t for t, x in enumerate(turn) if x[0] == k])]
+        own[:, 0] = np.cumsum(own[:, 0]) + before[k]
+        before[k] = own[-1, 0] if len(own) else before[k]
+        found.append(own)
+    return found
 
 
 def decode_scan(image: dict) -> list[np.ndarray]:
     """Per component (blocks, 64) quantised coefficients in zigzag order, blocks in scan order."""
-    most_h, most_v = (max(c[k] for c in image["components"]) for k in "hv")
-    single = len(image["components"]) == 1
-    wide, high = (8, 8) if single else (8 * most_h, 8 * most_v)
-    mcus = -(-image["width"] // wide) * -(-image["height"] // high)
-    if single and not image["restart"]:
-        dc, ac = _lookup(image["huffman"][image["components"][0]["dc"]], _DC_BITS), _lookup(image["huffman"][16 | image["components"][0]["ac"]], _AC_BITS)
-        if dc is not None and ac is not None and not ((ac == 0).any()):
-            return [_at_once(image["scan"], dc, ac, mcus)]
-    return _code_by_code(image, mcus)
+    return [np.concatenate(x) for x in zip(*decode_slices(image), strict=True)]
 
 
-def dc_thumbnail(image: dict, coefficients: list[np.ndarray]) -> np.ndarray:
-    """Luminance of each block's mean, one pixel a block, from the DC coefficients only."""
+def dc_thumbnail(image: dict, dc: np.ndarray) -> np.ndarray:
+    """Luminance of each block's mean, one pixel a block, from the DC coefficients of the first component, in scan order."""
     c = image["components"][0]
     single = len(image["components"]) == 1
     h, v = (1, 1) if single else (c["h"], c["v"])
     wide = 8 if single else 8 * max(x["h"] for x in image["components"])
-    dc = coefficients[0][:, 0] * image["quant"][c["q"]][0] / 8 + 128
     across = -(-image["width"] // wide)
-    grid = dc.reshape(-1, across, v, h).transpose(0, 2, 1, 3).reshape(-1, across * h)
+    grid = (dc * image["quant"][c["q"]][0] / 8 + 128).reshape(-1, across, v, h).transpose(0, 2, 1, 3).reshape(-1, across * h)
     return np.clip(np.rint(grid), 0, 255).astype(np.uint8)
 
 
-def read_payload(image: dict, coefficients: list[np.ndarray]) -> bytes:
-    values = coefficients[0]
-    data = np.where(values < 0, values + 128, values + 127).astype(np.uint8).tobytes()
-    return data[: int(image["comment"].partition(b"=")[2])]
+def payload_slices(image: dict, slices: Iterator[list[np.ndarray]]) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Of each slice the payload bytes and the DC coefficients."""
+    left = int(image["comment"].partition(b"=")[2])
+    for found in slices:
+        data = found[0].astype(np.int8).tobytes()[:left]
+        left -= len(data)
+        yield data, found[0][:, 0]
 
 
 def thumbnail_hash(thumb: np.ndarray, side: int = 8) -> str:
@@ -274,10 +348,14 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
         n, payload = payload_of(text)
         stored = encode(payload)
         image = parse(stored)
-        coefficients = decode_scan(image)
-        back, thumb = read_payload(image, coefficients), dc_thumbnail(image, coefficients)
+        digest, n_back, tail, means = hashlib.sha256(), 0, b"", []
+        for data, dc in payload_slices(image, decode_slices(image)):
+            digest.update(data)
+            n_back, tail = n_back + len(data), (tail + data)[-BLOCK:]
+            means.append(dc)
+        thumb = dc_thumbnail(image, np.concatenate(means))
         feature = f"{image['width']}x{image['height']}:{thumbnail_hash(thumb)}:{zlib.crc32(thumb.tobytes()):08x}"
-        row = doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, image["width"], image["height"]
+        row = doc_id, n, n_back, digest.hexdigest(), zlib.crc32(tail), len(stored), hashlib.sha256(stored).hexdigest(), feature, image["width"], image["height"]
         return [(*row, stored) if keep_media else row]
 
     schema = SCHEMA if keep_media else SCHEMA.removesuffix(", media binary")
