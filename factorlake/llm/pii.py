@@ -111,11 +111,11 @@ _ANY_DIGIT = "|".join(sorted(map(re.escape, _DIGIT_WORDS), key=len, reverse=True
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:{_ANY_DIGIT}|[0-9])(?!\w)[ -]?){{3,}}(?:{_ANY_DIGIT}|[0-9])(?!\w)", re.I)
 _TOKEN = re.compile(rf"{_ANY_DIGIT}|[0-9]|[ -]", re.I)
 _BRACKETED = re.compile(r"[ ]?[\[({<][ ]?(at|@|arroba|dot|\.|punkt|punto|point)[ ]?[\])}>][ ]?", re.I)
-_WORDED = re.compile(r"(?<![\w.%+-])([\w.%+-]{1,64}) (?:at|AT|arroba|klammeraffe|arobase) ([\w-]{1,63}(?: (?:dot|DOT|punkt|punto|point) [\w-]{1,63}){1,5})(?![\w-])")
-_SPACED = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]{1,64}) ?@ ?([A-Za-z0-9-]{1,63}(?: ?\. ?[A-Za-z0-9-]{2,63}){1,5})(?![\w-])")
+_WORDED = re.compile(r"(?<![\w.%+-])([\w.%+-]+) (?:at|arroba|klammeraffe|arobase) ([\w-]+(?: (?:dot|punkt|punto|point) [\w-]+)+)(?![\w-])", re.I)
+_SPACED = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+) ?@ ?([A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]{2,})+)(?![\w-])")
 _BRACKET_START = re.compile(r"[\[({<][ ]?(?:at|@|arroba|dot|\.|punkt|punto|point)[ ]?[\])}>]", re.I)
 #: What a match of _SPACED holds from its @ on, where only a point has a blank beside it.
-_SPACED_POINT = re.compile(r"@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{2,63}){0,4}(?: \. ?|\. )[A-Za-z0-9-]{2}")
+_SPACED_POINT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]{2,})*(?: \. ?|\. )[A-Za-z0-9-]{2}")
 
 
 def _may_hide(text: str) -> bool:
