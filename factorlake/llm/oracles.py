@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from factorlake.llm.licences import RULES, SENTENCE_END, SENTENCES
-from factorlake.llm.sharding import LIMIT
+from factorlake.llm.queries import SHARD_BYTES
 
 _HASH = "('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || md5(coalesce(text, ''))), 1, 15))::bigint"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -29,9 +29,12 @@ _sharding = f"""
 with d as (select row_number() over () r, doc_id, strlen(coalesce(text, ''))::bigint n_bytes, {_HASH} h from documents),
 p as (select r, depth, h >> (60 - depth) p, n_bytes from d, range(0, 61) t(depth)),
 s as (select depth, p, sum(n_bytes)::bigint b, count(*) n from p group by all),
-best as (select p.r, min(p.depth) depth from p join s using (depth, p) where s.b <= {LIMIT} group by p.r)
+best as (select p.r, min(p.depth) depth from p join s using (depth, p) where s.b <= {SHARD_BYTES} group by p.r),
+o as (select doc_id, n_bytes, h, ((row_number() over (partition by h) - 1) // greatest({SHARD_BYTES} // greatest(n_bytes, 1), 1))::bigint page from d where r not in (select r from best))
 select d.doc_id, d.n_bytes, 's' || right(format('{{:060b}}', d.h), 60)[1:best.depth] shard, best.depth::int shard_depth, s.b shard_bytes, s.n shard_docs, false oversize
-from d join best using (r) join s on s.depth = best.depth and s.p = d.h >> (60 - best.depth)"""
+from d join best using (r) join s on s.depth = best.depth and s.p = d.h >> (60 - best.depth)
+union all
+select doc_id, n_bytes, 's' || right(format('{{:060b}}', h), 60) || '.' || page, 60, sum(n_bytes) over (partition by h, page), count(*) over (partition by h, page), n_bytes > {SHARD_BYTES} from o"""
 
 _near = r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),

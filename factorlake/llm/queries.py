@@ -24,8 +24,12 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+#: Bytes of a shard in op4_sharding: so few that buckets of every table split.
+SHARD_BYTES = 64 << 10
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(table(spark, sf_dir, "documents"))
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:

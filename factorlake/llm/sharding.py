@@ -65,11 +65,17 @@ def _named(parts: list[DataFrame]) -> DataFrame:
 
 
 def _overflow(rows: DataFrame, limit: int) -> DataFrame:
-    """Pages of rows that share all bits: as many of the equal rows to a page as fit, one at least."""
+    """Pages of rows that share all bits: as many of the equal rows to a page as fit, one at least.
+
+    The rows of a group are equal, so any numbering gives the same table: here each partition's rows follow those of the
+    partitions before, so that no task sees a whole group.
+    """
+    rows = written(rows.withColumn("at", F.monotonically_increasing_id()), "shard-overflow").withColumn("part", F.shiftright("at", 33))
+    parts = rows.groupBy("h", "part").agg(F.count("*").alias("n"))
+    before = parts.withColumn("before", F.sum("n").over(Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     per_page = F.greatest(F.floor(F.lit(limit) / F.greatest("n_bytes", F.lit(1))), F.lit(1)).cast("long")
-    # The rows of a group are equal, so any numbering gives the same table.
-    at = Window.partitionBy("h").orderBy("n_bytes")
-    paged = rows.withColumn("page", F.floor((F.row_number().over(at) - 1) / per_page).cast("long"))
+    number = F.row_number().over(Window.partitionBy("h", "part").orderBy("at")) - 1 + F.col("before")
+    paged = rows.join(before.drop("n"), ["h", "part"]).withColumn("page", F.floor(number / per_page).cast("long"))
+    sums = paged.groupBy("h", "page").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_docs"))
     shard = F.concat(F.lit("s"), F.expr(f"lpad(bin(h), {HASH_BITS}, '0')"), F.lit("."), F.col("page").cast("string"))
-    of = Window.partitionBy("h", "page")
-    return paged.select("doc_id", "n_bytes", shard.alias("shard"), F.lit(HASH_BITS).alias("shard_depth"), F.sum("n_bytes").over(of).alias("shard_bytes"), F.count("*").over(of).alias("shard_docs"), (F.col("n_bytes") > limit).alias("oversize"))
+    return paged.join(sums, ["h", "page"]).select("doc_id", "n_bytes", shard.alias("shard"), F.lit(HASH_BITS).alias("shard_depth"), "shard_bytes", "shard_docs", (F.col("n_bytes") > limit).alias("oversize"))
