@@ -77,11 +77,9 @@ def style_exposures(prices: DataFrame, fundamentals: DataFrame, industries: Data
     rows = rows.join(beta_volatility(panel, rows.select("as_of", "asset", "cap", "in_fit"), cfg), ["as_of", "asset"], "left")
     rows = rows.withColumn("size", safe_ln(F.col("cap"))).withColumn("liquidity", safe_ln(ratio(F.col("dollar_median"), F.col("cap"))))
     rows = descriptors(rows)
-    for c in [d for ds in DESCRIPTORS.values() for d in ds] + ["growth"]:
-        rows = impute_group_median(rows, c, "industry", "as_of")
+    rows = impute_group_median(rows, [d for ds in DESCRIPTORS.values() for d in ds] + ["growth"], "industry", "as_of")
     for name, parts in DESCRIPTORS.items():
         rows = composite(rows, parts, name, "cap", "as_of", "in_fit")
-    for style in STYLES:
-        rows = process(rows, style, "cap", "as_of", "in_fit", cfg.winsor_z, cfg.winsor_passes)
+    rows = process(rows, list(STYLES), "cap", "as_of", "in_fit", cfg.winsor_z, cfg.winsor_passes)
     rows = orthogonalize(rows, "volatility", "beta", "cap", "as_of", "in_fit")
     return rows.select(F.col("as_of").alias("date"), "asset", "cap", "industry", "in_fit", *STYLES)

@@ -18,39 +18,45 @@ def _among(fit: str | None, c: Column) -> Column:
     return c if fit is None else F.when(F.col(fit), c)
 
 
-def winsorize(df: DataFrame, column: str, by: Keys, fit: str | None = None, z: float = 3.0, passes: int = 2) -> DataFrame:
-    """Clips to mean +- z standard deviations of the fit rows, again on the clipped values at each further pass."""
-    w = Window.partitionBy(by)
-    df = df.withColumn(column, finite(F.col(column).cast("double")))
+def _list(columns: Keys) -> list[str]:
+    return [columns] if isinstance(columns, str) else list(columns)
+
+
+def winsorize(df: DataFrame, columns: Keys, by: Keys, fit: str | None = None, z: float = 3.0, passes: int = 2) -> DataFrame:
+    """Clips each column to mean +- z standard deviations of the fit rows, again on the clipped values at each further pass."""
+    w, own = Window.partitionBy(by), _list(columns)
+    df = df.withColumns({c: finite(F.col(c).cast("double")) for c in own})
     for _ in range(passes):
-        c = F.col(column)
-        df = df.withColumn("_m", F.avg(_among(fit, c)).over(w)).withColumn("_s", F.stddev_samp(_among(fit, c)).over(w))
-        df = df.withColumn(column, F.when(F.col("_s") > 0, clip(c, F.col("_m") - z * F.col("_s"), F.col("_m") + z * F.col("_s"))).otherwise(c))
-    return df.drop("_m", "_s")
+        df = df.withColumns({f"_m_{c}": F.avg(_among(fit, F.col(c))).over(w) for c in own} | {f"_s_{c}": F.stddev_samp(_among(fit, F.col(c))).over(w) for c in own})
+        df = df.withColumns({c: F.when(F.col(f"_s_{c}") > 0, clip(F.col(c), F.col(f"_m_{c}") - z * F.col(f"_s_{c}"), F.col(f"_m_{c}") + z * F.col(f"_s_{c}"))).otherwise(F.col(c)) for c in own})
+    return df.drop(*[f"_{x}_{c}" for x in "ms" for c in own])
 
 
-def standardize(df: DataFrame, column: str, cap: str, by: Keys, fit: str | None = None) -> DataFrame:
+def standardize(df: DataFrame, columns: Keys, cap: str, by: Keys, fit: str | None = None) -> DataFrame:
     """(value - cap-weighted mean) / sample deviation of the fit rows; NULL without two values or any spread."""
-    w = Window.partitionBy(by)
-    c, weight = F.col(column), F.col(cap)
-    valid = c.isNotNull() & (weight > 0) & (F.lit(True) if fit is None else F.coalesce(F.col(fit), F.lit(False)))
-    df = df.withColumn("_n", F.count(F.when(valid, c)).over(w)).withColumn("_m", F.sum(F.when(valid, c * weight)).over(w) / F.sum(F.when(valid, weight)).over(w))
-    df = df.withColumn("_s", F.stddev_samp(F.when(valid, c)).over(w))
-    return df.withColumn(column, F.when((F.col("_n") >= 2) & (F.col("_s") > 0), (c - F.col("_m")) / F.col("_s"))).drop("_n", "_m", "_s")
+    w, weight, own = Window.partitionBy(by), F.col(cap), _list(columns)
+    made = {}
+    for c in own:
+        valid = F.col(c).isNotNull() & (weight > 0) & (F.lit(True) if fit is None else F.coalesce(F.col(fit), F.lit(False)))
+        made[f"_n_{c}"] = F.count(F.when(valid, F.col(c))).over(w)
+        made[f"_m_{c}"] = F.sum(F.when(valid, F.col(c) * weight)).over(w) / F.sum(F.when(valid, weight)).over(w)
+        made[f"_s_{c}"] = F.stddev_samp(F.when(valid, F.col(c))).over(w)
+    df = df.withColumns(made)
+    return df.withColumns({c: F.when((F.col(f"_n_{c}") >= 2) & (F.col(f"_s_{c}") > 0), (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")) for c in own}).drop(*made)
 
 
-def process(df: DataFrame, column: str, cap: str, by: Keys, fit: str | None = None, z: float = 3.0, passes: int = 2) -> DataFrame:
-    """Winsorised, standardised, missing to 0."""
-    df = standardize(winsorize(df, column, by, fit, z, passes), column, cap, by, fit)
-    return df.withColumn(column, F.coalesce(column, F.lit(0.0)))
+def process(df: DataFrame, columns: Keys, cap: str, by: Keys, fit: str | None = None, z: float = 3.0, passes: int = 2) -> DataFrame:
+    """Winsorised, standardised, missing to 0; many columns take as many windows as one."""
+    df = standardize(winsorize(df, columns, by, fit, z, passes), columns, cap, by, fit)
+    return df.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in _list(columns)})
 
 
 def composite(df: DataFrame, columns: list[str], name: str, cap: str, by: Keys, fit: str | None = None) -> DataFrame:
     """Mean of the descriptors' scores that a row has, as `name`."""
-    for c in columns:
-        df = df.withColumn(f"_{c}", F.col(c))
-        df = standardize(winsorize(df, f"_{c}", by, fit), f"_{c}", cap, by, fit)
-    return df.withColumn(name, mean_of(*[F.col(f"_{c}") for c in columns])).drop(*[f"_{c}" for c in columns])
+    own = [f"_{c}" for c in columns]
+    df = df.withColumns({f"_{c}": F.col(c) for c in columns})
+    df = standardize(winsorize(df, own, by, fit), own, cap, by, fit)
+    return df.withColumn(name, mean_of(*[F.col(c) for c in own])).drop(*own)
 
 
 def orthogonalize(df: DataFrame, y: str, x: str, cap: str, by: Keys, fit: str | None = None) -> DataFrame:
@@ -66,10 +72,10 @@ def orthogonalize(df: DataFrame, y: str, x: str, cap: str, by: Keys, fit: str |
     return df.withColumn(y, F.when(F.col("_use"), F.coalesce("_r", F.lit(0.0))).otherwise(F.col("_y"))).drop("_a", "_b", "_v", "_y", "_r", "_use")
 
 
-def impute_group_median(df: DataFrame, column: str, group: str, by: Keys) -> DataFrame:
+def impute_group_median(df: DataFrame, columns: Keys, group: str, by: Keys) -> DataFrame:
     """Missing values to the median of the row's group (industry) on its date."""
-    keys = [by] if isinstance(by, str) else list(by)
-    return df.withColumn(column, F.coalesce(F.col(column), F.median(column).over(Window.partitionBy(*keys, group))))
+    w = Window.partitionBy(*_list(by), group)
+    return df.withColumns({c: F.coalesce(F.col(c), F.median(c).over(w)) for c in _list(columns)})
 
 
 def one_hot(df: DataFrame, column: str, values: list[str], prefix: str = "ind_") -> DataFrame:
