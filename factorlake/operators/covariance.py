@@ -7,14 +7,17 @@ most MOST_FACTORS) come to the driver for the small dense steps.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factorlake.config import RiskConfig
+from factorlake.config import RiskConfig, decay
 from factorlake.functions.scalar import clip
-from factorlake.functions.timeseries import ewma_weight
+from factorlake.functions.timeseries import ewma_weight, with_ewma
+from factorlake.operators.pit import at_dates
 
 MOST_FACTORS = 500
 
@@ -78,27 +81,37 @@ def pca_blend(corr: np.ndarray, weight: float = 0.8, fraction: float = 0.25) ->
     return mixed / np.outer(s, s)
 
 
+def _misjudged(values: np.ndarray, n_obs: int, sims: Iterable[int], floor: float, seed: int) -> np.ndarray:
+    """Sum over simulated samples of n_obs rows: true over estimated variance of each sample eigenportfolio."""
+    total = np.zeros(len(values))
+    for sim in sims:
+        x = np.random.default_rng([seed, int(sim)]).standard_normal((n_obs, len(values))) * np.sqrt(values)
+        own, turned = np.linalg.eigh(x.T @ x / n_obs)
+        total += ((turned.T**2) @ values) / np.maximum(own, floor)
+    return total
+
+
+def _eigenvalues(cov: np.ndarray, cfg: RiskConfig) -> np.ndarray:
+    return np.maximum(np.linalg.eigvalsh((cov + cov.T) / 2), cfg.eigen_floor)
+
+
+def _scale(mean: np.ndarray, cfg: RiskConfig) -> np.ndarray:
+    return np.clip(cfg.eigen_scale * (np.sqrt(mean) - 1) + 1, *cfg.eigen_clip)
+
+
 def eigen_bias(spark: SparkSession, cov: np.ndarray, n_obs: int, cfg: RiskConfig, seed: int = 0) -> np.ndarray:
     """Scale of each eigenvalue's volatility by simulation: how far samples of n_obs rows misjudge the eigenportfolios.
 
     Simulations run as Spark tasks and come back as sums of K numbers.
     """
-    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
-    values = np.maximum(values, cfg.eigen_floor)
-    k = len(values)
+    values = _eigenvalues(cov, cfg)
 
     def simulate(frames):
         for pdf in frames:
-            total = np.zeros(k)
-            for sim in pdf["id"]:
-                x = np.random.default_rng([seed, int(sim)]).standard_normal((n_obs, k)) * np.sqrt(values)
-                own, turned = np.linalg.eigh(x.T @ x / n_obs)
-                total += ((turned.T**2) @ values) / np.maximum(own, cfg.eigen_floor)
-            yield pdf.head(1)[[]].assign(ratio=[total.tolist()], n=[len(pdf)])
+            yield pdf.head(1)[[]].assign(ratio=[_misjudged(values, n_obs, pdf["id"], cfg.eigen_floor, seed).tolist()], n=[len(pdf)])
 
     rows = spark.range(cfg.eigen_sims).repartition(8).mapInPandas(simulate, "ratio array<double>, n long").collect()
-    mean = sum(np.array(r["ratio"]) for r in rows) / sum(r["n"] for r in rows)
-    return np.clip(cfg.eigen_scale * (np.sqrt(mean) - 1) + 1, *cfg.eigen_clip)
+    return _scale(sum(np.array(r["ratio"]) for r in rows) / sum(r["n"] for r in rows), cfg)
 
 
 def eigen_adjust(cov: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -128,3 +141,54 @@ def factor_covariance(returns: DataFrame, factors: list[str], cfg: RiskConfig, v
 
 def to_long(spark: SparkSession, cov: np.ndarray, factors: list[str]) -> DataFrame:
     return spark.createDataFrame([(a, b, float(cov[i, j])) for i, a in enumerate(factors) for j, b in enumerate(factors)], "f1 string, f2 string, cov double")
+
+
+def covariances_at(returns: DataFrame, dates: DataFrame, cfg: RiskConfig, multipliers: DataFrame) -> DataFrame:
+    """(date, f1, f2, cov): the daily covariance as it stood on each of dates (date), for all of them in one plan.
+
+    multipliers (date, multiplier): of the volatility regime, 1 where missing. Moments are running windows of each pair of factors;
+    the dense steps take one date's K x K moments at a time.
+    """
+    other = returns.select("date", F.col("factor").alias("f2"), F.col("f").alias("g"))
+    pairs = returns.select("date", F.col("factor").alias("f1"), "f").join(other, "date").where("f1 <= f2")
+    keys, k = ["f1", "f2"], decay(cfg.corr_half_life)
+    pairs = with_ewma(pairs, F.col("f") * F.col("g"), "_sum", keys, "date", k, seeded=False)
+    pairs = with_ewma(pairs, F.lit(1.0), "_weight", keys, "date", k, seeded=False)
+    until = lambda *by: F.lead("date").over(Window.partitionBy(*by).orderBy("date")).alias("_until")
+    moments = at_dates(pairs.select(*keys, (F.col("_sum") / F.col("_weight")).alias("moment"), F.col("date").alias("_from"), until(*keys)), dates)
+
+    w, k = Window.partitionBy("factor").orderBy("date"), decay(cfg.vol_half_life)
+    rows = with_ewma(with_ewma(returns, F.col("f") ** 2, "_s0", "factor", "date", k, seeded=False), F.lit(1.0), "_w0", "factor", "date", k, seeded=False)
+    total = F.col("_s0")
+    for lag in range(1, cfg.factor_lags + 1):
+        rows = with_ewma(rows, F.coalesce(F.col("f") * F.lag("f", lag).over(w), F.lit(0.0)), f"_s{lag}", "factor", "date", k, seeded=False)
+        total = total + 2.0 * (1.0 - lag / (cfg.factor_lags + 1.0)) * F.col(f"_s{lag}")
+    adjusted = F.col("_s0") / F.col("_w0") * F.coalesce(clip(F.try_divide(total, F.col("_s0")), *cfg.ratio_clip), F.lit(1.0))
+    variances = rows.select("factor", adjusted.alias("var"), F.row_number().over(w).alias("n"), F.col("date").alias("_from"), until("factor"))
+    variances = at_dates(variances, dates).withColumnsRenamed({"factor": "f1"})
+    both = moments.join(variances.withColumn("f2", F.col("f1")), ["as_of", "f1", "f2"], "left").join(multipliers.withColumnRenamed("date", "as_of"), "as_of", "left")
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["f1"]) | set(pdf["f2"]))
+        at = {f: i for i, f in enumerate(names)}
+        i, j = pdf["f1"].map(at).to_numpy(), pdf["f2"].map(at).to_numpy()
+        m, var, n = np.zeros((len(names), len(names))), np.zeros(len(names)), int(pdf["n"].max())
+        m[i, j] = m[j, i] = pdf["moment"].fillna(0.0)
+        own = i == j
+        var[i[own]] = pdf["var"].fillna(0.0)[own]
+        s = np.sqrt(np.maximum(np.diag(m), 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            corr = np.clip(np.nan_to_num(m / np.outer(s, s), nan=0.0, posinf=0.0, neginf=0.0), -1, 1)
+        np.fill_diagonal(corr, 1.0)
+        if cfg.covariance_mode == "blend":
+            corr = pca_blend(corr, cfg.blend_weight, cfg.blend_fraction)
+        cov = corr * np.outer(np.sqrt(var), np.sqrt(var))
+        if cfg.covariance_mode == "eigen":
+            mean = _misjudged(_eigenvalues(cov, cfg), n, range(cfg.eigen_sims), cfg.eigen_floor, 0) / cfg.eigen_sims
+            cov = eigen_adjust(cov, _scale(mean, cfg))
+        cov *= cfg.periods_per_year * float(pdf["multiplier"].fillna(1.0).iloc[0]) ** 2
+        values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+        cov = (vectors * np.maximum(values, cfg.eigen_floor)) @ vectors.T / cfg.periods_per_year
+        return pd.DataFrame({"date": pdf["as_of"].iloc[0], "f1": np.repeat(names, len(names)), "f2": np.tile(names, len(names)), "cov": ((cov + cov.T) / 2).ravel()})
+
+    return both.groupBy("as_of").applyInPandas(one, "date date, f1 string, f2 string, cov double")

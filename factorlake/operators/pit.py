@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _at_dates(known: DataFrame, dates: DataFrame) -> DataFrame:
+def at_dates(known: DataFrame, dates: DataFrame) -> DataFrame:
     """known (..., _from, _until) at each as-of date with _from <= as_of < _until (null: no end), as rows (as_of, ...)."""
     days = dates.select(F.col("date").alias("as_of")).distinct()
     # One row: the first and the last date. Months outside of them are not made.
@@ -34,7 +34,7 @@ def latest(filings: DataFrame, dates: DataFrame) -> DataFrame:
     each = filings.where("filed is not null").groupBy("asset", "field", "filed").agg(F.max(F.struct("end", "filed", "val")).alias("at"))
     run = Window.partitionBy("asset", "field").orderBy("filed").rowsBetween(Window.unboundedPreceding, 0)
     known = each.select("asset", "field", F.max("at").over(run).alias("at"), F.col("filed").alias("_from"), _next("filed", "asset", "field").alias("_until"))
-    return _at_dates(known, dates).select("as_of", "asset", "field", "at.val", "at.end", "at.filed")
+    return at_dates(known, dates).select("as_of", "asset", "field", "at.val", "at.end", "at.filed")
 
 
 def history(filings: DataFrame, dates: DataFrame, periods: int = 5) -> DataFrame:
@@ -47,7 +47,7 @@ def history(filings: DataFrame, dates: DataFrame, periods: int = 5) -> DataFrame
     known = once.withColumn("_next", _next("filed", "asset", "field", "end")).join(ends, ["asset", "field", "end"])
     known = known.select("asset", "field", "end", "val", F.col("filed").alias("_from"), F.least("_next", "_out").alias("_until")).where("_until is null or _from < _until")
     w = Window.partitionBy("as_of", "asset", "field")
-    at = _at_dates(known, dates)
+    at = at_dates(known, dates)
     return at.select("as_of", "asset", "field", "end", "val", (F.row_number().over(w.orderBy("end")) - 1).cast("int").alias("period"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +68,40 @@ def minimum_risk(assets: DataFrame, factors: list[str], cov: np.ndarray, alpha:
     return raw.select("asset", (F.col("_w") / F.sum(F.abs("_w")).over(Window.partitionBy())).alias("w"))
 
 
+def optimized_portfolios(assets: DataFrame, exposures: DataFrame, cov: DataFrame, cfg: RiskConfig) -> DataFrame:
+    """(date, portfolio, asset, w): of each date the minimum-variance portfolio and those of random alphas, unit gross, over the largest names.
+
+    assets (date, week_index, asset, cap, var), exposures (date, asset, factor, x), cov (date, f1, f2, cov). A group is one date's
+    optimized_names names with K exposures each, beside K x K covariances.
+    """
+    rank = F.row_number().over(Window.partitionBy("date").orderBy(F.col("cap").desc(), "asset"))
+    rows = assets.where("var > 0 and cap > 0").withColumn("_r", rank).where(F.col("_r") <= cfg.optimized_names)
+    held = exposures.join(rows.select("date", "asset"), ["date", "asset"]).groupBy("date", "asset").agg(F.map_from_entries(F.collect_list(F.struct("factor", "x"))).alias("x"))
+    rows = rows.join(held, ["date", "asset"])
+
+    def one(names: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        names = names.sort_values("_r")
+        out = []
+        if len(names) >= LEAST_NAMES and len(pairs):
+            factors = sorted(set(pairs["f1"]))
+            at = {f: i for i, f in enumerate(factors)}
+            m = np.zeros((len(factors), len(factors)))
+            m[pairs["f1"].map(at), pairs["f2"].map(at)] = pairs["cov"]
+            x = np.array([[(own or {}).get(f, 0.0) or 0.0 for f in factors] for own in (dict(v) for v in names["x"])])
+            scaled = x / names["var"].to_numpy()[:, None]
+            inner = np.linalg.inv(m + 1e-12 * np.eye(len(m))) + x.T @ scaled
+            alphas = {"opt_minvar": np.ones(len(names))}
+            for k in range(cfg.random_alphas):
+                alphas[f"opt_alpha{k + 1}"] = np.random.default_rng([k + 1, int(names["week_index"].iloc[0])]).standard_normal(len(names))
+            for name, alpha in alphas.items():
+                w = alpha / names["var"].to_numpy() - scaled @ np.linalg.solve((inner + inner.T) / 2, scaled.T @ alpha)
+                if np.isfinite(w).all() and np.abs(w).sum() > 0:
+                    out.append(pd.DataFrame({"date": names["date"].iloc[0], "portfolio": name, "asset": names["asset"].astype(str).to_numpy(), "w": w / np.abs(w).sum()}))
+        return pd.concat(out) if out else pd.DataFrame({"date": [], "portfolio": [], "asset": [], "w": []})
+
+    return rows.groupBy("date").cogroup(cov.groupBy("date")).applyInPandas(one, "date date, portfolio string, asset string, w double")
+
+
 def group_of(portfolio: Column) -> Column:
     return F.split_part(portfolio, F.lit("_"), F.lit(1))
 
@@ -81,10 +116,10 @@ def realized_volatility(weights: DataFrame, returns: DataFrame, by: list[str], w
 
 def score(portfolios: DataFrame, exposures: DataFrame, cov: DataFrame, specific: DataFrame, returns: DataFrame, cfg: RiskConfig, by: str = "date") -> DataFrame:
     """(by, portfolio, group, forecast_vol_ann, realized_ret, z): forecasts from daily factor covariance and
-    specific variance against the following week's returns."""
+    specific variance against the following week's returns. cov may differ by date."""
     x = portfolios.join(exposures, [by, "asset"]).groupBy(by, "portfolio", "factor").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
     other = x.select(by, "portfolio", F.col("factor").alias("f2"), F.col("x").alias("x2"))
-    pairs = x.withColumnRenamed("factor", "f1").join(other, [by, "portfolio"]).join(cov, ["f1", "f2"])
+    pairs = x.withColumnRenamed("factor", "f1").join(other, [by, "portfolio"]).join(cov, [by, "f1", "f2"] if by in cov.columns else ["f1", "f2"])
     systematic = pairs.groupBy(by, "portfolio").agg(F.sum(F.col("x") * F.col("cov") * F.col("x2")).alias("_f"))
     own = portfolios.join(specific, [by, "asset"]).join(returns, [by, "asset"], "left")
     own = own.groupBy(by, "portfolio").agg(F.sum(F.col("w") ** 2 * F.col("var")).alias("_s"), F.sum(F.col("w") * F.coalesce("r", F.lit(0.0))).alias("realized_ret"))

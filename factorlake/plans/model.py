@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +12,7 @@ from factorlake.config import FUNDAMENTALS, STYLES, RiskConfig
 from factorlake.functions.scalar import friday
 from factorlake.functions.timeseries import simple_return
 from factorlake.operators import covariance, history, pit, regression, risk, specific, state, styles, universe, validation
+from factorlake.plans import revalidation
 from factorlake.sources import artifacts
 
 MARKET = "market"
@@ -93,6 +94,9 @@ def build(spark: SparkSession, prices: DataFrame, filings: DataFrame, industries
     growth = pit.growth(pit.history(filings.where("field = 'revenues'"), dates, cfg.growth_periods), cfg.least_growth_periods)
     fund = known.join(growth.select("as_of", "asset", F.col("growth").alias("sales_growth")), ["as_of", "asset"], "left")
     base = f"{path}/work"
+    # The plans before and after are deep enough each.
+    fund.write.mode("overwrite").parquet(f"{base}/fundamentals")
+    fund = spark.read.parquet(f"{base}/fundamentals")
     # read by the regressions and by the last snapshot
     styles.style_exposures(prices, fund, industries, cfg, screened).write.mode("overwrite").parquet(f"{base}/exposures")
     exposures = spark.read.parquet(f"{base}/exposures")
@@ -179,32 +183,6 @@ def as_of(spark: SparkSession, path: str, date: str, cfg: RiskConfig) -> RiskMod
     return RiskModel(spark, x, covariance.to_long(spark, cov, names), vols.select("asset", "vol"), names, {"as_of": date}, cfg)
 
 
-def revalidate(spark: SparkSession, path: str, cfg: RiskConfig, last_weeks: int = 26) -> DataFrame:
-    """Scores of test portfolios formed on past dates against the week that followed, each with the model of its date.
-
-    Portfolios and their returns are one plan for all dates; only the K x K covariance is made date by date.
-    """
-    own = artifacts.load(spark, path)
-    days = [r[0] for r in own["exposure_history"].select("date").distinct().orderBy(F.col("date").desc()).limit(last_weeks + 1).collect()][::-1]
-    pairs = spark.createDataFrame(list(zip(days, days[1:], strict=False)), "date date, until date")
-    names = [r[0] for r in own["factor_returns"].select("factor").distinct().orderBy("factor").collect()]
-    week = own["factor_returns"].withColumnRenamed("date", "day").join(F.broadcast(pairs), (F.col("day") > F.col("date")) & (F.col("day") <= F.col("until")))
-    snapshots = own["exposure_history"].join(F.broadcast(pairs.select("date")), "date", "left_semi")
-    x = snapshots.select("date", "asset", F.explode(F.array(F.struct(F.lit(MARKET).alias("factor"), F.lit(1.0).alias("x")), *[F.struct(F.lit(s).alias("factor"), F.col(s).cast("double").alias("x")) for s in STYLES])).alias("p")).select("date", "asset", "p.factor", "p.x")
-    x = x.unionByName(snapshots.select("date", "asset", F.concat(F.lit("ind_"), "industry").alias("factor"), F.lit(1.0).alias("x")))
-    daily = x.join(week.select("date", "day", "factor", "f"), ["date", "factor"]).groupBy("date", "day", "asset").agg(F.sum(F.col("x") * F.col("f")).alias("s"))
-    realised = daily.join(own["residuals"].withColumnRenamed("date", "day"), ["day", "asset"]).groupBy("date", "asset").agg((F.product(1 + F.col("s") + F.col("eps")) - 1).alias("r"))
-    ports = validation.simple_portfolios(snapshots).unionByName(validation.style_portfolios(snapshots, list(STYLES))).unionByName(validation.industry_portfolios(snapshots)).unionByName(validation.random_baskets(snapshots, cfg.random_baskets, cfg.basket_names))
-    out = None
-    for day in days[:-1]:
-        returns = own["factor_returns"].where(F.col("date") <= F.lit(day))
-        if returns.select("date").distinct().limit(cfg.warm_up).count() < cfg.warm_up:
-            continue
-        cov = covariance.factor_covariance(returns, names, cfg, _latest(state.vra_factor(returns, cfg), "multiplier")) / cfg.periods_per_year
-        at = F.col("date") == F.lit(day)
-        var = state.fill_median(state.specific_variance_asof(own["residuals"], str(day), cfg), snapshots.where(at)).withColumn("date", F.lit(day))
-        scored = validation.score(ports.where(at), x.where(at), covariance.to_long(spark, np.asarray(cov), names), var, realised.where(at), cfg)
-        out = scored if out is None else out.unionByName(scored)
-    if out is None:
-        return spark.createDataFrame([], "date date, portfolio string, group string, forecast_vol_ann double, realized_ret double, z double")
-    return out
+def revalidate(spark: SparkSession, path: str, cfg: RiskConfig, etfs: DataFrame | None = None, last_weeks: int | None = None) -> DataFrame:
+    """Scores of test portfolios formed on past dates against the week that followed, each with the model of its date: every week, or the last ones."""
+    return revalidation.scores(artifacts.load(spark, path), cfg, f"{path}/work/revalidation-{uuid.uuid4().hex}", etfs, last_weeks)
