@@ -18,11 +18,13 @@ from factorlake.operators.history import upsert
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir, which all executors share; a temporary one only where that is unset in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        return f"file://{tempfile.mkdtemp(prefix='factorlake-stream-')}"
-    return f"{named}/factorlake-stream-{spark.sql('select uuid()').first()[0]}"
+    if named:
+        return f"{named}/factorlake-stream-{spark.sql('select uuid()').first()[0]}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='factorlake-stream-')}"
 
 
 def events(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -45,8 +47,8 @@ def weekly(stream: DataFrame, late: str = "10 days") -> DataFrame:
 def running_variance(stream: DataFrame, k: float) -> DataFrame:
     """(asset, n, var): each asset's EWMA of squares, seeded by its first value, carried from batch to batch.
 
-    State is three numbers a key; the rows of a key come in bounded Arrow batches and are folded in time order
-    within a micro-batch.
+    State is three numbers a key. A key's rows of one micro-batch are held together to fold them in time order: what a
+    trigger reads bounds them (files_per_batch). Rows that come in a later micro-batch are folded when they come.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
