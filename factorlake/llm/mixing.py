@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorlake.llm.shared import HASH_BITS, document_hash, written
+from factorlake.llm.shared import HASH_BITS, document_hash, unused, written
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Bits of each histogram; after two the boundary bucket holds about one in 2^24 of a source's documents.
 LEVEL_BITS = 12
+#: Tables of a row for each source are broadcast up to so many sources and bytes of their names; more are joined by shuffles.
+MOST_SOURCES, MOST_SOURCE_BYTES = 100_000, 8 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -48,6 +50,15 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     return ranked.select("source", "source_size", F.round(F.when(stops, F.col("cap")).otherwise(F.col("w") * F.col("first.level")), 6).alias("target"))
 
 
+def _few(by_source: DataFrame) -> bool:
+    n = by_source.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0)).alias("b")).first()
+    return n["n"] <= MOST_SOURCES and n["b"] <= MOST_SOURCE_BYTES
+
+
+def _sent(by_source: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(by_source) if few else by_source
+
+
 def _boundary(histogram: DataFrame, budget: DataFrame, key: str) -> DataFrame:
     """Per source the bucket in which its budget ends, and the budget left there: (source, key, rest)."""
     run = Window.partitionBy("source").orderBy(key)
@@ -59,13 +70,14 @@ def _boundary(histogram: DataFrame, budget: DataFrame, key: str) -> DataFrame:
 
 def thresholds(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """Per source: source_size, target, whole (times every document is taken), threshold (greatest hash
-    taken once more). The last document enters if that brings the sum nearer to the target."""
+    taken once more). The last document enters if that brings the sum nearer to the target. Broadcast if the sources are few."""
     low = HASH_BITS - LEVEL_BITS
     shift = F.shiftright("h", low)
     first = written(sizes.groupBy("source", shift.alias("b1")).agg(F.sum("size").alias("words")), "mix-histogram")
     goal = targets(first.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long"))
     goal = written(goal.withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))), "mix-targets")
+    few = _few(goal)
     at1 = written(_boundary(first, goal.select("source", "rest"), "b1"), "mix-level1")
 
     def inside(at: DataFrame, *keys: str) -> DataFrame:
@@ -74,13 +86,13 @@ def thresholds(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         on = F.col("source").eqNullSafe(F.col("of"))
         for k in keys:
             on = on & (F.col(k) == F.col(f"at_{k}"))
-        return rows.join(own, on)
+        return rows.join(_sent(own, few), on)
 
     second = inside(at1, "b1").groupBy("source", "b2").agg(F.sum("size").alias("words"))
     at2 = written(_boundary(second, at1.select("source", "rest"), "b2"), "mix-level2")
     run = Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     last = inside(at2, "b2").groupBy("source", "h").agg(F.sum("size").alias("words")).withColumn("through", F.sum("words").over(run))
-    last = last.join(at2.select(F.col("source").alias("of"), "rest"), F.col("source").eqNullSafe(F.col("of")))
+    last = last.join(_sent(at2, few).select(F.col("source").alias("of"), "rest"), F.col("source").eqNullSafe(F.col("of")))
     nearer = (F.col("through") <= F.col("rest")) | ((F.col("through") - F.col("words") < F.col("rest")) & (F.col("through") - F.col("rest") < F.col("rest") - F.col("through") + F.col("words")))
     cut = last.where(nearer).groupBy("source").agg(F.max("h").alias("cut"))
     below = at2.select("source", (F.shiftleft("b2", low - LEVEL_BITS) - 1).alias("below"))
@@ -89,7 +101,7 @@ def thresholds(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         out = out.join(extra.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     # Without a boundary the budget covers all documents of the source, unless it has no words.
     threshold = F.coalesce("cut", "below", F.when(F.col("source_size") > 0, F.lit(2**HASH_BITS)).otherwise(F.lit(-1)))
-    return out.select("source", "source_size", "target", "whole", threshold.cast("long").alias("threshold"))
+    return _sent(written(out.select("source", "source_size", "target", "whole", threshold.cast("long").alias("threshold")), "mix-plan"), few)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -103,9 +115,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs."""
-    sizes = written(sized(docs), "mix-sizes")
-    plan = thresholds(sizes, weights, most).select(F.col("source").alias("_of"), "whole", "threshold").withColumnRenamed("whole", "_whole").withColumnRenamed("threshold", "_cut")
-    rows = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_h", document_hash())
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_of"))).where("_size > 0")
-    times = (F.col("_whole") + (F.col("_h") <= F.col("_cut")).cast("long")).cast("int")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    size, h, of, whole, cut, copy = unused(docs, "_size", "_h", "_of", "_whole", "_cut", "_copy")
+    plan = thresholds(written(sized(docs), "mix-sizes"), weights, most)
+    plan = plan.select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("threshold").alias(cut))
+    rows = docs.withColumn(size, word_count(F.col("text"))).withColumn(h, document_hash())
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col(of))).where(F.col(size) > 0)
+    times = (F.col(whole) + (F.col(h) <= F.col(cut)).cast("long")).cast("int")
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)

@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bits of the document hash that nested budgets and the extendible directory read from the left.
 HASH_BITS = 60
+#: Bytes of a batch that goes to Python at once.
+BATCH_BYTES = 16 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -23,14 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a temporary one, but only in local mode:
+    the executors of a cluster would not see the driver's folders."""
+    if named := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return named
-    if not (own := spark.sparkContext.getCheckpointDir()):
-        own = tempfile.mkdtemp(prefix="factorlake-")
-        spark.sparkContext.setCheckpointDir(own)
-        own = f"file://{own}"
-    return own
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='factorlake-')}")
+    return spark.sparkContext.getCheckpointDir()
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -61,7 +63,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, its lineage cut, safe from lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once all that reads them has run."""
+    for df in tables:
+        path = getattr(df, "written_at", None)
+        if path:
+            remove(df.sparkSession, path)
+            _written.remove((df.sparkSession, path))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as df's own columns make necessary."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def document_hash(doc_id: str = "doc_id", text: str = "text") -> Column:
@@ -77,7 +100,7 @@ def ascii_table(keep_apart: str) -> bytes:
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str | T.StructType) -> DataFrame:
     """df through Python, a batch of rows at a time. make() runs once in each task and gives the function
-    from the values of one row to any number of output rows. Integers keep all bits, nulls are None."""
+    from the values of one row to any number of output rows. Integers keep all bits, nulls are None. Sets the session's Arrow batch limits."""
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(fields)
 
@@ -88,6 +111,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]],
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
 
-    # Texts can be long: a task holds a thousand at a time, not ten thousand.
+    # Texts can be long: a batch has at most so many rows and bytes (one row, where that alone is more).
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(run, fields)
