@@ -4,16 +4,19 @@
 2. A class posts itself under each (coordinate, value) pair of its MinHash signature. Postings that no other
    class shares are dropped. To reach THRESHOLD equal coordinates, two classes must meet under one of the rarest
    m - THRESHOLD + 1 of a class's m shared postings, so only that prefix stays posted.
-3. Classes that meet under a posting are candidates if at least THRESHOLD coordinates collide (postings carry
-   7 bits of each coordinate, so this is tested as they meet). Of these, pairs whose FINE further coordinates
-   (1 bit of each) leave 0.75 possible are confirmed on their full shingle sets.
-4. No bucket is expanded into all its pairs. In each round the members of a bucket meet only its most
-   central members (those whose postings are the most common), whatever is linked merges into
-   components, and only members of different components remain of interest. A bucket shrinks by its pivots
-   in each round; when few open pairs are left, all of them are compared.
+3. Classes that meet under a short posting list (at most SHORT) are candidates if their sizes and their collisions
+   in FINE further coordinates (1 bit of each) leave 0.75 possible. Candidates are confirmed on their full sets.
+4. A longer list is not merged pair by pair: all its members are compared with one pivot p only, a central text. Let r(x) be the symmetric difference of x and p, as a set. x and y are linked only if their own
+   symmetric difference, that of r(x) and r(y), has at most (|x| + |y|) / 7 elements. Those linked with p are in one
+   component. Of any other pair one end y is not linked with p, so |r(y)| > (|p| + |y|) / 7, and then x and y share
+   more than half of x's differences (to within (|x| - |p|) / 14). So each member posts a prefix of its differences to p, the rarest
+   first: where their lists are short, step 3 finds the pairs; where not, step 4 goes on with them.
+
+So a group of n near copies and its surroundings make n comparisons with pivots, and pairs only where
+texts share what sets them apart from the pivot. Lists that are still long after LEVELS rounds are merged whole; none is capped.
 
 A link of exactly 0.75 is missed with probability P(Binomial(64, 0.75) < 32) < 1e-5, and by the fine coordinates
-with P(Binomial(512, 1 / 8) > 102) < 1e-6, others with less. No bucket is capped: what stays open is compared in later rounds.
+with P(Binomial(512, 1 / 8) > 102) < 1e-6, others with less; step 4 is exact.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; fewer words than a
 shingle make one shingle; rows that repeat a doc_id are one node with the links of all its texts; a null doc_id
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -31,14 +35,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlake.llm.components import connected
-from factorlake.llm.shared import map_rows, written
+from factorlake.llm.shared import map_rows, release, unused, written
 
 WORDS, COORDINATES, THRESHOLD = 5, 64, 32
 #: Links have 100 * intersection >= SHARE * union.
 SHARE = 75
-#: All open pairs are compared at once when they are no more than this many, or this many for each class.
-#: A pair of a large group counts under each posting that it shares, up to COORDINATES - THRESHOLD + 1 times.
-FEW_PAIRS, FEW_PER_CLASS = 100_000, 400
+#: Posting lists of at most SHORT classes, and lists of differences with at most SHORT_APART near postings, are merged
+#: pair by pair, longer ones through pivots, up to LEVELS times.
+SHORT, SHORT_APART, LEVELS = 48, 256, 4
+#: Ids and keys of classes that may have a partner are broadcast up to so many, at some 60 bytes; more meet the documents by a shuffle.
+MOST_MEMBERS = 1_000_000
 #: Further coordinates of each class that has a partner, and how many may differ: 5 deviations above those of 0.75.
 FINE, FINE_DIFFERENT = 512, 102
 
@@ -48,10 +54,6 @@ _ADD = _rng.integers(1 << 32, size=(COORDINATES, 1), dtype=np.uint32)
 _EACH = np.arange(COORDINATES)
 _FINE_MULTIPLY = _rng.integers(1 << 31, size=(FINE, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _FINE_ADD = _rng.integers(1 << 32, size=(FINE, 1), dtype=np.uint32)
-#: Codes of 7 bits, 7 to a number of 64 bits: the sum of a difference and _CARRY never leaves its byte.
-_CODES = 7
-_CODE_WORDS = -(-COORDINATES // _CODES)
-_CARRY, _HIGH = 0x007F7F7F7F7F7F7F, 0x0080808080808080
 _PLACE = _rng.integers(1 << 62, size=WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -97,13 +99,6 @@ def signature(own: np.ndarray) -> np.ndarray:
     return (own[at] >> np.uint64(8)).astype(np.int64)
 
 
-def codes_of(values: np.ndarray) -> np.ndarray:
-    """7 bits of each coordinate, packed."""
-    out = np.zeros((_CODE_WORDS, 8), np.uint8)
-    out[:, :_CODES].flat[:COORDINATES] = values & 127
-    return out.view("<i8").ravel()
-
-
 def fine_codes(own: np.ndarray) -> np.ndarray:
     """A bit of the least value of each of FINE hash functions, packed."""
     low, best = own.astype(np.uint32), np.full(FINE, np.iinfo(np.uint32).max)
@@ -125,141 +120,205 @@ def _described() -> Callable:
     def each(doc_id: int | None, text: str | None) -> list[tuple]:
         own = shingles(text, known)
         if not len(own):
-            return [(doc_id, 0, None, None, None)]
-        values = signature(own)
-        return [(doc_id, len(own), _class_of(own), values.tolist(), codes_of(values).tolist())]
+            return [(doc_id, 0, None, None)]
+        return [(doc_id, len(own), _class_of(own), signature(own).tolist())]
 
     return each
 
 
+class _Sets:
+    """Shingle sets of texts, the last ones kept: a pivot's many pairs mostly come together."""
+
+    def __init__(self, most: int = 1_000_000) -> None:
+        self.words, self.recent, self.kept, self.most = _WordHashes(), {}, 0, most
+
+    def of(self, key: int, text: str) -> np.ndarray:
+        if key not in self.recent:
+            if self.kept > self.most:
+                self.recent.clear()
+                self.kept = 0
+            self.recent[key] = shingles(text, self.words)
+            self.kept += len(self.recent[key])
+        return self.recent[key]
+
+
+def _linked(both: int, either: int) -> bool:
+    return 100 * both >= SHARE * either
+
+
 def _confirmed() -> Callable:
-    """Rows of candidates with both texts to those whose full sets are similar enough, and how similar the others are."""
-    known, recent = _WordHashes(), {}
-    kept = 0
-
-    def own(key: int, text: str) -> np.ndarray:
-        nonlocal kept
-        if key not in recent:
-            if kept > 1_000_000:
-                recent.clear()
-                kept = 0
-            recent[key] = shingles(text, known)
-            kept += len(recent[key])
-        return recent[key]
+    """Candidates with both texts to those whose full sets are similar enough."""
+    sets = _Sets()
 
     def each(a: int, b: int, text_a: str, text_b: str) -> list[tuple]:
-        x, y = own(a, text_a), own(b, text_b)
+        x, y = sets.of(a, text_a), sets.of(b, text_b)
         both = len(np.intersect1d(x, y, assume_unique=True))
-        either = len(x) + len(y) - both
-        return [(a, b, 100 * both >= SHARE * either, both / either)]
+        return [(a, b)] if _linked(both, len(x) + len(y) - both) else []
 
     return each
 
 
+def differences(x: np.ndarray, p: np.ndarray) -> tuple[bool, np.ndarray, int, int]:
+    """(linked with p, x's differences to p, the lengths of the prefixes that x posts for partners not linked with p and for linked ones).
+
+    With t = (|x| + |y|) / 7 >= |x ^ y|: any partner y leaves at most |x| // 3 of r(x) unshared; a y not linked with p shares
+    more than (7 |r(x)| + |p| - |x|) / 14; a y linked with p shares at least (7 |r(x)| - |x| - |p|) / 8, if x isn't linked itself.
+    """
+    apart = np.setxor1d(x, p, assume_unique=True)
+    r = len(apart)
+    both = (len(x) + len(p) - r) // 2
+    linked, least = _linked(both, both + r), r - len(x) // 3
+    short = max(0, r - max(least, (7 * r + len(p) - len(x)) // 14 + 1) + 1)
+    # A partner that is linked with p has at most |p| // 3 differences to it.
+    share = max(1, least, -((len(x) + len(p) - 7 * r) // 8))
+    return linked, apart, short, 0 if linked or share > len(p) // 3 else r - share + 1
+
+
+def _set_apart() -> Callable:
+    """A member x and its pivot to: linked, the keys of its differences, and how long its posted prefixes are."""
+    sets = _Sets()
+
+    def each(x: int, pivot: int, text_x: str, text_pivot: str) -> list[tuple]:
+        linked, apart, short, wide = differences(sets.of(x, text_x), sets.of(pivot, text_pivot))
+        keys = _mixed(apart + _mixed(np.full(1, pivot, np.uint64))).view(np.int64).tolist() if short or wide else []
+        return [(x, pivot, linked, keys, short, wide)]
+
+    return each
+
+
+def _posted_apart(star: DataFrame) -> DataFrame:
+    """Lists of the rarest differences, as many as each member must post. Those that no other member has need no list."""
+    each = star.where("size(apart) > 0").select("x", "pivot", F.explode("apart").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    shared = each.join(often, "token").groupBy("x", "pivot").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"))
+    shared = star.select("x", "pivot", "linked", "short", "wide", F.size("apart").alias("r")).join(shared, ["x", "pivot"])
+    alone = F.col("r") - F.size("own")
+    shared = shared.withColumn("short", F.col("short") - alone).withColumn("wide", F.col("wide") - alone).where("short > 0 or wide > 0")
+    posted = shared.select(F.col("x").alias("id"), "linked", "r", "short", F.size("own").alias("m"), F.posexplode(F.slice("own.token", F.lit(1), F.greatest("short", "wide"))).alias("place", "token"))
+    return posted.select("token", "id", (~F.col("linked")).alias("far"), (F.col("place") < F.col("short")).alias("near"), "r", (F.col("m") - F.col("place")).alias("room"), F.struct(F.col("linked"), "r", "id").alias("rank"))
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per row: doc_id, n_shingles, key), (per class: id, key, doc_id, n, signature, codes)."""
+    """(per row: doc_id, n_shingles, key), (per class: id, key, doc_id, n, signature)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(map_rows(rows, _described, "doc_id long, n_shingles long, key binary, signature array<long>, codes array<long>"), "shingled")
+    rows = written(map_rows(rows, _described, "doc_id long, n_shingles long, key binary, signature array<long>"), "shingled")
     named = rows.where("key is not null and doc_id is not null")
-    own = named.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "signature", "codes")).alias("at"))
-    return rows.select("doc_id", "n_shingles", "key"), written(own.select(F.monotonically_increasing_id().alias("id"), "key", "at.doc_id", F.col("at.n_shingles").alias("n"), "at.signature", "at.codes"), "classes")
+    own = named.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("at"))
+    return rows.select("doc_id", "n_shingles", "key"), written(own.select(F.monotonically_increasing_id().alias("id"), "key", "at.doc_id", F.col("at.n_shingles").alias("n"), "at.signature"), "classes")
 
 
-def postings(own: DataFrame) -> DataFrame:
-    """(token, id, n, central, code0, ...): the prefix of each class's shared postings that can still lead to THRESHOLD collisions."""
+def shared_postings(own: DataFrame) -> DataFrame:
+    """(id, central, tokens): of each class that can reach THRESHOLD collisions its shared postings, the rarest first, and how common they are in all."""
     posted = own.select("id", F.posexplode("signature").alias("place", "value"))
     posted = posted.select("id", F.shiftleft("value", COORDINATES.bit_length() - 1).bitwiseOR(F.col("place").cast("long")).alias("token"))
-    shared = posted.withColumn("often", F.count("*").over(Window.partitionBy("token"))).where("often > 1")
+    # Counted before the shuffle, so that no task holds a common posting's list.
+    often = posted.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
     # At most COORDINATES postings of a class come together.
-    lists = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"), F.sum("often").alias("central"))
-    m = F.size("own")
-    prefix = lists.where(m >= THRESHOLD).select("id", "central", F.slice("own", 1, m - THRESHOLD + 1).alias("own"))
-    # Flat columns keep the test of a meeting so small that the JVM compiles it.
-    codes = [F.get("codes", F.lit(i)).alias(f"code{i}") for i in range(_CODE_WORDS)]
-    prefix = prefix.join(own.select("id", "n", *codes), "id")
-    return prefix.select(F.explode("own.token").alias("token"), *[c for c in prefix.columns if c != "own"])
+    lists = posted.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"), F.sum("often").alias("central"))
+    return lists.where(F.size("own") >= THRESHOLD).select("id", "central", F.col("own.token").alias("tokens"))
 
 
-def _different(x: str, y: str) -> Column:
-    """How many of the coordinates' codes differ: a few less than coordinates do, never more."""
-    return sum((F.bit_count((F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}")) + F.lit(_CARRY)).bitwiseAND(F.lit(_HIGH))) for i in range(_CODE_WORDS)), F.lit(0))
+_BITS = [f"fine{i}" for i in range(FINE // 64)]
 
 
 def _fine_different(x: str, y: str) -> Column:
     """How many bits of the fine coordinates differ."""
-    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(FINE // 64)), F.lit(0))
+    return sum((F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in range(FINE // 64)), F.lit(0))
+
 
+def _met(lists: DataFrame, sides: DataFrame) -> DataFrame:
+    """Pairs (a, b) that meet in lists (token, id, far, near, r, room): of two components, not both linked with the pivot,
+    both posted for such a partner, and with sizes, differences and collisions that leave a link possible.
 
-def _candidates(pairs: DataFrame, fine: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """Distinct pairs (a, b) not compared before whose fine coordinates leave a link possible."""
-    pairs = pairs.distinct()
-    if tested is not None:
-        pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        pairs = pairs.join(fine.select(F.col("id").alias(end), F.col("fine").alias(f"fine_{end}")), end)
-    return pairs.where(_fine_different("fine_a", "fine_b") <= FINE_DIFFERENT).select("a", "b")
+    Where a pair first meets, it shares no more differences than either has left in its order (room).
+    """
+    here = lists.join(sides, "id")
+    other = here.select(F.col("token").alias("at"), *[F.col(c).alias(f"b_{c}") for c in here.columns if c != "token"])
+    size = (F.col("n") * 100 >= F.col("b_n") * SHARE) & (F.col("b_n") * 100 >= F.col("n") * SHARE)
+    posted = (F.col("far") | F.col("b_far")) & (F.col("near") | ~F.col("b_far")) & (F.col("b_near") | ~F.col("far"))
+    room = F.least("room", "b_room") * 14 >= 7 * (F.col("r") + F.col("b_r")) - F.col("n") - F.col("b_n")
+    on = (F.col("token") == F.col("at")) & (F.col("id") < F.col("b_id")) & (F.col("home") != F.col("b_home")) & posted & size & room & (_fine_different("fine", "b_fine") <= FINE_DIFFERENT)
+    return here.join(other, on).select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    for end in ("a", "b"):
+def _with_texts(pairs: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame:
+    for end in (b, a):
         pairs = pairs.join(texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}")), end)
-    return map_rows(pairs.select("a", "b", "text_a", "text_b"), _confirmed, "a long, b long, link boolean, jaccard double")
+    return pairs.select(a, b, f"text_{a}", f"text_{b}")
 
 
-def links(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """(a, b): links between classes that connect all that are similar, directly or through others."""
-    posted = written(postings(own), "postings")
-    members = posted.select("id").distinct().join(own.select("id", "key", "doc_id"), "id")
-    # The texts of the classes that may have a partner; a doc_id that repeats with another text falls out by its class.
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members, "doc_id")
+def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, n, text, fine0, ...) of the classes that may have a partner, once for each row with such a text; a doc_id
+    that repeats with another text falls out by its class."""
+    few = members.count() <= MOST_MEMBERS
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(members) if few else members, "doc_id")
 
     def same() -> Callable:
         hashes = _WordHashes()
 
         def each(number: int, key: bytes, text: str | None) -> list[tuple]:
             own = shingles(text, hashes)
-            return [(number, text, fine_codes(own).tolist())] if len(own) and _class_of(own) == key else []
+            return [(number, len(own), text, *fine_codes(own).tolist())] if len(own) and _class_of(own) == key else []
 
         return each
 
-    texts = written(map_rows(known.select("id", "key", "text"), same, "id long, text string, fine array<long>"), "texts")
-    if texts.count() > members.count():
-        texts = texts.groupBy("id").agg(F.min(F.struct("text", "fine")).alias("at")).select("id", "at.text", "at.fine")
-    few = max(FEW_PAIRS, FEW_PER_CLASS * own.count())
-    size = lambda x, y: F.col(x) * 100 >= F.col(y) * SHARE
-    open_members = posted.withColumn("component", F.col("id"))
-    tested, edges, pivots = None, None, 1
-    while True:
-        buckets = open_members.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("main"))
-        buckets = written(buckets.where("parts > 1"), "buckets")
-        left = buckets.agg(F.sum((F.col("n") * F.col("n") - F.col("nn")) / 2)).first()[0] or 0
-        if not left:
-            break
-        here = open_members.join(buckets.select("token"), "token", "left_semi")
-        if left <= few:
-            # All open pairs have an end outside of the bucket's largest component.
-            main = buckets.select("token", F.col("main.component").alias("main"))
-            chosen = here.join(main, "token").where("component <> main").drop("main")
-        else:
-            rank = F.row_number().over(Window.partitionBy("token").orderBy(F.col("central").desc(), "id"))
-            chosen = written(here.withColumn("rank", rank).where(F.col("rank") <= pivots).drop("rank"), "pivots")
-        other = chosen.select(F.col("token").alias("at"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("component").alias("pivot_component"), *[F.col(f"code{i}").alias(f"pivot_code{i}") for i in range(_CODE_WORDS)])
-        alike = size("n", "pivot_n") & size("pivot_n", "n") & (_different("code", "pivot_code") <= COORDINATES - THRESHOLD)
-        met = here.join(other, (F.col("token") == F.col("at")) & (F.col("component") != F.col("pivot_component")) & alike)
-        pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        done = written(_compared(written(_candidates(pairs, texts, tested), "candidates"), texts), "compared")
-        tested = done if tested is None else tested.unionByName(done)
-        new = done.where("link").select("a", "b")
-        edges = new if edges is None else edges.unionByName(new)
-        if left <= few:
+    return map_rows(known.select("id", "key", "text"), same, "id long, n long, text string, " + ", ".join(f"{b} long" for b in _BITS))
+
+
+def _few_pivots(lists: DataFrame, long: DataFrame) -> DataFrame:
+    """long (token, n, pivot) with other pivots, as any text can be one: each member prefers that of its lists' pivots which most
+    others have too, and a list takes what most of its members prefer. So the lists of a group of copies and its surroundings share a pivot."""
+    here = lists.join(long, "token")
+    popular = here.groupBy("pivot").agg(F.count("*").alias("served"))
+    prefers = here.join(popular, "pivot").groupBy("id").agg(F.max(F.struct("served", "pivot")).alias("best")).select("id", F.col("best.pivot").alias("prefers"))
+    votes = here.select("token", "id").join(prefers, "id").groupBy("token", "prefers").agg(F.count("*").alias("votes"))
+    return votes.groupBy("token").agg(F.max(F.struct("votes", "prefers")).alias("at")).join(long, "token").select("token", "n", F.col("at.prefers").alias("pivot"))
+
+
+def links(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """(a, b): links between classes that connect all that are similar, directly or through others."""
+    posted = written(shared_postings(own), "postings")
+    members = written(posted.select("id").join(own.select("id", "key", "doc_id"), "id"), "members")
+    described = written(_texts(docs, members), "texts")
+    texts = described if described.count() == members.count() else described.groupBy("id").agg(F.min(F.struct("text", "n", *_BITS)).alias("at")).select("id", "at.*")
+    # In the first lists, of the prefixes that can still lead to THRESHOLD collisions, every pair counts.
+    prefix = posted.select("id", "central", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - THRESHOLD + 1)).alias("token"))
+    lists = prefix.select("token", "id", F.lit(True).alias("far"), F.lit(True).alias("near"), F.lit(0).alias("r"), F.lit(0).alias("room"), F.struct(-F.col("central"), "id").alias("rank"), F.col("id").alias("home"))
+    sides, met, stars, used = texts.select("id", "n", *_BITS, F.col("id").alias("home")), None, [], [posted, members, described]
+    for level in range(LEVELS + 1):
+        sizes = lists.groupBy("token").agg(F.count_if("near").alias("near"), F.max("far").alias("any"), F.min("rank").alias("pivot"), (F.min("home") < F.max("home")).alias("open"))
+        sizes = written(sizes.where("near > 0 and any and open").select("token", F.col("near").alias("n"), F.col("pivot.id").alias("pivot")), "lists")
+        used.append(sizes)
+        most = SHORT_APART if level else SHORT
+        long = sizes.where(F.col("n") > most)
+        if level == 0:
+            long = written(_few_pivots(lists.select("token", "id"), long), "long")
+            used.append(long)
+        last = level == LEVELS or long.isEmpty()
+        merged = lists.join(sizes.select("token") if last else sizes.where(F.col("n") <= most).select("token"), "token", "left_semi").drop("rank", "home")
+        if not last:
+            star = lists.join(long, "token").where("id <> pivot").select(F.col("id").alias("x"), "pivot").distinct()
+            star = written(map_rows(_with_texts(star, texts, "x", "pivot"), _set_apart, "x long, pivot long, linked boolean, apart array<long>, short int, wide int"), "pivots")
+            stars.append(star)
+            if level == 0:
+                of = connected(_links_of(star)).select(F.col("node").alias("id"), F.col("component").alias("home"))
+                sides = written(texts.select("id", "n", *_BITS).join(of, "id", "left").withColumn("home", F.coalesce("home", "id")), "sides")
+                used.append(sides)
+            lists = written(_posted_apart(star).join(sides.select("id", "home"), "id"), "apart")
+            used += [star, lists]
+        new = written(_met(merged, sides), "met")
+        met = new if met is None else met.unionByName(new)
+        used.append(new)
+        if last:
             break
-        if not new.isEmpty():
-            of = connected(edges).select(F.col("node").alias("id"), F.col("component").alias("merged"))
-            here = here.drop("component").join(of, "id", "left").withColumn("component", F.coalesce("merged", "id")).drop("merged")
-        # A pivot has met all of its bucket, so it leaves it.
-        open_members = written(here.join(chosen.select("token", "id"), ["token", "id"], "left_anti"), "open")
-        pivots *= 4
-    return own.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if edges is None else edges
+    direct = map_rows(_with_texts(met.distinct(), texts, "a", "b"), _confirmed, "a long, b long")
+    out = written(reduce(DataFrame.unionByName, [_links_of(x) for x in stars], direct), "links")
+    release(*used)
+    return out
+
+
+def _links_of(star: DataFrame) -> DataFrame:
+    return star.where("linked").select(F.col("x").alias("a"), F.col("pivot").alias("b"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -283,9 +342,10 @@ def dedup(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of docs; rows without a doc_id all stay."""
     decided = written(dedup(docs), "dedup")
-    out = docs.join(decided.where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone, one = unused(docs, "_gone", "_one")
+    out = docs.join(decided.where("not kept").select(F.col("doc_id").alias(gone)).distinct(), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
     counted = decided.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if counted["n"] == counted["d"]:
         return out
-    one = Window.partitionBy(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string")))).orderBy("text")
-    return out.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one")
+    at = Window.partitionBy(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string")))).orderBy("text")
+    return out.withColumn(one, F.row_number().over(at)).where(F.col(one) == 1).drop(one)
