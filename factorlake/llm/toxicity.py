@@ -124,6 +124,11 @@ class Sample:
         return words, places, spans
 
 
+def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values of each row number below n."""
+    return np.stack([np.bincount(rows, values[:, c], n) for c in range(values.shape[1])], axis=1).astype(np.float32)
+
+
 def random_network(labels: np.ndarray, rng: np.random.Generator) -> Network:
     toxic, clean = max(1.0, labels.sum()), max(1.0, len(labels) - labels.sum())
     embed = rng.normal(0, 0.01, (BUCKETS + 1, DIM)).astype(np.float32)
@@ -157,35 +162,36 @@ def train(sample: Sample, chosen: np.ndarray, seed: int = 7) -> Network:
             features[rng.random(features.shape) < DROP] = BUCKETS
             features[rng.random(len(features)) < DROP] = BUCKETS
             z = net.slots(features)[places]
-            best, where = np.empty((len(own), *net.bias.shape), np.float32), np.empty((len(own), *net.bias.shape), np.int64)
+            starts, sizes = np.array([x.start for x in spans]), np.array([x.stop - x.start for x in spans])
+            best, where = np.empty((len(own), *net.bias.shape), np.float32), np.zeros((len(own), *net.bias.shape), np.int64)
             for k in range(len(WIDTHS)):
                 at_each = responses(z, k)
+                if epoch < WARM:
+                    best[:, k] = np.add.reduceat(at_each, starts, axis=0) / np.sqrt(sizes)[:, None]
+                    continue
                 for d, span in enumerate(spans):
-                    part = at_each[span]
-                    where[d, k] = part.argmax(axis=0)
-                    best[d, k] = part.sum(axis=0) / np.sqrt(len(part)) if epoch < WARM else part[where[d, k], np.arange(FILTERS)]
+                    where[d, k] = at_each[span].argmax(axis=0)
+                best[:, k] = at_each[starts[:, None] + where[:, k], np.arange(FILTERS)]
             before = best + net.bias
             active = before if epoch < WARM else np.maximum(before, 0)
             logit = (active * net.out).sum(axis=(1, 2)) + net.base
             g = (weight[own] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[own]) / len(own)).astype(np.float32)
             g_best = g[:, None, None] * net.out * (1 if epoch < WARM else before > 0)
-            g_z = np.zeros_like(z)
-            for d, span in enumerate(spans):
-                for k, width in enumerate(WIDTHS):
-                    for j in range(width):
-                        if epoch < WARM:
-                            g_z[span.start + j : span.stop + j, _FIRST_SLOT[k] + j] += g_best[d, k] / np.sqrt(span.stop - span.start)
-                        else:
-                            g_z[span.start + where[d, k] + j, _FIRST_SLOT[k] + j, np.arange(FILTERS)] += g_best[d, k]
-            touched = np.flatnonzero(g_z.any(axis=(1, 2)))
-            g_slots = np.zeros((len(words), SLOTS * FILTERS), np.float32)
-            np.add.at(g_slots, places[touched], g_z[touched].reshape(len(touched), -1))
+            g_slots = np.empty((len(words), SLOTS, FILTERS), np.float32)
+            text_of, n = np.repeat(np.arange(len(own)), sizes), len(z) - _PAD
+            for k, width in enumerate(WIDTHS):
+                for j in range(width):
+                    if epoch < WARM:
+                        g_slots[:, _FIRST_SLOT[k] + j] = _summed(places[j : n + j], (g_best[:, k] / np.sqrt(sizes)[:, None])[text_of], len(words))
+                    else:
+                        cells = places[starts[:, None] + where[:, k] + j] * FILTERS + np.arange(FILTERS)
+                        g_slots[:, _FIRST_SLOT[k] + j] = np.bincount(cells.ravel(), g_best[:, k].ravel(), len(words) * FILTERS).reshape(-1, FILTERS)
+            g_slots = g_slots.reshape(len(words), SLOTS * FILTERS)
             g_words = np.repeat(g_slots @ net.filters.T, features.shape[1], axis=0)
             flat = features.ravel()
             learned = (flat < BUCKETS) & g_words.any(axis=1)
             rows, of = np.unique(flat[learned], return_inverse=True)
-            g_embed = DECAY * net.embed[rows]
-            np.add.at(g_embed, of, g_words[learned])
+            g_embed = DECAY * net.embed[rows] + _summed(of, g_words[learned], len(rows))
             step("filters", net.embed[features].sum(axis=1).T @ g_slots)
             step("embed", g_embed, rows)
             step("bias", g_best.sum(axis=0))
