@@ -198,13 +198,21 @@ def _posted_apart(star: DataFrame) -> DataFrame:
     return posted.select("token", "id", (~F.col("linked")).alias("far"), (F.col("place") < F.col("short")).alias("near"), "r", (F.col("m") - F.col("place")).alias("room"), F.struct(F.col("linked"), "r", "id").alias("rank"))
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(per row: doc_id, n_shingles, key), (per class: id, key, doc_id, n, signature)."""
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(per row: doc_id, n_shingles, key), (per class: id, key, doc_id), (per class that shares postings: see shared_postings).
+
+    Signatures are dropped as soon as their postings are written.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(map_rows(rows, _described, "doc_id long, n_shingles long, key binary, signature array<long>"), "shingled")
-    named = rows.where("key is not null and doc_id is not null")
-    own = named.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("at"))
-    return rows.select("doc_id", "n_shingles", "key"), written(own.select(F.monotonically_increasing_id().alias("id"), "key", "at.doc_id", F.col("at.n_shingles").alias("n"), "at.signature"), "classes")
+    described = written(map_rows(rows, _described, "doc_id long, n_shingles long, key binary, signature array<long>"), "shingled")
+    rows = written(described.select("doc_id", "n_shingles", "key"), "rows")
+    own = described.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "signature")).alias("at"))
+    wide = written(own.select(F.monotonically_increasing_id().alias("id"), "key", "at.doc_id", "at.signature"), "signatures")
+    release(described)
+    posted = written(shared_postings(wide), "postings")
+    own = written(wide.select("id", "key", "doc_id"), "classes")
+    release(wide)
+    return rows, own, posted
 
 
 def shared_postings(own: DataFrame) -> DataFrame:
@@ -275,9 +283,8 @@ def _few_pivots(lists: DataFrame, long: DataFrame) -> DataFrame:
     return votes.groupBy("token").agg(F.max(F.struct("votes", "prefers")).alias("at")).join(long, "token").select("token", "n", F.col("at.prefers").alias("pivot"))
 
 
-def links(docs: DataFrame, own: DataFrame) -> DataFrame:
+def links(docs: DataFrame, own: DataFrame, posted: DataFrame) -> DataFrame:
     """(a, b): links between classes that connect all that are similar, directly or through others."""
-    posted = written(shared_postings(own), "postings")
     members = written(posted.select("id").join(own.select("id", "key", "doc_id"), "id"), "members")
     described = written(_texts(docs, members), "texts")
     texts = described if described.count() == members.count() else described.groupBy("id").agg(F.min(F.struct("text", "n", *_BITS)).alias("at")).select("id", "at.*")
@@ -323,8 +330,8 @@ def _links_of(star: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
-    rows, own = classes(docs)
-    of = connected(links(docs, own)).select(F.col("node").alias("id"), F.col("component").alias("joined"))
+    rows, own, posted = classes(docs)
+    of = connected(links(docs, own, posted)).select(F.col("node").alias("id"), F.col("component").alias("joined"))
     grouped = own.select("id", "key", "doc_id").join(of, "id", "left").withColumn("joined", F.coalesce("joined", "id"))
     least = grouped.groupBy("joined").agg(F.min("doc_id").alias("least"))
     by_class = written(grouped.join(least, "joined").select("key", "least"), "class-components")
