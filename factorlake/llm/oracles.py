@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from factorlake.llm.licences import RULES, SENTENCE_END, SENTENCES
 from factorlake.llm.queries import SHARD_BYTES
 
@@ -81,6 +83,43 @@ m as (select payload_digest, max(page_id) largest from p where payload_bytes >=
 select p.page_id, p.payload_bytes, p.payload_digest, case when m.largest is null or p.page_id = m.largest then 'response' else 'revisit' end record_type,
   case when p.page_id < m.largest then m.largest end refers_to, url from p left join m using (payload_digest)"""
 
+_audit = r"""
+with d as (select row_number() over () r, doc_id, coalesce(source, '') part, coalesce(text, '') t from documents),
+w as (select r, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) w from d),
+c as (select r, sum(n) n, count(*) k from (select r, w, count(*) n from w group by all) group by r),
+m as (select t, min(doc_id) least from d group by t),
+l as (select doc_id, bool_or(coalesce(quality = 1, false)) good, bool_or(coalesce(toxic = 1, false)) toxic from labels group by doc_id),
+f as (select part, coalesce(good, false) good, coalesce(toxic, false) toxic, [coalesce(n, 0) < 200, 100 * coalesce(k, 0) < 50 * coalesce(n, 0),
+    100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * len(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] fails
+  from d left join c using (r) left join m using (t) left join l using (doc_id)),
+g as (select part, fails, count(*) n, count_if(good) good, count_if(toxic) toxic from f group by all),
+o as (select a || b || c || d || e filter_order from unnest(['A', 'B', 'C', 'D', 'E']) x(a), unnest(['A', 'B', 'C', 'D', 'E']) y(b), unnest(['A', 'B', 'C', 'D', 'E']) z(c),
+    unnest(['A', 'B', 'C', 'D', 'E']) v(d), unnest(['A', 'B', 'C', 'D', 'E']) u(e) where len(list_distinct([a, b, c, d, e])) = 5),
+s as (select filter_order, step, ascii(filter_order[step]) - 64 own, list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) before from o, range(1, 6) t(step)),
+x as (select part, filter_order, step, own, n, good, toxic, fails[own] here, coalesce(list_bool_or(list_transform(before, lambda i: fails[i])), false) gone,
+    len(list_filter(fails, lambda b: b)) = 1 alone from g, s),
+y as (select part, filter_order, step, own, sum(case when not gone and not here then n else 0 end)::bigint kept, sum(case when here and not gone then n else 0 end)::bigint removed,
+    sum(case when here and gone then n else 0 end)::bigint redundant, sum(case when here and alone then n else 0 end)::bigint unique_fails,
+    sum(case when here and not gone then good else 0 end)::bigint good_lost, sum(case when here and not gone then toxic else 0 end)::bigint toxic_lost from x group by all)
+select part, filter_order, step::int step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, own))::bigint shapley from y"""
+
+#: The table of CRC-32 by its rule: eight shifts, each with the polynomial where a bit falls out.
+_crc = ", ".join(str(reduce(lambda c, _: c >> 1 ^ (0xEDB88320 if c & 1 else 0), range(8), b)) for b in range(256))
+_spelling = rf"""
+with recursive runs as (select coalesce(doc_id::varchar, '') id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') r from documents),
+occ as (select id, r, count(*) n, hex(encode(id || ':' || r)) x from runs where len(r) >= 5 group by all),
+hashed as (select r, n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::bigint)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295::bigint) h from occ, (select [{_crc}]::bigint[] t)),
+cut as (select case when h % 97 = 0 then r[1:h % len(r)] || r[h % len(r) + 2:] else r end word, n from hashed),
+v as (select word, sum(n)::bigint n from cut where len(word) >= 5 group by word having sum(n) >= 3),
+k as (select word, n, i, word[1:i - 1] || word[i + 1:] c from v, range(1, 200) t(i) where i <= len(word)),
+near as (select x.word a, y.word b, y.n from k x join k y on x.c = y.c and x.i = y.i and x.word <> y.word union select x.word, y.word, y.n from k x join v y on x.c = y.word union select y.word, x.word, x.n from k x join v y on x.c = y.word),
+best as (select a, count(*) n_near, min({{'m': -n, 'b': b}}) m from near group by a),
+f as (select word, v.n, coalesce(n_near, 0)::bigint n_near, case when -m.m >= 2 * v.n then m.b end form, case when -m.m >= 2 * v.n then -m.m end::bigint form_n from v left join best on a = word),
+up(word, top) as (select word, form from f where form is not null union all select up.word, f.form from up join f on f.word = up.top where f.form is not null),
+last as (select up.word, up.top from up join f on f.word = up.top where f.form is null)
+select f.word, form, coalesce(l.top, f.word) root, n, n_near, form_n from f left join last l on l.word = f.word"""
+
 ORACLES = {
     "op2_licences": _licences,
     "op4_sharding": _sharding,
@@ -88,4 +127,6 @@ ORACLES = {
     "op8_decontamination": _contamination,
     "op9_mixing": _mixing,
     "op10_warc": _warc,
+    "op12_filter_audit": _audit,
+    "op13_spelling": _spelling,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factorlake.llm import decontamination, html_text, licences, media, mixing, near_dedup, pii, sharding, toxicity, warc
+from factorlake.llm import decontamination, filter_audit, html_text, imatch, licences, media, mixing, near_dedup, pii, sharding, spelling, toxicity, warc
 from factorlake.llm.shared import table
 
 
@@ -57,6 +57,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("record_id")
 
 
+def op11_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_licences, op3_main_text, op4_sharding, op5_media, op6_near_dedup, op7_pii, op8_decontamination, op9_mixing, op10_warc)
+    f.__name__: f for f in (op1_toxicity, op2_licences, op3_main_text, op4_sharding, op5_media, op6_near_dedup, op7_pii, op8_decontamination, op9_mixing, op10_warc, op11_imatch, op12_filter_audit, op13_spelling)
 }
