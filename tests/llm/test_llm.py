@@ -16,7 +16,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factorlake.llm import components, decontamination, html_text, licences, media, mixing, near_dedup, pii, sharding, toxicity, warc
+from factorlake.llm import components, decontamination, filter_audit, html_text, imatch, licences, media, mixing, near_dedup, pii, sharding, spelling, toxicity, warc
 from factorlake.llm.oracles import ORACLES
 from factorlake.llm.queries import QUERIES
 from factorlake.llm.shared import table
@@ -48,13 +48,16 @@ def test_every_operator_takes_odd_and_empty_tables(spark, odd):
     net = toxicity.fit(toxicity.training_rows(odd, labels))
     made = {
         "toxicity": lambda d: toxicity.classify(d, net), "licences": licences.scan, "shards": sharding.assign, "media": media.media_columns, "near": near_dedup.dedup,
-        "pii": pii.scan, "leaks": lambda d: decontamination.scan(d, bench), "mix": mixing.mix,
+        "pii": pii.scan, "leaks": lambda d: decontamination.scan(d, bench), "mix": mixing.mix, "prints": imatch.fingerprints,
     }
     for name, f in made.items():
         assert f(odd).count() == len(ODD), name
         assert f(odd.limit(0)).count() == 0, name
     for f in (html_text.extract, warc.archived):
         assert f(pages).count() == len(ODD) and f(pages.limit(0)).count() == 0
+    both = labels.withColumn("quality", F.col("toxic")).withColumn("n", F.lit(1))
+    assert filter_audit.audit(odd, both).count() == 2 * 600 and filter_audit.audit(odd.limit(0), both).count() == 0
+    assert spelling.variants(odd).count() == 0 and spelling.variants(odd.limit(0)).count() == 0
     near = {r["doc_id"]: r for r in near_dedup.dedup(odd).collect()}
     assert near[1]["n_shingles"] == near[2]["n_shingles"] == 0 and near[1]["kept"] and near[5]["component_id"] == 5
     assert near[None]["component_id"] is None and near[None]["kept"]
@@ -746,3 +749,153 @@ def test_pipeline_stages_take_effect_and_keep_columns(spark, docs):
     mixed = corpus_pipeline.mix_sources(spark, clean, SF)
     assert mixed.columns == docs.columns and corpus_pipeline.shard(spark, mixed, SF).count() == mixed.count()
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
+
+
+# -- I-Match fingerprints -------------------------------------------------------------------------------
+
+
+def _terms(text: str) -> list[int]:
+    import xxhash
+
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    return sorted({signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in re.findall(r"[^\W_]+", text.lower())})
+
+
+def _prints(text: str, band: set[int]) -> tuple[int, set[tuple], dict]:
+    """Level, the looked-up terms, and for each level the terms of its non-empty subsets."""
+    every = _terms(text)
+    level = int(np.ceil(np.log2(max(len(every), 1))))
+    seen = [t for t in every if t & ((1 << level) - 1) < imatch.SUBSETS]
+    held = [t for t in seen if t in band] or seen
+    out = {}
+    for k in range(level, level + imatch.LEVELS):
+        for t in held:
+            if (own := t & ((1 << k) - 1)) < imatch.SUBSETS:
+                out.setdefault((k, own), []).append(t)
+    return level, out
+
+
+def test_imatch_by_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("aeioulnrst", k=rng.randint(3, 8))) for _ in range(900)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 300))) for _ in range(120)]
+    texts[7], texts[8], texts[9], texts[20] = None, "", "  !? ", texts[21]
+    rows = [(i * 3 % 131, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    df = Counter(t for _, text in rows for t in _terms(text or ""))
+    band = {t for t, n in df.items() if imatch.LEAST_DOCS <= n <= imatch.MOST_SHARE * len(rows)}
+    order = sorted(((d, t or "") for d, t in rows), reverse=True)
+    assert len(got) == len(rows)
+
+    def alike(a: tuple, b: tuple) -> float:
+        (la, x), (lb, y) = a, b
+        at = max(la, lb)
+        x1, y1 = ({k: v for k, v in z.items() if k[0] == at} for z in (x, y))
+        return 2 * sum(v == y1.get(k) for k, v in x1.items()) / (len(x1) + len(y1)) if x1 or y1 else 0.0
+
+    for (doc, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        n = len(text)
+        edited = text[: n - n // 3] + after[: n // 3]
+        row = got[doc]
+        assert row["n_chars"] == n and row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        own, changed, following = (_prints(t, band) for t in (text, edited, after))
+        assert len(row["fingerprint"].split()) == max(len(own[1]), 1)
+        if own[1] and changed[1]:
+            assert row["near_edited"] == pytest.approx(1.0 if row["fingerprint"] == row["edited_fingerprint"] else alike(own, changed))
+        if own[1] and following[1] and own != following:
+            assert row["near_next"] == pytest.approx(alike(own, following))
+    assert got[60]["fingerprint"] == got[63]["fingerprint"]
+    near, far = np.mean([r["near_edited"] for r in got.values()]), np.mean([r["near_next"] for r in got.values()])
+    assert near > 0.4 and far < 0.1
+
+
+def test_imatch_takes_the_whole_order_in_ranges(spark):
+    """Ranges of one row, null doc_ids, ties and a single row."""
+    rows = [(5, "a b"), (5, "c d"), (None, "last one"), (-9, "low"), (2**60, "top"), (7, None)]
+    got = imatch.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    after = {(r["doc_id"], r["text"]): r["next_text"] for r in got}
+    order = [(2**60, "top"), (7, None), (5, "a b"), (5, "c d"), (-9, "low"), (None, "last one")]
+    assert all(after[a] == b[1] for a, b in zip(order, order[1:] + order[:1], strict=True))
+    assert {r["next_at"] for r in got} == {r["at"] for r in got}
+    one = imatch.fingerprints(spark.createDataFrame([(1, "only this one")], "doc_id long, text string")).first()
+    assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"only this" + b"only"[:4]).hexdigest()
+
+
+# -- filter audit ---------------------------------------------------------------------------------------
+
+
+def test_filter_audit_by_brute_force(spark):
+    from itertools import permutations
+
+    rng = random.Random(9)
+    make = lambda: " ".join(rng.choices(["low", "UP", "x#y", "mid", "tail", "w1", "w2", "w3"][: rng.randint(1, 8)], k=rng.choice([0, 3, 199, 200, 201, 400])))
+    rows = [(rng.randint(0, 60) if rng.random() < 0.95 else None, rng.choice([make(), make(), "same text " * 70, None, "", " \t ", " ".join(f"word{k}" for k in range(rng.choice([199, 230])))]), rng.choice(["s", "t", "", None])) for _ in range(150)]
+    rows += rows[:4]
+    labels = [(d, rng.choice([0, 1, None]), rng.choice([0, 1, None])) for d in [*range(0, 50, 2), 4, None]]
+    got = filter_audit.audit(spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    good, toxic = ({d for d, *x in labels if d is not None and x[k] == 1} for k in (0, 1))
+    docs = []
+    for d, text, source in rows:
+        t = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        copy = d is not None and any(e is not None and e < d and (u or "") == t for e, u, _ in rows)
+        docs.append((source or "", [len(words) < 200, 100 * len(set(words)) < 50 * len(words), 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), bool(re.search("[#$%&*|]", t)), copy], d in good, d in toxic))
+    want = {}
+    for part in {d[0] for d in docs}:
+        own = [d[1:] for d in docs if d[0] == part]
+        for order in permutations(range(5)):
+            left = own
+            for step, f in enumerate(order, 1):
+                gone, stay = [d for d in left if d[0][f]], [d for d in left if not d[0][f]]
+                want[part, "".join("ABCDE"[x] for x in order), step] = [len(stay), len(gone), sum(d[0][f] for d in own) - len(gone), sum(d[0][f] and sum(d[0]) == 1 for d in own), sum(d[1] for d in gone), sum(d[2] for d in gone)]
+                left = stay
+    removed = defaultdict(int)
+    for (part, order, step), v in want.items():
+        removed[part, order[step - 1]] += v[1]
+    assert {tuple(r)[:3]: [*tuple(r)[3:]] for r in got} == {k: [*v, removed[k[0], k[1][k[2] - 1]]] for k, v in want.items()} and len(got) == len(want)
+
+
+# -- spelling variants ----------------------------------------------------------------------------------
+
+
+def _edits(a: str, b: str) -> bool:
+    return a != b and (any(a[:i] + a[i + 1 :] == b for i in range(len(a))) or any(b[:i] + b[i + 1 :] == a for i in range(len(b))) or (len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1))
+
+
+def test_tries_find_all_words_one_edit_away():
+    rng = random.Random(2)
+    for size in (1, 2, 40, 600):
+        words = sorted({"".join(rng.choices("abé", k=rng.randint(1, 7))) for _ in range(size)})
+        trie = spelling.Trie.unpack(spelling.Trie.build(words, list(range(1, len(words) + 1))).pack())
+        for word in [*words[:60], "zz", "a", "abababab", ""]:
+            found = list(spelling.neighbours(trie, word))
+            assert sorted(found) == [(w, k) for k, w in enumerate(words, 1) if _edits(w, word)], word
+
+
+def test_spelling_in_many_shards_and_blocks(spark, monkeypatch):
+    """Brute force with the damage to runs, chains of forms, and shards of 40 words broadcast one at a time."""
+    monkeypatch.setattr(spelling, "SHARD_WORDS", 40)
+    monkeypatch.setattr(spelling, "BLOCK_BYTES", 1)
+    rng = random.Random(4)
+    base = ["".join(rng.choices("abcdé", k=rng.randint(4, 7))) for _ in range(120)]
+    pool = [w for k, b in enumerate(base) for w in [b] * (k % 40 + 1)] + [b[:2] + rng.choice("abxÀ") + b[3:] for b in base for _ in range(3)]
+    docs = [(k, ", ".join(rng.choice([w, w.capitalize(), w]) for w in rng.choices(pool, k=60))) for k in range(80)] + [(None, "abcdef abcdef"), (90, None), (91, "")]
+    counts = Counter()
+    for d, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if c.isascii() else c for c in run)
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 97 == 0 else run] += 1
+    known = {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+    near = {w: [v for v in known if _edits(w, v)] for w in known}
+    best = {w: min(near[w], key=lambda v: (-known[v], v)) for w in known if near[w]}
+    form = {w: v for w, v in best.items() if known[v] >= 2 * known[w]}
+
+    def root(w: str) -> str:
+        while w in form:
+            w = form[w]
+        return w
+
+    got = spelling.variants(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in got} == {w: (form.get(w), root(w), n, len(near[w]), known.get(form.get(w))) for w, n in known.items()}
+    assert len(got) == len(known) and len(known) > 120 and any(form[w] in form for w in form)
