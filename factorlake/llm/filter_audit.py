@@ -28,8 +28,10 @@ SETS = 1 << len(FILTERS)
 
 def word_totals(texts: DataFrame) -> DataFrame:
     """(doc_id, k, text) to (doc_id, k, total, distinct_words). A row more, without a word, is exploded from each text: their
-    number says how often a document is repeated, and keeps texts without words."""
-    words = texts.select("doc_id", "k", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.split("text", BLANKS))).alias("word"))
+    number says how often a document is repeated, and keeps texts without words.
+
+    Texts are dealt out by document before they are exploded: that is less than their words, and both counts then need no other shuffle."""
+    words = texts.repartition("doc_id", "k").select("doc_id", "k", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.split("text", BLANKS))).alias("word"))
     words = words.where(~F.col("word").eqNullSafe(""))
     by_word = words.groupBy("doc_id", "k", "word").agg(F.count("*").alias("n"))
     rows = F.sum(F.when(F.col("word").isNull(), F.col("n")))
