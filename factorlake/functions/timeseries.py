@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -44,18 +47,49 @@ def ewma_weight(by: Keys, order: str, half_life: float) -> Column:
     return F.pow(F.lit(decay(half_life)), age)
 
 
-def with_ewma(df: DataFrame, c: Column, name: str, by: Keys, order: Keys, k: float, seeded: bool, before: bool = False) -> DataFrame:
-    """Adds the recursion s = k s + (1 - k) c, from 0 or (seeded) from the first c, as `name`.
+@dataclass(frozen=True)
+class Ewma:
+    """s = k s + (1 - k) c, from 0 or (seeded) from the first c; before: as the row found it, NULL on the first row."""
+
+    c: Column
+    seeded: bool = False
+    before: bool = False
+
+
+def block_rows(k: float) -> int:
+    """Rows over which powers of k stay within 2^-500: those of one block."""
+    return max(1, int(500 * math.log(2) / -math.log(k))) if k < 1 else 1 << 40
 
-    before: the value as the row found it, NULL on the first row. One running sum of c k^-i, times k^i.
+
+def with_ewmas(df: DataFrame, by: Keys, order: Keys, k: float, recursions: dict[str, Ewma]) -> DataFrame:
+    """Adds each recursion under its name. Histories of any length share one plan.
+
+    A blocked scan: within a block of block_rows(k) rows a running sum of c k^-j, times k^j, is the recursion from 0; a whole block's
+    sum brought to its end is what it hands to the next one. Blocks further off than two have weights below 2^-1000 and count as 0.
+    Missing c count as 0, a row before the first c gives NULL.
     """
-    w = over(by, order)
-    run = w.rowsBetween(FIRST, -1 if before else 0)
-    out = df.withColumn("_i", F.row_number().over(w).cast("double")).withColumn("_c", c)
-    share = F.when(F.col("_i") == 1, F.lit(1.0 if seeded else 1 - k)).otherwise(1 - k)
-    out = out.withColumn("_s", share * F.col("_c") * F.pow(F.lit(k), -F.col("_i")))
-    out = out.withColumn(name, F.sum("_s").over(run) * F.pow(F.lit(k), F.col("_i") - (1 if before else 0)))
-    return out.drop("_i", "_c", "_s")
+    keys, w, rows = [by] if isinstance(by, str) else list(by), over(by, order), block_rows(k)
+    block = Window.partitionBy(*keys, "_block").orderBy(order)
+    last = {n: -1 if r.before else 0 for n, r in recursions.items()}
+    out = df.withColumns({"_row": F.row_number().over(w), **{f"_c_{n}": r.c for n, r in recursions.items()}})
+    out = out.withColumns({f"_n_{n}": F.count(f"_c_{n}").over(w.rowsBetween(FIRST, last[n])) for n in recursions})
+    out = out.withColumns({"_block": F.floor((F.col("_row") - 1) / rows), "_at": ((F.col("_row") - 1) % rows + 1).cast("double")})
+    share = {n: F.when(F.col("_row") == 1, F.lit(1.0 if r.seeded else 1 - k)).otherwise(1 - k) for n, r in recursions.items()}
+    out = out.withColumns({f"_s_{n}": share[n] * F.col(f"_c_{n}") * F.pow(F.lit(k), -F.col("_at")) for n in recursions})
+    within = {f"_w_{n}": F.sum(f"_s_{n}").over(block.rowsBetween(FIRST, last[n])) for n in recursions}
+    out = out.withColumns(within | {f"_e_{n}": F.sum(f"_s_{n}").over(block.rowsBetween(FIRST, LAST)) * k**rows for n in recursions})
+    blocks = Window.partitionBy(*keys).orderBy("_block")
+    out = out.withColumns({f"_e{d}_{n}": F.max(f"_e_{n}").over(blocks.rangeBetween(-d, -d)) for n in recursions for d in (1, 2)})
+    none = F.lit(0.0)
+    for n in recursions:
+        carried = F.coalesce(f"_e1_{n}", none) + k**rows * F.coalesce(f"_e2_{n}", none)
+        out = out.withColumn(n, F.when(F.col(f"_n_{n}") > 0, (F.coalesce(f"_w_{n}", none) + carried) * F.pow(F.lit(k), F.col("_at") + last[n])))
+    return out.drop("_row", "_block", "_at", *[f"_{x}_{n}" for x in ("c", "n", "s", "w", "e", "e1", "e2") for n in recursions])
+
+
+def with_ewma(df: DataFrame, c: Column, name: str, by: Keys, order: Keys, k: float, seeded: bool, before: bool = False) -> DataFrame:
+    """with_ewmas() for one recursion."""
+    return with_ewmas(df, by, order, k, {name: Ewma(c, seeded, before)})
 
 
 def dense_calendar(prices: DataFrame, asset: str = "asset", day: str = "date") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from factorlake.config import RiskConfig
 from factorlake.functions.scalar import month
-from factorlake.functions.timeseries import trailing, with_ewma
+from factorlake.functions.timeseries import Ewma, trailing, with_ewma, with_ewmas
+from factorlake.operators import rolling
 
 
 def riskmetrics(rows: DataFrame, value: str, name: str, cfg: RiskConfig, scale: float = 1.0, key: str = "portfolio", order: str = "date") -> DataFrame:
@@ -33,29 +36,31 @@ def baseline_forecasts(scores: DataFrame, cfg: RiskConfig) -> DataFrame:
 
 
 def french_forecasts(scores: DataFrame, french: DataFrame, cfg: RiskConfig) -> DataFrame:
-    """(portfolio, date, ff): rolling regressions on public factor returns; per portfolio, whose weeks are few.
+    """(portfolio, date, ff): rolling regressions on public factor returns, from the weeks before each.
 
-    Forecast: betas' quadratic form in the EWMA factor covariance plus residual variance, before the week itself.
+    Forecast: betas' quadratic form in the EWMA factor covariance plus residual variance. Windows give each row the sums of
+    its regression and the factors' moments; batches of rows are solved at once.
     """
     factors = [c for c in french.columns if c != "date"]
-    k = cfg.riskmetrics_decay
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        x, y = pdf[factors].to_numpy(float), pdf["realized_ret"].to_numpy(float)
-        out, window = [], cfg.french_window
-        for t in range(window, len(pdf)):
-            design = np.column_stack([np.ones(window), x[t - window : t]])
-            b, *_ = np.linalg.lstsq(design, y[t - window : t], rcond=None)
-            e = y[t - window : t] - design @ b
-            w = k ** np.arange(t - 1, -1, -1.0)
-            cov = (x[:t] * w[:, None]).T @ x[:t] / w.sum()
-            var = b[1:] @ cov @ b[1:] + (e @ e) / max(1, window - design.shape[1])
-            out.append((pdf["portfolio"].iloc[0], pdf["date"].iloc[t], float(np.sqrt(cfg.weeks_per_year * max(var, 0)))))
-        return pd.DataFrame(out, columns=["portfolio", "date", "ff"])
-
-    joined = scores.select("portfolio", "date", "realized_ret").join(french, "date").na.drop()
-    return joined.groupBy("portfolio").applyInPandas(one, "portfolio string, date date, ff double")
+    window, size = cfg.french_window, len(factors)
+    i, j = np.triu_indices(size)
+    rows = scores.select("portfolio", "date", "realized_ret").join(french, "date").na.drop()
+    pairs = {f"_m{n}": Ewma(F.col(factors[a]) * F.col(factors[b]), before=True) for n, (a, b) in enumerate(zip(i, j, strict=True))}
+    rows = with_ewmas(rows, "portfolio", "date", cfg.riskmetrics_decay, pairs | {"_weight": Ewma(F.lit(1.0), before=True)})
+    rows = rolling.with_gram(rows, factors, "realized_ret", "portfolio", "date", window, 1)
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("portfolio").orderBy("date"))).where(F.col("_n") > window)
+    rows = rows.select("portfolio", "date", "gram", F.array(*[F.col(m) / F.col("_weight") for m in pairs]).alias("moments"))
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                b, left = rolling.solved(rolling.stacked(pdf["gram"]))
+                cov = np.zeros((len(pdf), size, size))
+                cov[:, i, j] = cov[:, j, i] = rolling.stacked(pdf["moments"])
+                var = np.einsum("ni,nij,nj->n", b[:, 1:], cov, b[:, 1:]) + left / max(1, window - size - 1)
+                yield pdf[["portfolio", "date"]].assign(ff=np.sqrt(cfg.weeks_per_year * np.maximum(var, 0)))
+
+    return rows.mapInPandas(solve, "portfolio string, date date, ff double")
 
 
 def model_stats(rows: DataFrame, by: list[str], forecast: str = "fc", ret: str = "realized_ret", realized: str = "realized_vol_ann", weeks: int = 52) -> DataFrame:
@@ -110,19 +115,20 @@ def factor_significance(t_stats: DataFrame) -> DataFrame:
 def returns_based_exposures(factors: DataFrame, returns: DataFrame, names: list[str], cfg: RiskConfig) -> DataFrame:
     """(ticker, factor, beta, n): regressions with an intercept of each fund on the named factors over its last joint days.
 
-    factors wide (date, names...); returns (date, ticker, r). A group is one fund's window of returns_window days.
+    factors wide (date, names...); returns (date, ticker, r). A fund's sums over its window of returns_window days are one row.
     """
     joint = returns.join(factors, "date").na.drop()
-    recent = joint.withColumn("_r", F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("date").desc()))).where(F.col("_r") <= cfg.returns_window).drop("_r")
+    recent = joint.withColumn("_r", F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("date").desc()))).where(F.col("_r") <= cfg.returns_window)
+    sums = recent.groupBy("ticker").agg(F.count("*").alias("n"), rolling.gram(names, "r").alias("gram")).where(F.col("n") >= cfg.least_returns)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < cfg.least_returns:
-            return pd.DataFrame({"ticker": [], "factor": [], "beta": [], "n": []})
-        pdf = pdf.sort_values("date")
-        b, *_ = np.linalg.lstsq(np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(float)]), pdf["r"].to_numpy(float), rcond=None)
-        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "factor": names, "beta": b[1:], "n": len(pdf)})
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                b, _ = rolling.solved(rolling.stacked(pdf["gram"]))
+                each = pdf.loc[pdf.index.repeat(len(names)), ["ticker", "n"]]
+                yield each.assign(factor=names * len(pdf), beta=b[:, 1:].ravel())[["ticker", "factor", "beta", "n"]]
 
-    return recent.groupBy("ticker").applyInPandas(one, "ticker string, factor string, beta double, n long")
+    return sums.mapInPandas(solve, "ticker string, factor string, beta double, n long")
 
 
 def survivorship(facts: DataFrame, start: str, grace_days: int = 180) -> DataFrame:

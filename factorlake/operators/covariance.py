@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from factorlake.config import RiskConfig, decay
 from factorlake.functions.scalar import clip
-from factorlake.functions.timeseries import ewma_weight, with_ewma
+from factorlake.functions.timeseries import Ewma, ewma_weight, with_ewmas
 from factorlake.operators.pit import at_dates
 
 MOST_FACTORS = 500
@@ -152,16 +152,15 @@ def covariances_at(returns: DataFrame, dates: DataFrame, cfg: RiskConfig, multip
     other = returns.select("date", F.col("factor").alias("f2"), F.col("f").alias("g"))
     pairs = returns.select("date", F.col("factor").alias("f1"), "f").join(other, "date").where("f1 <= f2")
     keys, k = ["f1", "f2"], decay(cfg.corr_half_life)
-    pairs = with_ewma(pairs, F.col("f") * F.col("g"), "_sum", keys, "date", k, seeded=False)
-    pairs = with_ewma(pairs, F.lit(1.0), "_weight", keys, "date", k, seeded=False)
+    pairs = with_ewmas(pairs, keys, "date", k, {"_sum": Ewma(F.col("f") * F.col("g")), "_weight": Ewma(F.lit(1.0))})
     until = lambda *by: F.lead("date").over(Window.partitionBy(*by).orderBy("date")).alias("_until")
     moments = at_dates(pairs.select(*keys, (F.col("_sum") / F.col("_weight")).alias("moment"), F.col("date").alias("_from"), until(*keys)), dates)
 
     w, k = Window.partitionBy("factor").orderBy("date"), decay(cfg.vol_half_life)
-    rows = with_ewma(with_ewma(returns, F.col("f") ** 2, "_s0", "factor", "date", k, seeded=False), F.lit(1.0), "_w0", "factor", "date", k, seeded=False)
+    lagged = {f"_s{lag}": Ewma(F.coalesce(F.col("f") * F.lag("f", lag).over(w), F.lit(0.0))) for lag in range(1, cfg.factor_lags + 1)}
+    rows = with_ewmas(returns, "factor", "date", k, {"_s0": Ewma(F.col("f") ** 2), "_w0": Ewma(F.lit(1.0))} | lagged)
     total = F.col("_s0")
     for lag in range(1, cfg.factor_lags + 1):
-        rows = with_ewma(rows, F.coalesce(F.col("f") * F.lag("f", lag).over(w), F.lit(0.0)), f"_s{lag}", "factor", "date", k, seeded=False)
         total = total + 2.0 * (1.0 - lag / (cfg.factor_lags + 1.0)) * F.col(f"_s{lag}")
     adjusted = F.col("_s0") / F.col("_w0") * F.coalesce(clip(F.try_divide(total, F.col("_s0")), *cfg.ratio_clip), F.lit(1.0))
     variances = rows.select("factor", adjusted.alias("var"), F.row_number().over(w).alias("n"), F.col("date").alias("_from"), until("factor"))

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from factorlake.config import RiskConfig, decay
 from factorlake.functions.scalar import clip
-from factorlake.functions.timeseries import with_ewma
+from factorlake.functions.timeseries import Ewma, with_ewma, with_ewmas
 
 
 def factor_variance(returns: DataFrame, cfg: RiskConfig) -> DataFrame:
     """returns (date, factor, f) with n, var and var_before: the zero-start recursion on squares."""
     k = decay(cfg.vol_half_life)
-    rows = with_ewma(returns, F.col("f") ** 2, "var", "factor", "date", k, seeded=False)
-    rows = with_ewma(rows, F.col("f") ** 2, "var_before", "factor", "date", k, seeded=False, before=True)
+    square = F.col("f") ** 2
+    rows = with_ewmas(returns, "factor", "date", k, {"var": Ewma(square), "var_before": Ewma(square, before=True)})
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("factor").orderBy("date")))
 
 
@@ -27,10 +27,9 @@ def asset_variance(residuals: DataFrame, cfg: RiskConfig) -> DataFrame:
     products of neighbouring residuals): each asset's clock is its own observations."""
     k = decay(cfg.specific_half_life)
     w = Window.partitionBy("asset").orderBy("date")
-    rows = residuals.where("eps is not null")
-    rows = with_ewma(rows, F.col("eps") ** 2, "var", "asset", "date", k, seeded=True)
-    rows = with_ewma(rows, F.col("eps") ** 2, "var_before", "asset", "date", k, seeded=True, before=True)
-    rows = with_ewma(rows, F.coalesce(F.col("eps") * F.lag("eps").over(w), F.lit(0.0)), "lag", "asset", "date", k, seeded=False)
+    square, neighbours = F.col("eps") ** 2, F.coalesce(F.col("eps") * F.lag("eps").over(w), F.lit(0.0))
+    recursions = {"var": Ewma(square, seeded=True), "var_before": Ewma(square, seeded=True, before=True), "lag": Ewma(neighbours)}
+    rows = with_ewmas(residuals.where("eps is not null"), "asset", "date", k, recursions)
     return rows.withColumn("n", F.row_number().over(w))
 
 

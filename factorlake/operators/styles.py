@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,23 +31,84 @@ def price_features(prices: DataFrame, cfg: RiskConfig) -> DataFrame:
     return panel.withColumn("r", ratio(F.col("filled"), F.lag("filled").over(w)) - 1)
 
 
+#: Blocks of names that beta_volatility() multiplies at once. A task holds one block's returns over two windows.
+NAME_BLOCKS = 16
+
+
+def _matrix(rows: pd.DataFrame, at: pd.Index, days: np.ndarray, key: str, value: str) -> np.ndarray:
+    """Rows (key, day_no, value) as a matrix over `at` and `days`, NaN where there is none."""
+    out = np.full((len(at), len(days)), np.nan)
+    if len(rows):
+        out[at.get_indexer(rows[key]), np.searchsorted(days, rows["day_no"])] = rows[value]
+    return out
+
+
 def beta_volatility(panel: DataFrame, formation: DataFrame, cfg: RiskConfig) -> DataFrame:
     """(as_of, asset, beta, volatility) over the trailing window of each formation date.
 
-    formation: (as_of, asset, cap, in_fit). The market is weighted by the caps of the formation date over the
-    names present each day. Sums only: (as_of, asset) rows meet days by an interval of day numbers.
+    formation: (as_of, asset, cap, in_fit). The market is weighted by the caps of the formation date over the names present each
+    day. Both the market (caps x returns) and the sums behind betas (returns x market) are products of matrices, so they are made block
+    by block: names by hash, formation dates by spans as long as the window. A return goes to the two spans that can need it, not to each
+    of the formation dates whose window holds it.
     """
-    dates = formation.select("as_of").distinct().join(panel.select(F.col("date").alias("as_of"), F.col("day_no").alias("at")).distinct(), "as_of")
-    days = panel.select("day_no").distinct()
-    spans = dates.join(days, (F.col("day_no") <= F.col("at")) & (F.col("day_no") > F.col("at") - cfg.beta_window)).select("as_of", "day_no")
-    rows = panel.select("asset", "day_no", "r").where("r is not null").join(spans, "day_no").join(formation, ["as_of", "asset"])
-    fit = F.col("in_fit") & (F.col("cap") > 0)
-    market = rows.groupBy("as_of", "day_no").agg((F.sum(F.when(fit, F.col("cap") * F.col("r"))) / F.sum(F.when(fit, F.col("cap")))).alias("m"))
-    own = rows.join(market, ["as_of", "day_no"]).where("m is not null").groupBy("as_of", "asset")
-    own = own.agg(F.count("*").alias("n"), F.regr_slope("r", "m").alias("beta"), F.regr_syy("r", "m").alias("syy"), F.regr_sxy("r", "m").alias("sxy"))
-    enough = F.col("n") >= cfg.beta_window // 2
-    noise = F.greatest(F.col("syy") - F.col("beta") * F.col("sxy"), F.lit(0.0))
-    return own.select("as_of", "asset", F.when(enough, F.col("beta")).alias("beta"), F.when(enough, F.sqrt(noise / F.col("n") * cfg.periods_per_year)).alias("volatility"))
+    span = cfg.beta_window
+    block = F.pmod(F.xxhash64("asset"), F.lit(NAME_BLOCKS)).cast("int").alias("block")
+    numbers = panel.select(F.col("date").alias("as_of"), F.col("day_no").cast("int").alias("at")).distinct()
+    formed = formation.join(numbers, "as_of").select(block, F.floor(F.col("at") / span).cast("int").alias("span"), "as_of", "at", "asset", F.col("cap").cast("double").alias("cap"), "in_fit")
+    each = F.explode(F.sequence(F.floor(F.col("day_no") / span).cast("int"), F.floor((F.col("day_no") + cfg.beta_window - 1) / span).cast("int"))).alias("span")
+    returns = panel.where("r is not null").select(block, each, "asset", F.col("day_no").cast("int").alias("day_no"), "r")
+    used = formed.select("block", "span").distinct()
+    returns = returns.join(used, ["block", "span"])
+
+    def windows(ats: np.ndarray, days: np.ndarray) -> np.ndarray:
+        return (days[None, :] <= ats[:, None]) & (days[None, :] > ats[:, None] - cfg.beta_window)
+
+    def weigh(f: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        """One block's part in the market of each formation date and day."""
+        if not len(f) or not len(r):
+            return pd.DataFrame({"span": [], "at": [], "day_no": [], "num": [], "den": []})
+        names, days, ats = pd.Index(r["asset"].unique()), np.unique(r["day_no"]), np.unique(f["at"])
+        x = _matrix(r, names, days, "asset", "r")
+        caps = np.zeros((len(ats), len(names)))
+        held = f[f["in_fit"].fillna(False).astype(bool) & (f["cap"] > 0) & f["asset"].isin(names)]
+        caps[np.searchsorted(ats, held["at"]), names.get_indexer(held["asset"])] = held["cap"]
+        there = ~np.isnan(x)
+        num, den = caps @ np.nan_to_num(x), caps @ there
+        i, j = np.nonzero(windows(ats, days) & (den > 0))
+        return pd.DataFrame({"span": f["span"].iloc[0], "at": ats[i], "day_no": days[j], "num": num[i, j], "den": den[i, j]})
+
+    keys = ["block", "span"]
+    parts = formed.groupBy(*keys).cogroup(returns.groupBy(*keys)).applyInPandas(weigh, "span int, at int, day_no int, num double, den double")
+    market = parts.groupBy("span", "at", "day_no").agg((F.sum("num") / F.sum("den")).alias("m"))
+    market = market.groupBy("span", "at").agg(F.collect_list("day_no").alias("days"), F.collect_list("m").alias("ms"))  # a window each
+    right = used.join(market, "span").select("block", "span", F.lit(None).cast(formation.schema["asset"].dataType).alias("asset"), "at", "days", "ms", F.lit(None).cast("double").alias("r"), F.lit(None).cast("int").alias("day_no"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own: cogroup takes no others
+    right = right.unionByName(returns.select("block", "span", "asset", F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<int>").alias("days"), F.lit(None).cast("array<double>").alias("ms"), "r", "day_no"))
+
+    def fit(f: pd.DataFrame, both: pd.DataFrame) -> pd.DataFrame:
+        m, r = both[both["days"].notna()], both[both["days"].isna()]
+        if not len(f) or not len(m) or not len(r):
+            return pd.DataFrame({"as_of": [], "asset": [], "beta": [], "volatility": []})
+        names, days, ats = pd.Index(r["asset"].unique()), np.unique(r["day_no"].astype(int)), np.sort(m["at"].astype(int).to_numpy())
+        x = _matrix(r, names, days, "asset", "r")
+        y = np.full((len(ats), len(days)), np.nan)
+        for at, own, values in zip(m["at"].astype(int), m["days"], m["ms"], strict=True):
+            known = np.isin(own, days)  # days on which none of this block's names has a return don't count here
+            y[np.searchsorted(ats, at), np.searchsorted(days, own[known])] = values[known]
+        p, q = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+        x, y = np.nan_to_num(x), np.nan_to_num(y)
+        f = f[f["asset"].isin(names) & f["at"].isin(ats)]
+        i, j = names.get_indexer(f["asset"]), np.searchsorted(ats, f["at"])
+        n, sx, sy, sxx, sxy, syy = ((a @ b.T)[i, j] for a, b in ((p, q), (x, q), (p, y), (x**2, q), (x, y), (p, y**2)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cross, own, along = sxy - sx * sy / n, sxx - sx**2 / n, syy - sy**2 / n
+            beta = np.where(along > 0, cross / along, np.nan)
+            noise = np.sqrt(np.maximum(own - beta * cross, 0) / n * cfg.periods_per_year)
+        enough = n >= cfg.beta_window // 2
+        return pd.DataFrame({"as_of": f["as_of"], "asset": f["asset"], "beta": np.where(enough, beta, np.nan), "volatility": np.where(enough, noise, np.nan)})
+
+    kinds = {x.name: x.dataType.simpleString() for x in formation.schema}
+    return formed.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(fit, f"as_of {kinds['as_of']}, asset {kinds['asset']}, beta double, volatility double")
 
 
 def descriptors(df: DataFrame) -> DataFrame:

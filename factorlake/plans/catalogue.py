@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factorlake.plans import panel_queries, risk_queries, stream_queries
+from factorlake.plans import model_queries, panel_queries, risk_queries, stream_queries
 
-QUERIES: dict = panel_queries.QUERIES | risk_queries.QUERIES | stream_queries.QUERIES
-ORACLES: dict = panel_queries.ORACLES | risk_queries.ORACLES | stream_queries.ORACLES
+QUERIES: dict = panel_queries.QUERIES | risk_queries.QUERIES | model_queries.QUERIES | stream_queries.QUERIES
+ORACLES: dict = panel_queries.ORACLES | risk_queries.ORACLES | model_queries.ORACLES | stream_queries.ORACLES

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factorlake.config import STYLES, RiskConfig
 from factorlake.functions.scalar import clip
-from factorlake.operators import covariance, state, validation
+from factorlake.operators import covariance, rolling, state, validation
 from factorlake.operators.pit import at_dates
 
 MARKET = "market"
@@ -59,20 +61,24 @@ def exposures_of(snapshots: DataFrame) -> DataFrame:
 
 def etf_scores(etfs: DataFrame, returns: DataFrame, weeks: DataFrame, cov: DataFrame, cfg: RiskConfig) -> DataFrame:
     """Scores of funds from daily returns (date, ticker, r): exposures by regression on market and styles over the last joint
-    days before each formation date, then the week that followed. A group is one fund's window before one date."""
+    days before each formation date, then the week that followed. Each fund's and date's sums are one row."""
     names = [MARKET, *STYLES]
     wide = returns.groupBy("date").pivot("factor", names).agg(F.first("f")).na.drop()
-    joint = etfs.where("r is not null").join(wide, "date").withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
-    ends = at_dates(_since(joint.select("date", "ticker", F.col("n").alias("last")), "ticker"), weeks)
-    window = joint.join(ends, "ticker").where((F.col("n") <= F.col("last")) & (F.col("n") > F.col("last") - cfg.returns_window)).where(F.col("last") >= cfg.least_returns)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(float)]), pdf["r"].to_numpy(float)
-        b, *_ = np.linalg.lstsq(x, y, rcond=None)
-        left = float(((y - x @ b) ** 2).sum() / max(1, len(pdf) - x.shape[1]))
-        return pd.DataFrame({"date": pdf["as_of"].iloc[0], "ticker": pdf["ticker"].iloc[0], "factor": names, "x": b[1:], "left": left})
-
-    fits = window.groupBy("ticker", "as_of").applyInPandas(one, "date date, ticker string, factor string, x double, left double")
+    joint = etfs.where("r is not null").join(wide, "date")
+    joint = joint.withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
+    joint = rolling.with_gram(joint, names, "r", "ticker", "date", cfg.returns_window)
+    ends = at_dates(_since(joint.select("date", "ticker", "n"), "ticker"), weeks).where(F.col("n") >= cfg.least_returns)
+    sums = ends.join(joint.select("ticker", "n", "gram"), ["ticker", "n"])
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                b, left = rolling.solved(rolling.stacked(pdf["gram"]))
+                left /= np.maximum(1, np.minimum(pdf["n"].to_numpy(), cfg.returns_window) - len(names) - 1)
+                each = pdf.loc[pdf.index.repeat(len(names)), ["as_of", "ticker"]].rename(columns={"as_of": "date"})
+                yield each.assign(factor=names * len(pdf), x=b[:, 1:].ravel(), left=np.repeat(left, len(names)))
+
+    fits = sums.mapInPandas(solve, "date date, ticker string, factor string, x double, left double")
     other = fits.select("date", "ticker", F.col("factor").alias("f2"), F.col("x").alias("x2"))
     both = fits.withColumnRenamed("factor", "f1").join(other, ["date", "ticker"]).join(cov, ["date", "f1", "f2"])
     var = both.groupBy("date", "ticker").agg((F.sum(F.col("x") * F.col("cov") * F.col("x2")) + F.first("left")).alias("v")).where("v > 0")

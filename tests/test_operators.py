@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorlake.config import STYLES, RiskConfig, decay
-from factorlake.functions.timeseries import with_ewma
-from factorlake.operators import baselines, covariance, history, industry, pit, regression, risk, specific, state, transforms, universe, validation
+from factorlake.functions.timeseries import Ewma, with_ewma, with_ewmas
+from factorlake.operators import baselines, covariance, history, industry, pit, regression, risk, rolling, specific, state, transforms, universe, validation
 
 CFG = RiskConfig()
 
@@ -360,3 +360,42 @@ def test_stream_upsert_keeps_one_row_per_key(spark, tmp_path):
         upserted(stream, str(tmp_path / "t"), ["id"]).awaitTermination()
         got = {r["id"]: r["v"] for r in spark.read.parquet(str(tmp_path / f"t/v{k}")).collect()}
     assert got == {1: "a", 2: "b", 3: "b"}
+
+
+# -- recursions and regressions over long histories -----------------------------------------------------
+
+
+def test_ewma_over_ten_thousand_half_lives(spark):
+    """A fold of 100,000 rows at half-life 10, in 20 blocks, with missing values."""
+    rng = np.random.default_rng(1)
+    c = rng.standard_normal(100_000) ** 2
+    gone = rng.random(100_000) < 0.01
+    gone[0] = False
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(100_000), "c": np.where(gone, np.nan, c)})).withColumn("c", F.nanvl("c", F.lit(None).cast("double"))).withColumn("key", F.lit(1))
+    k = 0.5**0.1
+    got = with_ewmas(df, "key", "i", k, {"zero": Ewma(F.col("c")), "seeded": Ewma(F.col("c"), seeded=True), "before": Ewma(F.col("c"), before=True)}).orderBy("i").toPandas()
+    zero = seeded = 0.0
+    want = []
+    for i, x in enumerate(np.where(gone, 0.0, c)):
+        before = zero
+        zero, seeded = k * zero + (1 - k) * x, k * seeded + (1 - k if i else 1) * x
+        want.append((zero, seeded, before if i else np.nan))
+    assert np.allclose(got[["zero", "seeded", "before"]].to_numpy(), np.array(want), rtol=1e-9, equal_nan=True)
+
+
+def test_rolling_regressions_by_prefix_sums(spark):
+    """Against least squares on each window, with a factor that is another's double and short first windows."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((150, 3)) * [1, 1e-3, 50]
+    pdf = pd.DataFrame({"key": np.repeat(["a", "b", "c"], 50), "i": np.tile(np.arange(50), 3), "y": x @ [0.5, -20, 0.01] + rng.standard_normal(150), "p": x[:, 0], "q": x[:, 1], "s": x[:, 2]})
+    pdf.loc[pdf["key"] == "c", "q"] = 2 * pdf["p"]
+    rows = rolling.with_gram(spark.createDataFrame(pdf), ["p", "q", "s"], "y", "key", "i", 20, 1).orderBy("key", "i").toPandas()
+    rows = rows[rows["i"] >= 20]
+    beta, left = rolling.solved(rolling.stacked(rows["gram"]))
+    for (key, i), b, sse in zip(rows[["key", "i"]].itertuples(index=False), beta, left, strict=True):
+        own = pdf[(pdf["key"] == key) & (pdf["i"] < i) & (pdf["i"] >= i - 20)]
+        design = np.column_stack([np.ones(20), own[["p", "q", "s"]]])
+        want = np.linalg.lstsq(design, own["y"], rcond=None)[0]
+        fitted = design @ b
+        assert fitted == pytest.approx(design @ want, abs=1e-7) and sse == pytest.approx(((own["y"] - fitted) ** 2).sum(), abs=1e-7)
+        assert key == "c" or b == pytest.approx(want, rel=1e-6, abs=1e-9)
