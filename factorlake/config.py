@@ -23,6 +23,7 @@ class RiskConfig:
     eigen_sims: int = 200
     eigen_scale: float = 1.4
     eigen_clip: tuple[float, float] = (0.5, 3.0)
+    eigen_refresh: int = 126
     blend_weight: float = 0.8
     blend_fraction: float = 0.25
     factor_lags: int = 5

@@ -7,7 +7,7 @@ most MOST_FACTORS) come to the driver for the small dense steps.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,8 @@ from factorlake.functions.timeseries import Ewma, ewma_weight, with_ewmas
 from factorlake.operators.pit import at_dates
 
 MOST_FACTORS = 500
+#: Simulated samples per task, and the least eigenvalue of one period that is divided by.
+SIMS, _LEAST = 25, 1e-14
 
 
 def ewma_moments(returns: DataFrame, half_life: float) -> DataFrame:
@@ -81,18 +83,30 @@ def pca_blend(corr: np.ndarray, weight: float = 0.8, fraction: float = 0.25) ->
     return mixed / np.outer(s, s)
 
 
-def _misjudged(values: np.ndarray, n_obs: int, sims: Iterable[int], floor: float, seed: int) -> np.ndarray:
-    """Sum over simulated samples of n_obs rows: true over estimated variance of each sample eigenportfolio."""
-    total = np.zeros(len(values))
-    for sim in sims:
-        x = np.random.default_rng([seed, int(sim)]).standard_normal((n_obs, len(values))) * np.sqrt(values)
-        own, turned = np.linalg.eigh(x.T @ x / n_obs)
-        total += ((turned.T**2) @ values) / np.maximum(own, floor)
-    return total
+def estimate(x: np.ndarray, cfg: RiskConfig) -> np.ndarray:
+    """The covariance of one period from rows of factor returns: EWMA correlations, Newey-West volatilities, no blend."""
+    age = np.arange(len(x) - 1, -1, -1.0)
+    w, v = decay(cfg.corr_half_life) ** age, decay(cfg.vol_half_life) ** age
+    m = (x * w[:, None]).T @ x
+    s = np.sqrt(np.maximum(np.diag(m), 1e-300))
+    corr = np.clip(m / np.outer(s, s), -1, 1)
+    np.fill_diagonal(corr, 1.0)
+    own = v @ x**2
+    total = own + sum(2 * (1 - lag / (cfg.factor_lags + 1)) * (v[lag:] @ (x[lag:] * x[:-lag])) for lag in range(1, min(cfg.factor_lags, len(x) - 1) + 1))
+    vol = np.sqrt(own / v.sum() * np.clip(total / np.maximum(own, 1e-300), *cfg.ratio_clip))
+    return corr * np.outer(vol, vol)
 
 
-def _eigenvalues(cov: np.ndarray, cfg: RiskConfig) -> np.ndarray:
-    return np.maximum(np.linalg.eigvalsh((cov + cov.T) / 2), cfg.eigen_floor)
+def _misjudged(cov: np.ndarray, n_obs: int, sims: Iterable[int], cfg: RiskConfig, seed: int) -> np.ndarray:
+    """Sum over simulated samples of n_obs rows, estimated like the real one: true over estimated variance of each eigenportfolio."""
+    total = np.zeros(len(cov))
+    values, vectors = np.linalg.eigh((cov + cov.T) / 2)
+    root = vectors * np.sqrt(np.maximum(values, _LEAST))
+    for sim in sims:
+        x = np.random.default_rng([seed, int(sim)]).standard_normal((n_obs, len(cov))) @ root.T
+        own, turned = np.linalg.eigh(estimate(x, cfg))
+        total += np.einsum("ji,jk,ki->i", turned, cov, turned) / np.maximum(own, _LEAST)
+    return total
 
 
 def _scale(mean: np.ndarray, cfg: RiskConfig) -> np.ndarray:
@@ -104,11 +118,10 @@ def eigen_bias(spark: SparkSession, cov: np.ndarray, n_obs: int, cfg: RiskConfig
 
     Simulations run as Spark tasks and come back as sums of K numbers.
     """
-    values = _eigenvalues(cov, cfg)
 
     def simulate(frames):
         for pdf in frames:
-            yield pdf.head(1)[[]].assign(ratio=[_misjudged(values, n_obs, pdf["id"], cfg.eigen_floor, seed).tolist()], n=[len(pdf)])
+            yield pdf.head(1)[[]].assign(ratio=[_misjudged(cov, n_obs, pdf["id"], cfg, seed).tolist()], n=[len(pdf)])
 
     rows = spark.range(cfg.eigen_sims).repartition(8).mapInPandas(simulate, "ratio array<double>, n long").collect()
     return _scale(sum(np.array(r["ratio"]) for r in rows) / sum(r["n"] for r in rows), cfg)
@@ -143,11 +156,11 @@ def to_long(spark: SparkSession, cov: np.ndarray, factors: list[str]) -> DataFra
     return spark.createDataFrame([(a, b, float(cov[i, j])) for i, a in enumerate(factors) for j, b in enumerate(factors)], "f1 string, f2 string, cov double")
 
 
-def covariances_at(returns: DataFrame, dates: DataFrame, cfg: RiskConfig, multipliers: DataFrame) -> DataFrame:
+def covariances_at(returns: DataFrame, dates: DataFrame, cfg: RiskConfig, multipliers: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """(date, f1, f2, cov): the daily covariance as it stood on each of dates (date), for all of them in one plan.
 
     multipliers (date, multiplier): of the volatility regime, 1 where missing. Moments are running windows of each pair of factors;
-    the dense steps take one date's K x K moments at a time.
+    the dense steps take one date's K x K moments at a time. keep writes a table that several steps read.
     """
     other = returns.select("date", F.col("factor").alias("f2"), F.col("f").alias("g"))
     pairs = returns.select("date", F.col("factor").alias("f1"), "f").join(other, "date").where("f1 <= f2")
@@ -171,7 +184,7 @@ def covariances_at(returns: DataFrame, dates: DataFrame, cfg: RiskConfig, multip
         names = sorted(set(pdf["f1"]) | set(pdf["f2"]))
         at = {f: i for i, f in enumerate(names)}
         i, j = pdf["f1"].map(at).to_numpy(), pdf["f2"].map(at).to_numpy()
-        m, var, n = np.zeros((len(names), len(names))), np.zeros(len(names)), int(pdf["n"].max())
+        m, var = np.zeros((len(names), len(names))), np.zeros(len(names))
         m[i, j] = m[j, i] = pdf["moment"].fillna(0.0)
         own = i == j
         var[i[own]] = pdf["var"].fillna(0.0)[own]
@@ -182,12 +195,53 @@ def covariances_at(returns: DataFrame, dates: DataFrame, cfg: RiskConfig, multip
         if cfg.covariance_mode == "blend":
             corr = pca_blend(corr, cfg.blend_weight, cfg.blend_fraction)
         cov = corr * np.outer(np.sqrt(var), np.sqrt(var))
-        if cfg.covariance_mode == "eigen":
-            mean = _misjudged(_eigenvalues(cov, cfg), n, range(cfg.eigen_sims), cfg.eigen_floor, 0) / cfg.eigen_sims
-            cov = eigen_adjust(cov, _scale(mean, cfg))
-        cov *= cfg.periods_per_year * float(pdf["multiplier"].fillna(1.0).iloc[0]) ** 2
-        values, vectors = np.linalg.eigh((cov + cov.T) / 2)
-        cov = (vectors * np.maximum(values, cfg.eigen_floor)) @ vectors.T / cfg.periods_per_year
-        return pd.DataFrame({"date": pdf["as_of"].iloc[0], "f1": np.repeat(names, len(names)), "f2": np.tile(names, len(names)), "cov": ((cov + cov.T) / 2).ravel()})
-
-    return both.groupBy("as_of").applyInPandas(one, "date date, f1 string, f2 string, cov double")
+        return pd.DataFrame({"date": [pdf["as_of"].iloc[0]], "n": [int(pdf["n"].max())], "regime": [float(pdf["multiplier"].fillna(1.0).iloc[0])], "names": [names], "cov": [cov.ravel()]})
+
+    base = both.groupBy("as_of").applyInPandas(one, "date date, n int, regime double, names array<string>, cov array<double>")
+    if cfg.covariance_mode == "eigen":
+        base = keep(base, "period-covariance")
+        base = base.join(profiles(base, cfg), "date")
+
+    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.itertuples():
+                k = len(row.names)
+                cov = np.reshape(row.cov, (k, k))
+                if cfg.covariance_mode == "eigen":
+                    cov = eigen_adjust(cov, np.asarray(row.scale))
+                values, vectors = np.linalg.eigh(cov * cfg.periods_per_year * row.regime**2)
+                cov = (vectors * np.maximum(values, cfg.eigen_floor)) @ vectors.T / cfg.periods_per_year
+                yield pd.DataFrame({"date": row.date, "f1": np.repeat(row.names, k), "f2": np.tile(row.names, k), "cov": ((cov + cov.T) / 2).ravel()})
+
+    return base.mapInPandas(finish, "date date, f1 string, f2 string, cov double")
+
+
+def profiles(base: DataFrame, cfg: RiskConfig) -> DataFrame:
+    """base (date, n, names, cov) to (date, scale): the simulated scale of each date's eigenvalues.
+
+    A profile is simulated on the first date and then whenever eigen_refresh days have been seen since, and holds until the next one.
+    The schedule is a fold over the dates' numbers of days (a row a week); simulations run as tasks of SIMS samples.
+    """
+    counts = F.sort_array(F.collect_list("n"))
+    fold = F.aggregate(counts, F.array().cast("array<int>"), lambda a, n: F.when((F.size(a) == 0) | (n - F.element_at(a, -1) >= cfg.eigen_refresh), F.concat(a, F.array(n))).otherwise(a))
+    schedule = base.agg(fold.alias("ns")).select(F.explode("ns").alias("refreshed")).distinct()
+    # Dates with equal n have the same covariance up to the regime, which comes later.
+    first = base.join(F.broadcast(schedule), F.col("n") == F.col("refreshed")).groupBy("refreshed").agg(F.min_by(F.struct("n", "names", "cov"), "date").alias("at"))
+    work = first.select("refreshed", "at.n", "at.cov", F.explode(F.sequence(F.lit(0), F.lit(cfg.eigen_sims - 1), F.lit(SIMS))).alias("sim")).repartition("refreshed", "sim")
+
+    def simulate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.itertuples():
+                k = int(round(len(row.cov) ** 0.5))
+                sims = range(row.sim, min(row.sim + SIMS, cfg.eigen_sims))
+                yield pd.DataFrame({"refreshed": [row.refreshed], "ratio": [_misjudged(np.reshape(row.cov, (k, k)), min(row.n, cfg.history_days), sims, cfg, row.n)]})
+
+    ratios = work.mapInPandas(simulate, "refreshed int, ratio array<double>").groupBy("refreshed").agg(F.collect_list("ratio").alias("ratios"))
+
+    def average(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"refreshed": pdf["refreshed"], "scale": [_scale(np.sum(np.stack(list(r)), axis=0) / cfg.eigen_sims, cfg) for r in pdf["ratios"]]})
+
+    scales = ratios.mapInPandas(average, "refreshed int, scale array<double>")
+    held = base.select("date", "n").join(F.broadcast(schedule), F.col("refreshed") <= F.col("n")).groupBy("date").agg(F.max("refreshed").alias("refreshed"))
+    return held.join(scales, "refreshed").select("date", "scale")

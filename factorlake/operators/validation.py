@@ -29,10 +29,11 @@ def style_portfolios(assets: DataFrame, styles: list[str], by: str = "date") ->
     pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("style"), F.col(s).cast("double").alias("x")) for s in styles]))
     rows = rows.select(by, "asset", pairs.alias("p")).select(by, "asset", "p.style", "p.x")
     cuts = rows.groupBy(by, "style").agg(F.percentile("x", F.lit(0.2)).alias("low"), F.percentile("x", F.lit(0.8)).alias("high"))
-    rows = rows.join(cuts, [by, "style"]).withColumn("side", F.when(F.col("x") >= F.col("high"), 1).when(F.col("x") <= F.col("low"), -1)).where("side is not null")
-    sides = rows.groupBy(by, "style").agg(F.count_if(F.col("side") == 1).alias("up"), F.count_if(F.col("side") == -1).alias("down"))
+    top, bottom = F.col("x") >= F.col("high"), F.col("x") <= F.col("low")
+    rows = rows.join(cuts, [by, "style"]).where(top | bottom)
+    sides = rows.groupBy(by, "style").agg(F.count_if(top).alias("up"), F.count_if(bottom).alias("down"))
     rows = rows.join(sides.where((F.col("up") >= LEAST_SIDE) & (F.col("down") >= LEAST_SIDE)), [by, "style"])
-    w = F.when(F.col("side") == 1, 1.0 / F.col("up")).otherwise(-1.0 / F.col("down"))
+    w = F.when(bottom, -1.0 / F.col("down")).otherwise(1.0 / F.col("up"))  # a name on both cuts is short
     return rows.select(by, F.concat(F.lit("style_"), "style").alias("portfolio"), "asset", w.alias("w"))
 
 

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from factorlake.config import STYLES, RiskConfig
 from factorlake.functions.scalar import rounded
 from factorlake.functions.timeseries import Ewma, with_ewmas
-from factorlake.operators import styles
+from factorlake.operators import covariance, styles
+from factorlake.plans import revalidation
 from factorlake.plans.panel_queries import _DENSE, duck
+from factorlake.plans.risk_queries import _XS, cross_section
 from factorlake.sources.fixtures import panel_w, table
+from factorlake.streaming.state_stream import work_folder
 
 #: Windows in weeks at the scale of the sample tables.
 CFG = RiskConfig(momentum_skip=4, momentum_window=52, beta_window=52, liquidity_window=8, periods_per_year=52)
@@ -135,3 +138,83 @@ select as_of date, asset, round(cap, 2) cap, industry, in_fit, """ + ", ".join(f
 def style_exposures(spark, sf_dir):
     rows = styles.style_exposures(panel_w(spark, sf_dir), fundamentals(spark, sf_dir), industries(spark, sf_dir), CFG, fit_universe(spark, sf_dir))
     return rows.select("date", "asset", F.round("cap", 2).alias("cap"), "industry", "in_fit", *[rounded(F.col(c), 4).alias(c) for c in STYLES])
+
+
+# -- replayed scores ------------------------------------------------------------------------------------
+
+#: Quarters as days, two to a week; the regime is held at 1, so that SQL can follow.
+REPLAY = RiskConfig(covariance_mode="none", vra_clip=(1.0, 1.0), vol_half_life=4.0, corr_half_life=8.0, specific_half_life=4.0, least_specific_obs=4, warm_up=6)
+
+
+def history_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Quarterly returns of parts as a model folder's tables: market, size and industry factors, residuals, snapshots of every second quarter."""
+    xs = cross_section(spark, sf_dir).withColumn("r", F.col("r") / 10)
+    day = Window.partitionBy("date")
+    xs = xs.withColumn("m", F.avg("r").over(day)).withColumn("i", F.avg(F.col("r") - F.col("m")).over(Window.partitionBy("date", "industry")))
+    returns = xs.groupBy("date").agg(F.avg("r").alias("market"), F.regr_slope("r", "x").alias("size")).select("date", F.expr("stack(2, 'market', market, 'size', size) as (factor, f)"))
+    returns = returns.unionByName(xs.groupBy("date", F.concat(F.lit("ind_"), "industry").alias("factor")).agg(F.avg(F.col("r") - F.col("m")).alias("f"))).where("f is not null")
+    nth = xs.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date"))).where("k % 2 = 0")
+    size = (F.col("x") - F.avg("x").over(day)) / F.stddev_samp("x").over(day)
+    snapshots = xs.join(nth, "date").select("date", "asset", "cap", "industry", size.alias("size"), *[F.lit(0.0).alias(s) for s in STYLES if s != "size"])
+    return {"factor_returns": returns, "residuals": xs.select("date", "asset", (F.col("r") - F.col("m") - F.col("i")).alias("eps")), "exposure_history": snapshots}
+
+
+_HISTORY = _XS + f""",
+ra as (select date, asset, r / 10 r, x, industry, cap from xs),
+rm as (select *, avg(r) over (partition by date) m from ra),
+fr as (select date, 'market' factor, avg(r) f from ra group by date union all select date, 'size', regr_slope(r, x) from ra group by date union all select date, 'ind_' || industry, avg(r - m) from rm group by date, industry),
+rs as (select date, asset, r - m - avg(r - m) over (partition by date, industry) eps from rm),
+eh as (select date, asset, cap, industry, size from (select *, (x - avg(x) over (partition by date)) / stddev_samp(x) over (partition by date) size, dense_rank() over (order by date) k from ra) where k % 2 = 0),
+wk as (select * from (select date, lead(date) over (order by date) as until from (select distinct date from eh)) where until is not null),
+wr as (select wk.* from wk where (select count(distinct fr.date) from fr where fr.date <= wk.date) >= 6),
+dy as (select wr.date, d.date as day from wr join (select distinct date from fr) d on d.date > wr.date and d.date <= wr.until),
+tn as (select dy.date, asset from dy join rs on rs.date = dy.day group by all having count(*) = any_value((select count(*) from dy e where e.date = dy.date))),
+sn as (select eh.* from eh join wr using (date) join tn using (date, asset)),
+pr as (select a.date, a.factor f1, b.factor f2, a.f * b.f p, row_number() over (partition by a.factor, b.factor order by a.date) i from fr a join fr b using (date)),
+mo as (select w.date, f1, f2, sum(p * 0.5 ** ((n - i) / 8.0::double)) / sum(0.5 ** ((n - i) / 8.0::double)) m from (select wr.date, f1, f2, p, i, max(i) over (partition by wr.date, f1, f2) n from wr join pr on pr.date <= wr.date) w group by all),
+fl as (select *, row_number() over w i, """ + ", ".join(f"coalesce(f * lag(f, {i}) over w, 0) p{i}" for i in range(1, 6)) + """ from fr window w as (partition by factor order by date)),
+fs as (select date, factor, sum(k * f * f) s0, sum(k) w0, """ + " + ".join(f"{2 * (1 - i / 6)}::double * sum(k * p{i})" for i in range(1, 6)) + """ + sum(k * f * f) t
+  from (select wr.date, l.* exclude (date), 0.5 ** ((max(i) over (partition by wr.date, factor) - i) / 4.0::double) k from wr join fl l on l.date <= wr.date) group by all),
+fv as (select date, factor, s0 / w0 * greatest(least(t / s0, 2), 0.5) v from fs),
+co as (select m.date, m.f1, m.f2, case when m.f1 = m.f2 then 1 else greatest(least(m.m / sqrt(a.m * b.m), 1), -1) end * sqrt(v1.v * v2.v) cov from mo m join mo a on a.date = m.date and a.f1 = m.f1 and a.f2 = m.f1 join mo b on b.date = m.date and b.f1 = m.f2 and b.f2 = m.f2
+  join fv v1 on v1.date = m.date and v1.factor = m.f1 join fv v2 on v2.date = m.date and v2.factor = m.f2)"""
+_REPLAYED = _HISTORY + """,
+sl as (select *, row_number() over w i, coalesce(eps * lag(eps) over w, 0) p from rs window w as (partition by asset order by date)),
+sv as (select date, asset, max(i) n, sum(k * case when i = 1 then 1 else d end * eps * eps) v, sum(k * d * p) g
+  from (select wr.date, l.* exclude (date), 0.5 ** ((max(i) over (partition by wr.date, asset) - i) / 4.0::double) k, 1 - 0.5 ** (1 / 4.0::double) d from wr join sl l on l.date <= wr.date) group by all),
+so as (select sn.*, case when n >= 4 then v * greatest(least((v + g) / v, 2), 0.5) end v from sn left join sv using (date, asset)),
+sm as (select date, asset, size, sqrt(coalesce(v, median(v) over (partition by date))) vol from so),
+sk as (select *, least(floor(row_number() over (partition by date, vol is null order by size, asset) * 10 / count(*) over (partition by date, vol is null)), 9) b, count(*) over (partition by date, vol is null) n from sm),
+sb as (select *, avg(vol) over (partition by date, vol is null, b) m, stddev_pop(vol) over (partition by date, vol is null, b) d from sk),
+sp as (select date, asset, case when n >= 50 and d > 0 then (0.1::double * abs(vol - m) / (d + 0.1::double * abs(vol - m))) * m + (1 - 0.1::double * abs(vol - m) / (d + 0.1::double * abs(vol - m))) * vol else vol end ** 2 as var from sb),
+nn as (select *, count(*) over (partition by date) n from sn where cap > 0),
+st as (select *, quantile_cont(size, 0.2) over (partition by date) lo, quantile_cont(size, 0.8) over (partition by date) hi from nn where n >= 100),
+si as (select *, count(*) over (partition by date, industry) ni from sn where cap > 0),
+rb as (select date, i, asset, row_number() over (partition by date, i order by md5(i || ':' || date || ':' || asset), asset) k from sn, range(1, 4) t(i)),
+po as (select date, 'market' portfolio, asset, cap / sum(cap) over (partition by date) w from nn where n >= 100 union all select date, 'equal_weight', asset, 1.0::double / n from nn where n >= 100
+  union all select date, 'style_size', asset, case when size <= lo then -1.0::double / count_if(size <= lo) over (partition by date) when size >= hi then 1.0::double / count_if(size >= hi) over (partition by date) end from st
+  union all select date, 'style_' || s, asset, -1.0::double / n from nn, unnest([""" + ", ".join(f"'{s}'" for s in STYLES if s != "size") + """]) u(s) where n >= 100
+  union all select date, 'industry_' || industry, asset, cap / sum(cap) over (partition by date, industry) from si where ni >= 15 and industry <> 'Other'
+  union all select date, 'random_' || i, asset, 1.0::double / count(*) over (partition by date, i) from rb where k <= 50),
+ex as (select date, asset, 'market' factor, 1.0::double x from sn union all select date, asset, 'size', size from sn union all select date, asset, 'ind_' || industry, 1.0 from sn),
+dr as (select dy.date, dy.day, ex.asset, sum(x * f) s from dy join ex using (date) join fr on fr.date = dy.day and fr.factor = ex.factor group by all),
+wt as (select dr.date, dr.asset, product(1 + s + eps) - 1 r from dr join rs on rs.date = dr.day and rs.asset = dr.asset group by all),
+px as (select date, portfolio, factor, sum(w * x) x from po join ex using (date, asset) where w is not null group by all),
+pf as (select a.date, a.portfolio, sum(a.x * cov * b.x) v from px a join px b using (date, portfolio) join co on co.date = a.date and f1 = a.factor and f2 = b.factor group by all),
+ps as (select date, portfolio, sum(w * w * var) v, sum(w * r) ret from po join sp using (date, asset) join wt using (date, asset) where w is not null group by all)
+select wr.until as date, portfolio, round(sqrt(252 * (pf.v + ps.v)), 5) forecast_vol_ann, round(ret, 6) + 0.0 realized_ret, round(ret / sqrt(5 * (pf.v + ps.v)), 4) + 0.0 z from pf join ps using (date, portfolio) join wr using (date)"""
+
+
+@query(duck("panel_q", body=_HISTORY + "\nselect date, f1, f2, round(cov * 1e4, 5) + 0.0 cov from co"))
+def covariances_asof(spark, sf_dir):
+    own = history_tables(spark, sf_dir)
+    weeks = revalidation.formation_weeks(own, REPLAY)
+    none = weeks.select("date", F.lit(1.0).alias("multiplier")).limit(0)
+    return covariance.covariances_at(own["factor_returns"], weeks, REPLAY, none).select("date", "f1", "f2", rounded(F.col("cov") * 1e4, 5).alias("cov"))
+
+
+@query(duck("panel_q", body=_REPLAYED))
+def revalidation_scores(spark, sf_dir):
+    """Every week's test portfolios with the model of its date; optimised portfolios are left out, which SQL can't solve."""
+    scored = revalidation.scores(history_tables(spark, sf_dir), REPLAY, work_folder(spark))
+    return scored.where("portfolio not like 'opt%'").select("date", "portfolio", rounded(F.col("forecast_vol_ann"), 5).alias("forecast_vol_ann"), rounded(F.col("realized_ret")).alias("realized_ret"), rounded(F.col("z"), 4).alias("z"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factorlake.config import STYLES, RiskConfig
 from factorlake.functions.scalar import clip
-from factorlake.operators import covariance, rolling, state, validation
+from factorlake.operators import covariance, rolling, specific, state, validation
 from factorlake.operators.pit import at_dates
 
 MARKET = "market"
@@ -40,16 +40,26 @@ def multipliers_at(regime: DataFrame, weeks: DataFrame) -> DataFrame:
 
 
 def specific_at(residuals: DataFrame, snapshots: DataFrame, weeks: DataFrame, cfg: RiskConfig) -> DataFrame:
-    """(date, asset, var): each name's daily variance known on the date; names observed too seldom take the date's median."""
+    """(date, asset, var): each name's daily variance known on the date; names observed too seldom take the date's median; all are
+    drawn to the mean of their size bucket. snapshots: (date, asset, size) of the names that count."""
     rows = state.asset_variance(residuals, cfg)
     adjusted = F.col("var") * F.coalesce(clip(F.try_divide(F.col("var") + F.col("lag"), F.col("var")), *cfg.ratio_clip), F.lit(1.0))
     rows = rows.select("date", "asset", F.when(F.col("n") >= cfg.least_specific_obs, adjusted).alias("var"))
     known = at_dates(_since(rows, "asset"), weeks).withColumnRenamed("as_of", "date")
     regime = multipliers_at(state.vra_specific(residuals, cfg), weeks)
-    own = snapshots.select("date", "asset").distinct().join(known, ["date", "asset"], "left").join(F.broadcast(regime), "date", "left")
-    own = own.withColumn("var", F.col("var") * F.coalesce("multiplier", F.lit(1.0)) ** 2)
+    own = snapshots.select("date", "asset", F.coalesce("size", F.lit(0.0)).alias("size")).join(known, ["date", "asset"], "left")
     middle = own.groupBy("date").agg(F.median("var").alias("_m"))
-    return own.join(middle, "date").select("date", "asset", F.coalesce("var", "_m").alias("var"))
+    own = own.join(middle, "date").withColumn("vol", F.sqrt(F.coalesce("var", "_m")))
+    own = specific.shrink(own, cfg, by=["date"]).join(F.broadcast(regime), "date", "left")
+    return own.select("date", "asset", (F.col("vol") ** 2 * F.coalesce("multiplier", F.lit(1.0)) ** 2).alias("var"))
+
+
+def tradable(snapshots: DataFrame, residuals: DataFrame, days: DataFrame) -> DataFrame:
+    """The rows of snapshots whose name has a residual on every day of the week that follows. days: (date, day), a row a day."""
+    seen = residuals.where("eps is not null").select(F.col("date").alias("day"), "asset").join(F.broadcast(days), "day").groupBy("date", "asset").agg(F.count("*").alias("_seen"))
+    whole = days.groupBy("date").agg(F.count("*").alias("_days"))
+    names = seen.join(F.broadcast(whole), "date").where("_seen = _days").select("date", "asset")
+    return snapshots.join(names, ["date", "asset"], "left_semi")
 
 
 def exposures_of(snapshots: DataFrame) -> DataFrame:
@@ -95,6 +105,7 @@ def scores(own: dict, cfg: RiskConfig, work: str, etfs: DataFrame | None = None,
     random and optimised portfolios, and of ETFs if their daily returns (date, ticker, r) are given, for every week.
 
     own: the tables of a model folder; work: a shared folder for tables that several steps read. Daily returns of a week are exposures of its formation date times factor returns, plus residuals.
+    Names without a return on any day of the week are left out before portfolios are formed.
     """
     returns, residuals = own["factor_returns"], own["residuals"]
 
@@ -103,23 +114,26 @@ def scores(own: dict, cfg: RiskConfig, work: str, etfs: DataFrame | None = None,
         return df.sparkSession.read.parquet(f"{work}/{name}")
 
     weeks = kept(formation_weeks(own, cfg, last_weeks), "weeks")
-    snapshots = own["exposure_history"].join(F.broadcast(weeks), "date")
+    # weeks has a row a week, days has a row a day
+    follows = (F.col("day") > F.col("date")) & (F.col("day") <= F.col("until"))
+    days = kept(returns.select(F.col("date").alias("day")).distinct().join(F.broadcast(weeks), follows).select("date", "day"), "days")
+    snapshots = own["exposure_history"].join(F.broadcast(weeks), "date").na.fill(0.0, list(STYLES))
+    snapshots = kept(tradable(snapshots, residuals, days), "snapshots")
     x = exposures_of(snapshots)
-    cov = kept(covariance.covariances_at(returns, weeks, cfg, kept(multipliers_at(state.vra_factor(returns, cfg), weeks), "regime")), "covariance")
-    specific = kept(specific_at(residuals, snapshots, weeks, cfg), "specific")
+    cov = kept(covariance.covariances_at(returns, weeks, cfg, kept(multipliers_at(state.vra_factor(returns, cfg), weeks), "regime"), kept), "covariance")
+    variances = kept(specific_at(residuals, snapshots, weeks, cfg), "specific")
 
-    # weeks has a row a week
-    days = returns.withColumnRenamed("date", "day").join(F.broadcast(weeks.select("date", "until")), (F.col("day") > F.col("date")) & (F.col("day") <= F.col("until")))
-    daily = x.join(days, ["date", "factor"]).groupBy("date", "day", "asset").agg(F.sum(F.col("x") * F.col("f")).alias("s"))
+    moves = returns.withColumnRenamed("date", "day").join(F.broadcast(days), "day")
+    daily = x.join(moves, ["date", "factor"]).groupBy("date", "day", "asset").agg(F.sum(F.col("x") * F.col("f")).alias("s"))
     daily = daily.join(residuals.withColumnRenamed("date", "day"), ["day", "asset"])
     daily = kept(daily.select("date", "day", "asset", (F.col("s") + F.col("eps")).alias("r")), "daily")
     realised = daily.groupBy("date", "asset").agg((F.product(1 + F.col("r")) - 1).alias("r"))
 
     ports = validation.simple_portfolios(snapshots).unionByName(validation.style_portfolios(snapshots, list(STYLES))).unionByName(validation.industry_portfolios(snapshots))
     ports = ports.unionByName(validation.random_baskets(snapshots, cfg.random_baskets, cfg.basket_names))
-    ports = ports.unionByName(validation.optimized_portfolios(snapshots.join(specific, ["date", "asset"]), x, cov, cfg))
+    ports = ports.unionByName(validation.optimized_portfolios(snapshots.join(variances, ["date", "asset"]), x, cov, cfg))
     ports = kept(ports, "portfolios")
-    scored = validation.score(ports, x, cov, specific, realised, cfg)
+    scored = validation.score(ports, x, cov, variances, realised, cfg)
     moved = validation.realized_volatility(ports.withColumnRenamed("date", "week"), daily.select(F.col("date").alias("week"), F.col("day").alias("date"), "asset", "r"), ["week", "portfolio"], cfg.weeks_per_year)
     out = scored.join(moved.withColumnRenamed("week", "date"), ["date", "portfolio"], "left").join(F.broadcast(weeks.select("date", "until")), "date")
     out = out.select(F.col("until").alias("date"), "portfolio", "group", "forecast_vol_ann", "realized_ret", "z", "realized_vol_ann")

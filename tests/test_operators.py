@@ -285,8 +285,21 @@ def _revalidated(spark, path, cfg, rng):
     returns, residuals = past(own["factor_returns"]), past(own["residuals"])
     names = sorted(r[0] for r in returns.select("factor").distinct().collect())
     cov = covariance.factor_covariance(returns, names, small, model._latest(state.vra_factor(returns, small), "multiplier")) / 252
-    snap = own["exposure_history"].where(F.col("date") == F.lit(t))
-    var = state.fill_median(state.specific_variance_asof(own["residuals"], str(t), small, model._latest(state.vra_specific(residuals, small), "multiplier")), snap).toPandas().set_index("asset")["var"]
+    week = [d for d in days if t < d <= until]
+    whole = own["residuals"].where(F.col("date").isin(week)).groupBy("asset").agg(F.count("eps").alias("n")).where(F.col("n") == len(week))
+    everyone = own["exposure_history"].where(F.col("date") == F.lit(t))
+    snap = everyone.join(whole, "asset", "left_semi")
+    assert 0 < snap.count() < everyone.count()  # one name isn't traded on a day of the week
+    multiplier = model._latest(state.vra_specific(residuals, small), "multiplier")
+    var = state.fill_median(state.specific_variance_asof(own["residuals"], str(t), small), snap).toPandas().set_index("asset")["var"]
+    drawn, size = np.sqrt(var).to_numpy(), snap.toPandas().set_index("asset")["size"].reindex(var.index)
+    bucket = np.minimum((size.rank(method="first") / len(size) * 10).astype(int), 9).to_numpy()
+    for b in range(10):
+        own_vols = np.sqrt(var).to_numpy()[bucket == b]
+        far = 0.1 * np.abs(own_vols - own_vols.mean())
+        share = far / (own_vols.std() + far)
+        drawn[bucket == b] = share * own_vols.mean() + (1 - share) * own_vols
+    var = pd.Series(drawn**2 * multiplier**2, index=var.index)
     x = revalidation.exposures_of(snap).toPandas().pivot(index="asset", columns="factor", values="x").reindex(columns=names).fillna(0.0)
     caps = snap.toPandas().set_index("asset")["cap"].reindex(x.index)
     w = (caps / caps.sum()).to_numpy()
@@ -300,7 +313,6 @@ def _revalidated(spark, path, cfg, rng):
     solved = np.linalg.solve(full[np.ix_(at, at)], np.ones(len(at)))
     solved /= np.abs(solved).sum()
     assert got.loc["opt_minvar", "forecast_vol_ann"] == pytest.approx(np.sqrt(252 * solved @ full[np.ix_(at, at)] @ solved), rel=1e-5)
-    week = [d for d in days if t < d <= until]
     f = own["factor_returns"].toPandas().pivot(index="date", columns="factor", values="f").reindex(columns=names)
     eps = own["residuals"].toPandas().pivot(index="date", columns="asset", values="eps").reindex(columns=x.index)
     daily = np.array([x.to_numpy() @ f.loc[d].fillna(0.0).to_numpy() + eps.loc[d].to_numpy() for d in week])
@@ -343,7 +355,11 @@ def test_model_end_to_end(spark, tmp_path):
     assert asof.asset_risk("T001").first()["total_vol"] > 0
     fast = model.variant(spark, str(tmp_path / "m"), str(tmp_path / "v"), cfg.short_horizon())
     assert fast.factors == built.factors
-    _revalidated(spark, str(tmp_path / "m"), cfg, rng)
+    folder, dates = str(tmp_path / "m"), sorted(r[0] for r in t["exposure_history"].select("date").distinct().collect())
+    missed = t["residuals"].where(F.col("date") > F.lit(dates[-3])).agg(F.min("date")).first()[0]
+    t["residuals"].where((F.col("date") != F.lit(missed)) | (F.col("asset") != "T007")).write.parquet(f"{folder}-residuals")
+    spark.read.parquet(f"{folder}-residuals").write.mode("overwrite").parquet(f"{folder}/residuals.parquet" if (tmp_path / "m/residuals.parquet").exists() else f"{folder}/residuals")
+    _revalidated(spark, folder, cfg, rng)
     assert "As of" in report.card(built)
     assert report.assets(built).where("industry is null").count() == 0
     report.export(built, spark, str(tmp_path / "m"), str(tmp_path / "site"))
@@ -399,3 +415,34 @@ def test_rolling_regressions_by_prefix_sums(spark):
         fitted = design @ b
         assert fitted == pytest.approx(design @ want, abs=1e-7) and sse == pytest.approx(((own["y"] - fitted) ** 2).sum(), abs=1e-7)
         assert key == "c" or b == pytest.approx(want, rel=1e-6, abs=1e-9)
+
+
+def test_simulated_samples_are_estimated_like_the_real_one(spark):
+    cfg = RiskConfig(corr_half_life=40.0, vol_half_life=20.0)
+    f = np.random.default_rng(4).normal(0, 0.01, (90, 3)) @ np.array([[1, 0.4, 0], [0, 1, 0.3], [0, 0, 1]])
+    want = covariance.factor_covariance(factor_table(spark, f), ["f0", "f1", "f2"], cfg, mode="none") / cfg.periods_per_year
+    assert np.abs(covariance.estimate(f, cfg) - want).max() < 1e-12
+
+
+def test_eigen_profiles_are_refreshed_and_carried_on(spark):
+    """A fold over 300 days that asks for a covariance each week and simulates again when 60 days have passed."""
+    cfg = RiskConfig(covariance_mode="eigen", eigen_sims=30, eigen_refresh=60, corr_half_life=60.0, vol_half_life=30.0, history_days=200)
+    f = np.random.default_rng(8).normal(0, 0.01, (300, 3)) @ np.array([[1, 0.6, 0.2], [0, 1, 0.5], [0, 0, 0.3]])
+    returns = factor_table(spark, f)
+    days = sorted(r[0] for r in returns.select("date").distinct().collect())
+    asked = [n for n in range(1, 301) if n % 5 == 0 and n >= 100]
+    dates = spark.createDataFrame([(days[n - 1],) for n in asked], "date date")
+    regime = spark.createDataFrame([(days[n - 1], 1.0 + n / 1000) for n in asked[::2]], "date date, multiplier double")
+    got = covariance.covariances_at(returns, dates, cfg, regime).toPandas()
+    held, scale, simulated = None, None, 0
+    for n in asked:
+        cov = covariance.estimate(f[:n], cfg)
+        if held is None or n - held >= 60:
+            held, simulated = n, simulated + 1
+            total = sum(covariance._misjudged(cov, min(n, 200), [k], cfg, n) for k in range(30))
+            scale = np.clip(1.4 * (np.sqrt(total / 30) - 1) + 1, 0.5, 3.0)
+        values, vectors = np.linalg.eigh(cov)
+        want = (vectors * (values * scale**2)) @ vectors.T * (1.0 + n / 1000 if n in asked[::2] else 1.0) ** 2
+        own = got[got["date"] == days[n - 1]].pivot(index="f1", columns="f2", values="cov").to_numpy()
+        assert np.abs(own - want).max() < 1e-9 * np.abs(want).max() + 1e-12, n
+    assert simulated == 4
