@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorlake.llm.shared import HASH_BITS, document_hash, unused, written
+from factorlake.llm.shared import HASH_BITS, document_hash, mark, release, release_since, unused, written
 
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Bits of each histogram; after two the boundary bucket holds about one in 2^24 of a source's documents.
@@ -71,7 +71,7 @@ def _boundary(histogram: DataFrame, budget: DataFrame, key: str) -> DataFrame:
 def thresholds(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """Per source: source_size, target, whole (times every document is taken), threshold (greatest hash
     taken once more). The last document enters if that brings the sum nearer to the target. Broadcast if the sources are few."""
-    low = HASH_BITS - LEVEL_BITS
+    before, low = mark(), HASH_BITS - LEVEL_BITS
     shift = F.shiftright("h", low)
     first = written(sizes.groupBy("source", shift.alias("b1")).agg(F.sum("size").alias("words")), "mix-histogram")
     goal = targets(first.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
@@ -101,7 +101,9 @@ def thresholds(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         out = out.join(extra.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     # Without a boundary the budget covers all documents of the source, unless it has no words.
     threshold = F.coalesce("cut", "below", F.when(F.col("source_size") > 0, F.lit(2**HASH_BITS)).otherwise(F.lit(-1)))
-    return _sent(written(out.select("source", "source_size", "target", "whole", threshold.cast("long").alias("threshold")), "mix-plan"), few)
+    plan = written(out.select("source", "source_size", "target", "whole", threshold.cast("long").alias("threshold")), "mix-plan")
+    release_since(before, plan)
+    return _sent(plan, few)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -116,7 +118,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs."""
     size, h, of, whole, cut, copy = unused(docs, "_size", "_h", "_of", "_whole", "_cut", "_copy")
-    plan = thresholds(written(sized(docs), "mix-sizes"), weights, most)
+    sizes = written(sized(docs), "mix-sizes")
+    plan = thresholds(sizes, weights, most)
+    release(sizes)
     plan = plan.select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("threshold").alias(cut))
     rows = docs.withColumn(size, word_count(F.col("text"))).withColumn(h, document_hash())
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col(of))).where(F.col(size) > 0)

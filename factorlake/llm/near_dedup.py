@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlake.llm.components import connected
-from factorlake.llm.shared import map_rows, release, unused, written
+from factorlake.llm.shared import map_rows, mark, release, release_since, unused, written
 
 WORDS, COORDINATES, THRESHOLD = 5, 64, 32
 #: Links have 100 * intersection >= SHARE * union.
@@ -330,11 +330,13 @@ def _links_of(star: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of docs."""
+    before = mark()
     rows, own, posted = classes(docs)
     of = connected(links(docs, own, posted)).select(F.col("node").alias("id"), F.col("component").alias("joined"))
     grouped = own.select("id", "key", "doc_id").join(of, "id", "left").withColumn("joined", F.coalesce("joined", "id"))
     least = grouped.groupBy("joined").agg(F.min("doc_id").alias("least"))
     by_class = written(grouped.join(least, "joined").select("key", "least"), "class-components")
+    release_since(before, rows, by_class)
     out = rows.join(by_class, "key", "left").withColumn("least", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")))
     # A doc_id that repeats with different texts ties their components together.
     again = written(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
@@ -348,7 +350,9 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each component, with the columns of docs; rows without a doc_id all stay."""
+    before = mark()
     decided = written(dedup(docs), "dedup")
+    release_since(before, decided)
     gone, one = unused(docs, "_gone", "_one")
     out = docs.join(decided.where("not kept").select(F.col("doc_id").alias(gone)).distinct(), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
     counted = decided.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()

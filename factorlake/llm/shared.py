@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -77,6 +78,28 @@ def release(*tables: DataFrame) -> None:
             _written.remove((df.sparkSession, path))
 
 
+def mark() -> int:
+    """The number of tables written so far, for release_since()."""
+    return len(_written)
+
+
+def release_since(before: int, *kept: DataFrame) -> None:
+    """Deletes all tables written since mark() gave `before`, but the kept ones. Nothing lazy may still read them."""
+    stay = {getattr(df, "written_at", None) for df in kept}
+    for spark, path in _written[before:]:
+        if path not in stay:
+            remove(spark, path)
+    _written[before:] = [x for x in _written[before:] if x[1] in stay]
+    drop_shuffles()
+
+
+def drop_shuffles() -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when objects are collected as garbage."""
+    gc.collect()
+    if spark := SparkSession.getActiveSession():
+        spark.sparkContext._jvm.System.gc()
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with as many underscores before them as df's own columns make necessary."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -751,6 +751,27 @@ def test_pipeline_stages_take_effect_and_keep_columns(spark, docs):
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
 
 
+def test_shards_are_written_with_their_documents(spark, odd, docs, tmp_path):
+    """Every row comes back once with all its columns, in the shard that assign() names; pages of equal rows hold as many as fit."""
+    for name, rows, limit in (("odd", odd, 1000), ("docs", docs, 16 << 10), ("none", docs.limit(0), 100), ("equal", spark.createDataFrame([(5, "abc")] * 7 + [(6, "x" * 40), (7, None)], "doc_id long, text string"), 9)):
+        back = sharding.write(rows, str(tmp_path / name), limit)
+        assert back.columns == [*[c for c in rows.columns if c != "shard"], "shard"]
+        plain = rows.drop("shard")
+        assert Counter(map(str, back.drop("shard").collect())) == Counter(map(str, plain.collect()))
+        told = lambda df: Counter((r["doc_id"], r["n_bytes"], r["shard"], r["shard_depth"], r["shard_bytes"], r["shard_docs"], r["oversize"]) for r in df.collect())
+        assert told(sharding.shards(back, limit)) == told(sharding.assign(rows, limit))
+        assert all(r["shard_bytes"] <= limit or r["oversize"] for r in sharding.shards(back, limit).collect())
+
+
+def test_tables_are_released_when_their_readers_have_run(spark, docs):
+    from factorlake.llm import shared
+
+    before = shared.mark()
+    near_dedup.kept_documents(docs.limit(50)).count()
+    sharding.assign(docs.limit(50), 4096).count()
+    assert len(shared._written) - before <= 5  # the decisions; sizes, two directories and overflow pages of the shards
+
+
 # -- I-Match fingerprints -------------------------------------------------------------------------------
 
 
