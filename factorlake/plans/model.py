@@ -124,7 +124,9 @@ def build(spark: SparkSession, prices: DataFrame, filings: DataFrame, industries
     for name in tables:
         tables[name].write.mode("overwrite").parquet(f"{base}/{name}")
         tables[name] = spark.read.parquet(f"{base}/{name}")
-    return _finish(spark, tables, covered, industries, cfg, path)
+    out = _finish(spark, tables, covered, industries, cfg, path)
+    artifacts.remove(spark, base)  # all of it is saved by now
+    return out
 
 
 def _latest(df: DataFrame, column: str, otherwise: float = 1.0) -> float:

@@ -9,7 +9,7 @@ from factorlake.config import STYLES, RiskConfig
 from factorlake.functions.scalar import rounded
 from factorlake.functions.timeseries import Ewma, with_ewmas
 from factorlake.operators import covariance, styles
-from factorlake.plans import revalidation
+from factorlake.plans import revalidation, snapshots
 from factorlake.plans.panel_queries import _DENSE, duck
 from factorlake.plans.risk_queries import _XS, cross_section
 from factorlake.sources.fixtures import panel_w, table
@@ -218,3 +218,33 @@ def revalidation_scores(spark, sf_dir):
     """Every week's test portfolios with the model of its date; optimised portfolios are left out, which SQL can't solve."""
     scored = revalidation.scores(history_tables(spark, sf_dir), REPLAY, work_folder(spark))
     return scored.where("portfolio not like 'opt%'").select("date", "portfolio", rounded(F.col("forecast_vol_ann"), 5).alias("forecast_vol_ann"), rounded(F.col("realized_ret")).alias("realized_ret"), rounded(F.col("z"), 4).alias("z"))
+
+
+# -- weekly snapshots -----------------------------------------------------------------------------------
+
+_SPECIFIC = """,
+sl as (select *, row_number() over w i, coalesce(eps * lag(eps) over w, 0) p from rs window w as (partition by asset order by date)),
+sv as (select date, asset, max(i) n, sum(k * case when i = 1 then 1 else d end * eps * eps) v, sum(k * d * p) g
+  from (select wr.date, l.* exclude (date), 0.5 ** ((max(i) over (partition by wr.date, asset) - i) / 4.0::double) k, 1 - 0.5 ** (1 / 4.0::double) d from wr join sl l on l.date <= wr.date) group by all)"""
+_SNAPSHOT = _HISTORY + _SPECIFIC + """,
+al as (select eh.*, wr.until from eh join wr using (date)),
+so as (select al.*, case when n >= 4 then v * greatest(least((v + g) / v, 2), 0.5) end v from al left join sv using (date, asset)),
+ex as (select date, asset, 'market' factor, 1.0::double x from al union all select date, asset, 'size', size from al union all select date, asset, 'ind_' || industry, 1.0 from al),
+dr as (select dy.date, dy.day, ex.asset, sum(x * f) s from dy join ex using (date) join fr on fr.date = dy.day and fr.factor = ex.factor group by all),
+re as (select dr.date, dr.asset, product(1 + s + eps) - 1 - sum(s) resid from dr join rs on rs.date = dr.day and rs.asset = dr.asset join tn on tn.date = dr.date and tn.asset = dr.asset group by all),
+mk as (select dy.date, sum(f) f from dy join fr on fr.date = dy.day where factor = 'market' group by all)
+select so.date, so.asset, industry, round(size, 3) + 0.0 size, round(sqrt(252 * coalesce(v, median(v) over (partition by so.date))), 4) spec, round(resid, 5) + 0.0 resid, until next_date, round(mk.f, 6) + 0.0 f_market, round(252 * co.cov, 8) + 0.0 var_market
+from so left join re using (date, asset) join mk using (date) join co on co.date = so.date and co.f1 = 'market' and co.f2 = 'market'"""
+
+
+@query(duck("panel_q", body=_SNAPSHOT))
+def weekly_snapshots(spark, sf_dir):
+    """The documents, written by date and read back, a row for each name."""
+    to = f"{work_folder(spark)}/history"
+    snapshots.write(history_tables(spark, sf_dir), REPLAY, to)
+    docs = snapshots.read(spark, to)
+    market = docs.select("date", F.col("next.f")[0].alias("f"), F.col("fcov")[0][0].alias("v"))
+    rows = snapshots.exploded(docs).join(market, "date")
+    return rows.select(
+        "date", F.col("asset").cast("long").alias("asset"), "industry", (F.col("styles")[0] + 0.0).alias("size"), "spec", (F.col("resid") + 0.0).alias("resid"), "next_date",
+        (F.col("f") + 0.0).alias("f_market"), (F.col("v") + 0.0).alias("var_market"))

@@ -9,6 +9,7 @@ from factorlake.config import RiskConfig
 from factorlake.functions.scalar import bin_of, friday, rounded
 from factorlake.functions.timeseries import through_here
 from factorlake.operators import baselines, risk, validation
+from factorlake.plans import snapshots
 from factorlake.plans.model import RiskModel
 from factorlake.sources import artifacts
 
@@ -48,11 +49,12 @@ def validation_tables(scores: DataFrame, cfg: RiskConfig) -> dict[str, DataFrame
 
 
 def export(model: RiskModel, spark: SparkSession, path: str, to: str) -> None:
-    """Explorer JSON: one folder of JSON lines per table, weekly snapshots partitioned by date."""
+    """Explorer JSON: one folder of JSON lines per table, and weekly snapshots by date with their index."""
     own = artifacts.load(spark, path)
     for name, df in {"cumulative": cumulative(own["factor_returns"]), "assets": assets(model), "covariance": model.covariance}.items():
         df.write.mode("overwrite").json(f"{to}/{name}")
-    own["exposure_history"].write.mode("overwrite").partitionBy("date").json(f"{to}/history")
+    if own["exposure_history"] is not None and own["residuals"] is not None:
+        snapshots.write(own, model.cfg, f"{to}/history")
 
 
 def card(model: RiskModel, scores: DataFrame | None = None) -> str:

@@ -13,6 +13,7 @@ from factorlake.config import STYLES, RiskConfig
 from factorlake.functions.scalar import clip
 from factorlake.operators import covariance, rolling, specific, state, validation
 from factorlake.operators.pit import at_dates
+from factorlake.sources import artifacts
 
 MARKET = "market"
 
@@ -39,9 +40,28 @@ def multipliers_at(regime: DataFrame, weeks: DataFrame) -> DataFrame:
     return at_dates(_since(regime.select("date", "multiplier")), weeks).withColumnRenamed("as_of", "date")
 
 
-def specific_at(residuals: DataFrame, snapshots: DataFrame, weeks: DataFrame, cfg: RiskConfig) -> DataFrame:
+def days_of(returns: DataFrame, weeks: DataFrame) -> DataFrame:
+    """(date, day): the days with factor returns of the week that follows each formation date. weeks has a row a week."""
+    follows = (F.col("day") > F.col("date")) & (F.col("day") <= F.col("until"))
+    return returns.select(F.col("date").alias("day")).distinct().join(F.broadcast(weeks.select("date", "until")), follows).select("date", "day")
+
+
+def daily_returns(x: DataFrame, moves: DataFrame, residuals: DataFrame) -> DataFrame:
+    """(date, day, asset, r): exposures (date, asset, factor, x) times factor returns (date, day, factor, f), plus residuals."""
+    daily = x.join(moves, ["date", "factor"]).groupBy("date", "day", "asset").agg(F.sum(F.col("x") * F.col("f")).alias("s"))
+    daily = daily.join(residuals.withColumnRenamed("date", "day"), ["day", "asset"])
+    return daily.select("date", "day", "asset", (F.col("s") + F.col("eps")).alias("r"))
+
+
+def weekly_returns(x: DataFrame, moves: DataFrame, residuals: DataFrame, names: DataFrame) -> DataFrame:
+    """(date, asset, r): compounded over the days of the week, for the (date, asset) of names."""
+    daily = daily_returns(x.join(names.select("date", "asset"), ["date", "asset"], "left_semi"), moves, residuals)
+    return daily.groupBy("date", "asset").agg((F.product(1 + F.col("r")) - 1).alias("r"))
+
+
+def specific_at(residuals: DataFrame, snapshots: DataFrame, weeks: DataFrame, cfg: RiskConfig, shrunk: bool = True) -> DataFrame:
     """(date, asset, var): each name's daily variance known on the date; names observed too seldom take the date's median; all are
-    drawn to the mean of their size bucket. snapshots: (date, asset, size) of the names that count."""
+    drawn to the mean of their size bucket (shrunk). snapshots: (date, asset, size) of the names that count."""
     rows = state.asset_variance(residuals, cfg)
     adjusted = F.col("var") * F.coalesce(clip(F.try_divide(F.col("var") + F.col("lag"), F.col("var")), *cfg.ratio_clip), F.lit(1.0))
     rows = rows.select("date", "asset", F.when(F.col("n") >= cfg.least_specific_obs, adjusted).alias("var"))
@@ -50,7 +70,7 @@ def specific_at(residuals: DataFrame, snapshots: DataFrame, weeks: DataFrame, cf
     own = snapshots.select("date", "asset", F.coalesce("size", F.lit(0.0)).alias("size")).join(known, ["date", "asset"], "left")
     middle = own.groupBy("date").agg(F.median("var").alias("_m"))
     own = own.join(middle, "date").withColumn("vol", F.sqrt(F.coalesce("var", "_m")))
-    own = specific.shrink(own, cfg, by=["date"]).join(F.broadcast(regime), "date", "left")
+    own = (specific.shrink(own, cfg, by=["date"]) if shrunk else own).join(F.broadcast(regime), "date", "left")
     return own.select("date", "asset", (F.col("vol") ** 2 * F.coalesce("multiplier", F.lit(1.0)) ** 2).alias("var"))
 
 
@@ -104,7 +124,7 @@ def scores(own: dict, cfg: RiskConfig, work: str, etfs: DataFrame | None = None,
     """(date: the week's end, portfolio, group, forecast_vol_ann, realized_ret, z, realized_vol_ann) of simple, style, industry,
     random and optimised portfolios, and of ETFs if their daily returns (date, ticker, r) are given, for every week.
 
-    own: the tables of a model folder; work: a shared folder for tables that several steps read. Daily returns of a week are exposures of its formation date times factor returns, plus residuals.
+    own: the tables of a model folder; work: a shared folder for tables that several steps read, of which the scores stay. Daily returns of a week are exposures of its formation date times factor returns, plus residuals.
     Names without a return on any day of the week are left out before portfolios are formed.
     """
     returns, residuals = own["factor_returns"], own["residuals"]
@@ -114,9 +134,7 @@ def scores(own: dict, cfg: RiskConfig, work: str, etfs: DataFrame | None = None,
         return df.sparkSession.read.parquet(f"{work}/{name}")
 
     weeks = kept(formation_weeks(own, cfg, last_weeks), "weeks")
-    # weeks has a row a week, days has a row a day
-    follows = (F.col("day") > F.col("date")) & (F.col("day") <= F.col("until"))
-    days = kept(returns.select(F.col("date").alias("day")).distinct().join(F.broadcast(weeks), follows).select("date", "day"), "days")
+    days = kept(days_of(returns, weeks), "days")
     snapshots = own["exposure_history"].join(F.broadcast(weeks), "date").na.fill(0.0, list(STYLES))
     snapshots = kept(tradable(snapshots, residuals, days), "snapshots")
     x = exposures_of(snapshots)
@@ -124,9 +142,7 @@ def scores(own: dict, cfg: RiskConfig, work: str, etfs: DataFrame | None = None,
     variances = kept(specific_at(residuals, snapshots, weeks, cfg), "specific")
 
     moves = returns.withColumnRenamed("date", "day").join(F.broadcast(days), "day")
-    daily = x.join(moves, ["date", "factor"]).groupBy("date", "day", "asset").agg(F.sum(F.col("x") * F.col("f")).alias("s"))
-    daily = daily.join(residuals.withColumnRenamed("date", "day"), ["day", "asset"])
-    daily = kept(daily.select("date", "day", "asset", (F.col("s") + F.col("eps")).alias("r")), "daily")
+    daily = kept(daily_returns(x, moves, residuals), "daily")
     realised = daily.groupBy("date", "asset").agg((F.product(1 + F.col("r")) - 1).alias("r"))
 
     ports = validation.simple_portfolios(snapshots).unionByName(validation.style_portfolios(snapshots, list(STYLES))).unionByName(validation.industry_portfolios(snapshots))
@@ -137,4 +153,7 @@ def scores(own: dict, cfg: RiskConfig, work: str, etfs: DataFrame | None = None,
     moved = validation.realized_volatility(ports.withColumnRenamed("date", "week"), daily.select(F.col("date").alias("week"), F.col("day").alias("date"), "asset", "r"), ["week", "portfolio"], cfg.weeks_per_year)
     out = scored.join(moved.withColumnRenamed("week", "date"), ["date", "portfolio"], "left").join(F.broadcast(weeks.select("date", "until")), "date")
     out = out.select(F.col("until").alias("date"), "portfolio", "group", "forecast_vol_ann", "realized_ret", "z", "realized_vol_ann")
-    return out if etfs is None else out.unionByName(etf_scores(etfs, returns, weeks, cov, cfg))
+    out = kept(out if etfs is None else out.unionByName(etf_scores(etfs, returns, weeks, cov, cfg)), "scores")
+    for name in ("weeks", "days", "snapshots", "regime", "period-covariance", "covariance", "specific", "daily", "portfolios"):
+        artifacts.remove(own["factor_returns"].sparkSession, f"{work}/{name}")
+    return out

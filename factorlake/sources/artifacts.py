@@ -45,6 +45,13 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame | None | dict]:
     return out | {"meta": own}
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it is."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def compact(df: DataFrame, places: int = 4) -> DataFrame:
     """For the sink only: doubles rounded and as floats."""
     return df.select(*[F.round(c, places).cast("float").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
