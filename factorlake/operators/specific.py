@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorlake.config import RiskConfig
+from factorlake.config import RiskConfig, decay
 from factorlake.functions.scalar import clip
+from factorlake.functions.timeseries import Ewma, with_ewmas
+from factorlake.operators import rolling
 from factorlake.operators.covariance import newey_west
+from factorlake.operators.pit import at_dates
 
 
 def ewma_volatility(residuals: DataFrame, cfg: RiskConfig) -> DataFrame:
@@ -19,33 +24,43 @@ def ewma_volatility(residuals: DataFrame, cfg: RiskConfig) -> DataFrame:
     return nw.select("asset", vol.alias("ts_vol"), F.col("n").alias("n_obs"))
 
 
-def structural(assets: DataFrame, cfg: RiskConfig) -> DataFrame:
-    """assets (asset, ts_vol, industry, size, volatility, liquidity) with `structural`: the volatility that its
-    industry and styles suggest.
+def structural(assets: DataFrame, cfg: RiskConfig, by: list[str] | None = None) -> DataFrame:
+    """assets (by..., asset, ts_vol, industry, size, volatility, liquidity) with `structural`: the volatility that its
+    industry and styles suggest, for all groups of `by` (dates) in one plan.
 
-    Log volatilities are regressed within industries: the styles' 3 x 3 system of within-industry moments is summed in
-    Spark and solved on the driver, industry intercepts are group means. Smeared back from logs, then clipped.
+    Log volatilities are regressed within industries: each group's within-industry moments are one row of sums, whose 3 x 3 systems are
+    solved in batches; industry intercepts are group means. Smeared back from logs, then clipped; NULL for groups with too few names.
     """
-    styles = ["size", "volatility", "liquidity"]
-    fit = assets.where("ts_vol > 0").withColumn("_y", F.ln("ts_vol"))
-    n = fit.count()
-    if n < cfg.least_structural:
-        return assets.withColumn("structural", F.lit(None).cast("double"))
-    means = fit.groupBy("industry").agg(F.avg("_y").alias("_my"), *[F.avg(s).alias(f"_m_{s}") for s in styles])
-    overall = fit.agg(F.avg("_y").alias("y"), *[F.avg(s).alias(s) for s in styles]).first()
-    dev = fit.join(means, "industry")
-    d = {s: F.col(s) - F.col(f"_m_{s}") for s in styles}
-    y = F.col("_y") - F.col("_my")
-    sums = dev.agg(*[F.sum(d[a] * d[b]).alias(f"{a}_{b}") for a in styles for b in styles], *[F.sum(d[a] * y).alias(f"{a}_y") for a in styles]).first()
-    gram = np.array([[sums[f"{a}_{b}"] or 0.0 for b in styles] for a in styles])
-    slope = np.linalg.lstsq(gram, np.array([sums[f"{a}_y"] or 0.0 for a in styles]), rcond=None)[0]
-    rows = assets.join(means, "industry", "left")
+    keys, styles = by or ["_all"], ["size", "volatility", "liquidity"]
+    rows = assets if by else assets.withColumn("_all", F.lit(1))
+    group, industry = Window.partitionBy(*keys), Window.partitionBy(*keys, "industry")
+    fit = F.col("ts_vol") > 0
+    rows = rows.withColumn("_y", F.when(fit, F.ln("ts_vol")))
+    mean = lambda c, w: F.avg(F.when(fit, F.col(c))).over(w)
+    rows = rows.withColumns({f"_m_{c}": F.coalesce(mean(c, industry), mean(c, group)) for c in ("_y", *styles)})
+    dev = {c: F.col(c) - F.col(f"_m_{c}") for c in ("_y", *styles)}
+    names = ["_y", *styles]
+    products = [F.coalesce(F.sum(F.when(fit, dev[a] * dev[b])), F.lit(0.0)) for i, a in enumerate(styles) for b in [*styles[i:], "_y"]]
+    sums = rows.groupBy(*keys).agg(F.count_if(fit).alias("_n"), F.array(*products, F.lit(0.0)).alias("gram")).where(F.col("_n") >= cfg.least_structural)
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if len(pdf):
+                b, _ = rolling.solved(rolling.stacked(pdf["gram"]))
+                yield pdf[keys].assign(_b=list(b))
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    slopes = sums.mapInPandas(solve, f"{kinds}, _b array<double>")
+    # a row for each group, and for each date that is three slopes
+    rows = rows.join(slopes, keys, "left")
     tilt: Column = F.lit(0.0)
-    for s, b in zip(styles, slope, strict=True):
-        tilt = tilt + float(b) * (F.col(s) - F.coalesce(f"_m_{s}", F.lit(float(overall[s] or 0.0))))
-    rows = rows.withColumn("_guess", F.exp(F.coalesce("_my", F.lit(float(overall["y"]))) + tilt)).drop("_my", *[f"_m_{s}" for s in styles])
-    bounds = rows.where("ts_vol > 0").agg(F.avg(F.col("ts_vol") / F.col("_guess")).alias("smear"), F.percentile("ts_vol", F.lit(0.01)).alias("low"), F.percentile("ts_vol", F.lit(0.99)).alias("high")).first()
-    return rows.withColumn("structural", clip(F.col("_guess") * bounds["smear"], bounds["low"], 1.5 * bounds["high"])).drop("_guess")
+    for k, s in enumerate(styles):
+        tilt = tilt + F.col("_b")[k] * dev[s]
+    rows = rows.withColumn("_guess", F.exp(F.col("_m__y") + tilt))
+    bounds = {"_smear": F.avg(F.when(fit, F.col("ts_vol") / F.col("_guess"))), "_low": F.percentile(F.when(fit, F.col("ts_vol")), F.lit(0.01)), "_high": F.percentile(F.when(fit, F.col("ts_vol")), F.lit(0.99))}
+    rows = rows.withColumns({n: c.over(group) for n, c in bounds.items()})
+    out = rows.withColumn("structural", F.when(F.col("_b").isNotNull(), clip(F.col("_guess") * F.col("_smear"), F.col("_low"), 1.5 * F.col("_high"))))
+    return out.drop("_all", "_b", "_guess", *[f"_m_{c}" for c in names], "_y", *bounds)
 
 
 def blended(assets: DataFrame, cfg: RiskConfig) -> DataFrame:
@@ -78,3 +93,30 @@ def specific_risk(residuals: DataFrame, assets: DataFrame, cfg: RiskConfig, vra:
     rows = assets.join(ewma_volatility(residuals, cfg), "asset", "left").withColumn("n_obs", F.coalesce("n_obs", F.lit(0)))
     rows = shrink(blended(structural(rows, cfg), cfg), cfg)
     return rows.select("asset", (F.col("vol") * vra).alias("vol"), "ts_vol", "structural", "blend_weight", "n_obs")
+
+
+def ewma_volatility_at(residuals: DataFrame, dates: DataFrame, cfg: RiskConfig) -> DataFrame:
+    """(date, asset, ts_vol, n_obs): what ewma_volatility() gives for the rows up to each of dates (date), from running sums."""
+    k, w = decay(cfg.specific_half_life), Window.partitionBy("asset").orderBy("date")
+    lagged = {f"_s{lag}": Ewma(F.coalesce(F.col("eps") * F.lag("eps", lag).over(w), F.lit(0.0))) for lag in range(1, cfg.specific_lags + 1)}
+    rows = with_ewmas(residuals.where("eps is not null"), "asset", "date", k, {"_s0": Ewma(F.col("eps") ** 2), "_w0": Ewma(F.lit(1.0))} | lagged)
+    total = F.col("_s0")
+    for lag in range(1, cfg.specific_lags + 1):
+        total = total + 2.0 * (1.0 - lag / (cfg.specific_lags + 1.0)) * F.col(f"_s{lag}")
+    adjusted = F.col("_s0") / F.col("_w0") * F.coalesce(clip(F.try_divide(total, F.col("_s0")), *cfg.ratio_clip), F.lit(1.0))
+    n = F.row_number().over(w)
+    vol = F.when(n >= cfg.least_specific_obs, F.sqrt(adjusted * cfg.periods_per_year))
+    known = rows.select("asset", vol.alias("ts_vol"), n.cast("long").alias("n_obs"), F.col("date").alias("_from"), F.lead("date").over(w).alias("_until"))
+    return at_dates(known, dates).withColumnRenamed("as_of", "date")
+
+
+def specific_risk_at(residuals: DataFrame, snapshots: DataFrame, cfg: RiskConfig, multipliers: DataFrame | None = None) -> DataFrame:
+    """(date, asset, vol, ts_vol, structural, blend_weight, n_obs): the whole chain of specific_risk() as of every date of snapshots
+    (date, asset, industry, size, volatility, liquidity), in one plan. multipliers (date, multiplier): of the regime, 1 where missing."""
+    own = ewma_volatility_at(residuals, snapshots, cfg)
+    rows = snapshots.join(own, ["date", "asset"], "left").withColumn("n_obs", F.coalesce("n_obs", F.lit(0).cast("long")))
+    rows = shrink(blended(structural(rows, cfg, ["date"]), cfg), cfg, by=["date"])
+    if multipliers is not None:
+        # a row a date
+        rows = rows.join(F.broadcast(multipliers.select("date", "multiplier")), "date", "left").withColumn("vol", F.col("vol") * F.coalesce("multiplier", F.lit(1.0)))
+    return rows.select("date", "asset", "vol", "ts_vol", "structural", "blend_weight", "n_obs")

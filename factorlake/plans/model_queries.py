@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from factorlake.config import STYLES, RiskConfig
 from factorlake.functions.scalar import rounded
 from factorlake.functions.timeseries import Ewma, with_ewmas
-from factorlake.operators import covariance, styles
+from factorlake.operators import covariance, specific, styles
 from factorlake.plans import revalidation, snapshots
 from factorlake.plans.panel_queries import _DENSE, duck
-from factorlake.plans.risk_queries import _XS, cross_section
+from factorlake.plans.risk_queries import _XS, _ols, cross_section
 from factorlake.sources.fixtures import panel_w, table
 from factorlake.streaming.state_stream import work_folder
 
@@ -248,3 +248,34 @@ def weekly_snapshots(spark, sf_dir):
     return rows.select(
         "date", F.col("asset").cast("long").alias("asset"), "industry", (F.col("styles")[0] + 0.0).alias("size"), "spec", (F.col("resid") + 0.0).alias("resid"), "next_date",
         (F.col("f") + 0.0).alias("f_market"), (F.col("v") + 0.0).alias("var_market"))
+
+
+# -- specific risk of all dates -------------------------------------------------------------------------
+
+_STRUCTURAL = _HISTORY + """,
+sl as (select *, row_number() over w i, coalesce(eps * lag(eps) over w, 0) p from rs window w as (partition by asset order by date)),
+sv as (select date, asset, max(i) n, sum(k * eps * eps) s0, sum(k) w0, sum(k * p) s1
+  from (select d.date, l.* exclude (date), 0.5 ** ((max(i) over (partition by d.date, asset) - i) / 4.0::double) k from (select distinct date from eh) d join sl l on l.date <= d.date) group by all),
+wd as (select eh.date, eh.asset, industry, size, ln(cap) / 10 volatility, (eh.asset % 17) / 10.0::double liquidity, case when n >= 4 then sqrt(252 * s0 / w0 * greatest(least((s0 + s1) / s0, 2), 0.5)) end ts_vol, coalesce(n, 0) n_obs from eh left join sv using (date, asset)),
+fit as (select *, ln(ts_vol) y from wd where ts_vol > 0),
+""" + _ols("fit", "y", ["size", "volatility", "liquidity"], "date", "date, industry") + """,
+mi as (select date, industry, avg(y) my, avg(size) m0, avg(volatility) m1, avg(liquidity) m2 from fit group by all),
+ms as (select date, avg(y) my, avg(size) m0, avg(volatility) m1, avg(liquidity) m2, count(*) n from fit group by date),
+gs as (select wd.*, exp(coalesce(mi.my, ms.my) + b0 * (size - coalesce(mi.m0, ms.m0)) + b1 * (volatility - coalesce(mi.m1, ms.m1)) + b2 * (liquidity - coalesce(mi.m2, ms.m2))) guess
+  from wd left join mi using (date, industry) left join ms on ms.date = wd.date and ms.n >= 30 left join ols on ols.date = ms.date),
+bd as (select *, case when guess is not null then least(greatest(guess * avg(ts_vol / guess) filter (ts_vol > 0) over w, quantile_cont(ts_vol, 0.01) filter (ts_vol > 0) over w), 1.5 * quantile_cont(ts_vol, 0.99) filter (ts_vol > 0) over w) end structural from gs window w as (partition by date)),
+bl as (select *, case when ts_vol is null then 0 else n_obs / (n_obs + 126.0::double) end bw from bd),
+bv as (select *, case when ts_vol is null then structural when structural is null then ts_vol else bw * ts_vol + (1 - bw) * structural end v from bl),
+bk as (select *, row_number() over (partition by date, v is null order by size, asset) k, count(*) over (partition by date, v is null) n from bv),
+bb as (select *, least(floor(k * 10 / n), 9) b from bk), bm as (select *, avg(v) over w m, stddev_pop(v) over w d from bb window w as (partition by date, v is null, b)),
+bf as (select *, 0.1::double * abs(v - m) / (d + 0.1::double * abs(v - m)) f from bm)
+select date, asset, round(case when n >= 50 and d > 0 then f * m + (1 - f) * v else v end, 5) vol, round(ts_vol, 5) ts_vol, round(structural, 5) structural, round(bw, 6) blend_weight, n_obs from bf"""
+
+
+@query(duck("panel_q", body=_STRUCTURAL))
+def specific_risk_asof(spark, sf_dir):
+    """The whole specific-risk chain as of every snapshot's date."""
+    own = history_tables(spark, sf_dir)
+    rows = own["exposure_history"].select("date", "asset", "industry", "size", (F.ln("cap") / 10).alias("volatility"), ((F.col("asset") % 17) / 10.0).alias("liquidity"))
+    out = specific.specific_risk_at(own["residuals"], rows, REPLAY)
+    return out.select("date", "asset", *[rounded(F.col(c), 5).alias(c) for c in ("vol", "ts_vol", "structural")], rounded(F.col("blend_weight")).alias("blend_weight"), "n_obs")
