@@ -5,14 +5,12 @@ Ingestion lands the files (any file system Spark reads); these functions parse t
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorlake.sources import archives
+
 FACT = "array<struct<end:date, filed:date, val:double, fp:string, start:date>>"
 FACTS = f"struct<cik:long, facts:map<string, map<string, struct<units:map<string, {FACT}>>>>>"
 
@@ -106,20 +104,34 @@ def sic_codes(files: DataFrame) -> DataFrame:
     return files.select(F.get_json_object("value", "$.cik").cast("long").alias("cik"), F.expr("try_cast(get_json_object(value, '$.sic') AS INT)").alias("sic"))
 
 
+#: Keys that are pushed to the archive reader one by one; more are joined.
+MOST_KEYS = 10_000
+#: A prefetch of fewer companies than this is left to single files.
+LEAST_MISSING = 200
+
+
 def zipped_members(spark: SparkSession, path: str, wanted: DataFrame | None = None, prefix: str = "CIK") -> DataFrame:
     """(cik, value) of zip files whose members are named CIK + ten digits + .json; only those of `wanted` (cik) if given.
 
-    One task reads one archive, a member at a time.
+    Members are read in byte ranges, one task each; up to MOST_KEYS wanted ones are chosen before any is read.
     """
+    rows = archives.members(spark, path, prefix)
+    if wanted is None:
+        return rows.select(F.col("key").alias("cik"), "value")
+    keys = wanted.select(F.col("cik").cast("long").alias("key")).where("key is not null").distinct()
+    few = [r[0] for r in keys.limit(MOST_KEYS + 1).collect()]
+    rows = rows.where(F.col("key").isin(few)) if len(few) <= MOST_KEYS else rows.join(keys, "key", "left_semi")
+    return rows.select(F.col("key").alias("cik"), "value")
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content").to_pylist():
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        stem = name.rsplit("/", 1)[-1].removesuffix(".json").removeprefix(prefix)
-                        if name.endswith(".json") and stem.isdigit():
-                            yield pa.RecordBatch.from_pydict({"cik": [int(stem)], "value": [z.read(name).decode("utf-8", "replace")]})
-
-    out = spark.read.format("binaryFile").load(path).select("content").mapInArrow(members, "cik long, value string")
-    return out if wanted is None else out.join(wanted.select("cik").distinct(), "cik", "left_semi")
+
+def with_prefetch(spark: SparkSession, cached: DataFrame, path: str, wanted: DataFrame, least_missing: int = LEAST_MISSING) -> DataFrame:
+    """(cik, value) of the wanted companies: what is cached, and the others from the archives at path if enough are missing.
+
+    cached: (cik, value), landed before. The archive is opened only when at least `least_missing` companies aren't cached.
+    """
+    names = wanted.select("cik").distinct()
+    have = cached.join(names, "cik", "left_semi").select("cik", "value")
+    missing = names.join(cached, "cik", "left_anti")
+    if missing.count() < least_missing:
+        return have
+    return have.unionByName(zipped_members(spark, path, missing))

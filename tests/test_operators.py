@@ -446,3 +446,36 @@ def test_eigen_profiles_are_refreshed_and_carried_on(spark):
         own = got[got["date"] == days[n - 1]].pivot(index="f1", columns="f2", values="cov").to_numpy()
         assert np.abs(own - want).max() < 1e-9 * np.abs(want).max() + 1e-12, n
     assert simulated == 4
+
+
+def test_archives_are_read_by_ranges_of_members(spark, tmp_path):
+    """Stored and deflated members beyond 4 GB, other names, keys pushed to the plan, and a damaged member that nobody asks for."""
+    from factorlake.sources import archives, companies
+
+    path = str(tmp_path / "bulk.zip")
+    with open(path, "wb") as f:
+        f.truncate(5 << 30)  # a hole: zip64 offsets without the bytes
+    docs = {k: json.dumps({"cik": k, "pad": "x" * (k % 700)}) for k in range(1, 121)}
+    with zipfile.ZipFile(path, "a") as z:
+        for k, text in docs.items():
+            z.writestr(f"a/CIK{k:010d}.json", text, zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED)
+        z.writestr("CIKnone.json", "{}")
+        z.writestr("readme.txt", "no key")
+    got = archives.members(spark, path, range_bytes=500)
+    assert {r["key"]: r["value"] for r in got.collect()} == docs and got.rdd.getNumPartitions() > 5
+    few = archives.members(spark, path, range_bytes=2000).where(F.col("key").isin(3, 4, 999))
+    assert {r["key"] for r in few.collect()} == {3, 4} and few.rdd.getNumPartitions() == 1
+    with zipfile.ZipFile(path) as z:
+        at = z.getinfo(f"a/CIK{7:010d}.json").header_offset
+    with open(path, "r+b") as f:
+        f.seek(at + 60)
+        f.write(b"\xff" * 8)
+    assert archives.members(spark, path, payload=False).where("key = 7").first()["size"] == len(docs[7])
+    wanted = frame(spark, [(k,) for k in (3, 3, 8, 9, 500, None)], "cik long")
+    assert {r["cik"]: r["value"] for r in companies.zipped_members(spark, path, wanted).collect()} == {k: docs[k] for k in (3, 8, 9)}
+    with pytest.raises(Exception, match="damaged|decompress"):
+        archives.members(spark, path).where("key = 7").collect()
+    cached = frame(spark, [(3, "kept"), (77, "other")], "cik long, value string")
+    names = wanted.where("cik is not null")
+    assert {r["cik"]: r["value"] for r in companies.with_prefetch(spark, cached, path, names, 2).collect()} == {3: "kept", 8: docs[8], 9: docs[9]}
+    assert [r["value"] for r in companies.with_prefetch(spark, cached, "/no/such/archive", names, 4).collect()] == ["kept"]
