@@ -5,16 +5,18 @@ A stream over landed files with the availableNow trigger replays history; the sa
 
 from __future__ import annotations
 
+import json
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from factorlake.operators.history import upsert
+from factorlake.functions.timeseries import last_distinct
+from factorlake.sources import artifacts
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -62,16 +64,145 @@ def running_variance(stream: DataFrame, k: float) -> DataFrame:
     return stream.groupBy("asset").applyInPandasWithState(fold, "asset long, n long, var double", "n long, var double", "update", GroupStateTimeout.NoTimeout)
 
 
-def upserted(stream: DataFrame, path: str, key: list[str], cap: int | None = None, day: str = "date") -> StreamingQuery:
-    """Keeps a table at path/<version> current: each micro-batch replaces the rows of its keys; the newest version is whole.
+#: The state store that keeps each key's pending rows apart from its other state.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class OrderedVariance(StatefulProcessor):
+    """Folds each key's rows in event time: rows wait in a list until the watermark has passed them; a timer stands at the earliest one."""
+
+    def __init__(self, k: float) -> None:
+        self.k = k
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.folded = handle.getValueState("folded", "n long, var double")
+        self.pending = handle.getListState("pending", "ts long, val double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed, first = timerValues.getCurrentWatermarkInMs() * 1000, None
+        for pdf in rows:
+            at = pdf["ts"].astype("datetime64[us]").astype("int64")
+            known = at.ge(passed) & pdf["val"].notna()
+            if known.any():
+                self.pending.appendList(list(zip(at[known].tolist(), pdf["val"][known].astype(float).tolist(), strict=True)))
+                first = min(at[known].min(), first) if first is not None else at[known].min()
+        if first is not None:
+            standing = list(self.handle.listTimers())
+            if not standing or first // 1000 < min(standing):
+                for timer in standing:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(int(first // 1000))
+        yield pd.DataFrame({"asset": [], "n": [], "var": []})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((r[0], r[1]) for r in self.pending.get())
+        n, var = self.folded.get() if self.folded.exists() else (0, 0.0)
+        ready = [v for ts, v in rows if ts < passed]
+        for v in ready:
+            var = v * v if n == 0 else self.k * var + (1 - self.k) * v * v
+            n += 1
+        rest = rows[len(ready) :]
+        if rest:
+            self.pending.put(rest)
+            self.handle.registerTimer(max(int(rest[0][0] // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+        else:
+            self.pending.clear()
+        if ready:
+            self.folded.update((n, var))
+            yield pd.DataFrame({"asset": [key[0]], "n": [n], "var": [var]})
+
+    def close(self) -> None:
+        pass
+
+
+def variance_in_order(stream: DataFrame, k: float, late: str = "1 day") -> DataFrame:
+    """(asset, n, var): running_variance() over rows in the order of their time, whatever order they come in, up to `late`.
+
+    A row counts once the watermark has passed it; one that comes after that is left out, as is a null value. What waits is what came
+    within `late` of the newest row. Sets the session's state store to RocksDB.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = stream.select("asset", "ts", "val").withWatermark("ts", late).groupBy("asset")
+    return rows.transformWithStateInPandas(OrderedVariance(k), "asset long, n long, var double", "Update", "EventTime")
+
+
+# -- upserts as deltas ----------------------------------------------------------------------------------
+
+#: Buckets of a table's keys, and micro-batches between two compactions.
+BUCKETS, COMPACT_EVERY = 16, 32
+
 
-    A repeated batch writes its own version again, so retries change nothing.
+def _manifest(spark: SparkSession, path: str) -> dict:
+    """{"through": last batch in the base, "base": {bucket: version}}: the newest of path/manifest, one small file for each compaction."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return {"through": -1, "base": {}}
+    newest = spark.read.schema("value string, version long").text(f"{path}/manifest").orderBy(F.col("version").desc()).first()
+    return json.loads(newest["value"])
+
+
+def _bucket(key: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+
+
+def _rows(spark: SparkSession, path: str, key: list[str], state: dict, through: int | None = None) -> DataFrame:
+    """Base and deltas together: of each key the rows of its newest batch."""
+    delta = spark.read.parquet(f"{path}/delta").where(F.col("_batch") > state["through"])
+    if through is not None:
+        delta = delta.where(F.col("_batch") <= through)
+    newest = delta.groupBy("_bucket", *key).agg(F.max("_batch").alias("_newest"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"n.{k}")) for k in key]
+    out = delta.alias("d").join(newest.alias("n"), [F.col("d._bucket") == F.col("n._bucket"), F.col("_batch") == F.col("_newest"), *same], "left_semi").drop("_batch")
+    for version in sorted(set(state["base"].values())):
+        own = [int(b) for b, v in state["base"].items() if v == version]
+        base = spark.read.parquet(f"{path}/base/v{version}").where(F.col("_bucket").isin(own))
+        base = base.alias("d").join(newest.alias("n"), [F.col("d._bucket") == F.col("n._bucket"), *same], "left_anti")
+        out = out.unionByName(base, allowMissingColumns=True)
+    return out
+
+
+def current(spark: SparkSession, path: str, key: list[str], cap: int | None = None, day: str = "date") -> DataFrame:
+    """The table that upserted() keeps, as it stands; of its last `cap` days if given."""
+    out = _rows(spark, path, key, _manifest(spark, path)).drop("_bucket")
+    return out if cap is None else last_distinct(out, day, cap)
+
+
+def compact(spark: SparkSession, path: str, key: list[str], through: int) -> None:
+    """Writes new base files for the buckets that have had deltas up to batch `through`, then the manifest that names them.
+
+    A repetition writes the same files. Deltas and base files that the manifest before still named stay until the next compaction.
+    """
+    state = _manifest(spark, path)
+    if state["through"] >= through:
+        return
+    delta = spark.read.parquet(f"{path}/delta").where((F.col("_batch") > state["through"]) & (F.col("_batch") <= through))
+    touched = [r[0] for r in delta.select("_bucket").distinct().collect()]  # BUCKETS at most
+    rows = _rows(spark, path, key, state, through).where(F.col("_bucket").isin(touched))
+    rows.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/base/v{through}")
+    after = {"through": through, "base": state["base"] | {str(b): through for b in touched}}
+    text = spark.createDataFrame([(json.dumps(after),)], "value string").coalesce(1)
+    text.write.mode("overwrite").text(f"{path}/manifest/version={through}")
+    for r in spark.read.parquet(f"{path}/delta").where(F.col("_batch") <= state["through"]).select("_batch").distinct().collect():
+        artifacts.remove(spark, f"{path}/delta/_batch={r[0]}")
+    for version in set(state["base"].values()) - set(after["base"].values()):
+        if version < state["through"]:
+            artifacts.remove(spark, f"{path}/base/v{version}")
+
+
+def upserted(stream: DataFrame, path: str, key: list[str], compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Keeps a table at path current: each micro-batch replaces the rows of its keys. Read it with current().
+
+    A batch writes its own rows alone, by bucket of their key; every compact_every batches the buckets touched since are merged. A
+    repeated batch writes its own folder again, and a repeated compaction its own version, so retries change nothing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        out = upsert(spark.read.parquet(f"{path}/v{number - 1}"), batch, key, cap, day) if number else batch
-        out.write.mode("overwrite").parquet(f"{path}/v{number}")
+        batch.withColumn("_bucket", _bucket(key)).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/delta/_batch={number}")
+        if number % compact_every == compact_every - 1:
+            compact(spark, path, key, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
 

@@ -368,14 +368,52 @@ def test_model_end_to_end(spark, tmp_path):
 
 
 def test_stream_upsert_keeps_one_row_per_key(spark, tmp_path):
-    from factorlake.streaming.state_stream import upserted
+    from factorlake.streaming.state_stream import compact, current, upserted
 
-    for k, rows in enumerate([[(1, "a"), (2, "a")], [(2, "b"), (3, "b")]]):
+    path = str(tmp_path / "t")
+    sizes = []
+    for k, rows in enumerate([[(i, "a") for i in range(2000)], [(2, "b"), (3, "b")], [(3, "c"), (3, "d"), (None, "n")], [(5000, "e")], [(None, "m"), (7, "e")]]):
         spark.createDataFrame(rows, "id int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema("id int, v string").parquet(str(tmp_path / "in"))
-        upserted(stream, str(tmp_path / "t"), ["id"]).awaitTermination()
-        got = {r["id"]: r["v"] for r in spark.read.parquet(str(tmp_path / f"t/v{k}")).collect()}
-    assert got == {1: "a", 2: "b", 3: "b"}
+        upserted(stream, path, ["id"], 3).awaitTermination()
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / f"t/delta/_batch={k}").rglob("*.parquet")) if (tmp_path / f"t/delta/_batch={k}").exists() else 0)
+        got = {}
+        for r in current(spark, path, ["id"]).collect():
+            got.setdefault(r["id"], []).append(r["v"])
+        want = {i: ["a"] for i in range(2000)}
+        for own in [{2: ["b"], 3: ["b"]}, {3: ["c", "d"], None: ["n"]}, {5000: ["e"]}, {None: ["m"], 7: ["e"]}][:k]:
+            want |= own
+        assert {x: sorted(v) for x, v in got.items()} == want, k
+    assert max(sizes[1:]) < sizes[0] / 5  # a batch writes what it has
+    whole = sorted(map(str, current(spark, path, ["id"]).collect()))
+    batch = spark.createDataFrame([(2, "b"), (3, "b")], "id int, v string")
+    from factorlake.streaming.state_stream import _bucket
+
+    batch.withColumn("_bucket", _bucket(["id"])).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/delta/_batch=1")
+    compact(spark, path, ["id"], 2)
+    assert sorted(map(str, current(spark, path, ["id"]).collect())) == whole  # a batch and a compaction that are repeated
+    compact(spark, path, ["id"], 4)
+    assert sorted(map(str, current(spark, path, ["id"]).collect())) == whole
+
+
+def test_variance_is_folded_in_event_time(spark, tmp_path):
+    """Rows in shuffled files, a file a batch, with less disorder than the watermark allows, give the fold of the sorted rows."""
+    from factorlake.streaming.state_stream import latest_per_key, replay, variance_in_order
+
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(1, 4)), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=37 * i), float(rng.normal())) for i in range(200)]
+    shuffled = sorted(range(200), key=lambda i: i + rng.uniform(0, 25))
+    for k in range(5):
+        spark.createDataFrame([rows[i] for i in shuffled[40 * k : 40 * k + 40]], "asset long, ts timestamp, val double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("asset long, ts timestamp, val double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r["asset"]: (r["n"], r["var"]) for r in latest_per_key(replay(variance_in_order(stream, 0.9, "1 day"), str(tmp_path / "out"), "update"), "asset").collect()}
+    until = rows[-1][1] - dt.timedelta(days=1)
+    for asset in (1, 2, 3):
+        n, var = 0, 0.0
+        for a, ts, v in rows:
+            if a == asset and ts < until:
+                n, var = n + 1, v * v if n == 0 else 0.9 * var + 0.1 * v * v
+        assert got[asset] == (n, pytest.approx(var))
 
 
 # -- recursions and regressions over long histories -----------------------------------------------------
