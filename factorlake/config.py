@@ -11,6 +11,9 @@ FUNDAMENTALS = ("book_equity", "total_assets", "total_liabilities", "net_income"
 
 @dataclass(frozen=True)
 class RiskConfig:
+    #: Changes with the definitions of exposures and regressions; histories of these other versions can be carried on.
+    version: str = "1"
+    compatible_versions: tuple[str, ...] = ()
     periods_per_year: int = 252
     days_per_week: int = 5
     weeks_per_year: int = 52

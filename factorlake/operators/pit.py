@@ -41,9 +41,18 @@ def history(filings: DataFrame, dates: DataFrame, periods: int = 5) -> DataFrame
     """(as_of, asset, field, end, val, period): the last `periods` ends known, each as last filed; period 0 is the oldest."""
     once = filings.where("filed is not null").groupBy("asset", "field", "end", "filed").agg(F.max("val").alias("val"))
     ends = once.groupBy("asset", "field", "end").agg(F.min("filed").alias("first"))
-    # An end is out when `periods` later ones are known.
-    later = F.collect_list("first").over(Window.partitionBy("asset", "field").orderBy("end").rowsBetween(1, Window.unboundedFollowing))
-    ends = ends.select("asset", "field", "end", F.get(F.sort_array(later), F.lit(periods - 1)).alias("_out"))
+    # An end is out when `periods` later ones are known. From the last end on, only the `periods` earliest days on which later ones
+    # became known are carried.
+    kind = once.schema["filed"].dataType.simpleString()
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("least"), F.array().cast(f"array<struct<end:{once.schema['end'].dataType.simpleString()},_out:{kind}>>").alias("out"))
+
+    def step(carried: Column, e: Column) -> Column:
+        least = F.slice(F.sort_array(F.concat(carried["least"], F.array(e["first"]))), F.lit(1), F.lit(periods))
+        own = F.struct(e["end"].alias("end"), F.get(carried["least"], F.lit(periods - 1)).alias("_out"))
+        return F.struct(least.alias("least"), F.concat(carried["out"], F.array(own)).alias("out"))
+
+    series = ends.groupBy("asset", "field").agg(F.sort_array(F.collect_list(F.struct("end", "first")), asc=False).alias("es"))
+    ends = series.select("asset", "field", F.inline(F.aggregate("es", start, step, lambda carried: carried["out"])))
     known = once.withColumn("_next", _next("filed", "asset", "field", "end")).join(ends, ["asset", "field", "end"])
     known = known.select("asset", "field", "end", "val", F.col("filed").alias("_from"), F.least("_next", "_out").alias("_until")).where("_until is null or _from < _until")
     w = Window.partitionBy("as_of", "asset", "field")

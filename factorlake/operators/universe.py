@@ -16,7 +16,7 @@ def candidates(registry: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def estimation_pool(names: DataFrame, size: int) -> DataFrame:
-    """The first `size` names in registry order; 0 keeps all."""
+    """The first `size` of names (ord, ...) in registry order; 0 keeps all. A wider coverage leaves the estimation as it is."""
     return names.orderBy("ord").limit(size) if size else names
 
 

@@ -76,13 +76,21 @@ def formation_dates(prices: DataFrame) -> DataFrame:
     return prices.select("date").distinct().groupBy(friday(F.col("date")).alias("week")).agg(F.max("date").alias("date")).select("date")
 
 
-def build(spark: SparkSession, prices: DataFrame, filings: DataFrame, industries: DataFrame, cfg: RiskConfig, path: str, prior: str | None = None, first_date: str | None = None) -> RiskModel:
+def build(spark: SparkSession, prices: DataFrame, filings: DataFrame, industries: DataFrame, cfg: RiskConfig, path: str, prior: str | None = None, first_date: str | None = None, registry: DataFrame | None = None) -> RiskModel:
     """prices (date, asset, close, volume), filings (asset, field, end, filed, val), industries (asset, industry).
 
-    prior: an earlier run's folder; its weeks before the last one are kept, only newer weeks are estimated again.
+    prior: an earlier run's folder; its weeks before the last one are kept, only newer weeks are estimated again. If the folder's version
+    is neither this one nor a compatible one, its exposures and regressions mean something else and all weeks are estimated.
+    registry (asset, ord): only the first cfg.pool names in its order are candidates for the estimation; coverage takes all.
     """
     old = artifacts.load(spark, prior) if prior else None
-    screened = universe.liquidity_screen(prices, cfg).where("passes")
+    if old and old["meta"].get("version") not in (cfg.version, *cfg.compatible_versions):
+        old = None
+    candidates = prices
+    if registry is not None:
+        pool = universe.estimation_pool(registry, cfg.pool)
+        candidates = prices.join(F.broadcast(pool.select("asset")), "asset", "left_semi")  # cfg.pool names
+    screened = universe.liquidity_screen(candidates, cfg).where("passes")
     covered = universe.coverage_screen(prices, cfg).where("covered")
     dates = formation_dates(prices)
     if old:
@@ -144,7 +152,7 @@ def _finish(spark: SparkSession, tables: dict[str, DataFrame], covered: DataFram
     if covered is not None:
         snapshot = snapshot.join(covered.select("asset"), "asset", "left_semi")
     own = specific.specific_risk(residuals, snapshot.select("asset", "industry", "size", "volatility", "liquidity"), cfg, _latest(state.vra_specific(residuals, cfg), "multiplier"))
-    meta = {"as_of": str(last), "n_factors": len(names), "config": cfg.to_dict()}
+    meta = {"as_of": str(last), "version": cfg.version, "n_factors": len(names), "config": cfg.to_dict()}
     out = {"exposures": snapshot, "covariance": covariance.to_long(spark, cov, names), "specific": own, "industries": industries} | tables
     artifacts.save(out, meta, spark, path)
     return load(spark, path, cfg)

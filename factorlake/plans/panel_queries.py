@@ -9,6 +9,7 @@ from factorlake.config import RiskConfig
 from factorlake.functions.scalar import bin_of, dotless, finite, friday, rounded, safe_ln
 from factorlake.functions.timeseries import compounded, ewma_weight, forward_fill, over, simple_return, trailing, with_ewma
 from factorlake.operators import history, industry, pit, transforms, universe
+from factorlake.sources import store
 from factorlake.sources.fixtures import DUCK, filings, panel_q, panel_w, table
 
 CFG = RiskConfig()
@@ -214,6 +215,20 @@ def asof_bitemporal(spark, sf_dir):
     return df.select(F.col("as_of").cast("date").alias("as_of"), "asset", "field", rounded(F.col("val")).alias("val"), "end")
 
 
+@query(ORACLES["asof_bitemporal"])
+def store_asof(spark, sf_dir):
+    """The same from the nested store, half of the filings appended to it."""
+    rows = filings(spark, sf_dir)
+    held = store.appended(store.to_store(rows.where("asset % 2 = 0 or day(filed) <= 15")), rows.where("asset % 2 = 1 and day(filed) > 15"))
+    df = store.asof(held, _dates(spark))
+    return df.select(F.col("as_of").cast("date").alias("as_of"), "asset", "field", rounded(F.col("val")).alias("val"), "end")
+
+
+@query(duck("filings", body='\nselect distinct asset, field, "end", filed, val from filings'))
+def store_round_trip(spark, sf_dir):
+    return store.from_store(store.to_store(filings(spark, sf_dir)))
+
+
 _HISTORY = _DATES + """,
 h as (select as_of, asset, field, "end", arg_max(val, filed) val from filings join dates on filed <= as_of group by all),
 k as (select *, row_number() over (partition by as_of, asset, field order by "end" desc) k from h),

@@ -47,7 +47,7 @@ def parquet_bars(spark: SparkSession, path: str) -> DataFrame:
 PROVIDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"chart": chart_json, "csv": daily_csv, "adjusted": adjusted_json, "parquet": parquet_bars}
 
 
-def load_panel(spark: SparkSession, path: str, provider: str, start: str, end: str, tickers: DataFrame | None = None) -> DataFrame:
+def load_panel(spark: SparkSession, path: str | list[str], provider: str, start: str, end: str, tickers: DataFrame | None = None) -> DataFrame:
     """Bars of a provider's files within dates; tickers (ticker) restricts the assets. Unknown providers are an error."""
     if provider not in PROVIDERS:
         raise ValueError(f"unknown provider {provider!r}; one of {', '.join(PROVIDERS)}")
@@ -55,6 +55,53 @@ def load_panel(spark: SparkSession, path: str, provider: str, start: str, end: s
     return rows if tickers is None else rows.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
 
 
+#: Days for which fetched bars are good.
+MAX_AGE_DAYS = 3.0
+
+
+def cached_panel(spark: SparkSession, cache: str, source: str, provider: str, start: str, end: str, tickers: DataFrame, now: str, max_age_days: float = MAX_AGE_DAYS) -> DataFrame:
+    """Bars of the tickers (ticker) within dates, by way of a cache that is read again ticker by ticker when it is too old.
+
+    source: the provider's file of one ticker, with {ticker} in its place. The cache has a manifest of when each ticker was fetched and
+    how many bars it had, and a folder per ticker; only tickers without a fresh entry have their files read, and only their folders are
+    replaced. A ticker without a file is remembered as one without bars.
+    """
+    known = _manifest(spark, cache)
+    fresh = known.where(F.col("fetched") > F.lit(now).cast("timestamp") - F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {max_age_days * 86400})"))
+    names = tickers.select("ticker").where("ticker is not null").distinct()
+    stale = [r[0] for r in names.join(fresh, "ticker", "left_anti").orderBy("ticker").collect()]  # a name each
+    files = [f for f in (source.replace("{ticker}", t) for t in stale) if _exists(spark, f)]
+    if stale:
+        asked = spark.createDataFrame([(t,) for t in stale], "ticker string")
+        if files:
+            bars = load_panel(spark, files, provider, "0001-01-01", "9999-12-31", asked)
+            bars.repartition("ticker").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(f"{cache}/bars")
+            counted = spark.read.parquet(f"{cache}/bars").join(F.broadcast(bars.select("ticker").distinct()), "ticker", "left_semi").groupBy("ticker").agg(F.count("*").alias("n"))
+            entries = asked.join(counted, "ticker", "left").select("ticker", F.lit(now).cast("timestamp").alias("fetched"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+        else:
+            entries = asked.select("ticker", F.lit(now).cast("timestamp").alias("fetched"), F.lit(0).cast("long").alias("n"))
+        entries.coalesce(1).write.mode("append").parquet(f"{cache}/manifest")  # last, so that a failed run fetches again
+    if not _exists(spark, f"{cache}/bars"):
+        return load_panel(spark, files, provider, start, end, names.limit(0)) if files else spark.createDataFrame([], "ticker string, date date, close double, volume double")
+    full = _manifest(spark, cache).where("n > 0").join(names, "ticker", "left_semi").select("ticker")
+    rows = spark.read.parquet(f"{cache}/bars").join(F.broadcast(full), "ticker", "left_semi")
+    return rows.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select("ticker", "date", "close", "volume")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def _manifest(spark: SparkSession, cache: str) -> DataFrame:
+    """(ticker, fetched, n): each ticker's newest entry."""
+    kind = "ticker string, fetched timestamp, n long"
+    if not _exists(spark, f"{cache}/manifest"):
+        return spark.createDataFrame([], kind)
+    own = spark.read.schema(kind).parquet(f"{cache}/manifest").groupBy("ticker").agg(F.max(F.struct("fetched", "n")).alias("at"))
+    return own.select("ticker", "at.fetched", "at.n")
+
+
 def french_daily(spark: SparkSession, path: str) -> DataFrame:
     """The French library's daily factor CSV (its preamble and footer skipped): (date, one column per factor), as fractions."""
     names = ["mkt_rf", "smb", "hml", "rmw", "cma", "rf"]

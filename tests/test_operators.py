@@ -517,3 +517,66 @@ def test_archives_are_read_by_ranges_of_members(spark, tmp_path):
     names = wanted.where("cik is not null")
     assert {r["cik"]: r["value"] for r in companies.with_prefetch(spark, cached, path, names, 2).collect()} == {3: "kept", 8: docs[8], 9: docs[9]}
     assert [r["value"] for r in companies.with_prefetch(spark, cached, "/no/such/archive", names, 4).collect()] == ["kept"]
+
+
+def test_nested_store_keeps_filings_and_answers_as_of(spark):
+    from factorlake.sources import store
+
+    rng = np.random.default_rng(6)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(int(n))
+    rows = [(f"A{rng.integers(6)}", rng.choice(["x", "y"]).item(), day(30 * rng.integers(12)), day(rng.integers(400)), float(rng.integers(5))) for _ in range(300)]
+    rows += rows[:5] + [("Z", "x", day(3), None, 1.0), ("A0", "x", None, day(9), 2.0)]
+    filings = frame(spark, rows, "asset string, field string, end date, filed date, val double")
+    dates = frame(spark, [(day(n),) for n in (-5, 0, 17, 100, 399, 900)], "date date")
+    kept = store.to_store(filings)
+    assert kept.where("asset = 'Z'").isEmpty() and kept.count() == 6
+    flat = lambda df: sorted(map(str, df.collect()))
+    assert flat(store.from_store(kept)) == flat(filings.where("filed is not null").select("asset", "field", "end", "filed", "val").distinct())
+    want = flat(pit.latest(filings, dates).select("as_of", "asset", "field", "val", "end", "filed"))
+    assert flat(store.asof(kept, dates)) == want
+    first, more = filings.where("filed < '2020-06-01'"), filings.where("filed >= '2020-06-01'")
+    assert flat(store.asof(store.appended(store.to_store(first), more), dates)) == want
+    assert store.to_store(filings.limit(0)).isEmpty() and store.asof(kept.limit(0), dates).isEmpty()
+
+
+def test_history_takes_the_last_periods_known(spark):
+    rng = np.random.default_rng(7)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(int(n))
+    rows = {(f"A{rng.integers(3)}", "r", day(30 * rng.integers(15)), day(rng.integers(500)), float(rng.integers(50))) for _ in range(120)}
+    asked = [day(n) for n in (0, 50, 200, 350, 600)]
+    got = pit.history(frame(spark, sorted(rows), "asset string, field string, end date, filed date, val double"), frame(spark, [(d,) for d in asked], "date date"), 4).collect()
+    want = {}
+    for d in asked:
+        for asset in ("A0", "A1", "A2"):
+            last = {}
+            for _, _, end, filed, val in sorted((r for r in rows if r[0] == asset and r[3] <= d), key=lambda r: (r[3], r[4])):
+                last[end] = val
+            for k, end in enumerate(sorted(last)[-4:]):
+                want[d, asset, k] = (end, last[end])
+    assert {(r["as_of"], r["asset"], r["period"]): (r["end"], r["val"]) for r in got} == want and len(got) == len(want)
+
+
+def test_price_cache_reads_stale_tickers_only(spark, tmp_path):
+    from factorlake.sources import prices
+
+    def bars(ticker, close):
+        (tmp_path / f"{ticker}.us.csv").write_text("Date,Open,High,Low,Close,Volume\n" + "".join(f"2024-01-0{d},1,1,1,{close + d},5\n" for d in (2, 3, 4)))
+
+    def load(names, now):
+        rows = prices.cached_panel(spark, str(tmp_path / "cache"), str(tmp_path / "{ticker}.us.csv"), "csv", "2024-01-03", "2024-01-31", frame(spark, [(n,) for n in names], "ticker string"), now)
+        return {(r["ticker"], r["date"].day): r["close"] for r in rows.collect()}
+
+    bars("AA", 10)
+    bars("BB", 20)
+    assert load(["NONE"], "2024-02-01 00:00:00") == {}
+    assert load(["AA"], "2024-02-01 00:00:00") == {("AA", 3): 13, ("AA", 4): 14}
+    assert load(["AA", "BB", "NONE"], "2024-02-03 00:00:00") == {("AA", 3): 13, ("AA", 4): 14, ("BB", 3): 23, ("BB", 4): 24}
+    bars("AA", 100)
+    bars("BB", 200)
+    bars("NONE", 300)
+    there = {f: f.stat().st_mtime_ns for f in (tmp_path / "cache/bars/ticker=BB").iterdir()}
+    assert load(["AA", "BB"], "2024-02-03 12:00:00") == {("AA", 3): 13, ("AA", 4): 14, ("BB", 3): 23, ("BB", 4): 24}
+    assert load(["AA", "BB", "NONE"], "2024-02-05 00:00:00") == {("AA", 3): 103, ("AA", 4): 104, ("BB", 3): 23, ("BB", 4): 24, ("NONE", 3): 303, ("NONE", 4): 304}
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "cache/bars/ticker=BB").iterdir()} == there
+    (tmp_path / "AA.us.csv").unlink()
+    assert load(["AA", "BB"], "2024-02-08 12:00:00") == {("BB", 3): 203, ("BB", 4): 204}
