@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factorlake.config import STYLES, RiskConfig
+from factorlake.config import STYLES, RiskConfig, decay
 from factorlake.functions.scalar import rounded
 from factorlake.functions.timeseries import Ewma, with_ewmas
-from factorlake.operators import covariance, specific, styles
-from factorlake.plans import revalidation, snapshots
+from factorlake.operators import baselines, covariance, risk, specific, styles
+from factorlake.plans import report, revalidation, risk_queries, snapshots
 from factorlake.plans.panel_queries import _DENSE, duck
-from factorlake.plans.risk_queries import _XS, _ols, cross_section
+from factorlake.plans.risk_queries import _FR, _MODEL, _RISK, _SC, _XS, _ols, cross_section
 from factorlake.sources.fixtures import panel_w, table
 from factorlake.streaming.state_stream import work_folder
 
@@ -279,3 +279,52 @@ def specific_risk_asof(spark, sf_dir):
     rows = own["exposure_history"].select("date", "asset", "industry", "size", (F.ln("cap") / 10).alias("volatility"), ((F.col("asset") % 17) / 10.0).alias("liquidity"))
     out = specific.specific_risk_at(own["residuals"], rows, REPLAY)
     return out.select("date", "asset", *[rounded(F.col(c), 5).alias(c) for c in ("vol", "ts_vol", "structural")], rounded(F.col("blend_weight")).alias("blend_weight"), "n_obs")
+
+
+# -- reports and portfolio analytics --------------------------------------------------------------------
+
+
+@query(duck("panel_w", body=_FR + """,
+c as (select *, product(1 + f / 10) over (partition by factor order by date) - 1 c from fr)
+select date as week, factor, round(c, 5) + 0.0 as value from c"""))
+def explorer_cumulative(spark, sf_dir):
+    returns = risk_queries.factor_returns(spark, sf_dir).withColumn("f", F.col("f") / 10)
+    return report.cumulative(returns).select("week", "factor", (F.col("value") + 0.0).alias("value"))
+
+
+@query(duck("panel_w", body=_SC + """
+select round(regr_slope(realized_vol_ann ** 2, forecast_vol_ann ** 2), 5) slope, round(regr_intercept(realized_vol_ann ** 2, forecast_vol_ann ** 2), 4) intercept, round(regr_r2(realized_vol_ann ** 2, forecast_vol_ann ** 2), 6) r2 from sc"""))
+def validation_fit(spark, sf_dir):
+    """The fit in the validation payload, over all portfolios and weeks."""
+    fit = report.validation_tables(risk_queries.scores(spark, sf_dir), CFG)["fit"]
+    return fit.select(rounded(F.col("slope"), 5).alias("slope"), rounded(F.col("intercept"), 4).alias("intercept"), rounded(F.col("r2")).alias("r2"))
+
+
+_SHEPARD = f"(1 / (1 - 10 / ((1 + {decay(84.0)!r}::double) / (1 - {decay(84.0)!r}::double))))"
+
+
+@query(_MODEL + _RISK + f"\nselect portfolio, round((fv + sv) * {_SHEPARD} ** 2, 6) total_var, round(sqrt(fv + sv) * {_SHEPARD}, 6) total_vol, round(fv / (fv + sv), 6) factor_share from fv join sv using (portfolio)")
+def optimized_risk(spark, sf_dir):
+    """Risk of portfolios that were optimised against the model: ten factors, 84 days' half-life."""
+    weights, exposures, cov, spec = risk_queries.model(spark, sf_dir)
+    own = risk.risk(weights, exposures, cov, spec, risk.shepard_multiplier(10, RiskConfig()))
+    return own.select("portfolio", rounded(F.col("factor_var") + F.col("specific_var")).alias("total_var"), rounded(F.col("total_vol")).alias("total_vol"), rounded(F.col("factor_share")).alias("factor_share"))
+
+
+_BOUND = risk_queries.ORACLES["survivorship_audit"].replace("\nselect filer, first_filed", ",\na as (select filer, first_filed") + """)
+select status, count(*) n, round(sum(greatest(last_equity, 0)), 3) equity, round(sum(greatest(last_equity, 0)) / sum(sum(greatest(last_equity, 0))) over (), 6) equity_share from a where status <> 'before' group by status"""
+
+
+@query(_BOUND)
+def survivorship_bound(spark, sf_dir):
+    """How much equity the filers had that ceased."""
+    rows = risk_queries.survivorship_audit(spark, sf_dir)
+    out = baselines.survivorship_bound(rows)
+    return out.select("status", "n", rounded(F.col("equity"), 3).alias("equity"), rounded(F.col("equity_share")).alias("equity_share"))
+
+
+@query("""select c_custkey asset, c_custkey % 3 = 0 and exists (select * from orders where o_custkey = c_custkey) covered from customer""")
+def covered_names(spark, sf_dir):
+    """Which customers have orders, of those whose number 3 divides."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("asset"))
+    return risk.split_coverage(names, table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").select(F.col("o_custkey").alias("asset")))

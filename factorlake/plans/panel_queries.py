@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorlake.config import RiskConfig
-from factorlake.functions.scalar import bin_of, dotless, finite, friday, rounded, safe_ln
+from factorlake.functions.scalar import dotless, finite, friday, rounded, safe_ln
 from factorlake.functions.timeseries import compounded, ewma_weight, forward_fill, over, simple_return, trailing, with_ewma
-from factorlake.operators import history, industry, pit, transforms, universe
+from factorlake.operators import history, industry, pit, styles, transforms, universe
+from factorlake.plans import report
 from factorlake.sources import store
 from factorlake.sources.fixtures import DUCK, filings, panel_q, panel_w, table
 
@@ -119,9 +120,8 @@ def ffill_returns(spark, sf_dir):
 
 @query(duck("panel_w", body=_DENSE + "\nselect asset, date, round(lag(filled, 4) over w / lag(filled, 56) over w - 1, 6) + 0.0 momentum from f window w as (partition by asset order by date)"))
 def momentum_skip(spark, sf_dir):
-    w = over("asset", "date")
-    m = F.try_divide(F.lag("filled", 4).over(w), F.lag("filled", 56).over(w)) - 1
-    return _dense(spark, sf_dir).select("asset", "date", rounded(m).alias("momentum"))
+    rows = styles.price_features(panel_w(spark, sf_dir), RiskConfig(momentum_skip=4, momentum_window=52))
+    return rows.select("asset", "date", rounded(F.col("momentum")).alias("momentum"))
 
 
 _RETURNS = "-- more\nr as (select *, close / lag(close) over (partition by asset order by date) - 1 r from panel_q)"
@@ -339,8 +339,7 @@ select bin, count(*) n, round(count(*) / (sum(count(*)) over () * 0.25), 6) dens
 def z_histogram(spark, sf_dir):
     w = Window.partitionBy("date")
     z = _returns(spark, sf_dir).where("r is not null").select(F.try_divide(F.col("r") - F.avg("r").over(w), F.stddev_samp("r").over(w)).alias("z")).where("z is not null")
-    n = z.groupBy(bin_of(F.col("z"), -4.0, 4.0, 32).alias("bin")).agg(F.count("*").alias("n"))
-    return n.select("bin", "n", rounded(F.col("n") / (F.sum("n").over(Window.partitionBy()) * 0.25)).alias("density"))
+    return report.histogram(z).select("bin", "n", rounded(F.col("density")).alias("density"))
 
 
 @query(duck("panel_w", body="""-- more
