@@ -12,9 +12,9 @@ Only counts are shuffled, never the pages, unless the list of unimportant branch
 
 Defined cases: null or empty html gives empty text; a page without <article> or <main> gives its remaining
 body; the branch with most text of a
-host is never unimportant, and a page that would lose all its text keeps it, but for elements that are never
-article; html, body, main, article and what encloses them are not judged by the words of their classes and
-ids, except for articles inside another one; inside an article or main element a class or id must consist of such words only; a null url counts as a host of its own; repeated rows give repeated rows; an empty table gives no rows; other columns are left alone.
+host is never unimportant, and a page that would lose all its text to the tree keeps it; a page whose text is all in menus, adverts, forms
+or hidden elements gives empty text, but paragraphs and headings stay where only words of classes speak against all of a page; html, body, main, article and what encloses them are not judged by the words of their classes and
+ids, except for articles inside another one; inside an article or main element a class or id must consist of such words only, unless it names readers' comments; a null url counts as a host of its own; repeated rows give repeated rows; an empty table gives no rows; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -35,6 +36,8 @@ LEAST_IMPORTANCE, GAMMA = 0.2, 0.9
 PRIOR = 2
 #: Tasks that the leaves below one node are dealt to.
 SALTS = 64
+#: Elements nested deeper than this belong to their ancestor's branch at that depth, so that a page's paths take no more than a multiple of its own size.
+DEEPEST = 200
 
 # Element and class names of HTML pages.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +56,10 @@ _NAMES_OTHER = frozenset(
 # Words that add nothing to a class name.
 _NAMES_ANY = frozenset("area bar block bottom box btn button buttons card column container content fixed form group header icon icons inline inner item items left link links list module outer panel posts right row section slot small text title top unit wrap wrapper".split())
 _NAMES_ARTICLE = frozenset("article post entry content main story".split())
+_NAMES_COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+_NAMES_READERS, _NAMES_SAID = frozenset("reader readers user users visitor visitors".split()), frozenset("comment comments feedback opinions reactions responses review reviews".split())
+_NAMES_NOT = frozenset("allow has no with without".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 _ROLES_OTHER = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -74,6 +81,7 @@ class Node:
     rank: int  # ARTICLE to NEVER, by its own markup; in the end at least that of its parent
     held: bool  # in an article element
     inside: bool  # in an article or main element
+    depth: int = 0
     inline: bool = False  # it and what is in it parts no block
     children: list[str] = field(default_factory=list)
 
@@ -111,6 +119,8 @@ def _rank(tag: str, given: dict[str, str], inside: bool) -> int:
         return OTHER
     for value in [*given.get("class", "").split(), given.get("id", "")]:
         names = {n.lower() for n in _NAME.findall(value) if not n.isdigit()}
+        if inside and not names & _NAMES_NOT and (names & _NAMES_COMMENTS or names & _NAMES_READERS and names & _NAMES_SAID):
+            return NAMED
         if inside and names - _NAMES_OTHER - _NAMES_ANY:
             continue
         if names & _NAMES_OTHER and not (names & _NAMES_ARTICLE and names & _NAMES_OTHER <= {"header", "banner"}):
@@ -144,6 +154,7 @@ def blocks_of(page: str | None) -> tuple[list[Block], list[Node]]:
     stack = [Node("", "", None, ARTICLE, False, False)]
     nodes: list[Node] = [stack[0]]
     blocks: list[Block] = []
+    open_tags: Counter[str] = Counter()
     # Text of the current block, and of an inline element in it that is no article.
     piece: list[str] = []
     buried: list[str] = []
@@ -177,12 +188,13 @@ def blocks_of(page: str | None) -> tuple[list[Block], list[Node]]:
             continue
         tag = tag.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[k].tag == tag:
                     if not stack[k].inline:
                         flush()
                     elif buried and not stack[k - 1].inline:
                         put(buried, stack[k])
+                    open_tags.subtract(x.tag for x in stack[k:])
                     del stack[k:]
                     break
                 if tag not in _BLOCKS and not stack[k].inline:
@@ -197,10 +209,10 @@ def blocks_of(page: str | None) -> tuple[list[Block], list[Node]]:
         if tag in _BLOCKS:
             flush()
             if len(stack) > 1 and stack[-1].tag == "p":
-                stack.pop()
+                open_tags[stack.pop().tag] -= 1
             for closed in _CLOSES.get(tag, ()):
                 if stack[-1].tag == closed:
-                    stack.pop()
+                    open_tags[stack.pop().tag] -= 1
         given = _attributes(m[3])
         top = stack[-1]
         if tag in _RAW:
@@ -214,12 +226,14 @@ def blocks_of(page: str | None) -> tuple[list[Block], list[Node]]:
             names = given.get("class", "").split()
             name = f"{tag}.{names[0].replace('/', '|')}" if names else tag
             top.children.append(name)
-            node = Node(tag, f"{top.path}/{name}", top, rank, top.held or top.tag == "article", top.inside or tag in ("article", "main"))
+            path = f"{top.path}/{name}" if top.depth < DEEPEST else top.path
+            node = Node(tag, path, top, rank, top.held or top.tag == "article", top.inside or tag in ("article", "main"), top.depth + 1)
         elif rank or top.inline:
-            node = Node(tag, top.path, top, rank, top.held, top.inside, True)
+            node = Node(tag, top.path, top, rank, top.held, top.inside, top.depth, True)
         else:
             continue
         stack.append(node)
+        open_tags[tag] += 1
         nodes.append(node)
     flush()
     _inherit(nodes)
@@ -310,8 +324,8 @@ def unimportant(pages: DataFrame) -> DataFrame:
 
 def main_text(page: str | None, low: set[str] | frozenset[str] = frozenset()) -> str:
     found = blocks_of(page)[0]
-    least = min((b.rank for b in found), default=ARTICLE)
-    blocks = [b for b in found if b.rank == least < NEVER]
+    # Where words of classes speak against all of a page, its prose stays: they name the page's layout then.
+    blocks = [b for b in found if b.rank == ARTICLE] or [b for b in found if b.rank == NAMED and b.node.tag in _PROSE]
     if any(b.inside for b in blocks):
         blocks = [b for b in blocks if b.inside]
     if low:

@@ -172,6 +172,23 @@ def test_words_of_classes_do_not_hide_the_article():
     assert html_text.main_text("<nav>menu</nav><footer>end</footer>") == ""
 
 
+def test_comments_go_and_pages_without_an_article_are_empty():
+    for comments in ('<div class="article-comments">c</div>', '<div class="user-comments-section"><p>c</p></div>', '<section id="reader-reviews">c</section>', '<div class="commentlist">c</div>'):
+        assert html_text.main_text(f"<article><p>Body</p>{comments}</article>") == "Body"
+    assert html_text.main_text('<article class="no-comments"><div class="has-comments"><p>Body</p></div></article>') == "Body"
+    for none in ('<div class="menu"><li>Home</li></div>', '<span class="advert">Buy</span>', '<div hidden>x</div>', '<form>Name</form>'):
+        assert html_text.main_text(none) == ""
+    assert html_text.main_text('<div class="page-with-sidebar"><p>Text</p><div>Other</div></div>') == "Text"
+
+
+def test_a_page_of_a_hundred_thousand_levels(spark):
+    """Paths end at a depth, so neither memory nor time grows with the square of it; unmatched end tags are skipped at once."""
+    page = "<div class=x>" * 100_000 + "deep" + "</div>" * 50_000 + "<p>after</p>" + "</section>" * 100_000
+    rows = [(1, "http://h.example/1", page), (2, "http://h.example/2", "<p>other</p>"), (3, "http://h.example/3", page)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "deep\n\nafter", 2: "other", 3: "deep\n\nafter"}
+
+
 def test_inline_elements_part_no_block():
     assert html_text.main_text('<p>a <span class="ad">x<span>y</span>z</span> b</p>') == "a b"
     assert html_text.main_text('<article><p>a <span class="ad"><i>x</i></span>b</p><p>c<button>go</button> d<span class=ad>open</p><p>e</p></article>') == "a b\n\nc d\n\ne"
