@@ -13,6 +13,8 @@ once; equal texts give equal results; an empty table gives no rows; other column
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +57,29 @@ NOTICES = {
     "you may obtain a copy of the license at https www apache org licenses license 2 0": "apache2.obtain",
     f"{_GPL} either version 3 of the license or at your option any later version": "gpl.grant,gpl3.later",
     f"{_GPL} either version 2 of the license or at your option any later version": "gpl.grant,gpl2.later",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2.named",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc.grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc.grant",
+    "either version 2 1 of the license or at your option any later version": "lgpl21.later",
+    "this is free and unencumbered software released into the public domain": "unlicense.grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2.named",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0 which accompanies this distribution and is available at https www eclipse org legal epl v20 html": "epl2.named",
 }
+for _work in ("program", "library"):
+    for _name, _id in (("lesser", "lgpl"), ("affero", "agpl")):
+        _grant = f"this {_work} is free software you can redistribute it and or modify it under the terms of the gnu {_name} general public license as published by the free software foundation"
+        NOTICES[_grant] = f"{_id}.grant"
+        for _version, _later in (("3", "gpl3.later"), ("2 1", "lgpl21.later")):
+            NOTICES[f"{_grant} either version {_version} of the license or at your option any later version"] = f"{_id}.grant,{_later}"
+# Licences that a line "SPDX-License-Identifier: ..." can name.
+SPDX = (
+    "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC MPL-2.0 EPL-2.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later"
+    " LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later"
+).split()
+NOTICES |= {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", x.lower()): f"spdx.{x}" for x in SPDX}
+#: A sentence with a slot: any holder's name of up to so many characters reads like the sentence's own words, also where "Inc." ends a piece.
+SLOT_BEFORE, SLOT_OWN, SLOT_AFTER = "neither the name of", "the copyright holder", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+SLOT_CHARS = 80
 #: (licence, identifiers in order); longer sequences come first.
 RULES = [
     ("Apache-2.0", ["apache2.named", "apache2.comply", "apache2.obtain", "apache2.asis", "apache2.limits"]),
@@ -64,6 +88,9 @@ RULES = [
     ("MIT", ["mit.grant", "mit.notice", "mit.asis"]),
     ("GPL-3.0-or-later", ["gpl.grant", "gpl3.later", "gpl.nowarranty"]),
     ("GPL-2.0-or-later", ["gpl.grant", "gpl2.later", "gpl.nowarranty"]),
+    ("LGPL-3.0-or-later", ["lgpl.grant", "gpl3.later"]),
+    ("LGPL-2.1-or-later", ["lgpl.grant", "lgpl21.later"]),
+    ("AGPL-3.0-or-later", ["agpl.grant", "gpl3.later"]),
     ("Apache-2.0", ["apache2.named"]),
     ("MIT", ["mit.named"]),
     ("GPL-3.0-only", ["gpl3.named"]),
@@ -71,6 +98,11 @@ RULES = [
     ("CC-BY-SA-4.0", ["ccbysa4.named"]),
     ("CC-BY-NC-4.0", ["ccbync4.named"]),
     ("CC0-1.0", ["cc0.named"]),
+    ("MPL-2.0", ["mpl2.named"]),
+    ("ISC", ["isc.grant"]),
+    ("EPL-2.0", ["epl2.named"]),
+    ("Unlicense", ["unlicense.grant"]),
+    *[(x, [f"spdx.{x}"]) for x in SPDX],
     ("Proprietary", ["rights.reserved"]),
 ]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,7 +112,9 @@ SENTENCE_END = r"[.!?;:]+([ \t\r\n]|$)"
 # An end that no known sentence runs across, and one of ":" or ";", with what is left of its line.
 _HARD_END, _SOFT_END = r"[;:]*[.!?][.!?;:]*([ \t\r\n]|$)", r"[;:]+([ \t\r]*\n|[ \t\r]|$)"
 _KNOWN = SENTENCES | NOTICES
-_SENTENCE = "(?<=[\n|])(" + "|".join(k.replace(" ", "[ \n]") for k in sorted(_KNOWN, key=lambda k: (-len(k), k))) + ")(?=[\n|])"
+_wrapped = lambda k: k.replace(" ", "[ \n]")
+_SLOT = f"{_wrapped(SLOT_BEFORE)}[ \n][a-z0-9 \n|]{{1,{SLOT_CHARS}}}?[ \n|]{_wrapped(SLOT_AFTER)}"
+_SENTENCE = "(?<=[\n|])(" + "|".join([_SLOT, *(_wrapped(k) for k in sorted(_KNOWN, key=lambda k: (-len(k), k)))]) + ")(?=[\n|])"
 
 
 def pieces(text: Column) -> Column:
@@ -94,9 +128,10 @@ def pieces(text: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_known, sentence_ids (comma-joined, in order), licences (comma-joined, sorted)."""
+    first, slotted = SLOT_BEFORE.split(" ")[0], f"{SLOT_BEFORE} {SLOT_OWN} {SLOT_AFTER}"  # no other sentence begins with this word
     known = F.create_map(*[F.lit(x) for pair in _KNOWN.items() for x in pair])
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), pieces(F.col("text")).alias("p"))
-    found = F.transform(F.regexp_extract_all("p", F.lit(_SENTENCE), F.lit(1)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
+    found = F.transform(F.regexp_extract_all("p", F.lit(_SENTENCE), F.lit(1)), lambda s: F.try_element_at(known, F.when(F.startswith(s, F.lit(first)), F.lit(slotted)).otherwise(F.translate(s, "\n", " "))))
     ids = F.flatten(F.transform(found, lambda x: F.split(x, ",")))
     out = out.withColumn("s", F.filter(F.split("p", "[\n|]"), lambda s: s != "")).withColumn("found", ids)
     out = out.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.col("found").alias("ids"))

@@ -172,6 +172,27 @@ def test_words_of_classes_do_not_hide_the_article():
     assert html_text.main_text("<nav>menu</nav><footer>end</footer>") == ""
 
 
+def test_licences_with_holders_and_of_further_kinds(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    endorse = "nor the names of its\n contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    free = "This {} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {} General Public\nLicense as published by the Free Software Foundation{} either\nversion {} of the License, or (at your option) any later version."
+    texts = {
+        f"{bsd}3. Neither the name of Google Inc. {endorse}": "BSD-3-Clause",
+        f"{bsd} * Neither the name of the University of California, Berkeley {endorse}": "BSD-3-Clause",
+        bsd: "BSD-2-Clause",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.": "MPL-2.0",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+        free.format("library", "Lesser", ";", "2.1"): "LGPL-2.1-or-later",
+        free.format("program", "Affero", ",", "3"): "AGPL-3.0-or-later",
+        "This is free and unencumbered software released into the public domain.": "Unlicense",
+        "/* SPDX-License-Identifier: BSD-3-Clause */": "BSD-3-Clause",
+        "# SPDX-License-Identifier: GPL-2.0-only\nprint(1)": "GPL-2.0-only",
+        "Neither the name of the game nor its rules matter.": "",
+    }
+    got = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licences"] for r in got} == dict(enumerate(texts.values()))
+
+
 def test_comments_go_and_pages_without_an_article_are_empty():
     for comments in ('<div class="article-comments">c</div>', '<div class="user-comments-section"><p>c</p></div>', '<section id="reader-reviews">c</section>', '<div class="commentlist">c</div>'):
         assert html_text.main_text(f"<article><p>Body</p>{comments}</article>") == "Body"
