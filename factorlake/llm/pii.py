@@ -105,27 +105,42 @@ _DIGIT_WORDS = {
     for i, w in enumerate(words.split())
 } | {"oh": "0"}
 
-_GLYPH = re.compile("[" + "".join(map(re.escape, _LOOKALIKES)) + "]")
+# Characters without a width, and character references of @ and the point.
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+_REFERENCES = {"64": "@", "x40": "@", "46": ".", "x2e": ".", "commat": "@", "period": "."}
+_POINT_WORDS = "dot|punkt|punto|point"
+
+_GLYPH = re.compile("[" + "".join(map(re.escape, [*_LOOKALIKES, *_INVISIBLE])) + "]")
+_REFERENCE = re.compile(r"&(?:#0{0,4}(64|x40|46|x2e)|(commat|period));", re.I)
 _ANY_DIGIT = "|".join(sorted(map(re.escape, _DIGIT_WORDS), key=len, reverse=True))
-#: At least four in a row, names or digits, with two names or more: shorter runs are ordinary prose.
-_SPELLED = re.compile(rf"(?<!\w)(?:(?:{_ANY_DIGIT}|[0-9])(?!\w)[ -]?){{3,}}(?:{_ANY_DIGIT}|[0-9])(?!\w)", re.I)
-_TOKEN = re.compile(rf"{_ANY_DIGIT}|[0-9]|[ -]", re.I)
-_BRACKETED = re.compile(r"[ ]?[\[({<][ ]?(at|@|arroba|dot|\.|punkt|punto|point)[ ]?[\])}>][ ]?", re.I)
-_WORDED = re.compile(r"(?<![\w.%+-])([\w.%+-]+) (?:at|arroba|klammeraffe|arobase) ([\w-]+(?: (?:dot|punkt|punto|point) [\w-]+)+)(?![\w-])", re.I)
-_SPACED = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+) ?@ ?([A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]{2,})+)(?![\w-])")
-_BRACKET_START = re.compile(r"[\[({<][ ]?(?:at|@|arroba|dot|\.|punkt|punto|point)[ ]?[\])}>]", re.I)
-#: What a match of _SPACED holds from its @ on, where only a point has a blank beside it.
+#: What may stand between two spelled digits, and between the parts of a disguised address: any white space, a little of it.
+_BETWEEN, _GAP = r"(?:,?\s{1,3}|-)?", r"\s{1,3}"
+#: At least four in a row, names or digits, with two names or more: shorter runs are ordinary prose. A spelled plus may lead.
+_SPELLED = re.compile(rf"(?<!\w)(?:plus{_GAP})?(?:(?:{_ANY_DIGIT}|[0-9])(?!\w){_BETWEEN}){{3,}}(?:{_ANY_DIGIT}|[0-9])(?!\w)", re.I)
+_TOKEN = re.compile(rf"plus|{_ANY_DIGIT}|[0-9]|[\s,-]+", re.I)
+_BRACKETED = re.compile(rf"\s{{0,3}}[\[({{<]\s?(at|@|arroba|dot|\.|punkt|punto|point)\s?[\])}}>]\s{{0,3}}", re.I)
+_WORDED = re.compile(rf"(?<![\w.%+-])([\w.%+-]+){_GAP}(?:at|arroba|klammeraffe|arobase){_GAP}([\w-]+(?:{_GAP}(?:{_POINT_WORDS}){_GAP}[\w-]+)+)(?![\w-])", re.I)
+_POINTED = re.compile(rf"{_GAP}(?:{_POINT_WORDS}){_GAP}", re.I)
+_NUMBERS = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:{_GAP}(?:{_POINT_WORDS}){_GAP}[0-9]{{1,3}}){{3}}(?![\w])", re.I)
+_SPACED = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)\s{0,3}@\s{0,3}([A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]{2,})+)(?![\w-])")
+#: Single characters with a blank after each, an @ among them.
+_LETTERED = re.compile(r"(?<!\S)(?:[A-Za-z0-9._%+-] ){2,64}@(?: [A-Za-z0-9.-]){4,255}(?!\S)")
+#: Four times four digits with other signs between them than a card's own.
+_GROUPED = re.compile(r"(?<![\w.])[0-9]{4}([._/·•])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![\w.])")
+_BRACKET_START = re.compile(r"[\[({<]\s?(?:at|@|arroba|dot|\.|punkt|punto|point)\s?[\])}>]", re.I)
+#: What a match of _SPACED holds, where only a point has a blank beside it, and where the @ has white space.
 _SPACED_POINT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]{2,})*(?: \. ?|\. )[A-Za-z0-9-]{2}")
+_SPACED_AT = re.compile(r"\s@|@\s")
+_POINT_WORD = re.compile(rf"\s(?:{_POINT_WORDS})\s", re.I)
 
 
 def _may_hide(text: str) -> bool:
     """False only if no transducer can change the text: each of their patterns, or what every match of it holds."""
-    if not text.isascii() and _GLYPH.search(text):
+    if not text.isascii() and _GLYPH.search(text) or "&" in text and _REFERENCE.search(text):
         return True
-    if " @" in text or "@ " in text or "@" in text and _SPACED_POINT.search(text):
+    if "@" in text and (_SPACED_AT.search(text) or _SPACED_POINT.search(text)):
         return True
-    low = text.lower()
-    return any(f" {w} " in low for w in ("dot", "punkt", "punto", "point")) or bool(_BRACKET_START.search(text)) or bool(_SPELLED.search(text))
+    return bool(_POINT_WORD.search(text) or _BRACKET_START.search(text) or _GROUPED.search(text) or _SPELLED.search(text))
 
 
 class Tape:
@@ -150,32 +165,51 @@ class Tape:
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _SPELLED.finditer(text):
-        parts = [(t.start(), t.end(), _DIGIT_WORDS.get(t.group().lower(), t.group())) for t in _TOKEN.finditer(text, m.start(), m.end())]
-        if sum(b - a > 1 for a, b, _ in parts) < 2:
+        parts = [(t.start(), t.end(), t.group().lower()) for t in _TOKEN.finditer(text, m.start(), m.end())]
+        if sum(w in _DIGIT_WORDS for _, _, w in parts) < 2:
             continue
-        # A blank between two single names only parts them; other characters stay.
-        out += [(a, b, "" if new in " -" else new) for a, b, new in parts]
+        # What stands between single names only parts them.
+        out += [(a, b, "+" if w == "plus" else _DIGIT_WORDS.get(w, w if w.isdigit() else "")) for a, b, w in parts]
     return out
 
 
-# Top-level domains that make "x at y dot z" an address rather than prose.
-_DOMAINS = frozenset("com org net edu gov mil int info biz io eu de fr es it uk us ca au ch at nl be pl se no dk fi pt mx ar br jp cn ru in example test".split())
+# Top-level domains of three letters and more that make "x at y dot z" an address rather than prose, and words of two that don't.
+_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz example test museum name pro aero coop jobs mobi travel app dev online site tech store cloud xyz club shop blog live email agency company"
+    " gmbh berlin hamburg koeln wien paris london nyc amsterdam madrid barcelona cat asia eus post tel".split()
+)
+_NO_DOMAINS = frozenset("am an as by do go he if is me my of on or so up we".split())
+
+
+def _is_domain(word: str) -> bool:
+    word = word.lower()
+    return word in _DOMAINS or len(word) == 2 and word.isascii() and word.isalpha() and word not in _NO_DOMAINS
 
 
 def _worded(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _WORDED.finditer(text):
-        if m.group(2).rsplit(" ", 1)[-1].lower() not in _DOMAINS:
+        if not _is_domain(m.group(2).split()[-1]):
             continue
         out.append((m.end(1), m.start(2), "@"))
-        out += [(d.start() + m.start(2), d.end() + m.start(2), ".") for d in re.finditer(r" (?:dot|punkt|punto|point) ", m.group(2), re.I)]
+        out += [(d.start() + m.start(2), d.end() + m.start(2), ".") for d in _POINTED.finditer(m.group(2))]
     return out
 
 
+def _numbers(text: str) -> list[tuple[int, int, str]]:
+    """The spelled points of four numbers."""
+    return [(m.start() + d.start(), m.start() + d.end(), ".") for m in _NUMBERS.finditer(text) for d in _POINTED.finditer(m.group())]
+
+
+def _lettered(text: str) -> list[tuple[int, int, str]]:
+    """The blanks of an address written letter by letter, with a point before at least two more letters."""
+    return [(m.start() + k, m.start() + k + 1, "") for m in _LETTERED.finditer(text) if re.search(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]{2,})+$", m.group().replace(" ", "")) for k, c in enumerate(m.group()) if c == " "]
+
+
 def _spaced(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _SPACED.finditer(text):
-        if " " in m.group():
+        if re.search(r"\s", m.group()):
             out.append((m.end(1), m.start(2), "@"))
             out += [(d.start() + m.start(2), d.end() + m.start(2), ".") for d in re.finditer(r" ?\. ?", m.group(2)) if d.group() != "."]
     return out
@@ -183,11 +217,12 @@ def _spaced(text: str) -> list[tuple[int, int, str]]:
 
 def deobfuscate(text: str) -> Tape:
     tape = Tape(text)
-    tape.rewrite([(m.start(), m.end(), _LOOKALIKES[m.group()]) for m in _GLYPH.finditer(tape.text)])
+    tape.rewrite([(m.start(), m.end(), _LOOKALIKES.get(m.group(), "")) for m in _GLYPH.finditer(tape.text)])
+    tape.rewrite([(m.start(), m.end(), _REFERENCES[(m.group(1) or m.group(2)).lower()]) for m in _REFERENCE.finditer(tape.text)])
     tape.rewrite([(m.start(), m.end(), "@" if m.group(1).lower() in ("at", "@", "arroba") else ".") for m in _BRACKETED.finditer(tape.text)])
-    tape.rewrite(_worded(tape.text))
-    tape.rewrite(_spaced(tape.text))
-    tape.rewrite(_spelled(tape.text))
+    for change in (_lettered, _worded, _spaced, _numbers, _spelled):
+        tape.rewrite(change(tape.text))
+    tape.rewrite([(m.start() + k, m.start() + k + 1, " ") for m in _GROUPED.finditer(tape.text) for k in (4, 9, 14)])
     return tape
 
 

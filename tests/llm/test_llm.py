@@ -172,6 +172,25 @@ def test_words_of_classes_do_not_hide_the_article():
     assert html_text.main_text("<nav>menu</nav><footer>end</footer>") == ""
 
 
+def test_disguises_of_every_kind_are_found_at_their_place(monkeypatch):
+    """Any white space, invisible characters, references, spelled points and plus, letters apart, other signs in a card; prose stays."""
+    hidden = {
+        "joe at acme dot museum": "email", "joe at\nacme dot com": "email", "joe  at  acme \t dot  de": "email", "jo\u200be@ac\u00adme.com": "email", "joe&#64;acme&period;com": "email", "joe&#x40;acme.com": "email",
+        "j o e @ a c m e . c o m": "email", "joe\n@ acme . com": "email", "joe [at]\nacme [dot] com": "email", "192 dot 168 dot 1 dot 1": "ip", "10 punkt 0 punkt 0 punkt 255": "ip",
+        "plus four nine, one five, one two three four five six": "phone", "4111.1111.1111.1111": "card", "four one one one-one one one one-one one one one-one one one one": "card",
+    }
+    for text, kind in hidden.items():
+        base, added = pii.find(f"so {text} it is")
+        assert base == [] and added == [(kind, 3, 3 + len(text))], text
+    prose = ["look at the dot matrix printer", "met at noon dot me", "one two three people", "1 dot 2 dot 3", "300 dot 300 dot 300 dot 300", "1234.5678", "a b c @ d", "plus one two", "at the point of no return"]
+    for text in [*prose, *hidden]:
+        base, added = pii.find(text)
+        assert text in hidden or not added, text
+        monkeypatch.setattr(pii, "_may_hide", lambda _: True)
+        assert pii.find(text) == (base, added), text  # what the filter lets pass has nothing to find
+        monkeypatch.undo()
+
+
 def test_licences_with_holders_and_of_further_kinds(spark):
     bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
     endorse = "nor the names of its\n contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
