@@ -66,7 +66,7 @@ def beta_volatility(panel: DataFrame, formation: DataFrame, cfg: RiskConfig) ->
     def weigh(f: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         """One block's part in the market of each formation date and day."""
         if not len(f) or not len(r):
-            return pd.DataFrame({"span": [], "at": [], "day_no": [], "num": [], "den": []})
+            return pd.DataFrame({"span": [], "at": [], "day_no": [], "num": [], "den": []}, dtype=object)
         names, days, ats = pd.Index(r["asset"].unique()), np.unique(r["day_no"]), np.unique(f["at"])
         x = _matrix(r, names, days, "asset", "r")
         caps = np.zeros((len(ats), len(names)))
@@ -88,7 +88,7 @@ def beta_volatility(panel: DataFrame, formation: DataFrame, cfg: RiskConfig) ->
     def fit(f: pd.DataFrame, both: pd.DataFrame) -> pd.DataFrame:
         m, r = both[both["days"].notna()], both[both["days"].isna()]
         if not len(f) or not len(m) or not len(r):
-            return pd.DataFrame({"as_of": [], "asset": [], "beta": [], "volatility": []})
+            return pd.DataFrame({"as_of": [], "asset": [], "beta": [], "volatility": []}, dtype=object)
         names, days, ats = pd.Index(r["asset"].unique()), np.unique(r["day_no"].astype(int)), np.sort(m["at"].astype(int).to_numpy())
         x = _matrix(r, names, days, "asset", "r")
         y = np.full((len(ats), len(days)), np.nan)

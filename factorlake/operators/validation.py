@@ -98,7 +98,7 @@ def optimized_portfolios(assets: DataFrame, exposures: DataFrame, cov: DataFrame
                 w = alpha / names["var"].to_numpy() - scaled @ np.linalg.solve((inner + inner.T) / 2, scaled.T @ alpha)
                 if np.isfinite(w).all() and np.abs(w).sum() > 0:
                     out.append(pd.DataFrame({"date": names["date"].iloc[0], "portfolio": name, "asset": names["asset"].astype(str).to_numpy(), "w": w / np.abs(w).sum()}))
-        return pd.concat(out) if out else pd.DataFrame({"date": [], "portfolio": [], "asset": [], "w": []})
+        return pd.concat(out) if out else pd.DataFrame({"date": [], "portfolio": [], "asset": [], "w": []}, dtype=object)
 
     return rows.groupBy("date").cogroup(cov.groupBy("date")).applyInPandas(one, "date date, portfolio string, asset string, w double")
 

@@ -148,7 +148,7 @@ REPLAY = RiskConfig(covariance_mode="none", vra_clip=(1.0, 1.0), vol_half_life=4
 
 def history_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Quarterly returns of parts as a model folder's tables: market, size and industry factors, residuals, snapshots of every second quarter."""
-    xs = cross_section(spark, sf_dir).withColumn("r", F.col("r") / 10)
+    xs = cross_section(spark, sf_dir).withColumn("r", F.col("r") / 10).withColumn("industry", F.concat(F.lit("g"), (F.substring("industry", 7, 1).cast("int") % 3).cast("string")))
     day = Window.partitionBy("date")
     xs = xs.withColumn("m", F.avg("r").over(day)).withColumn("i", F.avg(F.col("r") - F.col("m")).over(Window.partitionBy("date", "industry")))
     returns = xs.groupBy("date").agg(F.avg("r").alias("market"), F.regr_slope("r", "x").alias("size")).select("date", F.expr("stack(2, 'market', market, 'size', size) as (factor, f)"))
@@ -160,7 +160,7 @@ def history_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 _HISTORY = _XS + f""",
-ra as (select date, asset, r / 10 r, x, industry, cap from xs),
+ra as (select date, asset, r / 10 r, x, 'g' || (industry[7:7]::int % 3) industry, cap from xs),
 rm as (select *, avg(r) over (partition by date) m from ra),
 fr as (select date, 'market' factor, avg(r) f from ra group by date union all select date, 'size', regr_slope(r, x) from ra group by date union all select date, 'ind_' || industry, avg(r - m) from rm group by date, industry),
 rs as (select date, asset, r - m - avg(r - m) over (partition by date, industry) eps from rm),
