@@ -134,13 +134,33 @@ _SPACED_AT = re.compile(r"\s@|@\s")
 _POINT_WORD = re.compile(rf"\s(?:{_POINT_WORDS})\s", re.I)
 
 
+_FOLDED = re.compile("[\u0130\u0131\u017f\u212a]")  # letters that patterns without case take for i, s and k
+_SPELLED_LOW, _POINT_WORD_LOW = (re.compile(p.pattern) for p in (_SPELLED, _POINT_WORD))
+_GROUPED_START = re.compile(r"[0-9]{4}[._/·•][0-9]{4}[._/·•]")
+_LATIN = [c for c in _GLYPH.pattern if ord(c) < 256 and not c.isascii()]
+
+
 def _may_hide(text: str) -> bool:
-    """False only if no transducer can change the text: each of their patterns, or what every match of it holds."""
-    if not text.isascii() and _GLYPH.search(text) or "&" in text and _REFERENCE.search(text):
+    """False only if no transducer can change the text: each of their patterns, or what every match of it holds. Most texts end
+    here, so what is searched for is narrowed by plain look-ups first."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+            other = any(c in text for c in _LATIN)
+        except UnicodeEncodeError:
+            other = bool(_GLYPH.search(text) or _FOLDED.search(text))
+        if other:
+            return True
+    if "&" in text and _REFERENCE.search(text):
         return True
     if "@" in text and (_SPACED_AT.search(text) or _SPACED_POINT.search(text)):
         return True
-    return bool(_POINT_WORD.search(text) or _BRACKET_START.search(text) or _GROUPED.search(text) or _SPELLED.search(text))
+    low = text.lower()
+    if any(w in low for w in ("dot", "punkt", "punto", "point")) and (_POINT_WORD_LOW.search(low) or _BRACKET_START.search(text)):
+        return True
+    if any(c in text for c in "[({<") and _BRACKET_START.search(text):
+        return True
+    return bool(_GROUPED_START.search(text) or _SPELLED_LOW.search(low))
 
 
 class Tape:
