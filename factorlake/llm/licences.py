@@ -114,7 +114,10 @@ _HARD_END, _SOFT_END = r"[;:]*[.!?][.!?;:]*([ \t\r\n]|$)", r"[;:]+([ \t\r]*\n|[
 _KNOWN = SENTENCES | NOTICES
 _wrapped = lambda k: k.replace(" ", "[ \n]")
 _SLOT = f"{_wrapped(SLOT_BEFORE)}[ \n][a-z0-9 \n|]{{1,{SLOT_CHARS}}}?[ \n|]{_wrapped(SLOT_AFTER)}"
-_SENTENCE = "(?<=[\n|])(" + "|".join([_SLOT, *(_wrapped(k) for k in sorted(_KNOWN, key=lambda k: (-len(k), k)))]) + ")(?=[\n|])"
+# The mark before a piece is matched, the one after it is not; sentences that begin with the same word are tried together, the longest first.
+_STARTS = sorted({k.split(" ")[0] for k in _KNOWN} - {SLOT_BEFORE.split(" ")[0]})
+_RESTS = {w: "|".join(_wrapped(k[len(w) :]) for k in sorted(_KNOWN, key=lambda k: (-len(k), k)) if k.startswith(w + " ")) for w in _STARTS}
+_SENTENCE = "[\n|](" + "|".join([*(f"{w}(?:{rest})" for w, rest in _RESTS.items()), _SLOT, _wrapped(f"{SLOT_BEFORE} {SLOT_OWN} {SLOT_AFTER}")]) + ")(?=[\n|])"
 
 
 def pieces(text: Column) -> Column:
