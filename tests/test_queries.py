@@ -52,11 +52,32 @@ def test_least_squares_of_each_date(spark):
     assert checked > 30
 
 
-def test_covariances_are_symmetric_and_positive(spark):
-    for name in ("pca_blend_psd", "eigen_bias"):
+def test_covariances_are_those_of_numpy(spark):
+    """Both modes again from the panel's factor returns: estimate, then the blend or the simulated scale of the eigenvalues."""
+    from factorlake.operators import covariance
+    from factorlake.plans import risk_queries
+
+    wide = risk_queries.factor_returns(spark, SF).toPandas().pivot(index="date", columns="factor", values="f").sort_index()
+    f, cfg = wide.to_numpy(), risk_queries.CFG
+    there, weight = ~np.isnan(f), 0.5 ** (np.arange(len(f) - 1, -1, -1) / cfg.corr_half_life)
+    filled = np.nan_to_num(f)
+    moments = (filled * weight[:, None]).T @ filled / ((there * weight[:, None]).T @ there)
+    corr = moments / np.sqrt(np.outer(np.diag(moments), np.diag(moments)))
+    vol = np.sqrt([covariance.estimate(f[own, k][:, None], cfg)[0, 0] for k, own in enumerate(there.T)])
+    plain = corr * np.outer(vol, vol)
+    values, vectors = np.linalg.eigh(corr)
+    lead = (vectors[:, -2:] * values[-2:]) @ vectors[:, -2:].T
+    mixed = 0.8 * corr + 0.2 * (lead + np.diag(1 - np.diag(lead)))
+    want = {"pca_blend_psd": mixed / np.sqrt(np.outer(np.diag(mixed), np.diag(mixed))) * np.outer(vol, vol)}
+    total = sum(covariance._misjudged(plain, len(f), [k], cfg, 0) for k in range(cfg.eigen_sims))
+    scale = np.clip(cfg.eigen_scale * (np.sqrt(total / cfg.eigen_sims) - 1) + 1, *cfg.eigen_clip)
+    values, vectors = np.linalg.eigh(plain)
+    want["eigen_bias"] = (vectors * (values * scale**2)) @ vectors.T
+    for name, m in want.items():
         rows = catalogue.QUERIES[name](spark, SF).toPandas()
-        m = rows.pivot(index="f1", columns="f2", values="cov").to_numpy()
-        assert m.shape == (5, 5) and np.allclose(m, m.T, atol=1e-6) and np.linalg.eigvalsh(m).min() > -1e-5 and (np.diag(m) > 0).all()
+        got = rows.pivot(index="f1", columns="f2", values="cov").loc[wide.columns, wide.columns].to_numpy()
+        assert np.allclose(got, 252 * m, atol=2e-6, rtol=1e-5) and np.linalg.eigvalsh(got).min() > -1e-5, name
+
 
 
 def test_minimum_risk_weights_solve_the_dense_system(spark):
