@@ -28,8 +28,9 @@ LETTERS = "A-Za-zÀ-ÿ"
 LEAST_LENGTH, LEAST_COUNT, FORM_FACTOR = 5, 3, 2
 #: One run in so many loses a code point, by its hash.
 DAMAGED = 97
-#: Words of a trie at most, and bytes of the tries that are broadcast at once (packed; a task holds them unpacked, about four times as much).
-SHARD_WORDS, BLOCK_BYTES = 100_000, 32 << 20
+#: Words of a trie at most, and bytes of the tries that are broadcast at once: packed, some 3 a word, so at most about 3 million words, of
+#: which a task holds some 30 bytes each.
+SHARD_WORDS, BLOCK_BYTES = 100_000, 8 << 20
 #: Words that one task looks up.
 TASK_WORDS = 20_000
 EXACT, EXTRA, OTHER, SKIPPED = 1, 2, 4, 8
@@ -56,27 +57,28 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 class Trie:
     """Nodes in level order, so that the children of a node are numbered one after another: a label and a first child each. A
-    subtree of a single word is a leaf with the rest of the word as its tail. Packed, a node takes a label and the number of its children."""
+    subtree of a single word is a leaf with the rest of the word as its tail, all tails one string. Packed, a node takes a label, the number
+    of its children and the length of its tail."""
 
-    def __init__(self, labels: str, first: array, counts: array, tails: dict[int, str]):
-        self.labels, self.first, self.counts, self.tails = labels, first, counts, tails
+    def __init__(self, labels: str, first: array, counts: array, tails: str, tail_at: array):
+        self.labels, self.first, self.counts, self.tails, self.tail_at = labels, first, counts, tails, tail_at
 
     @classmethod
     def build(cls, words: list[str], counts: list[int]) -> Trie:
         """Of distinct words in code-point order."""
-        labels, first, own, tails = ["\0"], array("I"), array("q"), {}
+        labels, first, own, tails, tail_at = ["\0"], array("I"), array("q"), [], array("I", [0])
         level, depth = [(0, len(words))], 0
         made = 1
         while level:
             below = []
             for lo, hi in level:
-                node = len(first)
                 first.append(made)
                 if hi - lo == 1:
                     own.append(counts[lo])
-                    if len(words[lo]) > depth:
-                        tails[node] = words[lo][depth:]
+                    tails.append(words[lo][depth:])
+                    tail_at.append(tail_at[-1] + len(tails[-1]))
                     continue
+                tail_at.append(tail_at[-1])
                 at = lo
                 if lo < hi and len(words[lo]) == depth:
                     own.append(counts[lo])
@@ -92,13 +94,11 @@ class Trie:
                     made += 1
             level, depth = below, depth + 1
         first.append(made)
-        return cls("".join(labels), first, own, tails)
+        return cls("".join(labels), first, own, "".join(tails), tail_at)
 
     def pack(self) -> bytes:
-        first, counts = np.frombuffer(self.first, np.uint32), np.frombuffer(self.counts, np.int64)
-        labels, ends = self.labels.encode(), "\0".join(self.tails.values()).encode()
-        leaves = np.fromiter(self.tails, np.uint32, len(self.tails))
-        parts = [labels, np.diff(first).tobytes(), np.packbits(counts > 0).tobytes(), counts[counts > 0].tobytes(), np.diff(leaves, prepend=np.uint32(0)).tobytes(), ends]
+        first, counts, at = np.frombuffer(self.first, np.uint32), np.frombuffer(self.counts, np.int64), np.frombuffer(self.tail_at, np.uint32)
+        parts = [self.labels.encode(), np.diff(first).tobytes(), np.packbits(counts > 0).tobytes(), counts[counts > 0].tobytes(), np.diff(at).tobytes(), self.tails.encode()]
         return zlib.compress(struct.pack("<7q", len(counts), *map(len, parts)) + b"".join(parts), 1)
 
     @classmethod
@@ -109,12 +109,11 @@ class Trie:
         for size in sizes:
             parts.append(raw[at : at + size])
             at += size
-        labels, degrees, ending, counts, leaves, ends = parts
-        first = np.concatenate([[1], 1 + np.cumsum(np.frombuffer(degrees, np.uint32))]).astype(np.uint32)
+        labels, degrees, ending, counts, lengths, tails = parts
+        summed = lambda start, steps: array("I", np.concatenate([[start], start + np.cumsum(np.frombuffer(steps, np.uint32))]).astype(np.uint32).tobytes())
         own = np.zeros(nodes, np.int64)
         own[np.unpackbits(np.frombuffer(ending, np.uint8), count=nodes).astype(bool)] = np.frombuffer(counts, np.int64)
-        at_leaf = np.cumsum(np.frombuffer(leaves, np.uint32)).tolist()
-        return cls(labels.decode(), array("I", first.tobytes()), array("q", own.tobytes()), dict(zip(at_leaf, ends.decode().split("\0"), strict=False)) if at_leaf else {})
+        return cls(labels.decode(), summed(1, degrees), array("q", own.tobytes()), tails.decode(), summed(0, lengths))
 
 
 def _one_edit(a: str, b: str) -> bool:
@@ -134,14 +133,14 @@ def neighbours(trie: Trie, word: str) -> Iterator[tuple[str, int]]:
     (EXTRA), d (OTHER) or d + 1 (SKIPPED) characters read. With the edit made only the next characters of word can follow, so
     just those children are looked up; only along EXACT all children are tried.
     """
-    labels, first, counts, tails = trie.labels, trie.first, trie.counts, trie.tails
+    labels, first, counts, tails, tail_at = trie.labels, trie.first, trie.counts, trie.tails, trie.tail_at
     size = len(word)
     after = word + "\0\0"  # no label is a zero
     stack = [(0, 0, EXACT, "")]
     while stack:
         node, d, state, path = stack.pop()
-        tail = tails.get(node)
-        if tail is not None:
+        tail = tails[tail_at[node] : tail_at[node + 1]]
+        if tail:
             if (state & OTHER and word[d:] == tail) or (state & EXTRA and word[d - 1 :] == tail) or (state & SKIPPED and word[d + 1 :] == tail) or (state & EXACT and _one_edit(word[d:], tail)):
                 yield path + tail, counts[node]
             continue
