@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factorlake.config import decay
 
@@ -56,35 +59,82 @@ class Ewma:
     before: bool = False
 
 
-def block_rows(k: float) -> int:
-    """Rows over which powers of k stay within 2^-500: those of one block."""
-    return max(1, int(500 * math.log(2) / -math.log(k))) if k < 1 else 1 << 40
+def running(x: np.ndarray, first: np.ndarray, k: float, carried: np.ndarray | None = None) -> np.ndarray:
+    """s = k s + x down each series of a batch; first marks the first row of a series, carried is the last row of the batch before.
+
+    All series of the batch advance together, a row each at a step.
+    """
+    begin = np.flatnonzero(first)
+    goes_on = not len(begin) or begin[0] > 0
+    begin = np.r_[0, begin] if goes_on else begin
+    length = np.diff(np.r_[begin, len(x)])
+    order = np.argsort(-length, kind="stable")
+    begin, shorter, s, out = begin[order], -length[order], np.zeros((len(begin), x.shape[1])), np.empty_like(x)
+    if goes_on and carried is not None:
+        s[order == 0] = carried
+    for step in range(-shorter[0]):
+        still = np.searchsorted(shorter, -step)
+        at = begin[:still] + step
+        s[:still] = k * s[:still] + x[at]
+        out[at] = s[:still]
+    return out
+
+
+def shifted(x: np.ndarray, carried: np.ndarray | None) -> np.ndarray:
+    """Each row's predecessor; carried is that of the batch's first row."""
+    out = np.empty_like(x)
+    out[1:], out[0] = x[:-1], 0 if carried is None else carried
+    return out
+
+
+def scanned(df: DataFrame, by: Keys, order: Keys, values: dict[str, Column], make: Callable, fields: dict[str, str]) -> DataFrame:
+    """df with further columns (fields: name to type) that Python makes of each series in its order, a batch of rows at a time.
+
+    make() runs once in a task and gives the function from (number of the row in its series, values with 0 for missing ones, which are there)
+    to the new columns. A series may go on in the next batch: the function keeps what it carries, so memory doesn't grow with the series or the
+    partition. Rows come sorted from the window that numbers them, and only they and the values are sorted, not what is made of them.
+    """
+    keys, orders = ([x] if isinstance(x, str) else list(x) for x in (by, order))
+    rows = df.withColumns({f"_v_{n}": c.cast("double") for n, c in values.items()}).withColumn("_row", F.row_number().over(over(keys, orders)))
+    rows = rows.select(*df.columns, "_row", *[f"_v_{n}" for n in values]).sortWithinPartitions(*keys, *orders)
+    new = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields.items()))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in (*df.schema, *new)])
+    names, old = schema.names, len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = make()
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.columns[old + 1 :]
+                x = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in own])
+                there = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in own])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:old], *each(batch.column(old).to_numpy(), x, there)], names=names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def with_ewmas(df: DataFrame, by: Keys, order: Keys, k: float, recursions: dict[str, Ewma]) -> DataFrame:
-    """Adds each recursion under its name. Histories of any length share one plan.
+    """Adds each recursion under its name, for histories of any length: a scan that carries one row of running values.
 
-    A blocked scan: within a block of block_rows(k) rows a running sum of c k^-j, times k^j, is the recursion from 0; a whole block's
-    sum brought to its end is what it hands to the next one. Blocks further off than two have weights below 2^-1000 and count as 0.
     Missing c count as 0, a row before the first c gives NULL.
     """
-    keys, w, rows = [by] if isinstance(by, str) else list(by), over(by, order), block_rows(k)
-    block = Window.partitionBy(*keys, "_block").orderBy(order)
-    last = {n: -1 if r.before else 0 for n, r in recursions.items()}
-    out = df.withColumns({"_row": F.row_number().over(w), **{f"_c_{n}": r.c for n, r in recursions.items()}})
-    out = out.withColumns({f"_n_{n}": F.count(f"_c_{n}").over(w.rowsBetween(FIRST, last[n])) for n in recursions})
-    out = out.withColumns({"_block": F.floor((F.col("_row") - 1) / rows), "_at": ((F.col("_row") - 1) % rows + 1).cast("double")})
-    share = {n: F.when(F.col("_row") == 1, F.lit(1.0 if r.seeded else 1 - k)).otherwise(1 - k) for n, r in recursions.items()}
-    out = out.withColumns({f"_s_{n}": share[n] * F.col(f"_c_{n}") * F.pow(F.lit(k), -F.col("_at")) for n in recursions})
-    within = {f"_w_{n}": F.sum(f"_s_{n}").over(block.rowsBetween(FIRST, last[n])) for n in recursions}
-    out = out.withColumns(within | {f"_e_{n}": F.sum(f"_s_{n}").over(block.rowsBetween(FIRST, LAST)) * k**rows for n in recursions})
-    blocks = Window.partitionBy(*keys).orderBy("_block")
-    out = out.withColumns({f"_e{d}_{n}": F.max(f"_e_{n}").over(blocks.rangeBetween(-d, -d)) for n in recursions for d in (1, 2)})
-    none = F.lit(0.0)
-    for n in recursions:
-        carried = F.coalesce(f"_e1_{n}", none) + k**rows * F.coalesce(f"_e2_{n}", none)
-        out = out.withColumn(n, F.when(F.col(f"_n_{n}") > 0, (F.coalesce(f"_w_{n}", none) + carried) * F.pow(F.lit(k), F.col("_at") + last[n])))
-    return out.drop("_row", "_block", "_at", *[f"_{x}_{n}" for x in ("c", "n", "s", "w", "e", "e1", "e2") for n in recursions])
+    seeded, before = (np.array([getattr(r, x) for r in recursions.values()]) for x in ("seeded", "before"))
+
+    def make() -> Callable:
+        carried = {}
+
+        def each(number: np.ndarray, c: np.ndarray, there: np.ndarray) -> list[pa.Array]:
+            first = number == 1
+            share = np.where(first[:, None] & seeded[None, :], 1.0, 1 - k)
+            s, n = running(c * share, first, k, carried.get("s")), running(there.astype(float), first, 1.0, carried.get("n"))
+            s_before, n_before = shifted(s, carried.get("s")), shifted(n, carried.get("n"))
+            n_before[first] = 0
+            carried.update(s=s[-1], n=n[-1])
+            return [pa.array((s_before if b else s)[:, j], mask=(n_before if b else n)[:, j] == 0) for j, b in enumerate(before)]
+
+        return each
+
+    return scanned(df, by, order, {n: r.c for n, r in recursions.items()}, make, dict.fromkeys(recursions, "double"))
 
 
 def with_ewma(df: DataFrame, c: Column, name: str, by: Keys, order: Keys, k: float, seeded: bool, before: bool = False) -> DataFrame:

@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlake.config import RiskConfig
 from factorlake.functions.scalar import month
-from factorlake.functions.timeseries import Ewma, trailing, with_ewma, with_ewmas
+from factorlake.functions.timeseries import Ewma, running, scanned, shifted, trailing, with_ewmas
 from factorlake.operators import rolling
 
 
-def riskmetrics(rows: DataFrame, value: str, name: str, cfg: RiskConfig, scale: float = 1.0, key: str = "portfolio", order: str = "date") -> DataFrame:
-    """EWMA of squares as each week found it, as an annual volatility; NULL before enough weeks."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
-    rows = with_ewma(rows, F.col(value) ** 2 * scale, "_v", key, order, cfg.riskmetrics_decay, seeded=True, before=True)
-    return rows.withColumn(name, F.when(n >= cfg.trailing_weeks, F.sqrt(cfg.weeks_per_year * F.col("_v")))).drop("_v")
-
-
 def trailing_volatility(rows: DataFrame, value: str, name: str, cfg: RiskConfig, key: str = "portfolio", order: str = "date") -> DataFrame:
     """Zero-mean volatility of the weeks before the current one."""
     w = trailing(key, order, cfg.trailing_weeks, 1)
@@ -29,38 +23,49 @@ def trailing_volatility(rows: DataFrame, value: str, name: str, cfg: RiskConfig,
 
 
 def baseline_forecasts(scores: DataFrame, cfg: RiskConfig) -> DataFrame:
-    """scores (date, portfolio, forecast_vol_ann, realized_ret, realized_vol_ann) with ewma, trailing and realized_ewma."""
-    rows = riskmetrics(scores, "realized_ret", "ewma", cfg)
-    rows = trailing_volatility(rows, "realized_ret", "trailing", cfg)
-    return riskmetrics(rows, "realized_vol_ann", "realized_ewma", cfg, 1.0 / cfg.weeks_per_year)
+    """scores (date, portfolio, forecast_vol_ann, realized_ret, realized_vol_ann) with ewma, trailing and realized_ewma.
+
+    The EWMAs of squares are as each week found them, as annual volatilities; NULL before enough weeks.
+    """
+    rows = trailing_volatility(scores, "realized_ret", "trailing", cfg).withColumn("_n", F.row_number().over(Window.partitionBy("portfolio").orderBy("date")) - 1)
+    squares = {"_ewma": F.col("realized_ret") ** 2, "_realized": F.col("realized_vol_ann") ** 2 * (1.0 / cfg.weeks_per_year)}
+    rows = with_ewmas(rows, "portfolio", "date", cfg.riskmetrics_decay, {n: Ewma(c, seeded=True, before=True) for n, c in squares.items()})
+    annual = lambda v: F.when(F.col("_n") >= cfg.trailing_weeks, F.sqrt(cfg.weeks_per_year * F.col(v)))
+    return rows.select(*scores.columns, annual("_ewma").alias("ewma"), "trailing", annual("_realized").alias("realized_ewma"))
 
 
 def french_forecasts(scores: DataFrame, french: DataFrame, cfg: RiskConfig) -> DataFrame:
     """(portfolio, date, ff): rolling regressions on public factor returns, from the weeks before each.
 
-    Forecast: betas' quadratic form in the EWMA factor covariance plus residual variance. Windows give each row the sums of
-    its regression and the factors' moments; batches of rows are solved at once.
+    Forecast: betas' quadratic form in the EWMA factor covariance plus residual variance. One scan of each portfolio's weeks carries the sums
+    of its regression and the factors' moments; the rows of a batch are solved at once.
     """
     factors = [c for c in french.columns if c != "date"]
-    window, size = cfg.french_window, len(factors)
+    window, size, k = cfg.french_window, len(factors), cfg.riskmetrics_decay
     i, j = np.triu_indices(size)
     rows = scores.select("portfolio", "date", "realized_ret").join(french, "date").na.drop()
-    pairs = {f"_m{n}": Ewma(F.col(factors[a]) * F.col(factors[b]), before=True) for n, (a, b) in enumerate(zip(i, j, strict=True))}
-    rows = with_ewmas(rows, "portfolio", "date", cfg.riskmetrics_decay, pairs | {"_weight": Ewma(F.lit(1.0), before=True)})
-    rows = rolling.with_gram(rows, factors, "realized_ret", "portfolio", "date", window, 1)
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("portfolio").orderBy("date"))).where(F.col("_n") > window)
-    rows = rows.select("portfolio", "date", "gram", F.array(*[F.col(m) / F.col("_weight") for m in pairs]).alias("moments"))
 
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                b, left = rolling.solved(rolling.stacked(pdf["gram"]))
-                cov = np.zeros((len(pdf), size, size))
-                cov[:, i, j] = cov[:, j, i] = rolling.stacked(pdf["moments"])
+    def make() -> Callable:
+        windowed, carried = rolling.Windowed(window, 1), {}
+
+        def each(number: np.ndarray, x: np.ndarray, there: np.ndarray) -> list[pa.Array]:
+            moments = running(np.column_stack([x[:, i] * x[:, j], np.ones(len(x))]), number == 1, k, carried.get("m"))
+            found = shifted(moments, carried.get("m"))
+            carried["m"] = moments[-1]
+            gram = windowed(number, rolling.multiplied(x))
+            out, ready = np.full(len(x), np.nan), number > window
+            if ready.any():
+                b, left = rolling.solved(gram[ready])
+                cov = np.zeros((len(b), size, size))
+                cov[:, i, j] = cov[:, j, i] = found[ready, :-1] / found[ready, -1:]
                 var = np.einsum("ni,nij,nj->n", b[:, 1:], cov, b[:, 1:]) + left / max(1, window - size - 1)
-                yield pdf[["portfolio", "date"]].assign(ff=np.sqrt(cfg.weeks_per_year * np.maximum(var, 0)))
+                out[ready] = np.sqrt(cfg.weeks_per_year * np.maximum(var, 0))
+            return [pa.array(out, mask=~ready)]
+
+        return each
 
-    return rows.mapInPandas(solve, "portfolio string, date date, ff double")
+    values = {c: F.col(c) for c in (*factors, "realized_ret")}
+    return scanned(rows, "portfolio", "date", values, make, {"ff": "double"}).where("ff is not null").select("portfolio", "date", "ff")
 
 
 def model_stats(rows: DataFrame, by: list[str], forecast: str = "fc", ret: str = "realized_ret", realized: str = "realized_vol_ann", weeks: int = 52) -> DataFrame:

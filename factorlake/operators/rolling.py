@@ -6,11 +6,14 @@ no row is copied into the windows that hold it. What goes to numpy is one such a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorlake.functions.timeseries import FIRST, Keys, over
+from factorlake.functions.timeseries import Keys, running, scanned
 
 
 def products(xs: list[str], y: str) -> list[Column]:
@@ -19,12 +22,44 @@ def products(xs: list[str], y: str) -> list[Column]:
     return [a * b for i, a in enumerate(terms) for b in terms[i:]]
 
 
+class Windowed:
+    """Sums over the `rows` rows that end `end` rows before each one, of series that may go on from batch to batch: differences of two running
+    sums, of which the last rows + end are carried."""
+
+    def __init__(self, rows: int, end: int) -> None:
+        self.rows, self.end, self.tail = rows, end, None
+
+    def __call__(self, number: np.ndarray, x: np.ndarray) -> np.ndarray:
+        if self.tail is None:
+            self.tail = np.zeros((self.rows + self.end, x.shape[1]))
+        sums = np.vstack([self.tail, running(x, number == 1, 1.0, self.tail[-1])])
+        here = np.arange(len(x)) + len(self.tail)
+        upper = sums[here - self.end] * (number > self.end)[:, None]
+        lower = sums[here - self.end - self.rows] * (number > self.end + self.rows)[:, None]
+        self.tail = sums[-len(self.tail) :]
+        return upper - lower
+
+
+def multiplied(x: np.ndarray) -> np.ndarray:
+    """Rows (xs..., y) to what products() gives."""
+    terms = np.column_stack([np.ones(len(x)), x])
+    i, j = np.triu_indices(terms.shape[1])
+    return terms[:, i] * terms[:, j]
+
+
 def with_gram(df: DataFrame, xs: list[str], y: str, by: Keys, order: Keys, rows: int, end: int = 0, name: str = "gram") -> DataFrame:
     """Adds the array of the products' sums over the `rows` rows that end `end` rows before the current one (0: with it)."""
-    w = over(by, order)
-    upper, lower = w.rowsBetween(FIRST, -end), w.rowsBetween(FIRST, -end - rows)
-    sums = [F.coalesce(F.sum(p).over(upper), F.lit(0.0)) - F.coalesce(F.sum(p).over(lower), F.lit(0.0)) for p in products(xs, y)]
-    return df.withColumn(name, F.array(*sums))
+
+    def make() -> Callable:
+        window = Windowed(rows, end)
+
+        def each(number: np.ndarray, x: np.ndarray, there: np.ndarray) -> list[pa.Array]:
+            sums = window(number, multiplied(x) * multiplied(there.astype(float)))
+            return [pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * sums.shape[1]), pa.array(sums.ravel()))]
+
+        return each
+
+    return scanned(df, by, order, {c: F.col(c) for c in (*xs, y)}, make, {name: "array<double>"})
 
 
 def gram(xs: list[str], y: str) -> Column:
