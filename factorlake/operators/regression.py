@@ -35,64 +35,97 @@ def industry_style(df: DataFrame, ret: str, style: str, industry: str, cap: str,
     return per_industry.unionByName(whole.select(by, F.lit("market").alias("key"), F.col("market").alias("value"))).unionByName(whole.select(by, F.lit(style).alias("key"), F.col(style).alias("value")))
 
 
-def solve_date(r: np.ndarray, x: np.ndarray, industry: np.ndarray, cap: np.ndarray, styles: list[str], least: int = 50) -> dict | None:
-    """One date: factor returns, residuals, weighted R2 and t statistics; None with fewer than `least` usable rows.
+def _solved(sums: np.ndarray, cap: np.ndarray, n: np.ndarray, least: int) -> dict | None:
+    """One date's returns from its industries' sums; None with fewer than `least` rows.
 
-    The restriction is met by writing the industry returns as combinations orthogonal to the cap shares, with the
-    largest industry's column folded into the others. Rank-deficient designs get the minimum-norm solution and
-    no t statistics.
+    sums: for each industry the products of (1, styles, r) weighted by sqrt(cap), as matrices. The restriction is met by writing the industry
+    returns as combinations orthogonal to the cap shares, with the largest industry's column folded into the others. Rank-deficient designs get
+    the minimum-norm solution and no t statistics.
     """
+    rows, size, k = int(n.sum()), len(cap), sums.shape[1] - 1
+    if rows < least:
+        return None
+    share = cap / cap.sum()
+    big = int(share.argmax())
+    rest = [j for j in range(size) if j != big]
+    back = np.zeros((k + size, k + size - 1))
+    back[:k, :k] = np.eye(k)
+    for at, j in enumerate(rest):
+        back[k + j, k + at] = 1.0
+        back[k + big, k + at] = -share[j] / share[big]
+    full, y = np.zeros((k + size, k + size)), np.zeros(k + size)
+    whole = sums.sum(axis=0)
+    full[:k, :k], y[:k] = whole[:-1, :-1], whole[:-1, -1]
+    full[k:, :k], y[k:] = sums[:, 0, :-1], sums[:, 0, -1]
+    full[:k, k:], full[k:, k:] = full[k:, :k].T, np.diag(sums[:, 0, 0])
+    mean = whole[0, 0] / rows
+    gram, right = back.T @ full @ back / mean, back.T @ y / mean
+    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    values, vectors = np.linalg.eigh(gram / np.outer(scale, scale))
+    known = bool(values[0] > 1e-12 * values[-1])
+    b = vectors @ (vectors.T @ (right / scale) / values) / scale if known else np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ right
+    left = max(whole[-1, -1] / mean - 2 * b @ right + b @ gram @ b, 0.0)
+    spread = float(whole[-1, -1] - whole[0, -1] ** 2 / whole[0, 0])
+    out = {"f": back @ b, "r2": 1 - left * mean / spread if spread > 0 else None, "t": None}
+    if known and rows > len(gram):
+        inverse = vectors / values @ vectors.T / np.outer(scale, scale)
+        se = np.sqrt(np.maximum(np.diag(back @ inverse @ back.T) * left / (rows - len(gram)), 0))
+        out["t"] = np.divide(out["f"], se, out=np.full(len(se), np.nan), where=se > 0)
+    return out
+
+
+def solve_date(r: np.ndarray, x: np.ndarray, industry: np.ndarray, cap: np.ndarray, styles: list[str], least: int = 50) -> dict | None:
+    """One date in numpy: factor returns, residuals, weighted R2 and t statistics; None with fewer than `least` usable rows."""
     ok = np.isfinite(r) & np.isfinite(x).all(axis=1) & np.isfinite(cap) & (cap > 0)
     if ok.sum() < least:
         return None
     r, x, industry, cap = r[ok], x[ok], industry[ok], cap[ok]
     names, of = np.unique(industry, return_inverse=True)
-    share = np.bincount(of, cap) / cap.sum()
-    big = int(share.argmax())
-    rest = [j for j in range(len(names)) if j != big]
-    member = np.eye(len(names))[of]
-    folded = member[:, rest] - member[:, [big]] * (share[rest] / share[big])
-    design = np.column_stack([np.ones(len(r)), x, folded])
-    w = np.sqrt(cap)
-    root = np.sqrt(w / w.mean())
-    b, *_ = np.linalg.lstsq(design * root[:, None], r * root, rcond=None)
-    back = np.zeros((1 + len(styles) + len(names), design.shape[1]))
-    back[: 1 + len(styles), : 1 + len(styles)] = np.eye(1 + len(styles))
-    for k, j in enumerate(rest):
-        back[1 + len(styles) + j, 1 + len(styles) + k] = 1.0
-        back[1 + len(styles) + big, 1 + len(styles) + k] = -share[j] / share[big]
-    e = r - design @ b
-    centre = np.average(r, weights=w)
-    spread = float((w * (r - centre) ** 2).sum())
-    keys = ["market", *styles, *[f"ind_{n}" for n in names]]
-    out = {"keys": keys, "f": back @ b, "ok": ok, "e": e, "r2": 1 - float((w * e**2).sum()) / spread if spread > 0 else None, "t": None}
-    free = len(r) - design.shape[1]
-    gram = (design * root[:, None]).T @ (design * root[:, None])
-    if free > 0 and np.linalg.matrix_rank(gram) == len(gram):
-        s2 = float(((root * e) ** 2).sum()) / free
-        se = np.sqrt(np.maximum(np.diag(back @ np.linalg.inv(gram) @ back.T) * s2, 0))
-        out["t"] = np.divide(out["f"], se, out=np.full(len(se), np.nan), where=se > 0)
-    return out
+    terms, w = np.column_stack([np.ones(len(r)), x, r]), np.sqrt(cap)
+    sums = np.stack([(terms[of == j] * w[of == j, None]).T @ terms[of == j] for j in range(len(names))])
+    out = _solved(sums, np.bincount(of, cap), np.bincount(of), least)
+    k = 1 + len(styles)
+    e = r - terms[:, :-1] @ out["f"][:k] - out["f"][k:][of]
+    return out | {"keys": ["market", *styles, *[f"ind_{n}" for n in names]], "ok": ok, "e": e}
 
 
 def fit_dates(df: DataFrame, styles: list[str], least: int = 50) -> DataFrame:
     """df (date, asset, r, industry, cap, styles...) to long results: kind factor, t, r2 or residual (key: the asset).
 
-    A group is one date's cross-section, bounded by the number of listed assets.
+    Spark sums the products of each date's industries; those few rows a date are what Python solves. Residuals are made row by row
+    from the date's returns, one array a date and industry, so that no task holds a cross-section.
     """
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    own = df.select("date", "asset", *[F.col(c).cast("double").alias(c) for c in ("r", "cap", *styles)], F.coalesce(F.col("industry").cast("string"), F.lit("None")).alias("industry"))
+    for c in ("r", "cap", *styles):
+        own = own.where(finite(c))
+    own = own.where("cap > 0")
+    terms, size = [F.lit(1.0), *[F.col(c) for c in (*styles, "r")]], len(styles) + 2
+    products = [F.sum(F.sqrt("cap") * a * b) for i, a in enumerate(terms) for b in terms[i:]]
+    sums = own.groupBy("date", "industry").agg(F.sum("cap").alias("cap"), F.count("*").alias("n"), F.array(*products).alias("sums"))
+    i, j = np.triu_indices(size)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        day = pdf["date"].iloc[0]
-        s = solve_date(pdf["r"].to_numpy(float), pdf[styles].to_numpy(float), pdf["industry"].astype(str).to_numpy(), pdf["cap"].to_numpy(float), styles, least)
+        pdf = pdf.sort_values("industry")
+        full = np.zeros((len(pdf), size, size))
+        full[:, i, j] = full[:, j, i] = np.stack(pdf["sums"].to_numpy())
+        s = _solved(full, pdf["cap"].to_numpy(), pdf["n"].to_numpy(), least)
         if s is None:
             return pd.DataFrame({"date": [], "kind": [], "key": [], "value": []})
-        parts = [("factor", s["keys"], s["f"]), ("r2", ["r2"], [s["r2"]]), ("residual", pdf["asset"].astype(str).to_numpy()[s["ok"]], s["e"])]
+        day, keys = pdf["date"].iloc[0], ["market", *styles, *[f"ind_{n}" for n in pdf["industry"]]]
+        parts = [("factor", keys, s["f"]), ("r2", ["r2"], [s["r2"]])]
         if s["t"] is not None:
-            parts.append(("t", s["keys"], s["t"]))
+            parts.append(("t", keys, s["t"]))
         return pd.concat([pd.DataFrame({"date": day, "kind": k, "key": key, "value": np.asarray(v, float)}) for k, key, v in parts])
 
-    cols = ["date", "asset", "r", "industry", "cap", *styles]
-    return df.select(*cols).groupBy("date").applyInPandas(one, RESULT)
+    solved = sums.groupBy("date").applyInPandas(one, RESULT)
+    of = solved.where("kind = 'factor'").groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_f"))
+    # a row a date, of as many numbers as it has factors
+    rows = own.join(F.broadcast(of), "date")
+    fitted = F.col("_f")["market"] + F.col("_f")[F.concat(F.lit("ind_"), "industry")]
+    for s in styles:
+        fitted = fitted + F.col("_f")[s] * F.col(s)
+    return solved.unionByName(rows.select("date", F.lit("residual").alias("kind"), F.col("asset").cast("string").alias("key"), (F.col("r") - fitted).alias("value")))
 
 
 def residuals_r2(df: DataFrame, factors: DataFrame, ret: str, style: str, industry: str, cap: str, by: str = "date") -> tuple[DataFrame, DataFrame]:
