@@ -35,9 +35,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlake.llm.components import connected
-from factorlake.llm.shared import map_rows, mark, release, release_since, unused, written
+from factorlake.llm.shared import drop_shuffles, map_rows, mark, release, release_since, unused, written
 
 WORDS, COORDINATES, THRESHOLD = 5, 64, 32
+#: Signatures are kept in so many columns, whose postings are shuffled one after the other: disk holds one part's at a time.
+PARTS = 4
 #: Links have 100 * intersection >= SHARE * union.
 SHARE = 75
 #: Posting lists of at most SHORT classes, and lists of differences with at most SHORT_APART near postings, are merged
@@ -120,8 +122,8 @@ def _described() -> Callable:
     def each(doc_id: int | None, text: str | None) -> list[tuple]:
         own = shingles(text, known)
         if not len(own):
-            return [(doc_id, 0, None, None)]
-        return [(doc_id, len(own), _class_of(own), signature(own).tolist())]
+            return [(doc_id, 0, None, *[None] * PARTS)]
+        return [(doc_id, len(own), _class_of(own), *signature(own).reshape(PARTS, -1).tolist())]
 
     return each
 
@@ -201,28 +203,41 @@ def _posted_apart(star: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(per row: doc_id, n_shingles, key), (per class: id, key, doc_id), (per class that shares postings: see shared_postings).
 
-    Signatures are dropped as soon as their postings are written.
+    Signatures are written once, beside their rows, and dropped as soon as their postings are written.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = written(map_rows(rows, _described, "doc_id long, n_shingles long, key binary, signature array<long>"), "shingled")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = map_rows(texts, _described, "doc_id long, n_shingles long, key binary, " + ", ".join(f"s{i} array<long>" for i in range(PARTS)))
+    described = written(made.withColumn("id", F.monotonically_increasing_id()), "shingled")
     rows = written(described.select("doc_id", "n_shingles", "key"), "rows")
-    own = described.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "signature")).alias("at"))
-    wide = written(own.select(F.monotonically_increasing_id().alias("id"), "key", "at.doc_id", "at.signature"), "signatures")
+    # Only keys and ids meet here; a signature stays where its row is.
+    own = described.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "id")).alias("at"))
+    own = written(own.select("at.id", "key", "at.doc_id"), "classes")
+    drop_shuffles()
+    signatures = described.select("id", *[f"s{i}" for i in range(PARTS)])
+    shared = []
+    for i in range(PARTS):
+        shared.append(written(shared_postings(signatures.select("id", F.col(f"s{i}").alias("signature")).join(own.select("id"), "id", "left_semi"), i * COORDINATES // PARTS), "shared"))
+        drop_shuffles()
     release(described)
-    posted = written(shared_postings(wide), "postings")
-    own = written(wide.select("id", "key", "doc_id"), "classes")
-    release(wide)
+    posted = written(listed(reduce(DataFrame.unionByName, shared)), "postings")
+    release(*shared)
+    drop_shuffles()
     return rows, own, posted
 
 
-def shared_postings(own: DataFrame) -> DataFrame:
-    """(id, central, tokens): of each class that can reach THRESHOLD collisions its shared postings, the rarest first, and how common they are in all."""
+def shared_postings(own: DataFrame, first: int) -> DataFrame:
+    """(id, often, token): the postings of signatures (id, signature: from coordinate `first` on) that another class has, too."""
     posted = own.select("id", F.posexplode("signature").alias("place", "value"))
-    posted = posted.select("id", F.shiftleft("value", COORDINATES.bit_length() - 1).bitwiseOR(F.col("place").cast("long")).alias("token"))
+    posted = posted.select("id", F.shiftleft("value", COORDINATES.bit_length() - 1).bitwiseOR(F.col("place").cast("long") + first).alias("token"))
     # Counted before the shuffle, so that no task holds a common posting's list.
     often = posted.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    return posted.join(often, "token").select("id", "often", "token")
+
+
+def listed(shared: DataFrame) -> DataFrame:
+    """(id, central, tokens): of each class that can reach THRESHOLD collisions its shared postings, the rarest first, and how common they are in all."""
     # At most COORDINATES postings of a class come together.
-    lists = posted.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"), F.sum("often").alias("central"))
+    lists = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"), F.sum("often").alias("central"))
     return lists.where(F.size("own") >= THRESHOLD).select("id", "central", F.col("own.token").alias("tokens"))
 
 
@@ -313,6 +328,7 @@ def links(docs: DataFrame, own: DataFrame, posted: DataFrame) -> DataFrame:
                 used.append(sides)
             lists = written(_posted_apart(star).join(sides.select("id", "home"), "id"), "apart")
             used += [star, lists]
+            drop_shuffles()
         new = written(_met(merged, sides), "met")
         met = new if met is None else met.unionByName(new)
         used.append(new)
