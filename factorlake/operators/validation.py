@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from factorlake.config import RiskConfig
 
 LEAST_NAMES, LEAST_SIDE, LEAST_INDUSTRY = 100, 10, 15
+#: Hexadecimal digits of a hash that random_baskets() counts by: 4,096 cells of each date and basket.
+DIGITS = 3
 
 
 def _hash_order(*parts: Column) -> Column:
@@ -44,9 +46,18 @@ def industry_portfolios(assets: DataFrame, by: str = "date") -> DataFrame:
 
 
 def random_baskets(assets: DataFrame, baskets: int, names: int, by: str = "date") -> DataFrame:
-    """Equal-weighted baskets drawn by hash order, so every run draws the same."""
-    each = assets.select(by, "asset").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(baskets))))
-    rank = F.row_number().over(Window.partitionBy(by, "k").orderBy(_hash_order(F.col("k"), F.col(by), F.col("asset")), "asset"))
+    """Equal-weighted baskets drawn by hash order, so every run draws the same.
+
+    Counts by the hashes' first DIGITS digits tell from where on nobody can be among the first; only the rows before that are sorted.
+    """
+    each = assets.select(by, "asset").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(baskets)))).withColumn("_h", _hash_order(F.col("k"), F.col(by), F.col("asset")))
+    each = each.withColumn("_cell", F.substring("_h", 1, DIGITS))
+    before = F.sum("_n").over(Window.partitionBy(by, "k").orderBy("_cell")) - F.col("_n")
+    cells = each.groupBy(by, "k", "_cell").agg(F.count("*").alias("_n")).withColumn("_before", before)
+    # a row a date and basket
+    cuts = cells.where(F.col("_before") < names).groupBy(F.col(by).alias("_by"), F.col("k").alias("_k")).agg(F.max("_cell").alias("_last"))
+    each = each.join(F.broadcast(cuts), F.col(by).eqNullSafe(F.col("_by")) & (F.col("k") == F.col("_k")) & (F.col("_cell") <= F.col("_last")))
+    rank = F.row_number().over(Window.partitionBy(by, "k").orderBy("_h", "asset"))
     rows = each.withColumn("_r", rank).where(F.col("_r") <= names)
     n = F.count("*").over(Window.partitionBy(by, "k"))
     return rows.select(by, F.concat(F.lit("random_"), F.col("k").cast("string")).alias("portfolio"), "asset", (1.0 / n).alias("w"))
@@ -119,6 +130,11 @@ def score(portfolios: DataFrame, exposures: DataFrame, cov: DataFrame, specific:
     """(by, portfolio, group, forecast_vol_ann, realized_ret, z): forecasts from daily factor covariance and
     specific variance against the following week's returns. cov may differ by date."""
     x = portfolios.join(exposures, [by, "asset"]).groupBy(by, "portfolio", "factor").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    return score_exposed(portfolios, x, cov, specific, returns, cfg, by)
+
+
+def score_exposed(portfolios: DataFrame, x: DataFrame, cov: DataFrame, specific: DataFrame, returns: DataFrame, cfg: RiskConfig, by: str = "date") -> DataFrame:
+    """score() with the portfolios' own exposures x (by, portfolio, factor, x)."""
     other = x.select(by, "portfolio", F.col("factor").alias("f2"), F.col("x").alias("x2"))
     pairs = x.withColumnRenamed("factor", "f1").join(other, [by, "portfolio"]).join(cov, [by, "f1", "f2"] if by in cov.columns else ["f1", "f2"])
     systematic = pairs.groupBy(by, "portfolio").agg(F.sum(F.col("x") * F.col("cov") * F.col("x2")).alias("_f"))
