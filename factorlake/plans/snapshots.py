@@ -49,12 +49,11 @@ def documents(own: dict, cfg: RiskConfig, keep: Callable[[DataFrame, str], DataF
     days = keep(revalidation.days_of(returns, weeks), "days")
     weeks = weeks.join(days.select("date").distinct(), "date")
     shots = keep(own["exposure_history"].join(F.broadcast(weeks.select("date", "until")), "date").na.fill(0.0, list(STYLES)), "snapshots")
-    x = revalidation.exposures_of(shots)
 
     moves = returns.withColumnRenamed("date", "day").join(F.broadcast(days), "day")
     summed = keep(moves.groupBy("date", "factor").agg(F.sum("f").alias("f")), "weekly-factors")
-    weekly = revalidation.weekly_returns(x, moves, residuals, revalidation.tradable(shots.select("date", "asset"), residuals, days))
-    explained = x.join(summed, ["date", "factor"]).groupBy("date", "asset").agg(F.sum(F.col("x") * F.col("f")).alias("s"))
+    weekly = revalidation.weekly_returns(shots, moves, residuals, revalidation.tradable(shots.select("date", "asset"), residuals, days))
+    explained = revalidation.explained(shots, summed, ["date"]).select("date", "asset", "s")
     left = weekly.join(explained, ["date", "asset"]).select("date", "asset", F.round(F.col("r") - F.col("s"), 5).alias("resid"))
 
     spec = revalidation.specific_at(residuals, shots, weeks, cfg, shrunk=False)
