@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -80,21 +82,20 @@ def beta_volatility(panel: DataFrame, formation: DataFrame, cfg: RiskConfig) ->
     keys = ["block", "span"]
     parts = formed.groupBy(*keys).cogroup(returns.groupBy(*keys)).applyInPandas(weigh, "span int, at int, day_no int, num double, den double")
     market = parts.groupBy("span", "at", "day_no").agg((F.sum("num") / F.sum("den")).alias("m"))
-    market = market.groupBy("span", "at").agg(F.collect_list("day_no").alias("days"), F.collect_list("m").alias("ms"))  # a window each
-    right = used.join(market, "span").select("block", "span", F.lit(None).cast(formation.schema["asset"].dataType).alias("asset"), "at", "days", "ms", F.lit(None).cast("double").alias("r"), F.lit(None).cast("int").alias("day_no"))
+    # A market's days are rows beside the returns, with their date's number: columns of arrays would be null in every return.
+    right = used.join(market, "span").select("block", "span", F.lit(None).cast(formation.schema["asset"].dataType).alias("asset"), "at", "day_no", F.col("m").alias("r"))
     right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of its own: cogroup takes no others
-    right = right.unionByName(returns.select("block", "span", "asset", F.lit(None).cast("int").alias("at"), F.lit(None).cast("array<int>").alias("days"), F.lit(None).cast("array<double>").alias("ms"), "r", "day_no"))
+    right = right.unionByName(returns.select("block", "span", "asset", F.lit(None).cast("int").alias("at"), "day_no", "r"))
 
     def fit(f: pd.DataFrame, both: pd.DataFrame) -> pd.DataFrame:
-        m, r = both[both["days"].notna()], both[both["days"].isna()]
+        m, r = both[both["at"].notna()], both[both["at"].isna()]
         if not len(f) or not len(m) or not len(r):
             return pd.DataFrame({"as_of": [], "asset": [], "beta": [], "volatility": []}, dtype=object)
-        names, days, ats = pd.Index(r["asset"].unique()), np.unique(r["day_no"].astype(int)), np.sort(m["at"].astype(int).to_numpy())
+        names, days, ats = pd.Index(r["asset"].unique()), np.unique(r["day_no"].astype(int)), np.unique(m["at"].astype(int))
         x = _matrix(r, names, days, "asset", "r")
         y = np.full((len(ats), len(days)), np.nan)
-        for at, own, values in zip(m["at"].astype(int), m["days"], m["ms"], strict=True):
-            known = np.isin(own, days)  # days on which none of this block's names has a return don't count here
-            y[np.searchsorted(ats, at), np.searchsorted(days, own[known])] = values[known]
+        m = m[m["day_no"].isin(days)]  # days on which none of this block's names has a return don't count here
+        y[np.searchsorted(ats, m["at"].astype(int)), np.searchsorted(days, m["day_no"].astype(int))] = m["r"]
         p, q = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
         x, y = np.nan_to_num(x), np.nan_to_num(y)
         f = f[f["asset"].isin(names) & f["at"].isin(ats)]
@@ -123,20 +124,21 @@ def descriptors(df: DataFrame) -> DataFrame:
     })
 
 
-def style_exposures(prices: DataFrame, fundamentals: DataFrame, industries: DataFrame, cfg: RiskConfig, fit: DataFrame | None = None) -> DataFrame:
+def style_exposures(prices: DataFrame, fundamentals: DataFrame, industries: DataFrame, cfg: RiskConfig, fit: DataFrame | None = None, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """(date, asset, cap, industry, in_fit, nine styles).
 
     prices (date, asset, close, volume); fundamentals (as_of, asset, fields..., sales_growth): its dates are
-    the formation dates; industries (asset, industry); fit (asset): the estimation universe, all if None.
+    the formation dates; industries (asset, industry); fit (asset): the estimation universe, all if None. keep writes a table that several
+    steps read: the price features, which are the most of the work, and the formation dates' names.
     """
-    panel = price_features(prices, cfg)
+    panel = keep(price_features(prices, cfg).select("date", "asset", "day_no", "filled", "momentum", "dollar_median", "r"), "price-features")
     rows = fundamentals.join(panel.select(F.col("date").alias("as_of"), "asset", "filled", "momentum", "dollar_median"), ["as_of", "asset"])
     rows = rows.join(industries, "asset", "left").withColumn("industry", F.coalesce("industry", F.lit("Other")))
     rows = rows.withColumn("cap", positive(F.col("filled") * F.col("shares_out"))).where("cap is not null")
     member = F.lit(True) if fit is None else F.col("_member").isNotNull()
     if fit is not None:
         rows = rows.join(fit.select("asset").distinct().withColumn("_member", F.lit(1)), "asset", "left")
-    rows = rows.withColumn("in_fit", member).drop("_member")
+    rows = keep(rows.withColumn("in_fit", member).drop("_member"), "formed")
     rows = rows.join(beta_volatility(panel, rows.select("as_of", "asset", "cap", "in_fit"), cfg), ["as_of", "asset"], "left")
     rows = rows.withColumn("size", safe_ln(F.col("cap"))).withColumn("liquidity", safe_ln(ratio(F.col("dollar_median"), F.col("cap"))))
     rows = descriptors(rows)

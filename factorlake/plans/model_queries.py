@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,17 @@ def price_features(spark, sf_dir):
     return rows.select("asset", "date", "day_no", rounded(F.col("filled"), 5).alias("filled"), rounded(F.col("momentum")).alias("momentum"), rounded(F.col("dollar_median"), 4).alias("dollar_median"), rounded(F.col("r")).alias("r"))
 
 
+def _keep(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    """Writes a table that several steps read, in a shared folder of its own."""
+    work = work_folder(spark)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{work}/{name}")
+        return spark.read.parquet(f"{work}/{name}")
+
+    return keep
+
+
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' balances as fundamentals, known every EVERY weeks: (as_of, asset, fields..., sales_growth)."""
     prices = panel_w(spark, sf_dir)
@@ -98,10 +111,11 @@ bv as (select as_of, asset, case when n >= 26 then b end beta, case when n >= 26
 
 @query(duck("panel_w", body=_FORMED + "\nselect as_of, asset, round(beta, 5) + 0.0 beta, round(volatility, 5) + 0.0 volatility from bv"))
 def beta_volatility(spark, sf_dir):
-    panel = styles.price_features(panel_w(spark, sf_dir), CFG)
+    keep = _keep(spark)
+    panel = keep(styles.price_features(panel_w(spark, sf_dir), CFG).select("date", "asset", "day_no", "filled", "r"), "price-features")
     caps = fundamentals(spark, sf_dir).select("as_of", "asset", "shares_out").join(panel.select(F.col("date").alias("as_of"), "asset", "filled"), ["as_of", "asset"])
     formed = caps.select("as_of", "asset", (F.col("filled") * F.col("shares_out")).alias("cap"), (F.col("asset") % 10 != 0).alias("in_fit"))
-    return styles.beta_volatility(panel, formed, CFG).select("as_of", "asset", rounded(F.col("beta"), 5).alias("beta"), rounded(F.col("volatility"), 5).alias("volatility"))
+    return styles.beta_volatility(panel, keep(formed, "formed"), CFG).select("as_of", "asset", rounded(F.col("beta"), 5).alias("beta"), rounded(F.col("volatility"), 5).alias("volatility"))
 
 
 def _clipped(source: str, to: str, columns: list[str]) -> str:
@@ -136,7 +150,7 @@ select as_of date, asset, round(cap, 2) cap, industry, in_fit, """ + ", ".join(f
 
 @query(duck("panel_w", body=_STYLED))
 def style_exposures(spark, sf_dir):
-    rows = styles.style_exposures(panel_w(spark, sf_dir), fundamentals(spark, sf_dir), industries(spark, sf_dir), CFG, fit_universe(spark, sf_dir))
+    rows = styles.style_exposures(panel_w(spark, sf_dir), fundamentals(spark, sf_dir), industries(spark, sf_dir), CFG, fit_universe(spark, sf_dir), _keep(spark))
     return rows.select("date", "asset", F.round("cap", 2).alias("cap"), "industry", "in_fit", *[rounded(F.col(c), 4).alias(c) for c in STYLES])
 
 
