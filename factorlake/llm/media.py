@@ -5,8 +5,8 @@ the 64 quantised coefficients of one 8 x 8 luminance block in zigzag order (all
 lossless: DC differences, runs of zeros, end-of-block codes and sizes are coded as in any baseline image, with
 Huffman tables that suit text.
 
-A scan is decoded symbol by symbol in slices: numpy looks up the symbol and the length at every bit position of a slice,
-a loop steps from symbol to symbol by these lengths, and numpy reads the values at the positions met. That takes time in
+A scan is decoded symbol by symbol in slices: numpy looks up the symbol and the length at every bit position of a slice, or
+those of two symbols, a loop steps from symbol to symbol by these lengths, and numpy reads the values at the positions met. That takes time in
 proportion to the scan and memory in proportion to a slice; the same decoder reads other baseline scans, with several
 components, subsampling and restart markers.
 
@@ -85,52 +85,58 @@ def _codes(table: tuple[list[int], list[int]]) -> dict[int, tuple[int, int]]:
     return out
 
 
-def _arrays(table: tuple[list[int], list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    code, length = np.zeros(256, np.int64), np.zeros(256, np.int64)
-    for s, (c, n) in _codes(table).items():
-        code[s], length[s] = c, n
-    return code, length
-
-
-_DC_CODE, _DC_LENGTH = _arrays(_DC_TABLE)
-_AC_CODE, _AC_LENGTH = _arrays(_AC_TABLE)
-_SIZE = np.array([v.bit_length() for v in range(1 << 11)])
-
-
-def _bits(values: np.ndarray, before: int) -> np.ndarray:
-    """The bits of a slice of blocks; before: the last DC value of the slice before."""
-    n = len(values)
-    difference = np.diff(values[:, 0], prepend=before)
-    size = _SIZE[np.abs(difference)]
-    extra = np.where(difference < 0, difference + (1 << size) - 1, difference)
-    order, word, length = [np.arange(n) * 256], [_DC_CODE[size] << size | extra], [_DC_LENGTH[size] + size]
-
-    block, place = np.nonzero(values[:, 1:])
-    place += 1
-    value = values[block, place]
-    first = np.diff(block, prepend=-1) > 0
-    run = place - np.where(first, 0, np.roll(place, 1)) - 1
-    size = _SIZE[np.abs(value)]
-    symbol = (run & 15) << 4 | size
-    order.append(block * 256 + place * 2)
-    word.append(_AC_CODE[symbol] << size | np.where(value < 0, value + (1 << size) - 1, value))
-    length.append(_AC_LENGTH[symbol] + size)
-    jumps = np.repeat(order[1], run >> 4) - 1
-    last = np.zeros(n, np.int64)
-    last[block] = place
-    ends = np.flatnonzero(last < BLOCK - 1)
-    for at, symbol in ((jumps, _ZRL), (ends * 256 + 255, _END)):
-        order.append(at)
-        word.append(np.full(len(at), _AC_CODE[symbol]))
-        length.append(np.full(len(at), _AC_LENGTH[symbol]))
-    sort = np.argsort(np.concatenate(order), kind="stable")
-    word, length = np.concatenate(word)[sort], np.concatenate(length)[sort]
-    start = np.cumsum(length) - length
-    out = np.zeros(int(length.sum()), np.uint8)
-    for j in range(int(length.max())):
-        own = np.flatnonzero(length > j)
-        out[start[own] + j] = word[own] >> (length[own] - 1 - j) & 1
-    return out
+def _cells(table: tuple[list[int], list[int]], symbols: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each (run, value) the code with the value's own bits after it, and their number; both are 0 where there is no such symbol."""
+    codes, word, length = _codes(table), np.zeros(len(symbols), np.uint64), np.zeros(len(symbols), np.int64)
+    for i, (run, value) in enumerate(symbols):
+        size = abs(value).bit_length()
+        if found := codes.get(run << 4 | size):
+            word[i], length[i] = found[0] << size | (value if value >= 0 else value + (1 << size) - 1), found[1] + size
+    return word, length
+
+
+_DC_WORD, _DC_LENGTH = _cells(_DC_TABLE, [(0, d) for d in range(-255, 256)])
+#: By run and byte. The byte 0 ends a block after a run of 0, stands for 16 zeros after one of 15, and is no symbol after others.
+_AC_WORD, _AC_LENGTH = _cells(_AC_TABLE, [(run, (v + 128) % 256 - 128) for run in range(16) for v in range(256)])
+_SIXTEEN, _NONE = 15 << 8, 1 << 8
+_PLACES = np.arange(1, BLOCK)
+
+
+def _bits(payload: np.ndarray, before: int, rest: int, n_rest: int) -> tuple[bytes, int, int]:
+    """The whole bytes of a slice of blocks (blocks, 64) behind n_rest bits `rest`, and the bits that remain.
+
+    before: the last DC value of the slice before. Each coefficient has a cell for its word, and so has the end of a block.
+    """
+    n = len(payload)
+    word, length = np.empty((n, BLOCK + 1), np.uint64), np.empty((n, BLOCK + 1), np.int64)
+    dc = payload[:, 0].view(np.int8).astype(np.int64)
+    difference = dc + 255
+    difference[0] -= before
+    difference[1:] -= dc[:-1]
+    word[:, 0], length[:, 0] = _DC_WORD[difference], _DC_LENGTH[difference]
+    key = np.full((n, BLOCK), _NONE)
+    key[:, :-1] = payload[:, 1:]
+    thin = np.flatnonzero((payload[:, 1:] == 0).any(axis=1))
+    if len(thin):
+        value = payload[thin, 1:].astype(np.int64)
+        last = np.maximum.accumulate(np.where(value != 0, _PLACES, 0), axis=1)
+        run = np.broadcast_to(_PLACES - 1, last.shape).copy()
+        run[:, 1:] -= last[:, :-1]
+        run &= 15
+        key[thin, :-1] = np.where(value != 0, run << 8 | value, np.where((run == 15) & (_PLACES < last[:, -1:]), _SIXTEEN, _NONE))
+        key[thin, -1] = np.where(last[:, -1] < BLOCK - 1, _END, _NONE)
+    word[:, 1:], length[:, 1:] = _AC_WORD[key], _AC_LENGTH[key]
+    word, length = word.ravel(), length.ravel()
+    end = np.cumsum(length) + n_rest
+    start = end - length
+    # A word has 27 bits at most, so it lies in one unit of 32 bits or in two; words don't overlap, so their sums are their bits.
+    unit, word = start >> 5, word << (64 - (start & 31) - length).astype(np.uint64)
+    total = int(end[-1])
+    units = np.bincount(unit, word >> np.uint64(32), (total >> 5) + 2)
+    units[1:] += np.bincount(unit, word & np.uint64(0xFFFFFFFF), (total >> 5) + 1)[: len(units) - 1]
+    units[0] += rest << (32 - n_rest)
+    data = units.astype(">u4").tobytes()
+    return data[: total >> 3], data[total >> 3] >> (8 - (total & 7)), total & 7
 
 
 def encode(payload: bytes) -> bytes:
@@ -142,16 +148,15 @@ def encode(payload: bytes) -> bytes:
         b"\xff\xd8", _segment(0xFE, b"payload=%d" % len(payload)), _segment(0xDB, b"\0" + b"\1" * 64), _segment(0xC0, frame),
         _segment(0xC4, b"\0" + _dht(_DC_TABLE)), _segment(0xC4, b"\x10" + _dht(_AC_TABLE)), _segment(0xDA, bytes([1, 1, 0, 0, 63, 0])),
     ]
-    rest, before = np.zeros(0, np.uint8), 0
+    rest, n_rest, before = 0, 0, 0
     for a in range(0, wide * high, SLICE_BLOCKS):
         count = min(SLICE_BLOCKS, wide * high - a)
-        values = np.frombuffer(payload[a * BLOCK : (a + count) * BLOCK].ljust(count * BLOCK, b"\0"), np.int8).reshape(count, BLOCK).astype(np.int64)
-        bits = np.concatenate([rest, _bits(values, before)])
-        before, whole = values[-1, 0], len(bits) // 8 * 8
-        rest = bits[whole:]
-        parts.append(np.packbits(bits[:whole]).tobytes().replace(b"\xff", b"\xff\0"))
-    if len(rest):
-        parts.append(np.packbits(np.concatenate([rest, np.ones(8 - len(rest), np.uint8)])).tobytes().replace(b"\xff", b"\xff\0"))
+        values = np.frombuffer(payload[a * BLOCK : (a + count) * BLOCK].ljust(count * BLOCK, b"\0"), np.uint8).reshape(count, BLOCK)
+        data, rest, n_rest = _bits(values, before, rest, n_rest)
+        before = int(values.view(np.int8)[-1, 0])
+        parts.append(data.replace(b"\xff", b"\xff\0"))
+    if n_rest:
+        parts.append(bytes([(rest + 1 << 8 - n_rest) - 1]).replace(b"\xff", b"\xff\0"))
     return b"".join([*parts, b"\xff\xd9"])
 
 
@@ -199,17 +204,29 @@ def parse(jpeg: bytes) -> dict:
     raise ValueError("no scan")
 
 
+#: Bits that a decoder looks at: those of the longest code, and enough for two ordinary symbols with their extra bits.
+_CODE_BITS, _WINDOW_BITS = 16, 20
+_BEYOND = _WINDOW_BITS - _CODE_BITS
+
+
 class _Lookup:
-    """By the next 16 bits: length of the code with its extra bits, of the code alone, size of the extra bits, how far the place moves."""
+    """By the next _CODE_BITS bits: `step`, length of the code with its extra bits and 256 times how far the place moves; `read`, length of
+    the code alone, 256 times the size of the extra bits and 65536 times how far the place moves. `steps` is step by _WINDOW_BITS bits,
+    for two symbols at once where these have both and the first doesn't end the block."""
 
     def __init__(self, table: tuple[list[int], list[int]], dc: bool) -> None:
-        self.total, self.code, self.size = (np.zeros(1 << 16, np.uint8) for _ in range(3))
-        self.move = np.full(1 << 16, 128, np.uint8)  # no such code
+        self.step, self.read = np.full(1 << _CODE_BITS, 128 << 8, np.uint16), np.full(1 << _CODE_BITS, 128 << 16, np.int32)  # no such code
         for s, (code, length) in _codes(table).items():
-            own = slice(code << (16 - length), (code + 1) << (16 - length))
+            own = slice(code << (_CODE_BITS - length), (code + 1) << (_CODE_BITS - length))
             size = s if dc else s & 15
-            self.total[own], self.code[own], self.size[own] = length + size, length, size
-            self.move[own] = 1 if dc else BLOCK if s == _END else (s >> 4) + 1
+            move = 1 if dc else BLOCK if s == _END else (s >> 4) + 1
+            self.step[own], self.read[own] = move << 8 | length + size, move << 16 | size << 8 | length
+        if not dc:
+            bits = np.arange(1 << _WINDOW_BITS)
+            one = self.step[bits >> _BEYOND]
+            other = self.step[((bits << (one & 255)) & ((1 << _WINDOW_BITS) - 1)) >> _BEYOND]
+            both = (one >> 8 < BLOCK) & (other >> 8 < BLOCK) & ((one & 255) + (other & 255) <= _WINDOW_BITS)
+            self.steps = np.where(both, one + other, one)
 
 
 @lru_cache(64)
@@ -228,9 +245,10 @@ def _restarts(scan: bytes) -> list[bytes]:
 
 
 def _windows(data: np.ndarray) -> np.ndarray:
-    """The 16 bits from each bit position on."""
-    v = data[:-2].astype(np.uint32) << 16 | data[1:-1].astype(np.uint32) << 8 | data[2:]
-    return ((v[:, None] >> np.arange(8, 0, -1, dtype=np.uint32)) & 0xFFFF).astype(np.uint16).ravel()
+    """The _WINDOW_BITS bits from each bit position on."""
+    wide = data.astype(np.intp)
+    wide = wide[:-3] << 24 | wide[1:-2] << 16 | wide[2:-1] << 8 | wide[3:]
+    return (wide[:, None] >> np.arange(32 - _WINDOW_BITS, 24 - _WINDOW_BITS, -1) & ((1 << _WINDOW_BITS) - 1)).ravel()
 
 
 def decode_slices(image: dict) -> Iterator[list[np.ndarray]]:
@@ -251,52 +269,77 @@ def decode_slices(image: dict) -> Iterator[list[np.ndarray]]:
         left -= n
         while n:
             window = _windows(np.concatenate([data[at >> 3 : (at >> 3) + SLICE_BYTES + most], np.zeros(most + 8, np.uint8)]))
-            steps = {k: (x.total[window].tobytes(), x.move[window].tobytes()) for k, x in lookups.items()}
+            steps = {}
+            for k in {ac for _, _, ac in turn}:
+                step = lookups[k].steps[window]
+                steps[k] = lookups[k].step, (step & 255).astype(np.uint8).tobytes(), (step >> 8).astype(np.uint8).tobytes()
             p, end, met, counts = at & 7, 8 * SLICE_BYTES, [], []
             meet = met.append
             while n and p < end:
                 n -= 1
                 for _, dc, ac in turn:
-                    total, move = steps[dc]
-                    begun, place = len(met), move[p]
+                    begun, (place, length) = len(met), divmod(int(lookups[dc].step[window[p] >> _BEYOND]), 256)
                     meet(p)
-                    p += total[p]
-                    total, move = steps[ac]
+                    p += length
+                    single, total, move = steps[ac]
                     while place < BLOCK:
                         meet(p)
-                        place += move[p]
-                        p += total[p]
+                        after = place + move[p]
+                        if after <= BLOCK:
+                            place = after
+                            p += total[p]
+                        else:
+                            moved, length = divmod(int(single[window[p] >> _BEYOND]), 256)
+                            place += moved
+                            p += length
                     if place >= 128:
                         raise ValueError("no such code")
                     counts.append(len(met) - begun)
             at = (at >> 3 << 3) + p
             if at > 8 * len(data):
                 raise ValueError("the scan ends early")
-            yield _coefficients(window, np.array(met, np.int64), np.array(counts), turn, lookups, before)
+            yield _coefficients(window, np.array([*met, p]), np.array(counts), turn, lookups, before)
+
+
+def _reads(window: np.ndarray, met: np.ndarray, counts: np.ndarray, turn: list, lookups: dict) -> np.ndarray:
+    """What `read` says of the symbols at met, counts of them in each block."""
+    of_turn, first, bits = np.arange(len(counts)) % len(turn), np.cumsum(counts) - counts, window[met] >> _BEYOND
+    if len(turn) == 1:
+        read = lookups[turn[0][2]].read[bits]
+    else:
+        read, of_symbol = np.empty(len(met), np.int32), np.repeat(of_turn, counts)
+        for t, (_, _, ac) in enumerate(turn):
+            read[of_symbol == t] = lookups[ac].read[bits[of_symbol == t]]
+    for t, (_, dc, _) in enumerate(turn):
+        read[first[of_turn == t]] = lookups[dc].read[bits[first[of_turn == t]]]
+    return read
 
 
 def _coefficients(window: np.ndarray, met: np.ndarray, counts: np.ndarray, turn: list, lookups: dict, before: np.ndarray) -> list[np.ndarray]:
-    """The blocks of a slice, of which symbols begin at met, counts of them in each block. before: the last DC values, which are moved on."""
-    block = np.repeat(np.arange(len(counts)), counts)
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    is_dc = np.zeros(len(met), bool)
-    is_dc[first] = True
-    code, size, move = np.zeros(len(met), np.int64), np.zeros(len(met), np.int64), np.zeros(len(met), np.int64)
-    of_turn = block % len(turn)
-    for t, (_, dc, ac) in enumerate(turn):
-        for table, own in ((dc, is_dc & (of_turn == t)), (ac, ~is_dc & (of_turn == t))):
-            w, x = window[met[own]], lookups[table]
-            code[own], size[own], move[own] = x.code[w], x.size[w], x.move[w]
-    bits = window[met + code].astype(np.int64) >> (16 - size)
-    value = np.where((size > 0) & (bits >> np.maximum(size - 1, 0) == 0), bits - (1 << size) + 1, bits)
-    place = np.cumsum(move) - 1
-    place -= np.repeat(place[first], counts)
-    out = np.zeros((len(counts), BLOCK), np.int32)
-    real = (size > 0) & (place < BLOCK)
-    out[block[real], place[real]] = value[real]
-    found = []
+    """The blocks of a slice. At met, and where it ends, begins a symbol or two; counts of them are in each block. before: the last DC values, which are moved on."""
+    read = _reads(window, met[:-1], counts, turn, lookups)
+    follows = met[:-1] + (read & 255) + (read >> 8 & 255)
+    two = follows < met[1:]
+    own = np.cumsum(1 + two)
+    every = np.empty(own[-1], np.intp)
+    every[own - 1] = np.where(two, follows, met[:-1])
+    every[own[two] - 2] = met[:-1][two]
+    met, counts = every, counts + np.add.reduceat(two, np.cumsum(counts) - counts, dtype=np.intp)
+    read = _reads(window, met, counts, turn, lookups)
+    n, last = len(counts), np.cumsum(counts) - 1
+    first, of_turn = last - counts + 1, np.arange(n) % len(turn)
+    size, moved = read >> 8 & 255, np.cumsum(read >> 16)
+    raw = window[met + (read & 255)] >> _BEYOND
+    # Without a leading 1 the value is negative.
+    value = (raw >> (16 - size)) - (raw < 1 << 15) * ((1 << size) - 1)
+    cell = moved + np.repeat(np.arange(n) * BLOCK - moved[first], counts)
+    real = size > 0
+    real[last] &= cell[last] < np.arange(1, n + 1) * BLOCK
+    out = np.zeros(n * BLOCK, np.int32)
+    out[cell[real]] = value[real]
+    out, found = out.reshape(n, BLOCK), []
     for k in range(len(before)):
-        own = out[np.isin(np.arange(len(counts)) % len(turn), [t for t, x in enumerate(turn) if x[0] == k])]
+        own = out if len(before) == 1 else out[np.isin(of_turn, [t for t, x in enumerate(turn) if x[0] == k])]
         own[:, 0] = np.cumsum(own[:, 0]) + before[k]
         before[k] = own[-1, 0] if len(own) else before[k]
         found.append(own)
