@@ -17,7 +17,7 @@ from factorlake.llm.shared import fresh_path, mark, release, release_since, tabl
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. Null and empty texts score like any text without words; copies are judged alike;
     without labels of both kinds, or without documents, nothing goes."""
-    net = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    net = toxicity.fitted(docs, table(spark, sf_dir, "labels"))
     return toxicity.clean_documents(docs, net)
 
 

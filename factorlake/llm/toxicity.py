@@ -9,7 +9,7 @@ Out-of-fold scores calibrate one threshold for each language, which is told from
 is the logistic of the distance to its language's threshold.
 
 The fit sees a bounded sample of labelled documents: those with the least hashes, at most MOST_TOXIC and
-MOST_CLEAN, of MOST_CHARS characters at most; it runs in the driver. All else runs over all documents and whole texts.
+MOST_CLEAN, of MOST_CHARS characters at most; its networks learn in tasks. All else runs over all documents and whole texts.
 Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts score as a text without any known word; equal texts have equal
@@ -20,12 +20,14 @@ none, all scores are the base rate's side of 0.5; an empty table gives no rows;
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 4, (1, 2, 3)
 SLOTS = sum(WIDTHS)
 BEGINNINGS = (4, 5, 6)
 WARM, EPOCHS, BATCH, RATE, DROP, DECAY, FOLDS = 2, 9, 64, 0.05, 0.3, 1e-5, 3
+#: Partitions of the copies of the sample that the networks learn from.
+PARTITIONS = 7
 #: Words of a text that are pooled at once.
 SLICE = 1 << 15
 #: A language with fewer toxic documents in the sample takes the threshold of all.
@@ -214,6 +218,13 @@ class Scorer:
         self.languages = np.full(4096, len(LANGUAGES) - 1)
         self.used = 1  # 0 is the blank word
 
+    def _slots(self, features: np.ndarray) -> np.ndarray:
+        """net.slots(), but the last digits of a word's don't depend on the words beside it, as those of a product of matrices do."""
+        embedded, out = self.net.embed[features].sum(axis=1), np.zeros((len(features), SLOTS * FILTERS), np.float32)
+        for d in range(DIM):
+            out += embedded[:, d : d + 1] * self.net.filters[d]
+        return out.reshape(-1, SLOTS, FILTERS)
+
     def _ids(self, words: list[str]) -> np.ndarray:
         if len(self.number) > self.most:
             self.forget()
@@ -223,7 +234,7 @@ class Scorer:
                 self.slots = np.concatenate([self.slots, np.zeros_like(self.slots)])
                 self.languages = np.concatenate([self.languages, np.full_like(self.languages, len(LANGUAGES) - 1)])
             to = self.used + np.arange(len(new))
-            self.slots[to] = self.net.slots(np.array([features_of(w) for w in new], np.int64))
+            self.slots[to] = self._slots(np.array([features_of(w) for w in new], np.int64))
             self.languages[to] = [_LANGUAGE_OF.get(w, len(LANGUAGES) - 1) for w in new]
             known.update(zip(new, to.tolist(), strict=True))
             self.used += len(new)
@@ -260,46 +271,87 @@ def best_threshold(values: np.ndarray, labels: np.ndarray) -> float:
     return float(edges[top[len(top) // 2]])
 
 
+def fold_logits(sample: Sample, rows: list[tuple[str | None, int]], fold: int) -> list[float]:
+    """Of the rows of a fold, by a network that learned from the others."""
+    every = np.arange(len(rows))
+    scorer = Scorer(train(sample, every[every % FOLDS != fold], seed=11 + fold))
+    return [scorer.logit(rows[i][0])[0] for i in every[every % FOLDS == fold]]
+
+
+def calibrated(net: Network, labels: np.ndarray, languages: np.ndarray, folds: list[list[float]]) -> Network:
+    """net with its thresholds, from the logits of each fold."""
+    values = np.zeros(len(labels))
+    for k, own in enumerate(folds):
+        values[k::FOLDS] = own
+    net.thresholds[-1] = best_threshold(values, labels)
+    for k in set(languages.tolist()):
+        if labels[languages == k].sum() >= LEAST_FOR_LANGUAGE and labels[languages == k].min() == 0:
+            net.thresholds[k] = best_threshold(values[languages == k], labels[languages == k])
+    return net
+
+
 def fit(rows: list[tuple[str | None, int]]) -> Network:
     """rows: (text, 0 or 1), in an order that depends on neither."""
     sample = Sample(rows)
-    every = np.arange(len(rows))
-    net = train(sample, every)
+    net = train(sample, np.arange(len(rows)))
     if not len(rows) or sample.labels.min() == sample.labels.max():
         return net
-    scorer_values = np.zeros(len(rows))
-    for k in range(FOLDS):
-        own = train(sample, every[every % FOLDS != k], seed=11 + k)
-        scorer = Scorer(own)
-        for i in every[every % FOLDS == k]:
-            scorer_values[i] = scorer.logit(rows[i][0])[0]
-    net.thresholds[-1] = best_threshold(scorer_values, sample.labels)
-    languages = np.array(sample.languages)
-    for k in set(sample.languages):
-        if sample.labels[languages == k].sum() >= LEAST_FOR_LANGUAGE and sample.labels[languages == k].min() == 0:
-            net.thresholds[k] = best_threshold(scorer_values[languages == k], sample.labels[languages == k])
-    return net
+    return calibrated(net, sample.labels, np.array(sample.languages), [fold_logits(sample, rows, k) for k in range(FOLDS)])
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> list[tuple[str | None, int]]:
-    """Texts and labels of at most that many labelled documents outside the held-out fold; equal texts once."""
+def training_table(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> DataFrame:
+    """(order, doc_id, toxic, text) of at most that many labelled documents outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("order", F.xxhash64("doc_id"))
     some = [known.where(F.col("toxic") == y).orderBy("order", "doc_id").limit(n) for y, n in ((1, most_toxic), (0, most_clean))]
     chosen = some[0].unionByName(some[1])
     # At most most_toxic + most_clean rows of three numbers: a proven bound. So are as many texts of MOST_CHARS characters.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = texts.where(F.length("text") <= MOST_CHARS).groupBy("order", "doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    return texts.where(F.length("text") <= MOST_CHARS).groupBy("order", "doc_id", "toxic").agg(F.min("text").alias("text"))
+
+
+def _ordered(found: Iterable[tuple]) -> list[tuple[str | None, int]]:
+    """(order, doc_id, toxic, text) by their order; equal texts once."""
     out: dict[str, int] = {}
-    for r in sorted(found, key=lambda r: (r["order"], r["doc_id"])):
-        out.setdefault(r["text"], r["toxic"])
+    for _, _, toxic, text in sorted(found, key=lambda r: (r[0], r[1])):
+        out.setdefault(text, toxic)
     return list(out.items())
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> list[tuple[str | None, int]]:
+    """Texts and labels of training_table(), equal texts once."""
+    return _ordered(map(tuple, training_table(docs, labels, most_toxic, most_clean).select("order", "doc_id", "toxic", "text").collect()))
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Network:
+    """fit() of training_rows(), as tasks: one for the network and one for each fold. The driver gets the network, but no texts.
+
+    Each task has the whole sample, whose size is bounded.
+    """
+
+    def learned(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = _ordered(pdf[["order", "doc_id", "toxic", "text"]].itertuples(index=False, name=None))
+        sample, (part,) = Sample(rows), key
+        both = 0 < sample.labels.sum() < len(rows)
+        if part < FOLDS:
+            made = None, fold_logits(sample, rows, part) if both else []
+        else:
+            made = train(sample, np.arange(len(rows))), (sample.labels, np.array(sample.languages), both)
+        return pd.DataFrame({"part": [part], "made": [pickle.dumps(made)]})
+
+    sample = training_table(docs, labels).select("order", "doc_id", "toxic", "text", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))).alias("part"))
+    # So many partitions that the parts meet in none.
+    found = dict(sample.repartition(PARTITIONS, "part").groupBy("part").applyInPandas(learned, "part int, made binary").collect())
+    if not found:
+        return fit([])
+    net, (known, languages, both) = pickle.loads(found.pop(FOLDS))
+    return calibrated(net, known, languages, [pickle.loads(found[k])[1] for k in range(FOLDS)]) if both else net
+
+
 def classify(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, held_out, score, predicted, language: one row per row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(net)

@@ -373,6 +373,25 @@ def test_mix_targets_and_budgets(spark):
     assert all(copies[r["doc_id"]] == r["copies"] for r in got)
 
 
+def test_toxicity_learns_in_tasks(spark, docs, monkeypatch):
+    """The driver trains nothing and gets no texts; the network and its thresholds are those of fit()."""
+    labels = table(spark, SF, "labels")
+    rows = toxicity.training_rows(docs, labels)
+    plain = toxicity.fit(rows)
+
+    def here(*_):
+        raise AssertionError("in the driver")
+
+    net = toxicity.fitted(docs, labels)
+    assert np.allclose(net.embed, plain.embed, atol=1e-5) and net.thresholds.keys() == plain.thresholds.keys()
+    assert np.allclose(list(net.thresholds.values()), [plain.thresholds[k] for k in net.thresholds], atol=1e-3)
+    assert spark.range(toxicity.FOLDS + 1).select(F.col("id").cast("int").alias("part")).repartition(toxicity.PARTITIONS, "part").groupBy(F.spark_partition_id()).count().count() == toxicity.FOLDS + 1
+    assert toxicity.fitted(docs.limit(0), labels).thresholds == {} and not toxicity.fitted(docs, labels.where("toxic = 0")).out.any()
+    for name in ("fit", "training_rows"):
+        monkeypatch.setattr(toxicity, name, here)
+    assert 0 < corpus_pipeline.drop_toxic(spark, docs, SF).count() < docs.count()
+
+
 # -- media ----------------------------------------------------------------------------------------------
 
 
