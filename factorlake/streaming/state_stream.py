@@ -9,6 +9,7 @@ import json
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,50 +69,70 @@ def running_variance(stream: DataFrame, k: float) -> DataFrame:
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: A pending row and a key's state (none: the key is null), and how many of them are one entry of a list.
+_PENDING = np.dtype([("none", "?"), ("asset", "<i8"), ("ts", "<i8"), ("val", "<f8")])
+_FOLDED = np.dtype([("none", "?"), ("asset", "<i8"), ("n", "<i8"), ("var", "<f8")])
+ENTRY_ROWS = 4096
+#: Keys are folded by buckets: a call and its steps to the state store cost far more than the few rows of a key.
+KEY_BUCKETS = 1024
+
+
+def _entries(rows: np.ndarray) -> list[tuple]:
+    return [(rows[a : a + ENTRY_ROWS].tobytes(),) for a in range(0, len(rows), ENTRY_ROWS)]
+
+
+def _packed(state, kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(r[0], kind) for r in state.get()]])
+
+
 class OrderedVariance(StatefulProcessor):
-    """Folds each key's rows in event time: rows wait in a list until the watermark has passed them; a timer stands at the earliest one."""
+    """Folds each key's rows in event time: a bucket's rows wait in a list until the watermark has passed them; a timer stands at the earliest one."""
 
     def __init__(self, k: float) -> None:
         self.k = k
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.folded = handle.getValueState("folded", "n long, var double")
-        self.pending = handle.getListState("pending", "ts long, val double")
+        self.folded = handle.getListState("folded", "rows binary")
+        self.pending = handle.getListState("pending", "rows binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed, first = timerValues.getCurrentWatermarkInMs() * 1000, None
         for pdf in rows:
-            at = pdf["ts"].astype("datetime64[us]").astype("int64")
-            known = at.ge(passed) & pdf["val"].notna()
-            if known.any():
-                self.pending.appendList(list(zip(at[known].tolist(), pdf["val"][known].astype(float).tolist(), strict=True)))
-                first = min(at[known].min(), first) if first is not None else at[known].min()
+            own = np.empty(len(pdf), _PENDING)
+            own["none"], own["asset"] = pdf["none"], pdf["asset"]
+            own["ts"], own["val"] = pdf["ts"].to_numpy("datetime64[us]").astype("int64"), pdf["val"].to_numpy(float, na_value=np.nan)
+            own = own[(own["ts"] >= passed) & pdf["val"].notna().to_numpy()]
+            if len(own):
+                self.pending.appendList(_entries(own))
+                first = own["ts"].min() if first is None else min(own["ts"].min(), first)
         if first is not None:
             standing = list(self.handle.listTimers())
             if not standing or first // 1000 < min(standing):
                 for timer in standing:
                     self.handle.deleteTimer(timer)
                 self.handle.registerTimer(int(first // 1000))
-        yield pd.DataFrame({"asset": [], "n": [], "var": []})
+        return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((r[0], r[1]) for r in self.pending.get())
-        n, var = self.folded.get() if self.folded.exists() else (0, 0.0)
-        ready = [v for ts, v in rows if ts < passed]
-        for v in ready:
-            var = v * v if n == 0 else self.k * var + (1 - self.k) * v * v
-            n += 1
-        rest = rows[len(ready) :]
-        if rest:
-            self.pending.put(rest)
-            self.handle.registerTimer(max(int(rest[0][0] // 1000), timerValues.getCurrentWatermarkInMs() + 1))
+        now, rows = timerValues.getCurrentWatermarkInMs(), _packed(self.pending, _PENDING)
+        passed = rows["ts"] < now * 1000
+        ready, rest = rows[passed], rows[~passed]
+        if len(rest):
+            self.pending.put(_entries(rest))
+            self.handle.registerTimer(max(int(rest["ts"].min() // 1000), now + 1))
         else:
             self.pending.clear()
-        if ready:
-            self.folded.update((n, var))
-            yield pd.DataFrame({"asset": [key[0]], "n": [n], "var": [var]})
+        if len(ready):
+            ready = ready[np.lexsort([ready[c] for c in ("val", "ts", "asset", "none")])]
+            state = {(none, asset): (n, var) for none, asset, n, var in _packed(self.folded, _FOLDED).tolist()}
+            changed = {}
+            for none, asset, _, v in ready.tolist():
+                n, var = changed.get((none, asset)) or state.get((none, asset), (0, 0.0))
+                changed[none, asset] = n + 1, v * v if n == 0 else self.k * var + (1 - self.k) * v * v
+            self.folded.put(_entries(np.array([(*at, *own) for at, own in (state | changed).items()], _FOLDED)))
+            new = np.array([(*at, *own) for at, own in changed.items()], _FOLDED)
+            yield pd.DataFrame({"asset": pd.arrays.IntegerArray(new["asset"].copy(), new["none"].copy()), "n": new["n"], "var": new["var"]})
 
     def close(self) -> None:
         pass
@@ -122,9 +143,11 @@ def variance_in_order(stream: DataFrame, k: float, late: str = "1 day") -> DataF
 
     A row counts once the watermark has passed it; one that comes after that is left out, as is a null value. What waits is what came
     within `late` of the newest row. Sets the session's state store to RocksDB.
+    State is kept by KEY_BUCKETS buckets of keys: a call holds the pending rows and the states of one.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = stream.select("asset", "ts", "val").withWatermark("ts", late).groupBy("asset")
+    rows = stream.select(F.col("asset").isNull().alias("none"), F.coalesce(F.col("asset").cast("long"), F.lit(0)).alias("asset"), "ts", F.col("val").cast("double").alias("val")).withWatermark("ts", late)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("asset"), F.lit(KEY_BUCKETS))).groupBy("bucket")
     return rows.transformWithStateInPandas(OrderedVariance(k), "asset long, n long, var double", "Update", "EventTime")
 
 
