@@ -21,7 +21,8 @@ def at_dates(known: DataFrame, dates: DataFrame) -> DataFrame:
     months = F.sequence(month(F.greatest("_from", "_first")), month(F.coalesce(F.least("_until", "_last"), F.col("_last"))), F.expr("interval 1 month"))
     rows = rows.withColumn("_month", F.explode(months)).drop("_first", "_last")
     days = days.withColumn("_month", month(F.col("as_of")))
-    met = rows.join(days, "_month").where("_from <= as_of and (_until is null or as_of < _until)")
+    # a row a date
+    met = rows.join(F.broadcast(days), "_month").where("_from <= as_of and (_until is null or as_of < _until)")
     return met.select("as_of", *[c for c in known.columns if c not in ("_from", "_until")])
 
 

@@ -163,13 +163,17 @@ REPLAY = RiskConfig(covariance_mode="none", vra_clip=(1.0, 1.0), vol_half_life=4
 def history_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Quarterly returns of parts as a model folder's tables: market, size and industry factors, residuals, snapshots of every second quarter."""
     xs = cross_section(spark, sf_dir).withColumn("r", F.col("r") / 10).withColumn("industry", F.concat(F.lit("g"), (F.substring("industry", 7, 1).cast("int") % 3).cast("string")))
-    day = Window.partitionBy("date")
-    xs = xs.withColumn("m", F.avg("r").over(day)).withColumn("i", F.avg(F.col("r") - F.col("m")).over(Window.partitionBy("date", "industry")))
+    # Read by everything below; days and industries are summed, and what rows need of them comes as a row for each.
+    xs = _keep(spark)(xs, "cross-section")
+    days = xs.groupBy("date").agg(F.avg("r").alias("m"), F.avg("x").alias("mean_x"), F.stddev_samp("x").alias("dev_x")).withColumnRenamed("date", "day")
+    xs = xs.join(F.broadcast(days), F.col("date").eqNullSafe(F.col("day"))).drop("day")
+    groups = xs.groupBy(F.struct("date", "industry").alias("at")).agg(F.avg(F.col("r") - F.col("m")).alias("i"))
+    xs = xs.withColumn("at", F.struct("date", "industry")).join(F.broadcast(groups), "at").drop("at")
     returns = xs.groupBy("date").agg(F.avg("r").alias("market"), F.regr_slope("r", "x").alias("size")).select("date", F.expr("stack(2, 'market', market, 'size', size) as (factor, f)"))
     returns = returns.unionByName(xs.groupBy("date", F.concat(F.lit("ind_"), "industry").alias("factor")).agg(F.avg(F.col("r") - F.col("m")).alias("f"))).where("f is not null")
     nth = xs.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date"))).where("k % 2 = 0")
-    size = (F.col("x") - F.avg("x").over(day)) / F.stddev_samp("x").over(day)
-    snapshots = xs.join(nth, "date").select("date", "asset", "cap", "industry", size.alias("size"), *[F.lit(0.0).alias(s) for s in STYLES if s != "size"])
+    size = (F.col("x") - F.col("mean_x")) / F.col("dev_x")
+    snapshots = xs.join(F.broadcast(nth), "date").select("date", "asset", "cap", "industry", size.alias("size"), *[F.lit(0.0).alias(s) for s in STYLES if s != "size"])
     return {"factor_returns": returns, "residuals": xs.select("date", "asset", (F.col("r") - F.col("m") - F.col("i")).alias("eps")), "exposure_history": snapshots}
 
 
@@ -291,7 +295,7 @@ def specific_risk_asof(spark, sf_dir):
     """The whole specific-risk chain as of every snapshot's date."""
     own = history_tables(spark, sf_dir)
     rows = own["exposure_history"].select("date", "asset", "industry", "size", (F.ln("cap") / 10).alias("volatility"), ((F.col("asset") % 17) / 10.0).alias("liquidity"))
-    out = specific.specific_risk_at(own["residuals"], rows, REPLAY)
+    out = specific.specific_risk_at(own["residuals"], rows, REPLAY, keep=_keep(spark))
     return out.select("date", "asset", *[rounded(F.col(c), 5).alias(c) for c in ("vol", "ts_vol", "structural")], rounded(F.col("blend_weight")).alias("blend_weight"), "n_obs")
 
 

@@ -9,6 +9,7 @@ import zipfile
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factorlake.config import STYLES, RiskConfig, decay
@@ -147,6 +148,30 @@ def test_blend_weight_and_shrinkage(spark):
     assert (out - 0.26).abs().mean() < (before - 0.26).abs().mean() and len(out) == 100
 
 
+def test_ranks_and_percentiles_by_cells_are_those_of_whole_groups(spark):
+    rng = np.random.default_rng(5)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1e-300, -1e300]
+    rows = [(None if i % 3 == 0 else f"d{i % 3}", i, odd[i % 8] if i % 11 == 0 else float(round(rng.normal(), 2))) for i in range(3000)]
+    df = frame(spark, rows, "date string, asset int, v double")
+    w = Window.partitionBy("date")
+    got = specific.ranked(df, ["date"], "v", "asset").withColumn("rank", F.row_number().over(w.orderBy("v", "asset"))).withColumn("n", F.count("*").over(w))
+    assert got.count() == 3000 and got.where("_rank <> rank or _n <> n").isEmpty()
+    # a task sorts a cell, not a group
+    _, cells = specific._cells(df, ["date"], "v")
+    assert cells.agg(F.max("_c")).first()[0] < 100
+    finite = df.where("v is not null and not isnan(v) and abs(v) < 10")
+    own = specific.percentiles(finite, ["date"], "v", {"low": 0.01, "mid": 0.5, "high": 0.99})
+    want = finite.groupBy("date").agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in (("low", 0.01), ("mid", 0.5), ("high", 0.99))])
+    a, b = ({r["date"]: r for r in x.collect()} for x in (own, want))
+    assert set(a) == set(b) and all(a[d][c] == pytest.approx(b[d][c], abs=1e-12) for d in b for c in ("low", "mid", "high"))
+
+
+def test_shrinkage_gathers_no_date_in_a_task(spark):
+    rows = frame(spark, [(f"d{i % 2}", i, 0.2 + (i % 7) / 50, float(i % 97)) for i in range(400)], "date string, asset int, vol double, size double")
+    plan = specific.shrink(rows, CFG, by=["date"])._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("row_number" in line and "_at" not in line for line in plan.splitlines() if line.lstrip(" +-:").startswith("Window"))
+
+
 def test_structural_recovers_size_effect(spark):
     rng = np.random.default_rng(8)
     size = rng.normal(size=200)
