@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorlake.llm.shared import mark, release, release_since, written
+from factorlake.llm.shared import mark, release, release_since, sorted_join, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -23,19 +23,19 @@ def connected(edges: DataFrame) -> DataFrame:
         roots = written(near.select("node", F.least("node", "m").alias("root"), F.lit(True).alias("moved")), "pointers")
         while not roots.where("moved").isEmpty():
             jump = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            after = written(roots.join(jump, "root").select("node", F.col("next").alias("root"), (F.col("root") != F.col("next")).alias("moved")), "pointers")
+            after = written(roots.join(sorted_join(jump), "root").select("node", F.col("next").alias("root"), (F.col("root") != F.col("next")).alias("moved")), "pointers")
             release(roots)
             roots = after
         if labels is None:
             labels = written(roots.select("node", "root"), "labels")
         else:
             step = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            after = written(labels.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+            after = written(labels.join(sorted_join(step), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
             release(labels)
             labels = after
         ends = edges
         for end in ("a", "b"):
-            ends = ends.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
+            ends = ends.join(sorted_join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))), end)
         fewer = written(ends.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a <> b").distinct(), "edges")
         release(edges, roots)
         edges = fewer

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlake.llm.components import connected
-from factorlake.llm.shared import drop_shuffles, map_rows, mark, release, release_since, unused, written
+from factorlake.llm.shared import drop_shuffles, map_rows, mark, release, release_since, sorted_join, unused, written
 
 WORDS, COORDINATES, THRESHOLD = 5, 64, 32
 #: Signatures are kept in so many columns, whose postings are shuffled one after the other: disk holds one part's at a time.
@@ -192,8 +192,8 @@ def _posted_apart(star: DataFrame) -> DataFrame:
     """Lists of the rarest differences, as many as each member must post. Those that no other member has need no list."""
     each = star.where("size(apart) > 0").select("x", "pivot", F.explode("apart").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    shared = each.join(often, "token").groupBy("x", "pivot").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"))
-    shared = star.select("x", "pivot", "linked", "short", "wide", F.size("apart").alias("r")).join(shared, ["x", "pivot"])
+    shared = each.join(sorted_join(often), "token").groupBy("x", "pivot").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("own"))
+    shared = star.select("x", "pivot", "linked", "short", "wide", F.size("apart").alias("r")).join(sorted_join(shared), ["x", "pivot"])
     alone = F.col("r") - F.size("own")
     shared = shared.withColumn("short", F.col("short") - alone).withColumn("wide", F.col("wide") - alone).where("short > 0 or wide > 0")
     posted = shared.select(F.col("x").alias("id"), "linked", "r", "short", F.size("own").alias("m"), F.posexplode(F.slice("own.token", F.lit(1), F.greatest("short", "wide"))).alias("place", "token"))
@@ -231,7 +231,7 @@ def shared_postings(own: DataFrame, first: int) -> DataFrame:
     posted = posted.select("id", F.shiftleft("value", COORDINATES.bit_length() - 1).bitwiseOR(F.col("place").cast("long") + first).alias("token"))
     # Counted before the shuffle, so that no task holds a common posting's list.
     often = posted.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
-    return posted.join(often, "token").select("id", "often", "token")
+    return posted.join(sorted_join(often), "token").select("id", "often", "token")
 
 
 def listed(shared: DataFrame) -> DataFrame:
@@ -255,13 +255,13 @@ def _met(lists: DataFrame, sides: DataFrame) -> DataFrame:
 
     Where a pair first meets, it shares no more differences than either has left in its order (room).
     """
-    here = lists.join(sides, "id")
+    here = lists.join(sorted_join(sides), "id")
     other = here.select(F.col("token").alias("at"), *[F.col(c).alias(f"b_{c}") for c in here.columns if c != "token"])
     size = (F.col("n") * 100 >= F.col("b_n") * SHARE) & (F.col("b_n") * 100 >= F.col("n") * SHARE)
     posted = (F.col("far") | F.col("b_far")) & (F.col("near") | ~F.col("b_far")) & (F.col("b_near") | ~F.col("far"))
     room = F.least("room", "b_room") * 14 >= 7 * (F.col("r") + F.col("b_r")) - F.col("n") - F.col("b_n")
     on = (F.col("token") == F.col("at")) & (F.col("id") < F.col("b_id")) & (F.col("home") != F.col("b_home")) & posted & size & room & (_fine_different("fine", "b_fine") <= FINE_DIFFERENT)
-    return here.join(other, on).select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
+    return here.join(sorted_join(other), on).select(F.col("id").alias("a"), F.col("b_id").alias("b")).distinct()
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame, a: str, b: str) -> DataFrame:
@@ -291,16 +291,16 @@ def _texts(docs: DataFrame, members: DataFrame) -> DataFrame:
 def _few_pivots(lists: DataFrame, long: DataFrame) -> DataFrame:
     """long (token, n, pivot) with other pivots, as any text can be one: each member prefers that of its lists' pivots which most
     others have too, and a list takes what most of its members prefer. So the lists of a group of copies and its surroundings share a pivot."""
-    here = lists.join(long, "token")
+    here = lists.join(sorted_join(long), "token")
     popular = here.groupBy("pivot").agg(F.count("*").alias("served"))
-    prefers = here.join(popular, "pivot").groupBy("id").agg(F.max(F.struct("served", "pivot")).alias("best")).select("id", F.col("best.pivot").alias("prefers"))
-    votes = here.select("token", "id").join(prefers, "id").groupBy("token", "prefers").agg(F.count("*").alias("votes"))
-    return votes.groupBy("token").agg(F.max(F.struct("votes", "prefers")).alias("at")).join(long, "token").select("token", "n", F.col("at.prefers").alias("pivot"))
+    prefers = here.join(sorted_join(popular), "pivot").groupBy("id").agg(F.max(F.struct("served", "pivot")).alias("best")).select("id", F.col("best.pivot").alias("prefers"))
+    votes = here.select("token", "id").join(sorted_join(prefers), "id").groupBy("token", "prefers").agg(F.count("*").alias("votes"))
+    return votes.groupBy("token").agg(F.max(F.struct("votes", "prefers")).alias("at")).join(sorted_join(long), "token").select("token", "n", F.col("at.prefers").alias("pivot"))
 
 
 def links(docs: DataFrame, own: DataFrame, posted: DataFrame) -> DataFrame:
     """(a, b): links between classes that connect all that are similar, directly or through others."""
-    members = written(posted.select("id").join(own.select("id", "key", "doc_id"), "id"), "members")
+    members = written(posted.select("id").join(sorted_join(own.select("id", "key", "doc_id")), "id"), "members")
     described = written(_texts(docs, members), "texts")
     texts = described if described.count() == members.count() else described.groupBy("id").agg(F.min(F.struct("text", "n", *_BITS)).alias("at")).select("id", "at.*")
     # In the first lists, of the prefixes that can still lead to THRESHOLD collisions, every pair counts.
@@ -317,16 +317,16 @@ def links(docs: DataFrame, own: DataFrame, posted: DataFrame) -> DataFrame:
             long = written(_few_pivots(lists.select("token", "id"), long), "long")
             used.append(long)
         last = level == LEVELS or long.isEmpty()
-        merged = lists.join(sizes.select("token") if last else sizes.where(F.col("n") <= most).select("token"), "token", "left_semi").drop("rank", "home")
+        merged = lists.join(sorted_join(sizes.select("token") if last else sizes.where(F.col("n") <= most).select("token")), "token", "left_semi").drop("rank", "home")
         if not last:
-            star = lists.join(long, "token").where("id <> pivot").select(F.col("id").alias("x"), "pivot").distinct()
+            star = lists.join(sorted_join(long), "token").where("id <> pivot").select(F.col("id").alias("x"), "pivot").distinct()
             star = written(map_rows(_with_texts(star, texts, "x", "pivot"), _set_apart, "x long, pivot long, linked boolean, apart array<long>, short int, wide int"), "pivots")
             stars.append(star)
             if level == 0:
                 of = connected(_links_of(star)).select(F.col("node").alias("id"), F.col("component").alias("home"))
-                sides = written(texts.select("id", "n", *_BITS).join(of, "id", "left").withColumn("home", F.coalesce("home", "id")), "sides")
+                sides = written(texts.select("id", "n", *_BITS).join(sorted_join(of), "id", "left").withColumn("home", F.coalesce("home", "id")), "sides")
                 used.append(sides)
-            lists = written(_posted_apart(star).join(sides.select("id", "home"), "id"), "apart")
+            lists = written(_posted_apart(star).join(sorted_join(sides.select("id", "home")), "id"), "apart")
             used += [star, lists]
             drop_shuffles()
         new = written(_met(merged, sides), "met")
@@ -349,9 +349,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     before = mark()
     rows, own, posted = classes(docs)
     of = connected(links(docs, own, posted)).select(F.col("node").alias("id"), F.col("component").alias("joined"))
-    grouped = own.select("id", "key", "doc_id").join(of, "id", "left").withColumn("joined", F.coalesce("joined", "id"))
+    grouped = own.select("id", "key", "doc_id").join(sorted_join(of), "id", "left").withColumn("joined", F.coalesce("joined", "id"))
     least = grouped.groupBy("joined").agg(F.min("doc_id").alias("least"))
-    by_class = written(grouped.join(least, "joined").select("key", "least"), "class-components")
+    by_class = written(grouped.join(sorted_join(least), "joined").select("key", "least"), "class-components")
     release_since(before, rows, by_class)
     out = rows.join(by_class, "key", "left").withColumn("least", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")))
     # A doc_id that repeats with different texts ties their components together.

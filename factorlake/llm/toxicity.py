@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorlake.llm.shared import map_rows
+from factorlake.llm.shared import drop_shuffles, map_rows
 
 MOST_TOXIC, MOST_CLEAN, MOST_CHARS = 1500, 3000, 100_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 4, (1, 2, 3)
@@ -349,6 +349,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Network:
     if not found:
         return fit([])
     net, (known, languages, both) = pickle.loads(found.pop(FOLDS))
+    drop_shuffles()  # the copies of the sample, and what collecting the network left, go before documents are scored
     return calibrated(net, known, languages, [pickle.loads(found[k])[1] for k in range(FOLDS)]) if both else net
 
 

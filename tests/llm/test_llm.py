@@ -1044,3 +1044,21 @@ def test_near_duplicates_shuffle_signatures_by_parts(spark, monkeypatch):
     rows, own, posted = near_dedup.classes(docs)
     assert [n for n, _ in plans].count("shared") == near_dedup.PARTS and "s0#" not in dict(plans)["classes"].split("Relation")[0]
     assert rows.count() == 6 and own.count() == 3 and posted.where("size(tokens) >= 32").count() == 3
+
+
+def test_near_duplicates_join_without_tables_in_the_driver(spark, monkeypatch):
+    """Tables of ids meet by sort-merge joins in near_dedup and components, also where they are small."""
+    plans = []
+
+    def note(df, name, write=near_dedup.written):
+        back = write(df, name)
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return back
+
+    monkeypatch.setattr(near_dedup, "written", note)
+    monkeypatch.setattr(components, "written", note)
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{text} end{i % 3}") for i in range(6)], "doc_id long, text string")
+    assert {r["component_id"] for r in near_dedup.dedup(docs).collect()} == {0}
+    alone = [(n, p) for n, p in plans if n in ("members", "lists", "long", "met", "edges", "pointers", "labels", "class-components")]
+    assert len(alone) >= 8 and [n for n, p in alone if "BroadcastHashJoin" in p] == []
